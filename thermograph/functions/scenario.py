@@ -6,8 +6,7 @@ explicit zero and an absent value stay distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ORIENTED_ITEM = (
@@ -54,17 +53,21 @@ SCENARIO_SCHEMA = T.StructType(
 )
 
 
-def section(name: str, **fields) -> Column:
-    """Build one section struct; fields not named become typed nulls."""
+def section_sql(name: str, **fields: str) -> str:
+    """SQL of one section struct; fields not named become typed nulls."""
     parts = []
     for spec in SECTIONS[name].split(","):
         leaf, dtype = spec.split(":")
-        value = fields.pop(leaf, None)
-        col = value if isinstance(value, Column) else F.lit(value)
-        parts.append(col.cast(dtype).alias(leaf))
+        parts.append(f"'{leaf}', CAST({fields.pop(leaf, 'NULL')} AS {dtype})")
     if fields:
         raise ValueError(f"unknown fields of {name}: {sorted(fields)}")
-    return F.struct(*parts)
+    return f"named_struct({', '.join(parts)})"
+
+
+def _item_sql(given: list[str], value: str) -> str:
+    return "named_struct(" + ", ".join(
+        f"'{leaf}', CAST({f'{value}.{leaf}' if leaf in given else 'NULL'} AS {dtype})"
+        for leaf, dtype in (x.split(":") for x in ORIENTED_ITEM.split(","))) + ")"
 
 
 def conform_scenarios(df: DataFrame) -> DataFrame:
@@ -74,35 +77,22 @@ def conform_scenarios(df: DataFrame) -> DataFrame:
     into item arrays that carry the orientation.
     """
     have = df.schema.fieldNames()
-    out = [F.col(c) for c in have if c not in SCENARIO_SCHEMA.fieldNames()]
+    out = [c for c in have if c not in SCENARIO_SCHEMA.fieldNames()]
     for field in SCENARIO_SCHEMA.fields:
         name = field.name
-        if name not in have:
-            out.append(F.lit(None).cast(field.dataType).alias(name))
-            continue
-        dtype = df.schema[name].dataType
+        dtype = df.schema[name].dataType if name in have else None
         if name in SECTIONS:
             given = dtype.fieldNames() if isinstance(dtype, T.StructType) else []
-            out.append(section(name, **{k: F.col(f"{name}.{k}") for k in given
-                                        if k in field.dataType.fieldNames()}).alias(name))
+            sql = section_sql(name, **{k: f"{name}.{k}" for k in given if k in field.dataType.fieldNames()})
+        elif dtype is None:
+            sql = f"CAST(NULL AS {field.dataType.simpleString()})"
         elif isinstance(dtype, T.MapType):
-            item = field.dataType.elementType
-            given = dtype.valueType.fieldNames()
-            out.append(F.transform(F.map_entries(name), lambda e: F.struct(*[
-                e["key"].alias("orientation") if f.name == "orientation"
-                else (e["value"][f.name].cast("double") if f.name in given else F.lit(None).cast("double")).alias(f.name)
-                for f in item.fields])).alias(name))
+            item = _item_sql([f for f in dtype.valueType.fieldNames() if f != "orientation"], "e.value")
+            item = item.replace("CAST(NULL AS string)", "e.key", 1)
+            sql = f"transform(map_entries({name}), e -> {item})"
         elif isinstance(dtype, T.ArrayType):
-            item = field.dataType.elementType
-            given = dtype.elementType.fieldNames()
-            out.append(F.transform(name, lambda e: F.struct(*[
-                (e[f.name].cast(f.dataType) if f.name in given else F.lit(None).cast(f.dataType)).alias(f.name)
-                for f in item.fields])).alias(name))
+            sql = f"transform({name}, e -> {_item_sql(dtype.elementType.fieldNames(), 'e')})"
         else:
-            out.append(F.col(name).cast(field.dataType).alias(name))
-    return df.select(*out)
-
-
-def given(path: str, default) -> Column:
-    """The leaf at ``path``, or ``default`` when it is absent."""
-    return F.coalesce(F.col(path), default if isinstance(default, Column) else F.lit(default))
+            sql = f"CAST({name} AS {field.dataType.simpleString()})"
+        out.append(f"{sql} AS {name}")
+    return df.selectExpr(*out)

@@ -3,117 +3,100 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from thermograph.functions.numbers import moist_air_enthalpy
-from thermograph.functions.scenario import given
+from thermograph.functions.stages import add_columns
 from thermograph.operators.energy import AIR_HEAT
 
 
+def _enthalpy_sql(t: str, rh: str, pressure: str) -> str:
+    """Moist-air enthalpy, kJ per kg dry air."""
+    vapor = f"({rh} / 100D * (0.61078D * exp((17.2694D * {t}) / ({t} + 237.3D))))"
+    return f"1.006D * {t} + 0.62198D * {vapor} / greatest({pressure} - {vapor}, 0.001D) * (2501D + 1.86D * {t})"
+
+
 def design_base(df: DataFrame) -> DataFrame:
     """Areas, UA, flows and internal gains (prefix ``d_``).
 
-    Unlike the annual model, absent wall or window areas count as zero, the
-    roof always counts and storeys are truncated to whole numbers.
+    Reads the given geometry, not the one resolved for the annual model:
+    absent wall or window areas count as zero, the roof always counts and
+    storeys are truncated to whole numbers.
     """
-    g, e, v, o = "geometry.", "envelope.", "ventilation.", "occupancy."
-    df = df.withColumns({
-        "d_floor_area": F.col(g + "floor_area_m2"),
-        "d_total_area": F.col(g + "floor_area_m2") * F.floor(given("building.floors", 1.0)).cast("double"),
-        "d_window_area": given(g + "window_area_m2", 0.0),
-        "d_floor_loss_source": F.when(F.col(g + "include_floor"), "include_floor").otherwise("explicit_floor_loss_area_m2"),
-        "d_floor_loss_area": F.when(F.col(g + "include_floor"),
-                                    F.col(g + "floor_area_m2") * given(e + "floor_contact_factor", 1.0))
-        .otherwise(given(g + "floor_loss_area_m2", 0.0)),
-    })
-    df = df.withColumns({
-        "d_occupants": F.col("d_total_area") / given(o + "area_per_person_m2", 10.0),
-        "d_infiltration_flow": F.col("d_total_area") * given("building.height", 3.0) * given(v + "infiltration_ach", 0.0),
-        "d_envelope_ua": given(g + "wall_area_m2", 0.0) * given(e + "u_wall", 0.6)
-        + F.col("d_window_area") * F.coalesce(F.col(e + "u_window"), F.col(e + "u_win"), F.lit(2.5))
-        + given(g + "roof_area_m2", F.col("d_floor_area")) * given(e + "u_roof", 0.4)
-        + F.col("d_floor_loss_area") * given(e + "u_floor", 0.3)
-        + given(g + "door_area_m2", 0.0) * given(e + "u_door", 3.0),
-        "d_lighting_w": F.col("d_total_area") * given("lighting.lpd", 8.0) * given("lighting.control_factor", 1.0)
-        * given("lighting.cooling_load_factor", 1.0),
-        "d_equipment_w": F.col("d_total_area") * given("equipment.epd", 15.0) * given("equipment.cooling_load_factor", 1.0),
-        "d_air_density": given(v + "air_density_kg_m3", 1.13),
-    })
-    t_out, t_in = given("cooling.outdoor_design_temperature_c", 34.9), given("cooling.t_set", 26.0)
-    pressure = given(v + "atmospheric_pressure_kpa", 101.325)
-    out = {}
-    for side, t, default in (("outdoor", t_out, 85.0), ("indoor", t_in, 55.0)):
-        rh = F.col(v + f"summer_{side}_relative_humidity_percent")
-        out[f"d_{side}_enthalpy"] = F.when(rh.isNotNull(), moist_air_enthalpy(t, rh, pressure)).otherwise(
-            given(v + f"summer_{side}_enthalpy_kj_kg", default))
-        out[f"d_{side}_enthalpy_source"] = F.when(rh.isNotNull(), "temperature_relative_humidity").otherwise(
-            "explicit_enthalpy_or_default")
-    return df.withColumns({
-        **out,
-        "d_fresh_air_flow": F.col("d_occupants") * given(v + "fresh_air_m3h_per_person", 30.0),
-        "d_people_sensible_w": F.col("d_occupants") * given(o + "sensible_heat_w_per_person", 75.0)
-        * given(o + "cooling_load_factor", 1.0),
-        "d_people_latent_w": F.col("d_occupants") * given(o + "latent_heat_w_per_person", 55.0),
-    })
+    out = {
+        "d_floor_area": "geometry.floor_area_m2",
+        "d_total_area": "d_floor_area * CAST(floor(coalesce(building.floors, 1D)) AS DOUBLE)",
+        "d_window_area": "coalesce(geometry.window_area_m2, 0D)",
+        "d_floor_loss_source": "CASE WHEN geometry.include_floor THEN 'include_floor' ELSE 'explicit_floor_loss_area_m2' END",
+        "d_floor_loss_area": "CASE WHEN geometry.include_floor THEN d_floor_area * coalesce(envelope.floor_contact_factor, 1D) "
+        "ELSE coalesce(geometry.floor_loss_area_m2, 0D) END",
+        "d_occupants": "d_total_area / coalesce(occupancy.area_per_person_m2, 10D)",
+        "d_fresh_air_flow": "d_occupants * coalesce(ventilation.fresh_air_m3h_per_person, 30D)",
+        "d_infiltration_flow": "d_total_area * coalesce(building.height, 3D) * coalesce(ventilation.infiltration_ach, 0D)",
+        "d_envelope_ua": "coalesce(geometry.wall_area_m2, 0D) * coalesce(envelope.u_wall, 0.6D) "
+        "+ d_window_area * coalesce(envelope.u_window, envelope.u_win, 2.5D) "
+        "+ coalesce(geometry.roof_area_m2, d_floor_area) * coalesce(envelope.u_roof, 0.4D) "
+        "+ d_floor_loss_area * coalesce(envelope.u_floor, 0.3D) "
+        "+ coalesce(geometry.door_area_m2, 0D) * coalesce(envelope.u_door, 3D)",
+        "d_people_sensible_w": "d_occupants * coalesce(occupancy.sensible_heat_w_per_person, 75D) * coalesce(occupancy.cooling_load_factor, 1D)",
+        "d_people_latent_w": "d_occupants * coalesce(occupancy.latent_heat_w_per_person, 55D)",
+        "d_lighting_w": "d_total_area * coalesce(lighting.lpd, 8D) * coalesce(lighting.control_factor, 1D) * coalesce(lighting.cooling_load_factor, 1D)",
+        "d_equipment_w": "d_total_area * coalesce(equipment.epd, 15D) * coalesce(equipment.cooling_load_factor, 1D)",
+        "d_air_density": "coalesce(ventilation.air_density_kg_m3, 1.13D)",
+        "d_pressure": "coalesce(ventilation.atmospheric_pressure_kpa, 101.325D)",
+        "d_outdoor_c": "coalesce(cooling.outdoor_design_temperature_c, 34.9D)",
+        "d_indoor_c": "coalesce(cooling.t_set, 26D)",
+    }
+    for side, default in (("outdoor", 85), ("indoor", 55)):
+        rh = f"ventilation.summer_{side}_relative_humidity_percent"
+        out[f"d_{side}_enthalpy"] = (f"CASE WHEN {rh} IS NOT NULL THEN {_enthalpy_sql(f'd_{side}_c', rh, 'd_pressure')} "
+                                     f"ELSE coalesce(ventilation.summer_{side}_enthalpy_kj_kg, {default}D) END")
+        out[f"d_{side}_enthalpy_source"] = f"CASE WHEN {rh} IS NOT NULL THEN 'temperature_relative_humidity' ELSE 'explicit_enthalpy_or_default' END"
+    return add_columns(df, out)
 
 
-COOLING_PARTS = [
-    "envelope_transmission", "window_solar", "fresh_air_sensible", "fresh_air_latent",
-    "infiltration_sensible", "infiltration_latent", "people", "lighting", "equipment",
-]
+# Cooling components in order; only positive ones enter the total.
+COOLING_PARTS = {
+    "envelope_transmission": "d_envelope_ua * d_cooling_dt",
+    "window_solar": "d_window_area * coalesce(envelope.window_shgc, envelope.shgc, 0.4D) * coalesce(envelope.peak_solar_irradiance_w_m2, 250D) "
+    "* coalesce(envelope.solar_orientation_factor, 1D) * coalesce(envelope.curtain_shading, 1D)",
+    "fresh_air_sensible": f"{AIR_HEAT}D * d_fresh_air_flow * d_cooling_dt",
+    "fresh_air_latent": "d_air_density * d_fresh_air_flow * d_dh / 3.6D",
+    "infiltration_sensible": f"{AIR_HEAT}D * d_infiltration_flow * d_cooling_dt",
+    "infiltration_latent": "d_air_density * d_infiltration_flow * d_dh / 3.6D",
+    "people": "d_people_sensible_w + d_people_latent_w",
+    "lighting": "d_lighting_w",
+    "equipment": "d_equipment_w",
+}
 
 
 def cooling_design_load(df: DataFrame) -> DataFrame:
-    """Nine components (``cl_*``); the total adds the positive ones."""
-    e = "envelope."
-    dt = F.greatest(F.lit(0.0), given("cooling.outdoor_design_temperature_c", 34.9) - given("cooling.t_set", 26.0))
-    dh = F.greatest(F.lit(0.0), F.col("d_outdoor_enthalpy") - F.col("d_indoor_enthalpy"))
-    df = df.withColumns({"cooling_load_on": given("cooling.enabled", True), "d_cooling_dt": dt, "d_dh": dh})
-    latent = lambda flow: F.col("d_air_density") * F.col(flow) * F.col("d_dh") / 3.6
-    parts = {
-        "envelope_transmission": F.col("d_envelope_ua") * F.col("d_cooling_dt"),
-        "window_solar": F.col("d_window_area") * F.coalesce(F.col(e + "window_shgc"), F.col(e + "shgc"), F.lit(0.4))
-        * given(e + "peak_solar_irradiance_w_m2", 250.0) * given(e + "solar_orientation_factor", 1.0)
-        * given(e + "curtain_shading", 1.0),
-        "fresh_air_sensible": AIR_HEAT * F.col("d_fresh_air_flow") * F.col("d_cooling_dt"),
-        "fresh_air_latent": latent("d_fresh_air_flow"),
-        "infiltration_sensible": AIR_HEAT * F.col("d_infiltration_flow") * F.col("d_cooling_dt"),
-        "infiltration_latent": latent("d_infiltration_flow"),
-        "people": F.col("d_people_sensible_w") + F.col("d_people_latent_w"),
-        "lighting": F.col("d_lighting_w"),
-        "equipment": F.col("d_equipment_w"),
-    }
-    df = df.withColumns({f"cl_{k}": F.when(F.col("cooling_load_on"), c) for k, c in parts.items()})
-    total = F.lit(0.0)
-    for k in COOLING_PARTS:
-        total = total + F.greatest(F.col(f"cl_{k}"), F.lit(0.0))
-    df = df.withColumns({"cooling_load_w": F.when(F.col("cooling_load_on"), total)})
-    return df.withColumns({"cooling_index_w_m2": F.col("cooling_load_w") / F.col("d_total_area")})
+    """Nine components (``cl_*``), total and index; null when disabled."""
+    return add_columns(df, {
+        "cooling_load_on": "coalesce(cooling.enabled, true)",
+        "d_cooling_dt": "greatest(0D, d_outdoor_c - d_indoor_c)",
+        "d_dh": "greatest(0D, d_outdoor_enthalpy - d_indoor_enthalpy)",
+        **{f"cl_{k}": f"CASE WHEN cooling_load_on THEN {sql} END" for k, sql in COOLING_PARTS.items()},
+        "cooling_load_w": "CASE WHEN cooling_load_on THEN " + " + ".join(f"greatest(cl_{k}, 0D)" for k in COOLING_PARTS) + " END",
+        "cooling_index_w_m2": "cooling_load_w / d_total_area",
+    })
 
 
 def heating_design_load(df: DataFrame) -> DataFrame:
     """Losses plus addition factor minus stable gains (``hl_*``), floor zero."""
-    h = "heating."
-    df = df.withColumns({
-        "heating_load_on": given(h + "enabled", True),
-        "d_heating_dt": F.greatest(F.lit(0.0), given(h + "t_set", 18.0) - given(h + "outdoor_design_temperature_c", -5.0)),
-    })
-    on = F.col("heating_load_on")
-    gains = F.col("d_people_sensible_w") + F.col("d_people_latent_w") + F.col("d_lighting_w") + F.col("d_equipment_w")
-    df = df.withColumns({
-        "hl_envelope_basic": F.when(on, F.col("d_envelope_ua") * F.col("d_heating_dt")),
-        "hl_fresh_air": F.when(on, AIR_HEAT * F.col("d_fresh_air_flow") * F.col("d_heating_dt")),
-        "hl_infiltration": F.when(on, AIR_HEAT * F.col("d_infiltration_flow") * F.col("d_heating_dt")),
-        "hl_door_invasion": F.when(on, given(h + "door_invasion_heat_w", 0.0)),
-        "hl_gain_deduction": F.when(on, gains * F.least(given(h + "stable_internal_gain_fraction", 0.0), F.lit(1.0))),
-    })
-    losses = F.col("hl_envelope_basic") + F.col("hl_fresh_air") + F.col("hl_infiltration") + F.col("hl_door_invasion")
-    df = df.withColumns({"hl_losses": losses})
-    df = df.withColumns({"hl_addition": F.col("hl_losses") * (given(h + "heating_addition_factor", 1.0) - 1.0)})
-    df = df.withColumns({
-        "heating_load_w": F.when(on, F.greatest(F.lit(0.0), F.col("hl_losses") + F.col("hl_addition") - F.col("hl_gain_deduction"))),
+    on = lambda sql: f"CASE WHEN heating_load_on THEN {sql} END"
+    return add_columns(df, {
+        "heating_load_on": "coalesce(heating.enabled, true)",
+        "d_heating_dt": "greatest(0D, coalesce(heating.t_set, 18D) - coalesce(heating.outdoor_design_temperature_c, -5D))",
+        "hl_envelope_basic": on("d_envelope_ua * d_heating_dt"),
+        "hl_fresh_air": on(f"{AIR_HEAT}D * d_fresh_air_flow * d_heating_dt"),
+        "hl_infiltration": on(f"{AIR_HEAT}D * d_infiltration_flow * d_heating_dt"),
+        "hl_door_invasion": on("coalesce(heating.door_invasion_heat_w, 0D)"),
+        "hl_losses": "hl_envelope_basic + hl_fresh_air + hl_infiltration + hl_door_invasion",
+        "hl_addition": "hl_losses * (coalesce(heating.heating_addition_factor, 1D) - 1D)",
+        "hl_gain_deduction": on("(d_people_sensible_w + d_people_latent_w + d_lighting_w + d_equipment_w) "
+                                "* least(coalesce(heating.stable_internal_gain_fraction, 0D), 1D)"),
+        "heating_load_w": on("greatest(0D, hl_losses + hl_addition - hl_gain_deduction)"),
+        "heating_index_w_m2": "heating_load_w / d_total_area",
     })
-    return df.withColumns({"heating_index_w_m2": F.col("heating_load_w") / F.col("d_total_area")})
 
 
 def design_loads(df: DataFrame) -> DataFrame:

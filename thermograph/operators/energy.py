@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermograph.functions import climate as dims
-from thermograph.functions.numbers import half_even
-from thermograph.functions.scenario import given
-from thermograph.functions.tables import constant_table
+from thermograph.functions.stages import add_columns
+from thermograph.functions.tables import constant_table, sql_literal
 from thermograph.operators.envelope import normalize_detailed_envelope, with_detailed_loads
 
 HOURS_PER_YEAR = 8760.0
 AIR_HEAT = 0.335  # W per (m3/h) and K
-ZERO = F.lit
 
 
-def _lookup(df: DataFrame, table: DataFrame, key: Column, id_col: str, default_row: dict) -> DataFrame:
+def _lookup(df: DataFrame, table: DataFrame, key: str, id_col: str, default_row: dict) -> DataFrame:
     """Left join to a constant dimension; unknown keys take the default row."""
     values = [c for c in table.columns if c != id_col]
-    t = table.withColumnRenamed(id_col, "_dim_id").withColumn("_hit", F.lit(True))
-    joined = df.join(F.broadcast(t), key == F.col("_dim_id"), "left")
-    return joined.withColumns({
-        c: F.when(F.col("_hit"), F.col(c)).otherwise(F.lit(default_row[c]).cast(table.schema[c].dataType))
-        for c in values}).drop("_dim_id", "_hit")
+    t = table.selectExpr(f"{id_col} AS _dim_id", "true AS _hit", *[f"{c} AS _dim_{c}" for c in values])
+    joined = df.join(F.broadcast(t), F.expr(f"{key} = _dim_id"), "left")
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    return joined.selectExpr(*df.columns, *[
+        f"CASE WHEN _hit THEN _dim_{c} ELSE CAST({sql_literal(default_row[c])} AS {kinds[c]}) END AS {c}" for c in values])
 
 
 def _row(rows, columns, key) -> dict:
@@ -32,205 +30,172 @@ def _row(rows, columns, key) -> dict:
 
 def with_climate(df: DataFrame, city: str = "climate.city_id") -> DataFrame:
     """City climate; an unknown or missing city falls back to the default."""
-    return _lookup(df, dims.climate_table(df.sparkSession), given(city, dims.DEFAULT_CITY), "city_id",
+    return _lookup(df, dims.climate_table(df.sparkSession), city, "city_id",
                    _row(dims.CLIMATE, dims.CLIMATE_COLUMNS, dims.DEFAULT_CITY))
 
 
 def with_building_defaults(df: DataFrame, building_type: str = "building.building_type") -> DataFrame:
-    return _lookup(df, dims.building_table(df.sparkSession), given(building_type, dims.DEFAULT_BUILDING),
+    return _lookup(df, dims.building_table(df.sparkSession), building_type,
                    "building_type", _row(dims.BUILDING_TYPES, dims.BUILDING_COLUMNS, dims.DEFAULT_BUILDING))
 
 
 def with_systems(df: DataFrame, heating: str = "heating.system_type", cooling: str = "cooling.system_type") -> DataFrame:
-    df = _lookup(df, dims.heating_table(df.sparkSession), given(heating, dims.DEFAULT_HEATING), "system_type",
+    df = _lookup(df, dims.heating_table(df.sparkSession), heating, "system_type",
                  _row(dims.HEATING_SYSTEMS, dims.HEATING_COLUMNS, dims.DEFAULT_HEATING))
-    return _lookup(df, dims.cooling_table(df.sparkSession), given(cooling, dims.DEFAULT_COOLING), "system_type",
+    return _lookup(df, dims.cooling_table(df.sparkSession), cooling, "system_type",
                    _row(dims.COOLING_SYSTEMS, dims.COOLING_COLUMNS, dims.DEFAULT_COOLING))
 
 
 def with_geometry(df: DataFrame) -> DataFrame:
     """Resolved storeys, height and areas with the annual-model defaults."""
-    df = df.withColumns({
-        "floors": given("building.floors", 1.0),
-        "height": given("building.height", 3.0),
-        "floor_area": given("geometry.floor_area_m2", 500.0),
-    })
-    df = df.withColumns({
-        "total_area": F.col("floor_area") * F.col("floors"),
-        "wall_area": given("geometry.wall_area_m2", F.col("floor_area") * 0.8),
-        "roof_area": given("geometry.roof_area_m2", F.col("floor_area")),
-        "door_area": given("geometry.door_area_m2", 0.0),
+    return add_columns(df, {
+        "floors": "coalesce(building.floors, 1D)",
+        "height": "coalesce(building.height, 3D)",
+        "floor_area": "coalesce(geometry.floor_area_m2, 500D)",
+        "total_area": "floor_area * floors",
+        "wall_area": "coalesce(wall_area_item, geometry.wall_area_m2, floor_area * 0.8D)",
+        "window_area": "coalesce(window_area_item, geometry.window_area_m2, wall_area * 0.3D)",
+        "roof_area": "coalesce(geometry.roof_area_m2, floor_area)",
+        "door_area": "coalesce(door_area_item, geometry.door_area_m2, 0D)",
+        "wwr": "window_area / greatest(wall_area + window_area, 1D)",
     })
-    df = df.withColumns({"window_area": given("geometry.window_area_m2", F.col("wall_area") * 0.3)})
-    return df.withColumns({
-        "wwr": F.col("window_area") / F.greatest(F.col("wall_area") + F.col("window_area"), F.lit(1.0)),
+
+
+def degree_day_adjust(df: DataFrame) -> DataFrame:
+    """Set points, scope flags and degree days moved by the set points."""
+    return add_columns(df, {
+        "t_heat": "coalesce(heating.t_set, 18D)",
+        "t_cool": "coalesce(cooling.t_set, 26D)",
+        "heating_on": "coalesce(heating.enabled, true)",
+        "cooling_on": "coalesce(cooling.enabled, true)",
+        "hdd_adj": "greatest(0D, hdd18 + (t_heat - 18D) * 120D)",
+        "cdd_adj": "greatest(0D, cdd26 + (26D - t_cool) * 90D)",
     })
 
 
 def annual_use_inputs(df: DataFrame) -> DataFrame:
     """Occupants, air flows, operating hours, efficiencies, design temperatures."""
-    v = "ventilation."
-    old_hours = (F.col("schedule.daily_operation_hours").isNull() & F.col("schedule.annual_operation_days").isNull()
-                 & F.col("schedule.op_hours").isNotNull())
-    hours = F.when(old_hours, F.col("schedule.op_hours")).otherwise(
-        given("schedule.daily_operation_hours", 12.0) * given("schedule.annual_operation_days", 250.0))
-    raw = given(v + "heat_recovery_efficiency", 0.0)
-    recovery = F.when(F.col(v + "heat_recovery_efficiency_percent").isNotNull(),
-                      F.col(v + "heat_recovery_efficiency_percent") / 100.0).when(raw > 1.0, raw / 100.0).otherwise(raw)
-    heating_eff = F.when(F.col("heating.system_type") == "electric", 1.0).otherwise(
-        F.coalesce(F.col("heating.seasonal_efficiency"),
-                   F.when(F.col("heating_fuel") == "electric", 1.9).otherwise(F.col("heating_nominal"))))
-    source = lambda request, city: (F.when(F.col(request).isNotNull(), "request")
-                                    .when(F.col(city).isNotNull(), "city_database").otherwise("unavailable"))
+    source = lambda request, city: (f"CASE WHEN {request} IS NOT NULL THEN 'request' WHEN {city} IS NOT NULL THEN 'city_database' "
+                                    "ELSE 'unavailable' END")
     w, s = "heating.outdoor_design_temperature_c", "cooling.outdoor_design_temperature_c"
-    df = df.withColumns({
-        "occupants": F.col("total_area") / given("occupancy.area_per_person_m2", 10.0),
-        "annual_hours": hours,
-        "heat_recovery": recovery,
-        "infiltration_ach": given(v + "infiltration_ach", 0.0),
-        "fan_power": F.coalesce(F.col(v + "fan_power_w_per_m3h"), F.col(v + "fan_power"), F.lit(0.5)),
-        "heating_efficiency": heating_eff,
-        "cooling_efficiency": given("cooling.seasonal_efficiency", 2.3),
-        "winter_design_c": F.coalesce(F.col(w), F.col("city_winter_design_c")),
-        "summer_design_c": F.coalesce(F.col(s), F.col("city_summer_design_c")),
+    return add_columns(df, {
+        "occupants": "total_area / coalesce(occupancy.area_per_person_m2, 10D)",
+        "fresh_air_flow": "occupants * coalesce(ventilation.fresh_air_m3h_per_person, 30D)",
+        "annual_hours": "CASE WHEN schedule.daily_operation_hours IS NULL AND schedule.annual_operation_days IS NULL "
+        "AND schedule.op_hours IS NOT NULL THEN schedule.op_hours "
+        "ELSE coalesce(schedule.daily_operation_hours, 12D) * coalesce(schedule.annual_operation_days, 250D) END",
+        "operation_fraction": f"annual_hours / {HOURS_PER_YEAR}D",
+        "heat_recovery": "CASE WHEN ventilation.heat_recovery_efficiency_percent IS NOT NULL "
+        "THEN ventilation.heat_recovery_efficiency_percent / 100D "
+        "WHEN ventilation.heat_recovery_efficiency > 1D THEN ventilation.heat_recovery_efficiency / 100D "
+        "ELSE coalesce(ventilation.heat_recovery_efficiency, 0D) END",
+        "infiltration_ach": "coalesce(ventilation.infiltration_ach, 0D)",
+        "infiltration_flow": "total_area * height * infiltration_ach",
+        "fan_power": "coalesce(ventilation.fan_power_w_per_m3h, ventilation.fan_power, 0.5D)",
+        "heating_efficiency": "CASE WHEN heating.system_type = 'electric' THEN 1D ELSE coalesce(heating.seasonal_efficiency, "
+        "CASE WHEN heating_fuel = 'electric' THEN 1.9D ELSE heating_nominal END) END",
+        "cooling_efficiency": "coalesce(cooling.seasonal_efficiency, 2.3D)",
+        "winter_design_c": f"coalesce({w}, city_winter_design_c)",
+        "summer_design_c": f"coalesce({s}, city_summer_design_c)",
         "winter_design_source": source(w, "city_winter_design_c"),
         "summer_design_source": source(s, "city_summer_design_c"),
-    })
-    return df.withColumns({
-        "fresh_air_flow": F.col("occupants") * given(v + "fresh_air_m3h_per_person", 30.0),
-        "operation_fraction": F.col("annual_hours") / HOURS_PER_YEAR,
-        "infiltration_flow": F.col("total_area") * F.col("height") * F.col("infiltration_ach"),
-        "design_temperature_source": F.when(F.col("winter_design_source") == F.col("summer_design_source"),
-                                            F.col("winter_design_source")).otherwise("mixed"),
-    })
-
-
-def degree_day_adjust(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"t_heat": given("heating.t_set", 18.0), "t_cool": given("cooling.t_set", 26.0)})
-    return df.withColumns({
-        "hdd_adj": F.greatest(F.lit(0.0), F.col("hdd18") + (F.col("t_heat") - 18.0) * 120.0),
-        "cdd_adj": F.greatest(F.lit(0.0), F.col("cdd26") + (26.0 - F.col("t_cool")) * 90.0),
+        "design_temperature_source": "CASE WHEN winter_design_source = summer_design_source THEN winter_design_source ELSE 'mixed' END",
     })
 
 
 def envelope_demand(df: DataFrame) -> DataFrame:
     """Transmission and solar demand, simple or detailed per row."""
-    df = with_detailed_loads(df)
-    detailed = F.col("calculation_mode") == "detailed"
-    df = df.withColumns({
-        "u_wall": given("envelope.u_wall", 0.6), "u_window": given("envelope.u_window", 2.5),
-        "u_roof": given("envelope.u_roof", 0.4), "u_floor": given("envelope.u_floor", 0.3),
-        "u_door": given("envelope.u_door", 3.0), "shgc": given("envelope.shgc", 0.4),
-    })
-    simple_ua = (F.col("u_wall") * F.col("wall_area") + F.col("u_window") * F.col("window_area")
-                 + F.col("u_roof") * F.col("roof_area") + F.col("u_floor") * F.col("floor_area")
-                 + F.col("u_door") * F.col("door_area"))
-    simple_solar = (F.col("window_area") * F.col("shgc") * 150.0
-                    * (F.col("cdd26") / F.greatest(F.col("cdd26") + F.col("hdd18"), F.lit(1.0))))
-    df = df.withColumns({
-        "envelope_ua": F.when(detailed, F.col("detail_transmission_ua")).otherwise(simple_ua),
-        "solar_gain": F.when(detailed, F.col("detail_solar_gain")).otherwise(simple_solar),
-    })
-    return df.withColumns({
-        "total_ua": F.col("envelope_ua") + F.when(detailed, F.col("detail_leakage")).otherwise(0.0),
-        "heating_envelope": F.col("envelope_ua") * F.col("hdd_adj") * 24.0 / 1000.0,
-        "cooling_envelope": F.col("envelope_ua") * F.col("cdd_adj") * 24.0 / 1000.0 + F.col("solar_gain"),
+    detailed = "calculation_mode = 'detailed'"
+    return add_columns(with_detailed_loads(df), {
+        "u_wall": "coalesce(wall_value_item, envelope.u_wall, 0.6D)",
+        "u_window": "coalesce(window_value_item, envelope.u_window, 2.5D)",
+        "u_roof": "coalesce(envelope.u_roof, 0.4D)",
+        "u_floor": "coalesce(envelope.u_floor, 0.3D)",
+        "u_door": "coalesce(door_value_item, envelope.u_door, 3D)",
+        "shgc": "coalesce(shgc_value_item, envelope.shgc, 0.4D)",
+        "envelope_ua": f"CASE WHEN {detailed} THEN detail_transmission_ua ELSE u_wall * wall_area + u_window * window_area "
+        "+ u_roof * roof_area + u_floor * floor_area + u_door * door_area END",
+        "solar_gain": f"CASE WHEN {detailed} THEN detail_solar_gain ELSE window_area * shgc * 150D * (cdd26 / greatest(cdd26 + hdd18, 1D)) END",
+        "total_ua": f"envelope_ua + CASE WHEN {detailed} THEN detail_leakage ELSE 0D END",
+        "heating_envelope": "CASE WHEN heating_on THEN envelope_ua * hdd_adj * 24D / 1000D END",
+        "cooling_envelope": "CASE WHEN cooling_on THEN envelope_ua * cdd_adj * 24D / 1000D + solar_gain END",
     })
 
 
 def air_demand(df: DataFrame) -> DataFrame:
     """Fresh-air demand during operation and infiltration all year."""
-    legacy = (F.col("calculation_mode") == "detailed") & (F.col("detail_leakage") > 0)
-    explicit = F.col("ventilation.infiltration_ach").isNotNull()
-    df = df.withColumns({
-        "fresh_air_ua": AIR_HEAT * F.col("fresh_air_flow") * (1.0 - F.col("heat_recovery")),
-        "infiltration_ua": F.when(explicit, AIR_HEAT * F.col("infiltration_flow"))
-        .when(legacy, F.col("detail_leakage")).otherwise(0.0),
-        "infiltration_source": F.when(explicit, "explicit_ach").when(legacy, "legacy_window_tightness").otherwise("none"),
-    })
-    return df.withColumns({
-        "fresh_air_heating": F.col("fresh_air_ua") * F.col("hdd_adj") * 24.0 / 1000.0 * F.col("operation_fraction"),
-        "fresh_air_cooling": F.col("fresh_air_ua") * F.col("cdd_adj") * 24.0 / 1000.0 * F.col("operation_fraction"),
-        "infiltration_heating": F.col("infiltration_ua") * F.col("hdd_adj") * 24.0 / 1000.0,
-        "infiltration_cooling": F.col("infiltration_ua") * F.col("cdd_adj") * 24.0 / 1000.0,
-    })
+    explicit = "ventilation.infiltration_ach IS NOT NULL"
+    legacy = "calculation_mode = 'detailed' AND detail_leakage > 0"
+    out = {
+        "fresh_air_ua": f"{AIR_HEAT}D * fresh_air_flow * (1D - heat_recovery)",
+        "infiltration_ua": f"CASE WHEN {explicit} THEN {AIR_HEAT}D * infiltration_flow WHEN {legacy} THEN detail_leakage ELSE 0D END",
+        "infiltration_source": f"CASE WHEN {explicit} THEN 'explicit_ach' WHEN {legacy} THEN 'legacy_window_tightness' ELSE 'none' END",
+    }
+    for side, dd in (("heating", "hdd_adj"), ("cooling", "cdd_adj")):
+        out[f"fresh_air_{side}"] = f"CASE WHEN {side}_on THEN fresh_air_ua * {dd} * 24D / 1000D * operation_fraction END"
+        out[f"infiltration_{side}"] = f"CASE WHEN {side}_on THEN infiltration_ua * {dd} * 24D / 1000D END"
+    return add_columns(df, out)
 
 
 def thermal_demand(df: DataFrame) -> DataFrame:
     """Heating and cooling totals; a disabled side is null throughout."""
-    df = df.withColumns({"heating_on": given("heating.enabled", True), "cooling_on": given("cooling.enabled", True)})
-    out = {}
-    for side in ("heating", "cooling"):
-        on = F.col(f"{side}_on")
-        parts = [f"{side}_envelope", f"fresh_air_{side}", f"infiltration_{side}"]
-        for p in parts:
-            out[p] = F.when(on, F.col(p))
-        out[f"annual_{side}_demand"] = F.when(on, F.col(parts[0]) + F.col(parts[1]) + F.col(parts[2]))
-    return df.withColumns(out)
+    return add_columns(df, {f"annual_{s}_demand": f"{s}_envelope + fresh_air_{s} + infiltration_{s}" for s in ("heating", "cooling")})
 
 
 def end_use_electricity(df: DataFrame) -> DataFrame:
-    fuel_fired = ~F.col("heating_fuel").isin("electric", "none")
-    input_kwh = F.col("annual_heating_demand") / F.col("heating_efficiency")
-    return df.withColumns({
-        "heating_kwh": F.when(F.col("heating_on") & (F.col("heating_fuel") == "electric"), input_kwh).otherwise(0.0),
-        "heating_purchased_kwh": F.when(F.col("heating_on") & fuel_fired, input_kwh).otherwise(0.0),
-        "purchased_fuel": F.when(F.col("heating_on") & fuel_fired, F.col("heating_fuel")).otherwise("none"),
-        "purchased_efficiency": F.when(F.col("heating_on") & fuel_fired, F.col("heating_efficiency")),
-        "cooling_kwh": F.when(F.col("cooling_on") & (given("cooling.system_type", dims.DEFAULT_COOLING) != "none"),
-                              F.col("annual_cooling_demand") / F.col("cooling_efficiency")).otherwise(0.0),
-        "lighting_kwh": given("lighting.lpd", 8.0) * F.col("total_area") * F.col("annual_hours")
-        * given("lighting.control_factor", 1.0) / 1000.0,
-        "equipment_kwh": given("equipment.epd", 15.0) * F.col("total_area") * F.col("annual_hours") / 1000.0,
-        "ventilation_kwh": F.col("fresh_air_flow") * F.col("fan_power") * F.col("annual_hours") / 1000.0,
+    fired = "heating_on AND heating_fuel NOT IN ('electric', 'none')"
+    return add_columns(df, {
+        "heating_kwh": "CASE WHEN heating_on AND heating_fuel = 'electric' THEN annual_heating_demand / heating_efficiency ELSE 0D END",
+        "heating_purchased_kwh": f"CASE WHEN {fired} THEN annual_heating_demand / heating_efficiency ELSE 0D END",
+        "purchased_fuel": f"CASE WHEN {fired} THEN heating_fuel ELSE 'none' END",
+        "purchased_efficiency": f"CASE WHEN {fired} THEN heating_efficiency END",
+        "cooling_kwh": f"CASE WHEN cooling_on AND coalesce(cooling.system_type, '{dims.DEFAULT_COOLING}') <> 'none' "
+        "THEN annual_cooling_demand / cooling_efficiency ELSE 0D END",
+        "lighting_kwh": "coalesce(lighting.lpd, 8D) * total_area * annual_hours * coalesce(lighting.control_factor, 1D) / 1000D",
+        "equipment_kwh": "coalesce(equipment.epd, 15D) * total_area * annual_hours / 1000D",
+        "ventilation_kwh": "fresh_air_flow * fan_power * annual_hours / 1000D",
     })
 
 
 def dhw_energy(df: DataFrame) -> DataFrame:
     """Hot water: 35 K rise, every day of the year."""
-    people = given("dhw.occupants", F.greatest(F.lit(1.0), F.floor(F.col("total_area") * F.col("default_occupancy")).cast("double")))
-    litres = given("dhw.daily_liter_pp", F.col("default_dhw_liter_pp"))
-    return df.withColumns({
-        "dhw_kwh": people * litres * 4.186 * 35.0 * 365.0 / 3600.0 / given("dhw.efficiency", 0.85),
+    people = "coalesce(dhw.occupants, greatest(1D, CAST(floor(total_area * default_occupancy) AS DOUBLE)))"
+    return add_columns(df, {
+        "dhw_kwh": f"{people} * coalesce(dhw.daily_liter_pp, default_dhw_liter_pp) * 4.186D * 35D * 365D / 3600D / coalesce(dhw.efficiency, 0.85D)",
     })
 
 
 def equivalent_peak(df: DataFrame) -> DataFrame:
     """Order-of-magnitude peak and full-load hours; null when not defined."""
-    ua = F.col("envelope_ua") + F.col("fresh_air_ua") + F.col("infiltration_ua")
+    ua = "(envelope_ua + fresh_air_ua + infiltration_ua)"
     out = {}
-    for side, dd, dt in (("heating", "hdd_adj", F.col("t_heat") - F.col("winter_design_c")),
-                         ("cooling", "cdd_adj", F.col("summer_design_c") - F.col("t_cool"))):
-        ok = F.col(f"{side}_on") & (F.col(dd) > 0) & (dt > 0)
-        out[f"{side}_peak_kw"] = F.when(ok, ua * dt / 1000.0)
-        out[f"{side}_equivalent_hours"] = F.when(ok, F.col(dd) * 24.0 / dt)
-    return df.withColumns(out)
-
+    for side, dd, dt in (("heating", "hdd_adj", "(t_heat - winter_design_c)"), ("cooling", "cdd_adj", "(summer_design_c - t_cool)")):
+        ok = f"{side}_on AND {dd} > 0 AND {dt} > 0"
+        out[f"{side}_peak_kw"] = f"CASE WHEN {ok} THEN {ua} * {dt} / 1000D END"
+        out[f"{side}_equivalent_hours"] = f"CASE WHEN {ok} THEN {dd} * 24D / {dt} END"
+    return add_columns(df, out)
 
-def eui_rating(eui: Column) -> Column:
-    return (F.when(eui < 50, "A").when(eui < 80, "B").when(eui < 120, "C").when(eui < 180, "D").otherwise("E"))
 
-
-def eui_rating_label(eui: Column) -> Column:
-    return (F.when(eui < 50, "超低能耗").when(eui < 80, "低能耗").when(eui < 120, "节能").when(eui < 180, "一般")
-            .otherwise("高能耗"))
+# Upper EUI bound, grade, label; the last row is open.
+RATINGS = [(50, "A", "超低能耗"), (80, "B", "低能耗"), (120, "C", "节能"), (180, "D", "一般"), (None, "E", "高能耗")]
+END_USES = ["heating", "cooling", "lighting", "equipment", "ventilation", "dhw"]
 
 
-END_USES = ["heating", "cooling", "lighting", "equipment", "ventilation", "dhw"]
+def eui_rating_sql(eui: str, column: int = 1) -> str:
+    whens = " ".join(f"WHEN {eui} < {r[0]} THEN '{r[column]}'" for r in RATINGS if r[0])
+    return f"CASE {whens} ELSE '{RATINGS[-1][column]}' END"
 
 
 def eui_breakdown(df: DataFrame) -> DataFrame:
     """Total, EUI, rating, and per-use EUI from the rounded uses."""
-    total = F.col("heating_kwh")
-    for use in END_USES[1:]:
-        total = total + F.col(f"{use}_kwh")
-    df = df.withColumns({"total_kwh": total})
-    df = df.withColumns({"eui": F.when(F.col("total_area") > 0, F.col("total_kwh") / F.col("total_area")).otherwise(0.0)})
-    df = df.withColumns({"rating": eui_rating(F.col("eui")), "rating_label": eui_rating_label(F.col("eui"))})
-    df = df.withColumns({f"{u}_kwh_rounded": half_even(F.col(f"{u}_kwh"), 1) for u in END_USES})
-    return df.withColumns({
-        f"{u}_eui": F.when(F.col("total_area") > 0, half_even(F.col(f"{u}_kwh_rounded") / F.col("total_area"), 2)).otherwise(0.0)
-        for u in END_USES})
+    return add_columns(df, {
+        "total_kwh": " + ".join(f"{u}_kwh" for u in END_USES),
+        "eui": "CASE WHEN total_area > 0 THEN total_kwh / total_area ELSE 0D END",
+        "rating": eui_rating_sql("eui", 1),
+        "rating_label": eui_rating_sql("eui", 2),
+        **{f"{u}_kwh_rounded": f"bround({u}_kwh, 1)" for u in END_USES},
+        **{f"{u}_eui": f"CASE WHEN total_area > 0 THEN bround({u}_kwh_rounded / total_area, 2) ELSE 0D END" for u in END_USES},
+    })
 
 
 # Notes on what the model leaves out.
@@ -249,15 +214,14 @@ NOTE_USER_TEMPERATURE = "非西安城市的室外设计温度来自用户输入
 
 
 def model_boundaries(df: DataFrame) -> DataFrame:
-    missing = (F.col("winter_design_source") == "unavailable") | (F.col("summer_design_source") == "unavailable")
-    by_user = (given("climate.city_id", dims.DEFAULT_CITY) != "xian") & F.col("design_temperature_source").isin("request", "mixed")
-    notes = F.array(
-        *[F.lit(n) for n in ALWAYS_NOTES],
-        F.when(~F.col("heating_on"), NOTE_NO_HEATING),
-        F.when(~F.col("cooling_on"), NOTE_NO_COOLING),
-        F.when(missing, NOTE_NO_TEMPERATURE).when(by_user, NOTE_USER_TEMPERATURE),
-    )
-    return df.withColumns({"model_boundaries": F.filter(notes, lambda n: n.isNotNull())})
+    """Notes on what the result leaves out, as an array column."""
+    missing = "winter_design_source = 'unavailable' OR summer_design_source = 'unavailable'"
+    by_user = f"coalesce(climate.city_id, '{dims.DEFAULT_CITY}') <> 'xian' AND design_temperature_source IN ('request', 'mixed')"
+    always = ", ".join(sql_literal(n) for n in ALWAYS_NOTES)
+    return add_columns(df, {
+        "model_boundaries": f"concat(array({always}), array_compact(array(CASE WHEN NOT heating_on THEN '{NOTE_NO_HEATING}' END, "
+        f"CASE WHEN NOT cooling_on THEN '{NOTE_NO_COOLING}' END, CASE WHEN {missing} THEN '{NOTE_NO_TEMPERATURE}' "
+        f"WHEN {by_user} THEN '{NOTE_USER_TEMPERATURE}' END)))"})
 
 
 def annual_balance(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermograph.functions.climate import ORIENTATION_SOLAR, ORIENTATION_SOLAR_OTHER
-from thermograph.functions.scenario import given
+from thermograph.functions.stages import add_columns
 
 
 def positive(c: Column) -> Column:
@@ -41,44 +41,39 @@ def area_weighted(df: DataFrame, keys: list[str], values: dict[str, tuple[str, s
     return df.groupBy(*keys).agg(*aggs)
 
 
-def _item_sum(items: str, term) -> Column:
-    """Sum of a per-item term over the scenario's own (short) item array."""
-    return F.coalesce(F.aggregate(F.col(items), F.lit(0.0), lambda acc, e: acc + F.coalesce(term(e), F.lit(0.0))),
-                      F.lit(0.0))
+def _item_sum(items: str, term: str) -> str:
+    """SQL: sum of a per-item term ``e`` over the row's own (short) array."""
+    return f"coalesce(aggregate({items}, 0D, (acc, e) -> acc + coalesce({term}, 0D)), 0D)"
 
 
-def _pair(items: str, area: str, value: str) -> tuple[Column, Column]:
-    both = lambda e: (e[area] > 0) & (e[value] > 0)
-    total = _item_sum(items, lambda e: F.when(both(e), e[area]))
-    weighted = _item_sum(items, lambda e: F.when(both(e), e[area] * e[value]))
-    return F.when(total > 0, total), F.when(total > 0, weighted / total)
+def _pair(items: str, prefix: str, area: str, value: str) -> dict[str, str]:
+    both = f"e.{area} > 0 AND e.{value} > 0"
+    total = _item_sum(items, f"CASE WHEN {both} THEN e.{area} END")
+    weighted = _item_sum(items, f"CASE WHEN {both} THEN e.{area} * e.{value} END")
+    on = "calculation_mode = 'detailed'"
+    return {f"{prefix}_area_item": f"CASE WHEN {on} AND {total} > 0 THEN {total} END",
+            f"{prefix}_value_item": f"CASE WHEN {on} AND {total} > 0 THEN {weighted} / {total} END"}
 
 
 def normalize_detailed_envelope(df: DataFrame) -> DataFrame:
-    """In detailed mode, override areas, U-values and SHGC by item means.
+    """In detailed mode: item areas and area-weighted means per component.
 
-    Items live in the scenario row, so this is a projection without a shuffle.
+    Adds ``<part>_area_item`` and ``<part>_value_item`` (null when they do not
+    apply); later stages prefer them over the given values. Items live in the
+    scenario row, so this is a projection without a shuffle.
     """
-    detailed = F.col("calculation_mode") == "detailed"
-    wall_a, wall_u = _pair("walls_by_orientation", "area_m2", "u_value")
-    win_a, win_u = _pair("windows_by_orientation", "area_m2", "u_value")
-    _, win_s = _pair("windows_by_orientation", "area_m2", "shgc")
-    door_a, door_u = _pair("windows_by_orientation", "door_area_m2", "door_u_value")
-    over = lambda path, c: F.when(detailed, F.coalesce(c, F.col(path))).otherwise(F.col(path))
-    geometry = (
-        F.col("geometry")
-        .withField("wall_area_m2", over("geometry.wall_area_m2", wall_a))
-        .withField("window_area_m2", over("geometry.window_area_m2", win_a))
-        .withField("door_area_m2", over("geometry.door_area_m2", door_a))
-    )
-    envelope = (
-        F.col("envelope")
-        .withField("u_wall", over("envelope.u_wall", wall_u))
-        .withField("u_window", over("envelope.u_window", win_u))
-        .withField("shgc", over("envelope.shgc", win_s))
-        .withField("u_door", over("envelope.u_door", door_u))
-    )
-    return df.withColumns({"geometry": geometry, "envelope": envelope})
+    exprs: dict[str, str] = {}
+    for prefix, items, area, value in (
+        ("wall", "walls_by_orientation", "area_m2", "u_value"), ("window", "windows_by_orientation", "area_m2", "u_value"),
+        ("shgc", "windows_by_orientation", "area_m2", "shgc"), ("door", "windows_by_orientation", "door_area_m2", "door_u_value"),
+    ):
+        exprs.update(_pair(items, prefix, area, value))
+    return add_columns(df, exprs)
+
+
+def solar_factor_sql(orientation: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN {v}D" for k, v in ORIENTATION_SOLAR.items())
+    return f"CASE {orientation} {whens} ELSE {ORIENTATION_SOLAR_OTHER}D END"
 
 
 def with_detailed_loads(df: DataFrame) -> DataFrame:
@@ -87,30 +82,23 @@ def with_detailed_loads(df: DataFrame) -> DataFrame:
     Needs ``floor_area``, ``roof_area``, ``hdd18`` and ``cdd26``. Roof and
     floor count only when their flag is true.
     """
-    a = lambda e: F.coalesce(positive(e["area_m2"]), F.lit(0.0))
-    solar_share = F.col("cdd26") / F.greatest(F.col("cdd26") + F.col("hdd18"), F.lit(1.0))
-    irradiation = F.greatest(F.lit(0.0), given("envelope.annual_solar_irradiation_kwh_m2a", 150.0))
-    contact = F.greatest(F.lit(0.0), given("envelope.floor_contact_factor", 1.0))
-    explicit = F.col("ventilation.infiltration_ach").isNotNull()
-    df = df.withColumns({
-        "detail_ua_wall": _item_sum("walls_by_orientation", lambda e: a(e) * positive(e["u_value"])),
-        "detail_ua_window": _item_sum("windows_by_orientation", lambda e: a(e) * positive(e["u_value"])),
-        "detail_ua_door": _item_sum("windows_by_orientation",
-                                    lambda e: positive(e["door_area_m2"]) * positive(e["door_u_value"])),
+    w = "windows_by_orientation"
+    pos = lambda f: f"CASE WHEN e.{f} > 0 THEN e.{f} END"
+    tight = f"coalesce({pos('air_tightness_value')}, 6D)"
+    return add_columns(df, {
+        "detail_ua_wall": _item_sum("walls_by_orientation", f"{pos('area_m2')} * {pos('u_value')}"),
+        "detail_ua_window": _item_sum(w, f"{pos('area_m2')} * {pos('u_value')}"),
+        "detail_ua_door": _item_sum(w, f"{pos('door_area_m2')} * {pos('door_u_value')}"),
         "detail_solar_unit": _item_sum(
-            "windows_by_orientation",
-            lambda e: a(e) * positive(e["shgc"]) * F.coalesce(positive(e["shading_factor"]), F.lit(1.0))
-            * solar_factor(e["orientation"])),
-        "detail_leakage": F.when(explicit, 0.0).otherwise(_item_sum(
-            "windows_by_orientation",
-            lambda e: leakage_ua(F.coalesce(positive(e["air_tightness_value"]), F.lit(6.0)), a(e)))),
-        "detail_ua_roof": F.when(F.col("geometry.include_roof"), given("envelope.u_roof", 0.4) * F.col("roof_area")).otherwise(0.0),
-        "detail_ua_floor": F.when(F.col("geometry.include_floor"), given("envelope.u_floor", 0.3) * F.col("floor_area") * contact).otherwise(0.0),
-    })
-    return df.withColumns({
-        "detail_transmission_ua": F.col("detail_ua_wall") + F.col("detail_ua_window") + F.col("detail_ua_door")
-        + F.col("detail_ua_roof") + F.col("detail_ua_floor"),
-        "detail_solar_gain": F.col("detail_solar_unit") * irradiation * solar_share,
+            w, f"{pos('area_m2')} * {pos('shgc')} * coalesce({pos('shading_factor')}, 1D) * {solar_factor_sql('e.orientation')}"),
+        "detail_leakage": "CASE WHEN ventilation.infiltration_ach IS NOT NULL THEN 0D ELSE "
+        + _item_sum(w, f"0.33D * greatest(0D, (8D - {tight}) * 0.04D) * {pos('area_m2')} * 3D") + " END",
+        "detail_ua_roof": "CASE WHEN geometry.include_roof THEN coalesce(envelope.u_roof, 0.4D) * roof_area ELSE 0D END",
+        "detail_ua_floor": "CASE WHEN geometry.include_floor THEN coalesce(envelope.u_floor, 0.3D) * floor_area"
+        " * greatest(0D, coalesce(envelope.floor_contact_factor, 1D)) ELSE 0D END",
+        "detail_transmission_ua": "detail_ua_wall + detail_ua_window + detail_ua_door + detail_ua_roof + detail_ua_floor",
+        "detail_solar_gain": "detail_solar_unit * greatest(0D, coalesce(envelope.annual_solar_irradiation_kwh_m2a, 150D))"
+        " * (cdd26 / greatest(cdd26 + hdd18, 1D))",
     })
 
 

@@ -8,10 +8,9 @@ that both start from the same rows and differ only in the operator.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from thermograph.functions import climate as dims
-from thermograph.functions.scenario import conform_scenarios, section
+from thermograph.functions.scenario import conform_scenarios, section_sql
 from thermograph.functions.tables import values_clause
 
 TABLES = [
@@ -111,22 +110,17 @@ def with_views(sql: str, *names: str) -> str:
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_scenarios`` in the nested scenario layout."""
+    parts = {
+        "geometry": section_sql("geometry", floor_area_m2="floor_area_m2", wall_area_m2="wall_area_m2", window_area_m2="window_area_m2"),
+        "building": section_sql("building", floors="floors", height="height_m", building_type="building_type"),
+        "climate": section_sql("climate", city_id="city_id"),
+        "heating": section_sql("heating", enabled="heating_enabled", system_type="heating_system", t_set="t_heat", outdoor_design_temperature_c="winter_c",
+                               stable_internal_gain_fraction="stable_fraction", heating_addition_factor="addition_factor"),
+        "cooling": section_sql("cooling", system_type="cooling_system", t_set="t_cool", outdoor_design_temperature_c="summer_c"),
+        "ventilation": section_sql("ventilation", infiltration_ach="infiltration_ach", heat_recovery_efficiency="recovery",
+                                   heat_recovery_efficiency_percent="recovery_percent", summer_outdoor_relative_humidity_percent="outdoor_rh",
+                                   summer_indoor_relative_humidity_percent="indoor_rh"),
+        "schedule": section_sql("schedule", op_hours="op_hours", daily_operation_hours="daily_hours"),
+    }
     v = view(spark, sf_dir, "v_scenarios")
-    c = F.col
-    return conform_scenarios(v.select(
-        "scenario_id",
-        section("geometry", floor_area_m2=c("floor_area_m2"), wall_area_m2=c("wall_area_m2"),
-                window_area_m2=c("window_area_m2")).alias("geometry"),
-        section("building", floors=c("floors"), height=c("height_m"), building_type=c("building_type")).alias("building"),
-        section("climate", city_id=c("city_id")).alias("climate"),
-        section("heating", enabled=c("heating_enabled"), system_type=c("heating_system"), t_set=c("t_heat"),
-                outdoor_design_temperature_c=c("winter_c"), stable_internal_gain_fraction=c("stable_fraction"),
-                heating_addition_factor=c("addition_factor")).alias("heating"),
-        section("cooling", system_type=c("cooling_system"), t_set=c("t_cool"),
-                outdoor_design_temperature_c=c("summer_c")).alias("cooling"),
-        section("ventilation", infiltration_ach=c("infiltration_ach"), heat_recovery_efficiency=c("recovery"),
-                heat_recovery_efficiency_percent=c("recovery_percent"),
-                summer_outdoor_relative_humidity_percent=c("outdoor_rh"),
-                summer_indoor_relative_humidity_percent=c("indoor_rh")).alias("ventilation"),
-        section("schedule", op_hours=c("op_hours"), daily_operation_hours=c("daily_hours")).alias("schedule"),
-    ))
+    return conform_scenarios(v.selectExpr("scenario_id", *[f"{sql} AS {k}" for k, sql in parts.items()]))
