@@ -124,7 +124,7 @@ def choose_name(*candidates: Column) -> Column:
 def append_unique(existing: Column, value: Column) -> Column:
     """Append to a '; ' list unless the value is blank or already there."""
     e, v = clean(existing), clean(value)
-    parts = F.filter(F.transform(F.split(e, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(e, ";"), lambda x: F.trim(x)), lambda p: p != "")
     joined = F.array_join(F.when(F.array_contains(parts, v), parts).otherwise(F.array_append(parts, v)), "; ")
     return F.when(v == "", e).when(e == "", v).otherwise(joined)
 

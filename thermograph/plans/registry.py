@@ -7,10 +7,10 @@ from functools import cache
 
 @cache
 def registered() -> dict:
-    from thermograph.plans import registry_energy, registry_text
+    from thermograph.plans import registry_energy, registry_tables, registry_text
 
     out: dict = {}
-    for module in (registry_energy, registry_text):
+    for module in (registry_energy, registry_text, registry_tables):
         for name, pair in module.QUERIES.items():
             if name in out:
                 raise ValueError(f"duplicate query {name}")
