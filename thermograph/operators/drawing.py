@@ -159,8 +159,8 @@ def simplify_polygon(points: Column) -> Column:
     before = F.concat(F.slice(points, -1, 1), F.slice(points, 1, n - 1))
     after = F.concat(F.slice(points, 2, n), F.slice(points, 1, 1))
     z = F.arrays_zip(before.alias("b"), points.alias("p"), after.alias("a"))
-    keep = F.filter(z, lambda s: ~(((s["0"]["x"] == s["1"]["x"]) & (s["1"]["x"] == s["2"]["x"])) | ((s["0"]["y"] == s["1"]["y"]) & (s["1"]["y"] == s["2"]["y"]))))
-    return F.transform(keep, lambda s: s["1"])
+    keep = F.filter(z, lambda s: ~(((s["b"]["x"] == s["p"]["x"]) & (s["p"]["x"] == s["a"]["x"])) | ((s["b"]["y"] == s["p"]["y"]) & (s["p"]["y"] == s["a"]["y"]))))
+    return F.transform(keep, lambda s: s["p"])
 
 
 def canonical_polygon(points: Column) -> Column:
@@ -566,15 +566,14 @@ def select_inferred_face(faces: DataFrame) -> DataFrame:
     return p.select("page_id", F.col("a.face_id").alias("face_id"), F.when(F.coalesce(rival, F.lit(False)), "ambiguous_exterior").otherwise("selected").alias("status"))
 
 
-def ranked_gap_topk(gaps: DataFrame, k: int) -> DataFrame:
+def ranked_gap_topk(gaps: DataFrame, max_gap: float, k: int) -> DataFrame:
     """Best record per line, then the top ``k`` per page by score.
 
-    Score = 2·support + 1 − length over the page's longest.
+    Score = 2·support + 1 − length / max_gap; ties by length, then line.
     """
-    longest = gaps.groupBy("page_id").agg(F.max("length").alias("_max"))
-    g = gaps.join(longest, "page_id").withColumn("score", F.col("support") * 2.0 + 1.0 - F.col("length") / F.greatest(F.col("_max"), F.lit(1.0)))
-    best = g.groupBy("page_id", "line_key").agg(F.max(F.struct("score", (-F.col("gap_id")).alias("neg"))).alias("m")).select("page_id", "line_key", F.col("m.score").alias("score"), (-F.col("m.neg")).alias("gap_id"))
-    w = W.partitionBy("page_id").orderBy(F.col("score").desc(), "gap_id")
+    score = F.col("support") * 2.0 + 1.0 - F.col("length") / F.greatest(F.lit(1.0), F.lit(max_gap))
+    best = gaps.groupBy("page_id", "line_key").agg(F.max(score).alias("score"), F.min("length").alias("length"))
+    w = W.partitionBy("page_id").orderBy(F.col("score").desc(), "length", "line_key")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -594,9 +593,10 @@ def exterior_side_lengths(cells: DataFrame) -> DataFrame:
 
     The page's cells in the boundary band split by the farther axis from
     their centroid: top and bottom count x values, left and right y values.
-    ``cells``: page_id, cls, x, y, in_band.
+    ``cells``: page_id, cls, x, y, in_band, in_footprint.
     """
-    box = cells.groupBy("page_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    foot = lambda c: F.avg(F.when(F.col("in_footprint"), F.col(c)))
+    box = cells.groupBy("page_id").agg(foot("x").alias("cx"), foot("y").alias("cy"))
     j = cells.filter("in_band").join(box, "page_id")
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     side = F.when(F.abs(dy) >= F.abs(dx), F.when(dy < 0, "top").otherwise("bottom")).otherwise(F.when(dx < 0, "left").otherwise("right"))

@@ -96,11 +96,11 @@ def axis_clusters(walls: DataFrame, keys: list[str], tol: float, span: float) ->
     """
     clip = lambda c: F.least(F.lit(span), F.greatest(F.lit(0), F.round(c)))
     w = walls.withColumns({"_a": clip("axis_start").cast("bigint"), "_z": clip("axis_end").cast("bigint"), "axis": F.round("fixed").cast("bigint")}).filter("_a < _z")
-    cl = with_island(w.withColumn("axis_hi", F.col("axis")), keys, "axis", "axis_hi", tol=tol)
-    merged = merge_collinear(cl.select(*keys, "island_start", F.col("_a").alias("s"), (F.col("_z") + 1).alias("e")), [*keys, "island_start"], "s", "e")
-    cover = merged.groupBy(*keys, "island_start").agg(F.sum(F.col("e") - F.col("s")).alias("coverage"))
-    axes = cl.groupBy(*keys, "island_start").agg(F.min("axis").alias("axis_min"), F.max("axis").alias("axis_max"), F.count(F.lit(1)).alias("n_walls"))
-    return axes.join(cover, [*keys, "island_start"]).drop("island_start").filter(F.col("coverage") >= max(8.0, round(span * 0.04)))
+    cl = with_island(w.withColumn("axis_hi", F.col("axis")), keys, "axis", "axis_hi", tol=tol).withColumnRenamed("island_start", "_cluster")
+    merged = merge_collinear(cl.select(*keys, "_cluster", F.col("_a").alias("s"), (F.col("_z") + 1).alias("e")), [*keys, "_cluster"], "s", "e")
+    cover = merged.groupBy(*keys, "_cluster").agg(F.sum(F.col("e") - F.col("s")).alias("coverage"))
+    axes = cl.groupBy(*keys, "_cluster").agg(F.min("axis").alias("axis_min"), F.max("axis").alias("axis_max"), F.count(F.lit(1)).alias("n_walls"))
+    return axes.join(cover, [*keys, "_cluster"]).drop("_cluster").filter(F.col("coverage") >= max(8.0, round(span * 0.04)))
 
 
 def coverage_complement(edges: DataFrame, covers: DataFrame, keys: list[str]) -> DataFrame:
