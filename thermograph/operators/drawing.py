@@ -307,12 +307,12 @@ def intersections(segments: DataFrame, bucket: float = 64) -> DataFrame:
 def atomic_edges(segments: DataFrame, bucket: float = 64) -> DataFrame:
     """Segments cut at their crossings: (page_id, seg_id, orientation, fixed, a, b)."""
     x = intersections(segments, bucket)
-    cuts = (segments.select("page_id", "seg_id", F.explode(F.array("axis_start", "axis_end")).alias("at"))
-            .unionByName(x.select("page_id", F.col("h_id").alias("seg_id"), F.col("x").alias("at")))
-            .unionByName(x.select("page_id", F.col("v_id").alias("seg_id"), F.col("y").alias("at"))).distinct())
-    w = W.partitionBy("page_id", "seg_id").orderBy("at")
-    e = cuts.withColumn("b", F.lead("at").over(w)).filter("b IS NOT NULL").withColumnRenamed("at", "a")
-    return e.join(segments.select("page_id", "seg_id", "orientation", "fixed"), ["page_id", "seg_id"])
+    line = ["page_id", "seg_id", "orientation", "fixed"]
+    cuts = (segments.select(*line, F.explode(F.array("axis_start", "axis_end")).alias("at"))
+            .unionByName(x.select("page_id", F.col("h_id").alias("seg_id"), F.lit("horizontal").alias("orientation"), F.col("y").alias("fixed"), F.col("x").alias("at")))
+            .unionByName(x.select("page_id", F.col("v_id").alias("seg_id"), F.lit("vertical").alias("orientation"), F.col("x").alias("fixed"), F.col("y").alias("at"))).distinct())
+    w = W.partitionBy(*line).orderBy("at")
+    return cuts.withColumn("b", F.lead("at").over(w)).filter("b IS NOT NULL").withColumnRenamed("at", "a")
 
 
 def perpendicular_crossing_anti(gaps: DataFrame, walls: DataFrame, tol: float = 2, bucket: float = 64) -> DataFrame:

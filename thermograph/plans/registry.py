@@ -7,10 +7,10 @@ from functools import cache
 
 @cache
 def registered() -> dict:
-    from thermograph.plans import registry_drawing, registry_energy, registry_tables, registry_text
+    from thermograph.plans import registry_drawing, registry_energy, registry_tables, registry_text, registry_web
 
     out: dict = {}
-    for module in (registry_energy, registry_text, registry_tables, registry_drawing):
+    for module in (registry_energy, registry_text, registry_tables, registry_drawing, registry_web):
         for name, pair in module.QUERIES.items():
             if name in out:
                 raise ValueError(f"duplicate query {name}")

@@ -64,8 +64,8 @@ add("W3_chain_components", _chain, _isl("page_id, orientation, fixed", 12) + """
 , g AS (SELECT page_id, orientation, fixed, min(axis_start) AS axis_start, max(axis_end) AS axis_end, count(DISTINCT seg_id) FILTER (WHERE seg_id % 3 = 0) AS n_anchors, count(DISTINCT seg_id) FILTER (WHERE seg_id % 3 = 2) AS n_arcs,
  count(DISTINCT seg_id) FILTER (WHERE seg_id % 3 = 1) AS n_walls FROM b GROUP BY page_id, orientation, fixed, isl)
 SELECT *, CASE WHEN n_anchors >= 2 THEN 'confirmed' WHEN n_anchors = 1 THEN 'pending' ELSE 'ignored' END AS status FROM g WHERE n_arcs > 0""", SEG)
-add("W4_axis_clusters", lambda s, d: I.axis_clusters(seg(s, d).filter("seg_id % 40 = 0"), ["page_id", "orientation"], 8, 450), """
-, w AS (SELECT page_id, orientation, fixed AS axis, axis_start AS a, axis_end AS z, seg_id FROM v_segments WHERE seg_id % 40 = 0 AND axis_start < axis_end),
+add("W4_axis_clusters", lambda s, d: I.axis_clusters(seg(s, d).filter("seg_id % 37 = 0"), ["page_id", "orientation"], 8, 450), """
+, w AS (SELECT page_id, orientation, fixed AS axis, axis_start AS a, axis_end AS z, seg_id FROM v_segments WHERE seg_id % 37 = 0 AND axis_start < axis_end),
 g AS (SELECT *, CASE WHEN axis - lag(axis, 1, -100000) OVER (PARTITION BY page_id, orientation ORDER BY axis, seg_id) > 8 THEN 1 ELSE 0 END AS nw FROM w),
 k AS (SELECT *, sum(nw) OVER (PARTITION BY page_id, orientation ORDER BY axis, seg_id ROWS UNBOUNDED PRECEDING) AS cl FROM g),
 u AS (SELECT DISTINCT page_id, orientation, cl, unnest(range(a, z + 1)) AS p FROM k), v AS (SELECT page_id, orientation, cl, count(*) AS coverage FROM u GROUP BY ALL)
@@ -124,10 +124,10 @@ SELECT page_id, span_id, seg_id, first_marker, last_marker FROM r WHERE rn = 1""
 add("J9_intersections", lambda s, d: D.intersections(seg(s, d)).groupBy("page_id", "h_id").agg(F.count("*").alias("crossings"), F.min("x").alias("x0"), F.max("x").alias("x1")),
     """SELECT h.page_id, h.seg_id AS h_id, count(*) AS crossings, min(v.fixed) AS x0, max(v.fixed) AS x1 FROM v_segments h JOIN v_segments v ON h.page_id = v.page_id AND h.orientation = 'horizontal' AND v.orientation = 'vertical'
  AND v.fixed BETWEEN h.axis_start AND h.axis_end AND h.fixed BETWEEN v.axis_start AND v.axis_end GROUP BY 1, 2""", SEG)
-add("J9_atomic_edges", lambda s, d: D.atomic_edges(seg(s, d).filter("seg_id % 3 = 0")).groupBy("page_id", "seg_id").agg(F.count("*").alias("pieces"), F.sum(c("b") - c("a")).alias("length")), """
+add("J9_atomic_edges", lambda s, d: D.atomic_edges(seg(s, d).filter("seg_id % 3 = 0")).groupBy("page_id", "seg_id", "orientation", "fixed").agg(F.count("*").alias("pieces"), F.sum(c("b") - c("a")).alias("length")), """
 , t AS (SELECT * FROM v_segments WHERE seg_id % 3 = 0), x AS (SELECT h.page_id, h.seg_id AS hi, v.seg_id AS vi, v.fixed AS x, h.fixed AS y FROM t h JOIN t v ON h.page_id = v.page_id AND h.orientation = 'horizontal' AND v.orientation = 'vertical' AND v.fixed BETWEEN h.axis_start AND h.axis_end AND h.fixed BETWEEN v.axis_start AND v.axis_end),
-k AS (SELECT page_id, seg_id, axis_start AS pt FROM t UNION SELECT page_id, seg_id, axis_end FROM t UNION SELECT page_id, hi, x FROM x UNION SELECT page_id, vi, y FROM x)
-SELECT page_id, seg_id, count(*) - 1 AS pieces, (max(pt) - min(pt))::BIGINT AS length FROM k GROUP BY 1, 2 HAVING count(*) > 1""", SEG)
+k AS (SELECT page_id, seg_id, orientation, fixed, axis_start AS pt FROM t UNION SELECT page_id, seg_id, orientation, fixed, axis_end FROM t UNION SELECT page_id, hi, 'horizontal', y, x FROM x UNION SELECT page_id, vi, 'vertical', x, y FROM x)
+SELECT page_id, seg_id, orientation, fixed, count(*) - 1 AS pieces, (max(pt) - min(pt))::BIGINT AS length FROM k GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""", SEG)
 
 
 def _j10(s, d):
