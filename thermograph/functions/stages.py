@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def add_columns(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
@@ -12,3 +13,13 @@ def add_columns(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     cheap to plan, and everything remains inside whole-stage codegen.
     """
     return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in exprs.items()])
+
+
+def pin(df: DataFrame, **columns) -> DataFrame:
+    """Append columns that are computed exactly once per row.
+
+    A one-element generator keeps the optimizer from copying an expensive
+    expression into every filter and projection above it.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.explode(packed).alias("_pin")).select(*df.columns, *[F.col(f"_pin.{n}").alias(n) for n in columns])

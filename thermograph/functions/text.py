@@ -180,7 +180,7 @@ def parse_value_unit(c: Column) -> Column:
         before = F.call_function("substring_index", t, unit, F.lit(1))
         numbers = F.regexp_extract_all(before, F.lit(NUMBER), F.lit(0))
         tries.append(F.when((unit != "") & (F.size(numbers) > 0), F.struct(
-            F.element_at(numbers, -1).cast("double").alias("value"), normalize_unit(unit).alias("unit"))))
+            F.get(numbers, F.size(numbers) - 1).try_cast("double").alias("value"), normalize_unit(unit).alias("unit"))))
     return F.coalesce(*tries)
 
 
@@ -198,7 +198,7 @@ def number_after_keyword(text: Column, keyword: str) -> Column:
     at = F.locate(keyword.lower(), F.lower(text))
     fragment = F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
     n = F.regexp_extract(fragment, r"(?<![\d.])(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?![\d.])", 0)
-    return F.when(n != "", n.cast("double"))
+    return F.when(n != "", n.try_cast("double"))
 
 
 # Fixed values: (type, pattern) of thermal mentions in running text.

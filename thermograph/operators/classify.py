@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermograph.functions import rules as R
 from thermograph.functions import text as X
-from thermograph.functions.stages import add_columns
+from thermograph.functions.stages import add_columns, pin
 from thermograph.functions.tables import sql_literal
 
 
@@ -181,8 +181,7 @@ def software_material_category(name: Column) -> Column:
 def score_source(df: DataFrame, title: str = "title", url: str = "url", snippet: str = "snippet",
                  trusted=X.TRUSTED_SUFFIXES) -> DataFrame:
     """Confidence, hints, notes and status of a web source."""
-    u = X.unwrap_redirect_url(F.col(url))
-    df = df.withColumn("url_resolved", u)
+    df = pin(df, url_resolved=X.unwrap_redirect_url(F.col(url)))
     u = F.col("url_resolved")
     t = X.clean(X.html_unescape(F.col(title)))
     df = df.withColumn("title_clean", F.when(t == "", X.clean(F.col(url))).otherwise(t))
@@ -195,7 +194,7 @@ def score_source(df: DataFrame, title: str = "title", url: str = "url", snippet:
     comps = hints(R.SOURCE_COMPONENTS, lambda w: text.contains(w))
     catalog = text.contains("参数目录")
     kind = X.infer_source_type(u)
-    df = df.withColumns({"source_type": kind, "_params": params, "_comps": comps, "_ok": ok, "_points": points})
+    df = pin(df, source_type=kind, _params=params, _comps=comps, _ok=ok, _points=points)
     conf = F.least(F.lit(100), F.lit(20) + F.col("_points") + F.size("_comps") * 8 + F.when(catalog, 18).otherwise(0)
                    + F.when(F.col("source_type") == "pdf", 10).otherwise(0))
     notes = F.concat_ws("; ", F.lit("trusted domain"), *[F.when(low.contains(w.lower()), f"matched {w}") for w, _, _ in R.SOURCE_TERMS],

@@ -155,7 +155,7 @@ def import_classified(classified: DataFrame, params: DataFrame, used_names: Data
     c = c.withColumn("pk", F.when(F.col("_h1"), F.col("report_id")).when(F.col("_h2"), F.col("rk")))
     wall = thermal_value_fold(every.withColumnRenamed("k", "report_id"), "report_id").withColumnRenamed("report_id", "pk")
     u = first_u_parameter(every.withColumnRenamed("k", "report_id"), "report_id").select(
-        F.col("report_id").alias("pk"), F.col("value").cast("double").alias("u_first"), F.col("unit").alias("u_unit"), F.col("raw_value").alias("u_raw"))
+        F.col("report_id").alias("pk"), F.col("value").try_cast("double").alias("u_first"), F.col("unit").alias("u_unit"), F.col("raw_value").alias("u_raw"))
     c = c.join(wall, "pk", "left").join(u, "pk", "left")
     cat = F.col("fine_category")
     any_wall = F.coalesce("r_value_m2k_w", "u_wall_w_m2k", "lambda_w_mk").isNotNull()

@@ -176,7 +176,7 @@ def thermal_value_fold(params: DataFrame, key: str = "report_id") -> DataFrame:
     Rows without a number are ignored. Values use one pass of partial
     aggregates; texts are made distinct before they are collected.
     """
-    p = params.withColumn("v", F.col("value").cast("double")).filter("v IS NOT NULL")
+    p = params.withColumn("v", F.col("value").try_cast("double")).filter("v IS NOT NULL")
     first = lambda kind, name: F.min_by("v", F.when(F.col("parameter_type") == kind, F.col("pos"))).alias(name)
     values = p.groupBy(key).agg(first("thermal_resistance_r", "r_value_m2k_w"), first("thermal_transmittance_u", "u_wall_w_m2k"),
                                 first("thermal_conductivity_lambda", "lambda_w_mk"))
@@ -190,7 +190,7 @@ def thermal_value_fold(params: DataFrame, key: str = "report_id") -> DataFrame:
 
 
 def first_u_parameter(params: DataFrame, key: str = "report_id") -> DataFrame:
-    ok = params.filter((F.col("parameter_type") == "thermal_transmittance_u") & F.col("value").cast("double").isNotNull())
+    ok = params.filter((F.col("parameter_type") == "thermal_transmittance_u") & F.col("value").try_cast("double").isNotNull())
     return keep_first(ok, [key], ["pos"])
 
 

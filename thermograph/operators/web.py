@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermograph.functions import text as X
+from thermograph.functions.stages import pin
 from thermograph.operators import classify as C
 from thermograph.operators.relational import keep_first
 from thermograph.sources.html import html_links, html_table_rows, split_text_units
@@ -16,11 +17,11 @@ CANDIDATE_KEY = ["component_category", "parameter_type", "name", "value", "unit"
 def candidate_columns(df: DataFrame, context: str, name: str) -> DataFrame:
     """Value, unit, type, component and name of a context; rows without drop."""
     c = F.col(context)
-    df = df.withColumn("_vu", X.parse_value_unit(c))
+    df = pin(df, _vu=X.parse_value_unit(c))
     shgc = F.regexp_extract(c, r"(?U)(?:SHGC|Shgc|太阳得热系数)\s*[=:：]?\s*(\d+(?:\.\d+)?)", 1)
-    df = df.withColumns({"value": F.coalesce(F.col("_vu.value"), F.when(shgc != "", shgc.cast("double"))), "unit": F.coalesce(F.col("_vu.unit"), F.lit(""))})
-    df = df.filter("value IS NOT NULL").withColumn("parameter_type", C.classify_parameter(F.col("unit"), c)).filter("parameter_type <> ''")
-    df = df.withColumn("component_category", C.classify_component(c, F.col("parameter_type")))
+    df = pin(df, value=F.coalesce(F.col("_vu.value"), F.when(shgc != "", shgc.try_cast("double"))), unit=F.coalesce(F.col("_vu.unit"), F.lit(""))).filter("value IS NOT NULL")
+    df = pin(df, parameter_type=C.classify_parameter(F.col("unit"), c)).filter("parameter_type <> ''")
+    df = pin(df, component_category=C.classify_component(c, F.col("parameter_type")))
     label = (F.when(F.col("parameter_type") == "thermal_transmittance_u", "传热系数").when(F.col("parameter_type") == "thermal_conductivity_lambda", "导热系数")
              .when(F.col("parameter_type") == "thermal_resistance_r", "热阻").otherwise("太阳得热系数"))
     given = X.clean(F.col(name))
@@ -77,7 +78,7 @@ def window_catalog_rows(lines: DataFrame) -> DataFrame:
     """
     row = lambda cat, kind, name, label, v, unit, note: F.struct(
         F.lit(cat).alias("component_category"), F.lit(kind).alias("parameter_type"), F.concat(name, F.lit(f" - {label}")).alias("name"),
-        v.cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit(note).alias("notes"))
+        v.try_cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit(note).alias("notes"))
     g = lambda p, i: F.regexp_extract("line", p, i)
     n1, n2 = X.strip_prefixes(g(U_ROW, 1)), X.strip_prefixes(g(OPTICAL_ROW, 1))
     six = F.array(*[row("window_u", "thermal_transmittance_u", n1, lab, g(U_ROW, i + 2), X.U_UNIT, NOTE_LEVELS) for i, lab in enumerate(CATALOG_LEVELS)])
@@ -113,7 +114,8 @@ def discover_links(pages: DataFrame, trusted=X.TRUSTED_SUFFIXES, seed: bool = Tr
     rule for curated start pages.
     """
     l = html_links(pages.select("page_id", F.col("url").alias("page_url"), "html"))
-    l = l.withColumn("url", X.resolve_url(F.col("page_url"), X.unwrap_redirect_url(F.col("href")))).filter(F.col("url").rlike("^https?://"))
+    l = pin(l, _target=X.unwrap_redirect_url(F.col("href")))
+    l = pin(l, url=X.resolve_url(F.col("page_url"), F.col("_target"))).drop("_target").filter(F.col("url").rlike("^https?://"))
     l = keep_first(l, ["url"], ["page_id", "link_pos"]).withColumn("snippet", F.lit(""))
     s = C.score_source(l, trusted=trusted).filter("review_status <> 'reject'")
     if seed:
@@ -124,7 +126,7 @@ def discover_links(pages: DataFrame, trusted=X.TRUSTED_SUFFIXES, seed: bool = Tr
 def publicity_pages(index_pages: DataFrame) -> DataFrame:
     """Distinct publicity pages linked from index pages, by title rule."""
     l = html_links(index_pages.select("page_id", F.col("url").alias("page_url"), "html"))
-    l = l.filter(C.publicity_title(F.col("title"))).withColumn("url", X.resolve_url(F.col("page_url"), F.col("href")))
+    l = pin(l.filter(C.publicity_title(F.col("title"))), url=X.resolve_url(F.col("page_url"), F.col("href")))
     return keep_first(l, ["url"], ["page_id", "link_pos"]).select("page_id", "link_pos", "title", "url")
 
 
@@ -138,7 +140,7 @@ def publicity_candidates(index_pages: DataFrame, content: DataFrame) -> DataFram
 def attachment_candidates(pages: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates of thermal PDF attachments, from their extracted texts."""
     l = html_links(pages.select("page_id", F.col("url").alias("page_url"), "html"))
-    l = l.withColumn("url", X.resolve_url(F.col("page_url"), F.col("href"))).filter(C.relevant_attachment(F.col("title"), F.col("url")))
+    l = pin(l, url=X.resolve_url(F.col("page_url"), F.col("href"))).filter(C.relevant_attachment(F.col("title"), F.col("url")))
     l = keep_first(l, ["url"], ["page_id", "link_pos"]).select("url")
     return candidates_from_text(texts.join(l, "url", "left_semi").select("doc_id", "text", F.col("url").alias("source_url")))
 
@@ -176,7 +178,7 @@ def material_source_manifest(pages: DataFrame) -> DataFrame:
                         F.when(failed, "low").when(X.contains_any(title, ("湘潭", "岳阳", "上海")), "high").otherwise("medium").alias("priority"),
                         F.when(failed, "fetch_failed").otherwise("downloaded").alias("review_status"))
     l = html_links(pages.filter("fetch_error IS NULL").select("page_id", F.col("url").alias("page_url"), "html"))
-    l = l.withColumn("url", X.resolve_url(F.col("page_url"), F.col("href"))).filter(C.attachment_link(F.col("url"), F.col("title")))
+    l = pin(l, url=X.resolve_url(F.col("page_url"), F.col("href"))).filter(C.attachment_link(F.col("url"), F.col("title")))
     att = l.select("page_id", "link_pos", F.when(F.col("title") == "", X.path_stem(F.col("url"))).otherwise(F.col("title")).alias("title"), "url",
                    X.source_type_for_ext(X.infer_ext(F.col("url"), F.lit("text/html"))).alias("source_type"), F.lit("medium").alias("priority"), F.lit("downloaded").alias("review_status"))
     # a page seen as a page goes before the same URL seen as an attachment

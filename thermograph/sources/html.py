@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermograph.functions import text as X
+from thermograph.functions.stages import pin
 
 LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a\s*>"""
 
@@ -18,7 +19,7 @@ def visible(html: Column) -> Column:
 
 def html_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """(anchor text, href) per page in document order; empty hrefs dropped."""
-    p = pages.withColumn("_h", visible(F.col(html)))
+    p = pin(pages, _h=visible(F.col(html)))
     group = lambda i: F.regexp_extract_all(F.col("_h"), F.lit(LINK), F.lit(i))
     z = F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"), group(4).alias("t"))
     keep = [c for c in pages.columns if c != html]
@@ -39,7 +40,7 @@ def html_table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     row_cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), lambda c: cell_text(c))
     t = pages.select(*keep, F.posexplode(F.regexp_extract_all(visible(F.col(html)), F.lit(r"(?is)<table\b[^>]*>(.*?)</table\s*>"), F.lit(1))).alias("table_no", "_t"))
     rows = F.transform(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1)), lambda r: row_cells(r))
-    t = t.withColumn("_rows", F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))).filter("size(_rows) > 1")
+    t = pin(t, _rows=F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))).filter("size(_rows) > 1")
     t = t.withColumn("headers", F.col("_rows")[0])
     return t.select(*keep, "table_no", "headers", F.posexplode(F.slice("_rows", 2, F.size("_rows"))).alias("row_no", "cells"))
 
