@@ -107,15 +107,17 @@ def _cells(s, d):
     cells = (F.when(k % 10 == 0, F.array(F.lit("序号"), F.lit("检验项目"), F.lit("技术要求"), F.lit("检测结果"), F.lit("单项判定"))).when(k % 10 == 1, F.array(F.concat(F.lit("第"), c("subject"))))
              .when(k % 10 == 2, F.array(F.lit("样品名称："), c("subject"), F.lit("规格型号"), c("param"))).when(k % 10 == 3, F.array(F.lit("检验项目"), F.lit("------")))
              .otherwise(F.array((k % 10).cast("string"), c("param"), F.lit("≤2"), F.concat("number_text", "unit_text"), F.lit("合格"))))
-    return v.select((k % 100).alias("report_id"), (k % 3).cast("int").alias("table_index"), k.alias("row_index"), cells.alias("cells"))
+    return v.select(F.floor(k / 30).alias("report_id"), F.floor(k % 30 / 10).cast("int").alias("table_index"), k.alias("row_index"), cells.alias("cells"))
 
 
 add("X8_meta_from_table_rows", lambda s, d: T.meta_from_table_rows(_cells(s, d)).select("report_id", "row_index", "field", "value"), r"""
-SELECT line_id % 100 AS report_id, line_id AS row_index, '样品名称' AS field, subject AS value FROM v_lines WHERE line_id % 10 = 2 UNION ALL SELECT line_id % 100, line_id, '规格型号', trim(param) FROM v_lines WHERE line_id % 10 = 2""", ("v_lines",))
-add("X8_items_from_table_rows", lambda s, d: T.items_from_table_rows(_cells(s, d)).select("report_id", "row_index", "section", "seq", "item_name", "result", "conclusion"))
+SELECT line_id // 30 AS report_id, line_id AS row_index, '样品名称' AS field, subject AS value FROM v_lines WHERE line_id % 10 = 2 UNION ALL SELECT line_id // 30, line_id, '规格型号', trim(param) FROM v_lines WHERE line_id % 10 = 2""", ("v_lines",))
+add("X8_items_from_table_rows", lambda s, d: T.items_from_table_rows(_cells(s, d)).select("report_id", "row_index", "section", "seq", "item_name", "result", "conclusion"), r"""
+, x AS (SELECT *, max(CASE WHEN line_id % 10 = 1 THEN '第' || subject END) OVER (PARTITION BY line_id // 10) AS sec, bool_or(line_id % 10 = 0) OVER (PARTITION BY line_id // 10) AS hd FROM v_lines)
+SELECT line_id // 30 AS report_id, line_id AS row_index, coalesce(sec, '') AS section, (line_id % 10)::VARCHAR AS seq, trim(param) AS item_name, trim(regexp_replace(number_text || unit_text, '[\s\p{Z}]+', ' ', 'g')) AS result, '合格' AS conclusion FROM x WHERE line_id % 10 > 3 AND hd""", ("v_lines",))
 add("C11_structure_type", lambda s, d: T.structure_type(_cells(s, d), A.view(s, d, "v_meta").select(c("report_id"), c("value").alias("text"))).select("report_id", "structure_type", "item_header_rows", "item_body_rows", "paragraph_count"))
 add("X22_trace_rows", lambda s, d: T.trace_rows(_cells(s, d).withColumn("block_type", F.lit("table_row"))).groupBy("report_id").agg(F.count("*").alias("blocks"), F.max("sequence").alias("last_sequence")), """
-, n AS (SELECT line_id % 100 AS report_id, CASE WHEN line_id % 10 = 1 THEN 2 WHEN line_id % 10 = 2 THEN 5 WHEN line_id % 10 = 3 THEN 3 ELSE 6 END AS k FROM v_lines) SELECT report_id, sum(k)::BIGINT AS blocks, sum(k)::BIGINT - 1 AS last_sequence FROM n GROUP BY 1""", ("v_lines",))
+, n AS (SELECT line_id // 30 AS report_id, CASE WHEN line_id % 10 = 1 THEN 2 WHEN line_id % 10 = 2 THEN 5 WHEN line_id % 10 = 3 THEN 3 ELSE 6 END AS k FROM v_lines) SELECT report_id, sum(k)::BIGINT AS blocks, sum(k)::BIGINT - 1 AS last_sequence FROM n GROUP BY 1""", ("v_lines",))
 add("X21_word_report_card", lambda s, d: T.word_report_card(_cells(s, d).withColumn("row_index", F.floor(c("row_index") / 1000)), A.view(s, d, "v_lines").select((c("line_id") % 100).alias("report_id"), F.floor(c("line_id") / 100).alias("para_index"), "text")).select("report_id", "sample_name", "spec_model", "test_conclusion"))
 add("F7_cell_predicates", lambda s, d: A.view(s, d, "v_lines").select("line_id", T.looks_like_field(F.concat("param", F.lit("："))).alias("field"), T.is_blank(F.when(c("line_id") % 3 == 0, "------").otherwise(c("subject"))).alias("blank"), T.header_role(F.when(c("line_id") % 4 == 0, "检测结果 Test Results").otherwise(c("param"))).alias("role")), """
 SELECT line_id, regexp_matches(lower(param), '(编号|日期|名称|型号|规格|单位|依据|地点|类别|等级|数量|状态|样品|委托|生产|检测|检验|报告)') AS field, line_id % 3 = 0 AS blank, CASE WHEN line_id % 4 = 0 THEN 'result' WHEN contains(param, '结论') THEN 'conclusion' END AS role FROM v_lines""", ("v_lines",))

@@ -52,14 +52,16 @@ def split_text_units(docs: DataFrame, text: str = "text") -> DataFrame:
     return e.select(*keep, "unit_no", X.clean(F.col("_u")).alias("unit")).filter("unit <> ''")
 
 
-@F.pandas_udf("string")
-def _decode(raw: pd.Series, charset: pd.Series) -> pd.Series:
-    def one(b, cs):
-        try:
-            return bytes(b).decode(cs, errors="ignore")
-        except LookupError:
-            return bytes(b).decode("utf-8", errors="ignore")
-    return pd.Series([None if b is None else one(b, cs) for b, cs in zip(raw, charset)])
+def _decode(content: Column, charset: Column) -> Column:
+    @F.pandas_udf("string")
+    def decode(raw: pd.Series, charset: pd.Series) -> pd.Series:
+        def one(b, cs):
+            try:
+                return bytes(b).decode(cs, errors="ignore")
+            except LookupError:
+                return bytes(b).decode("utf-8", errors="ignore")
+        return pd.Series([None if b is None else one(b, cs) for b, cs in zip(raw, charset)])
+    return decode(content, charset)
 
 
 def decode_pages(df: DataFrame, content: str = "content", content_type: str = "content_type") -> DataFrame:

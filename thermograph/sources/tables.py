@@ -305,10 +305,13 @@ def word_report_card(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return meta_fold(m.unionByName(c))
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    import unicodedata
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC; no built-in function offers it."""
+    @F.pandas_udf("string")
+    def normalize(s: pd.Series) -> pd.Series:
+        import unicodedata
+        return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    return normalize(c)
 
 
 # Device names that no report number may use.
