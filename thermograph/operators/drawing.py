@@ -10,8 +10,6 @@ from thermograph.functions import text as X
 from thermograph.operators.intervals import merge_collinear, range_join
 from thermograph.operators.relational import keep_first, spread_row_number
 
-HORIZONTAL = F.lit("horizontal")
-
 
 # -- segment predicates and scalars --------------------------------------------
 

@@ -156,7 +156,9 @@ def meta_fold(rows: DataFrame, key: str = "report_id", aliases=R.META_ALIASES, l
         F.coalesce(F.min_by("v", F.when(F.col("k") == k, F.col("pos"))), F.lit("")).alias(k) for k in aliases if k not in list_keys])
     # a value that itself holds ';' never equals a list part, so it repeats
     uniq = r.filter(F.col("k").isin(*list_keys)).groupBy(
-        key, "k", "v", F.when(F.col("v").contains(";"), F.col("pos")).alias("_again")).agg(F.min("pos").alias("pos"))
+        key, "k", "v", F.when(F.col("v").contains(";"), F.col("pos")).alias("_again")).agg(F.array_distinct(F.array(F.min("pos"), F.max("pos"))).alias("_at"))
+    # a repeat adds nothing but tidies the separators, so the last one stays
+    uniq = uniq.withColumn("pos", F.explode("_at"))
     lists = uniq.groupBy(key).agg(*[
         F.aggregate(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("pos", "v")))), F.lit(""), lambda a, s: X.append_unique(a, s["v"])).alias(k)
         for k in list_keys])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from thermograph.functions import climate as dims
 from thermograph.functions.scenario import conform_scenarios, section_sql
 from thermograph.functions.tables import values_clause
+from thermograph.session import tune_session
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -89,11 +90,13 @@ SELECT p_size % 10 AS page_id, p_partkey AS region_id, p_partkey % 2 AS snapshot
 
 def load_tables(spark: SparkSession, sf_dir: str) -> None:
     """Register the raw tables as temporary views."""
+    tune_session(spark)
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune_session(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -178,3 +178,66 @@ def _g8(s, d):
 
 
 add("G8_recognition_flatten", _g8, "SELECT p_partkey AS id, 1 AS walls, 0 AS windows, 1 AS doors, (5 + p_size)::DOUBLE AS wall_px, 0::DOUBLE AS window_px, (p_size % 4)::INT AS room_count, CASE WHEN p_partkey % 2 = 0 THEN 0.05::DOUBLE END AS scale_m_per_px, true AS ready FROM part")
+
+
+# -- exterior outlines ----------------------------------------------------------
+
+def _w15(s, d):
+    from thermograph.plans import exterior as X
+    edges = seg(s, d).select("page_id", "orientation", "fixed").distinct().select("page_id", F.concat_ws(":", "orientation", "fixed").alias("edge_id"), "orientation", "fixed", F.lit(50).cast("bigint").alias("e0"), F.lit(350).cast("bigint").alias("e1"))
+    walls = seg(s, d).filter("seg_id % 2 = 0").select("page_id", "orientation", "fixed", "axis_start", "axis_end", c("seg_id").alias("wall_id"))
+    bridges = seg(s, d).filter("seg_id % 5 = 1").select("page_id", "orientation", "fixed", "axis_start", "axis_end")
+    r = X.real_wall_segments(edges, walls, bridges)
+    return r.groupBy("page_id").agg(F.count("*").alias("pieces"), F.sum(c("axis_end") - c("axis_start")).alias("length"))
+
+
+add("W15_real_wall_segments", _w15)
+
+
+def _g6(s, d):
+    from thermograph.plans import exterior as X
+    w = seg(s, d).filter("seg_id % 9 = 0").select("page_id", "seg_id", "orientation", "fixed", "axis_start", "axis_end", F.when(c("orientation") == "horizontal", "down").otherwise("right").alias("inside_direction"))
+    u = seg(s, d).filter("seg_id % 9 = 1").select("page_id", "seg_id", "orientation", "fixed", "axis_start", "axis_end")
+    k = A.view(s, d, "v_regions").select("page_id", c("region_id").alias("curve_id"), *[(c(a) * 5 + z).cast("bigint").alias(n) for n, a, z in (("x0", "x", F.lit(0)), ("y0", "y", F.lit(0)), ("x1", "x", c("w")), ("y1", "y", c("h")), ("sx", "x", F.lit(0)), ("sy", "y", F.lit(0)), ("ex", "x", c("w")), ("ey", "y", c("h")))])
+    return X.door_arc_recovery(w, u, k)
+
+
+add("G6_door_arc_recovery", lambda s, d: _g6(s, d)["components"].groupBy("status").agg(F.count("*").alias("components"), F.sum("n_arcs").alias("arcs")))
+
+
+def _g4(s, d):
+    from thermograph.plans import exterior as X
+    r = A.view(s, d, "v_regions")
+    boxes = _boxes(s, d).filter("seg_id % 10 < 5").select("page_id", "orientation", "fixed", "axis_start", "axis_end")
+    x, y = F.sequence(c("x"), c("x") + c("w") - 1), F.sequence(c("y"), c("y") + c("h") - 1)
+    cl = r.select(c("region_id").alias("page_id"), F.explode(x).alias("x"), y.alias("ys")).select("page_id", "x", F.explode("ys").alias("y")).withColumn("value", F.when(c("page_id") % 5 == 0, 0.2).otherwise(0.9))
+    roi = r.select(c("region_id").alias("page_id"), F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(130).alias("right"), F.lit(120).alias("bottom"))
+    return X.exterior_topology(boxes, cl, roi)
+
+
+add("G4_exterior_topology", lambda s, d: _g4(s, d).select("page_id", "status", "area", "perimeter"), """
+SELECT region_id AS page_id, CASE WHEN region_id % 5 = 0 OR x + w > 130 OR y + h > 120 THEN 'exterior_not_closed' ELSE 'review_required' END AS status, CASE WHEN NOT (region_id % 5 = 0 OR x + w > 130 OR y + h > 120) THEN (w * h)::DOUBLE END AS area,
+ CASE WHEN NOT (region_id % 5 = 0 OR x + w > 130 OR y + h > 120) THEN (2 * (w + h))::DOUBLE END AS perimeter FROM v_regions""", REG)
+
+
+def _c18(s, d):
+    from thermograph.plans import exterior as X
+    pages = A.table(s, d, "part").select(c("p_partkey").alias("page_id"))
+    stage = lambda n: lambda p: p.select("page_id", F.when(c("page_id") % n == 0, "review_required").otherwise("exterior_not_closed").alias("status"))
+    return X.fallback_chain(pages, [stage(7), stage(3), stage(2)])
+
+
+add("C18_topology_fallback", lambda s, d: _c18(s, d).select("page_id", "status", "stage"), """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 OR p_partkey % 2 = 0 THEN 'review_required' ELSE 'exterior_not_closed' END AS status,
+ CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END::INT AS stage FROM part""")
+
+
+def _c20(s, d):
+    from thermograph.plans import exterior as X
+    k = c("seg_id")
+    e = seg(s, d).select("page_id", k.alias("inference_id"), k.alias("edge_group_id"), F.lit(1).alias("edge_group_size"), F.lit("collinear_extension").alias("inference_type"), "orientation", "axis_start", "axis_end", (c("axis_end") - c("axis_start")).cast("double").alias("length_px"),
+                         (c("page_id") % 3 > 0).alias("on_boundary"), F.array(F.lit("a")).alias("anchor_ids"), F.array(F.lit("a"), F.lit("b")).alias("source_ids"), F.lit(0.9).alias("inside_mean"), F.lit(0.1).alias("outside_mean"))
+    pages = seg(s, d).select("page_id").distinct().select("page_id", F.lit(200.0).alias("short_side_px"), F.lit(1e9).alias("perimeter_px"), (c("page_id") % 2 == 0).alias("calculation_only"))
+    return X.inferred_edge_checks(e.dropDuplicates(["page_id", "inference_id"]), pages).select("page_id", F.array_join("errors", ";").alias("errors"))
+
+
+add("C20_inferred_edge_checks", _c20, "SELECT DISTINCT page_id, concat_ws(';', CASE WHEN page_id % 3 = 0 THEN 'edge_not_on_boundary' END, CASE WHEN page_id % 2 = 1 THEN 'edge_too_long' END) AS errors FROM v_segments", SEG)

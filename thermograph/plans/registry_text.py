@@ -20,8 +20,9 @@ def add(name, fn, sql=None, views=()):
     QUERIES[name] = (fn, A.with_views(sql.strip(), *views) if sql and views else sql)
 
 
-def line_query(*cols):
-    return lambda s, d: A.view(s, d, "v_lines").select("line_id", *cols)
+def lines_select(make):
+    """Query over ``v_lines``; columns are made when a session exists."""
+    return lambda s, d: A.view(s, d, "v_lines").select("line_id", *make())
 
 
 # -- SQL fragments of the reference side -------------------------------------
@@ -78,7 +79,7 @@ s AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1
 t AS (SELECT *, trim(st, '-') AS st2, trim(regexp_replace(host || path, '[^\w\p{L}\p{N}-]+', '-', 'g'), '-') AS whole FROM s)
 SELECT page_id, substr(CASE WHEN st2 = '' THEN whole ELSE st2 END, 1, 90) || '.html' AS slug FROM t""")
 
-add("N1_normalize_unit", line_query(X.normalize_unit(c("unit_text")).alias("unit")), r"""
+add("N1_normalize_unit", lines_select(lambda: [X.normalize_unit(c("unit_text")).alias("unit")]), r"""
 , t AS (SELECT line_id, regexp_replace(replace(replace(replace(replace(replace(replace(unit_text, '㎡', 'm2'), 'm²', 'm2'), '•', '·'), '.', '·'), '（', '('), '）', ')'), '[\s\p{Z}]+', '', 'g') AS t FROM v_lines)
 SELECT line_id, CASE WHEN contains(t, 'W/(m2') OR contains(t, 'W/m2') THEN 'W/(m2·K)' WHEN contains(t, 'W/(m·K)') OR contains(t, 'W/m·K') THEN 'W/(m·K)'
  WHEN regexp_matches(t, '(?i)W/\([^)]*m[^)]*K\)') THEN 'W/(m·K)' WHEN regexp_matches(t, '(?i)W/\([^)]*K\)') THEN 'W/(m2·K)'
@@ -111,9 +112,9 @@ def _first_unit_sql(col, patterns):
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({col}, '(?i){p}'), '')" for p in patterns) + ", '')"
 
 
-add("N3_extract_number_and_unit", line_query(
+add("N3_extract_number_and_unit", lines_select(lambda: [
     X.first_number(c("text")).alias("number"), X.first_unit(c("text"), X.MATERIAL_UNIT_PATTERNS).alias("unit_material"),
-    X.first_unit(c("text"), X.FOCUSED_UNIT_PATTERNS).alias("unit_focused"), X.first_unit(c("text"), X.WALL_UNIT_PATTERNS).alias("unit_wall")),
+    X.first_unit(c("text"), X.FOCUSED_UNIT_PATTERNS).alias("unit_focused"), X.first_unit(c("text"), X.WALL_UNIT_PATTERNS).alias("unit_wall")]),
     f""", t AS (SELECT line_id, {CLEAN.format('text')} AS t FROM v_lines)
 SELECT line_id, regexp_extract(t, '[-+]?\\d+(?:\\.\\d+)?') AS number, {_first_unit_sql('t', X.MATERIAL_UNIT_PATTERNS)} AS unit_material,
  {_first_unit_sql('t', X.FOCUSED_UNIT_PATTERNS)} AS unit_focused, {_first_unit_sql('t', X.WALL_UNIT_PATTERNS)} AS unit_wall FROM t""", ("v_lines",))
@@ -124,7 +125,7 @@ def _after_sql(col, kw):
     return f"nullif(regexp_extract({frag}, '(?:^|[^0-9.])([0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)(?:[^0-9.]|$)', 1), '')::DOUBLE"
 
 
-add("N4_number_after_keyword", line_query(X.number_after_keyword(c("text"), "传热系数").alias("after_u"), X.number_after_keyword(c("text"), "shgc").alias("after_shgc")),
+add("N4_number_after_keyword", lines_select(lambda: [X.number_after_keyword(c("text"), "传热系数").alias("after_u"), X.number_after_keyword(c("text"), "shgc").alias("after_shgc")]),
     f"SELECT line_id, {_after_sql('text', '传热系数')} AS after_u, {_after_sql('text', 'shgc')} AS after_shgc FROM v_lines", ("v_lines",))
 add("N5_thermal_mentions", lambda s, d: A.view(s, d, "v_lines").select("line_id", F.inline(X.thermal_mentions(F.concat(c("text"), F.lit("，"), c("text"))))))
 
@@ -222,15 +223,15 @@ def _numeral():
 add("N15_strip_prefixes", lambda s, d: A.view(s, d, "v_lines").select("line_id", X.strip_prefixes(F.concat(
     F.element_at(F.array(*[F.lit(x) for x in ("单银 双银 ", "两玻一腔 中空玻璃 普通 ", "普通 透明 单银 ", "")]), (c("line_id") % 4 + 1).cast("int")), c("subject"))).alias("name")),
     "SELECT line_id, subject AS name FROM v_lines", ("v_lines",))
-add("N16_choose_name", line_query(X.choose_name(F.when(c("line_id") % 3 == 0, "------").otherwise(F.when(c("line_id") % 3 == 1, " ")), F.when(c("line_id") % 2 == 0, "——").otherwise(c("subject")),
-                                                c("line_id").cast("string")).alias("name")),
+add("N16_choose_name", lines_select(lambda: [X.choose_name(F.when(c("line_id") % 3 == 0, "------").otherwise(F.when(c("line_id") % 3 == 1, " ")), F.when(c("line_id") % 2 == 0, "——").otherwise(c("subject")),
+                                                c("line_id").cast("string")).alias("name")]),
     "SELECT line_id, CASE WHEN line_id % 2 = 0 THEN line_id::VARCHAR ELSE subject END AS name FROM v_lines", ("v_lines",))
 
 # -- predicates and small classifiers -----------------------------------------
 
-add("F1_is_relevant", line_query(C.is_relevant(c("text")).alias("relevant")),
+add("F1_is_relevant", lines_select(lambda: [C.is_relevant(c("text")).alias("relevant")]),
     f"SELECT line_id, ({sql_any('text', R.RELEVANT_KEYWORDS)} OR {sql_any('upper(text)', R.RELEVANT_KEYWORDS)}) AS relevant FROM v_lines", ("v_lines",))
-add("F3_plausible_value", line_query(C.plausible_value(F.element_at(F.array(F.lit("window_u"), F.lit("window_shgc"), F.lit("other")), (c("line_id") % 3 + 1).cast("int")), c("number_text").cast("double")).alias("ok")),
+add("F3_plausible_value", lines_select(lambda: [C.plausible_value(F.element_at(F.array(F.lit("window_u"), F.lit("window_shgc"), F.lit("other")), (c("line_id") % 3 + 1).cast("int")), c("number_text").cast("double")).alias("ok")]),
     """SELECT line_id, CASE line_id % 3 WHEN 0 THEN number_text::DOUBLE BETWEEN 0.1::DOUBLE AND 10 WHEN 1 THEN number_text::DOUBLE BETWEEN 0 AND 1.5::DOUBLE ELSE TRUE END AS ok FROM v_lines""", ("v_lines",))
 
 
@@ -248,11 +249,13 @@ def _focused_sql():
 
 
 _CATS = ["exterior_wall", "wall_insulation", "windows", "roof", "curtain_shading", "hvac_system", "lighting", "other"]
-_cat_col = F.element_at(F.array(*[F.lit(x) for x in _CATS]), (c("line_id") % 8 + 1).cast("int"))
+def _cat_col():
+    return F.element_at(F.array(*[F.lit(x) for x in _CATS]), (c("line_id") % 8 + 1).cast("int"))
+
 _cat_sql = "[" + ", ".join(q(x) for x in _CATS) + "][line_id % 8 + 1]"
 _t, _n, _u = _focused_sql()
 _low_cte = f", x AS (SELECT line_id, {CLEAN.format('text')} AS t, lower({CLEAN.format('text')}) AS low, {_cat_sql} AS cat FROM v_lines)"
-add("C6_focused_parameter_match", lambda s, d: A.view(s, d, "v_lines").select("line_id", C.focused_parameter_match(c("text"), _cat_col).alias("m")).select("line_id", "m.*"),
+add("C6_focused_parameter_match", lambda s, d: A.view(s, d, "v_lines").select("line_id", C.focused_parameter_match(c("text"), _cat_col()).alias("m")).select("line_id", "m.*"),
     f"{_low_cte} SELECT line_id, {_t} AS parameter_type, {_n} AS parameter_name, {_u} AS default_unit FROM x", ("v_lines",))
 _action = f"""CASE WHEN {sql_any('t', ['经纬密度', '断裂伸长率'])} THEN 'reject' WHEN kind = 'density' AND {sql_any('t', R.DENSITY_REJECT_CONTEXT)} THEN 'reject'
  WHEN kind IN ('dimension', 'thickness') AND ({sql_any('t', R.DIMENSION_CHECK_CONTEXT)} OR {sql_any('t', ['尺寸偏差', '公差'])}) THEN 'needs_check'
@@ -314,7 +317,7 @@ def _window_param_sql():
 _w0, _w1, _w2, _w3 = _window_param_sql()
 add("C7_window_parameter", lambda s, d: A.view(s, d, "v_lines").select("line_id", C.window_parameter(c("text")).alias("w")).select("line_id", "w.*"),
     f", x AS (SELECT line_id, text, lower({CLEAN.format('text')}) AS low FROM v_lines) SELECT line_id, {_w0} AS parameter_type, {_w1} AS label, {_w2} AS value, {_w3} AS unit FROM x", ("v_lines",))
-add("C8_material_category", line_query(C.material_category(c("text")).alias("material"), C.software_material_category(c("subject"))["category"].alias("software")),
+add("C8_material_category", lines_select(lambda: [C.material_category(c("text")).alias("material"), C.software_material_category(c("subject"))["category"].alias("software")]),
     f"""SELECT line_id, CASE WHEN {sql_any('text', ['玻璃', '窗'])} THEN 'window_material' WHEN contains(text, '屋面') THEN 'roof_material' WHEN {sql_any('text', ['保温', '聚苯', '聚氨酯', '岩棉'])} THEN 'insulation' ELSE 'material' END AS material,
  CASE WHEN contains(subject, '预制夹心剪力墙') THEN 'exterior_wall' WHEN contains(subject, '屋面') THEN 'roof_u' ELSE 'wall_insulation' END AS software FROM v_lines""", ("v_lines",))
 _wall = "CASE " + " ".join(f"WHEN {sql_any('low', ws)} THEN {{}}" for _, ws, _ in R.WALL_ITEM_RULES) + " END"

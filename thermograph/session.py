@@ -30,3 +30,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tune_session(spark: SparkSession) -> None:
+    """Settings the wide expression models rely on; a caller's own value stays.
+
+    Methods above 8000 bytes of bytecode are never compiled by the JVM's JIT,
+    so a fused stage of that size runs many times slower than the same
+    expressions split into small methods, which is what the limit selects.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", None) in (None, "65535"):
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
