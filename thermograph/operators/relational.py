@@ -89,21 +89,29 @@ def summary_left_join(rows: DataFrame, summary: DataFrame, key: str) -> DataFram
     return rows.join(summary, key, "left").fillna("", subset=cols)
 
 
+def _substrings(c: Column) -> Column:
+    """Every distinct substring of a short, non-blank text."""
+    n = F.length(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k)))))
+
+
 def title_substring_join(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Match file stems to manifest rows by mutual containment.
 
     A manifest path stem contained either way wins at once (first manifest
-    row); otherwise the last manifest title contained in the file stem. The
-    manifest is a curated list, so the theta join broadcasts it only while its
-    size is below the optimizer's threshold.
+    row); otherwise the last manifest title contained in the file stem. Names
+    are short, so containment becomes an equi-join on substrings and neither
+    side has to fit in memory.
     """
-    m = manifest.select("m_pos", X.path_stem(F.col("local_path")).alias("m_stem"), F.col("title").alias("m_title"), F.col("url").alias("m_url"))
-    stem_hit = (F.col("m_stem") != "") & (F.col("stem").contains(F.col("m_stem")) | F.col("m_stem").contains(F.col("stem")))
-    title_hit = (F.col("m_stem") != "") & (F.col("m_title") != "") & F.col("stem").contains(F.col("m_title"))
-    pairs = files.join(m, stem_hit | title_hit)
-    row = F.struct("m_title", "m_url")
-    best = pairs.groupBy("file_id").agg(
-        F.min_by(row, F.when(stem_hit, F.col("m_pos"))).alias("_stem"), F.max_by(row, F.when(title_hit, F.col("m_pos"))).alias("_title"))
+    m = manifest.select("m_pos", X.path_stem(F.col("local_path")).alias("m_stem"), F.col("title").alias("m_title"), F.col("url").alias("m_url")).filter("m_stem <> ''")
+    parts = files.filter("stem <> ''").select("file_id", F.explode(_substrings(F.col("stem"))).alias("_s"))
+    row = ["m_pos", "m_title", "m_url"]
+    inside = parts.join(m, F.col("_s") == F.col("m_stem")).select("file_id", *row, F.lit(True).alias("_stem_hit"))
+    around = m.select(*row, F.explode(_substrings(F.col("m_stem"))).alias("_s")).join(files.select("file_id", "stem"), F.col("_s") == F.col("stem")).select("file_id", *row, F.lit(True).alias("_stem_hit"))
+    titled = parts.join(m.filter("m_title <> ''"), F.col("_s") == F.col("m_title")).select("file_id", *row, F.lit(False).alias("_stem_hit"))
+    value = F.struct("m_title", "m_url")
+    best = inside.unionByName(around).unionByName(titled).groupBy("file_id").agg(
+        F.min_by(value, F.when(F.col("_stem_hit"), F.col("m_pos"))).alias("_stem"), F.max_by(value, F.when(~F.col("_stem_hit"), F.col("m_pos"))).alias("_title"))
     pick = F.coalesce(F.col("_stem"), F.col("_title"))
     return files.join(best, "file_id", "left").select(
         *files.columns, F.coalesce(pick["m_title"], F.lit("")).alias("source_title"), F.coalesce(pick["m_url"], F.lit("")).alias("source_url"))

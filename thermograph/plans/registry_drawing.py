@@ -50,7 +50,7 @@ def _isl(k, t=0, f="v_segments", u="seg_id"):
 add("W2_merge_collinear", lambda s, d: I.merge_collinear(seg(s, d), _KEYS), _isl("page_id, orientation, fixed") + """
 SELECT page_id, orientation, fixed, min(axis_start) AS axis_start, max(axis_end) AS axis_end, count(*) AS n_rows FROM b GROUP BY page_id, orientation, fixed, isl""", SEG)
 add("W2_merge_with_sources", lambda s, d: I.merge_with_sources(seg(s, d), _KEYS, "seg_id").withColumn("source_ids", F.array_join(c("source_ids").cast("array<string>"), ",")), _isl("page_id, orientation, fixed") + """
-SELECT page_id, orientation, fixed, min(axis_start) AS axis_start, max(axis_end) AS axis_end, string_agg(seg_id::VARCHAR, ',' ORDER BY seg_id) AS source_ids FROM b GROUP BY page_id, orientation, fixed, isl""", SEG)
+SELECT page_id, orientation, fixed, min(axis_start) AS axis_start, max(axis_end) AS axis_end, array_to_string(list_sort(list_distinct(list(seg_id))), ',') AS source_ids FROM b GROUP BY page_id, orientation, fixed, isl""", SEG)
 add("W2_page_coverage", lambda s, d: I.merge_collinear(seg(s, d), ["page_id"], tile=32), _isl("page_id") + " SELECT page_id, min(axis_start) AS axis_start, max(axis_end) AS axis_end, count(*) AS n_rows FROM b GROUP BY page_id, isl", SEG)
 
 
