@@ -155,3 +155,106 @@ def fallback_chain(pages: DataFrame, stages: list[Callable[[DataFrame], DataFram
         got = stage(rest).filter("status = 'review_required'").withColumn("stage", F.lit(i))
         done = cut_lineage(done.unionByName(got.select(*done.columns), allowMissingColumns=True))
     return done.unionByName(start.join(done.select("page_id"), "page_id", "left_anti"))
+
+
+# -- dominant calculation envelope ------------------------------------------------
+
+def side_intervals(walls: DataFrame, orientation: str, direction: str, tol: float, span: float) -> DataFrame:
+    """Clusters of one side with their covered intervals.
+
+    Parallel walls chain while consecutive axes differ by at most ``tol``;
+    clusters that cover less than max(8, 4 % of the span) are dropped. Returns
+    page_id, axis_min, axis_max and closed intervals s..z in whole units.
+    """
+    w = walls.filter((F.col("orientation") == orientation) & (F.col("inside_direction") == direction))
+    clip = lambda c: F.least(F.lit(span), F.greatest(F.lit(0), F.round(c))).cast("bigint")
+    w = w.select("page_id", F.round("fixed").cast("bigint").alias("axis"), clip("axis_start").alias("s"), clip("axis_end").alias("z")).filter("s < z").withColumn("axis_hi", F.col("axis"))
+    cl = I.with_island(w, ["page_id"], "axis", "axis_hi", tol=tol).withColumnRenamed("island_start", "cluster")
+    axes = cl.groupBy("page_id", "cluster").agg(F.min("axis").alias("axis_min"), F.max("axis").alias("axis_max"))
+    runs = I.merge_collinear(cl.select("page_id", "cluster", "s", (F.col("z") + 1).alias("e")), ["page_id", "cluster"], "s", "e").select("page_id", "cluster", "s", (F.col("e") - 1).alias("z"))
+    big = runs.groupBy("page_id", "cluster").agg(F.sum(F.col("z") - F.col("s") + 1).alias("n")).filter(F.col("n") >= max(8, round(span * 0.04))).drop("n")
+    return runs.join(big, ["page_id", "cluster"], "left_semi").join(axes, ["page_id", "cluster"])
+
+
+def fill_profile(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Nearest known value per row index ``y``; equal distances take the lower.
+
+    ``rows``: keys, y, value (null where unknown).
+    """
+    from thermograph.operators.relational import forward_fill
+
+    mark = F.when(F.col("value").isNotNull(), F.concat_ws(":", "value", "y"))
+    r = rows.withColumns({"below": mark, "above": mark, "_y": -F.col("y")})
+    r = forward_fill(r, keys, "y", ["below"], F.floor(F.col("y") / 4096))
+    r = forward_fill(r, keys, "_y", ["above"], F.floor(F.col("_y") / 4096))
+    at = lambda c, i: F.get(F.split(c, ":"), F.lit(i)).try_cast("bigint")
+    low = (F.col("above") == "") | ((F.col("below") != "") & (F.col("y") - at("below", 1) <= at("above", 1) - F.col("y")))
+    return r.select(*keys, "y", F.when(low, at("below", 0)).otherwise(at("above", 0)).alias("value"))
+
+
+def smooth_profile(rows: DataFrame, keys: list[str], min_run: str) -> DataFrame:
+    """Absorb short runs between equal neighbours, first one first.
+
+    Rows reduce to runs of equal value before the order-dependent step, so a
+    task sees at most the value changes of one page side. ``min_run`` is a
+    column of the rows.
+    """
+    w = W.partitionBy(*keys).orderBy("y")
+    start = F.when(F.coalesce(F.lag("value").over(w) == F.col("value"), F.lit(False)), None).otherwise(F.col("y"))
+    r = rows.withColumn("_s", F.last(start, ignorenulls=True).over(w))
+    runs = r.groupBy(*keys, F.col("_s").alias("y0")).agg(F.max("y").alias("y1"), F.first("value").alias("value"), F.first(min_run).alias("min_run"))
+
+    def absorb(pdf):
+        pdf = pdf.sort_values("y0")
+        least = int(pdf["min_run"].iloc[0])
+        seq = [list(t) for t in zip(pdf["y0"], pdf["y1"], pdf["value"])]
+        i = 1
+        while i < len(seq) - 1:
+            a, b, c = seq[i - 1], seq[i], seq[i + 1]
+            if b[1] - b[0] + 1 < least and a[2] == c[2]:
+                seq[i - 1:i + 2] = [[a[0], c[1], a[2]]]
+                i = max(i - 2, 1)
+            else:
+                i += 1
+        out = type(pdf)(seq, columns=["y0", "y1", "value"])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "y0", "y1", "value"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return runs.groupBy(*keys).applyInPandas(absorb, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", y0 bigint, y1 bigint, value bigint")
+
+
+def calculation_envelope(walls: DataFrame, width: float, height: float) -> DataFrame:
+    """Area and perimeter of the dominant envelope per page.
+
+    Top and bottom are the outermost horizontal clusters; left and right
+    profiles follow the outermost vertical cluster of each row, filled and
+    smoothed. Pages without all four sides, or with crossing profiles, stay
+    open.
+    """
+    tol = max(2, round(min(width, height) * 0.006))
+    walls = cut_lineage(walls.select("page_id", "orientation", "inside_direction", "fixed", "axis_start", "axis_end"))
+    top = side_intervals(walls, "horizontal", "down", tol, width).groupBy("page_id").agg(F.min("axis_min").alias("top"))
+    bottom = side_intervals(walls, "horizontal", "up", tol, width).groupBy("page_id").agg(F.max("axis_max").alias("bottom"))
+    frame = top.join(bottom, "page_id").filter("top < bottom").withColumn("min_run", F.greatest(F.lit(3), F.rint((F.col("bottom") - F.col("top")) * 0.01).cast("int")))
+    frame = cut_lineage(frame)
+    grid = frame.select("page_id", "min_run", F.explode(F.sequence("top", "bottom")).alias("y")).select("*", F.explode(F.array(F.lit("l"), F.lit("r"))).alias("side"))
+    rows = lambda d, side, pick: side_intervals(walls, "vertical", d, tol, height).select("page_id", F.lit(side).alias("side"), F.explode(F.sequence("s", "z")).alias("y"), pick.alias("v"))
+    known = rows("right", "l", F.col("axis_min")).unionByName(rows("left", "r", -F.col("axis_max"))).groupBy("page_id", "side", "y").agg(F.min("v").alias("v"))
+    p = grid.join(known, ["page_id", "side", "y"], "left").withColumn("value", F.when(F.col("side") == "r", -F.col("v")).otherwise(F.col("v"))).drop("v")
+    p = cut_lineage(p)
+    filled = cut_lineage(fill_profile(p.select("page_id", "side", "y", "value"), ["page_id", "side"]))
+    crossing = filled.groupBy("page_id", "y").agg(F.max(F.when(F.col("side") == "l", F.col("value"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("value"))).alias("r")).filter("l IS NULL OR r IS NULL OR l >= r").select("page_id").distinct()
+    runs = smooth_profile(filled.join(frame.select("page_id", "min_run"), "page_id"), ["page_id", "side"], "min_run").join(frame.select("page_id", "top", "bottom"), "page_id")
+    # a right run holds from its first row on, a left run up to its last row
+    lo = F.when(F.col("side") == "r", F.col("y0")).otherwise(F.greatest(F.col("y0") - 1, F.col("top")))
+    hi = F.when(F.col("side") == "r", F.least(F.col("y1") + 1, F.col("bottom"))).otherwise(F.col("y1"))
+    w = W.partitionBy("page_id", "side").orderBy("y0")
+    runs = runs.withColumns({"_h": hi - lo, "_step": F.abs(F.col("value") - F.coalesce(F.lag("value").over(w), F.col("value")))})
+    sign = F.when(F.col("side") == "r", 1).otherwise(-1)
+    ends = lambda y, edge: F.sum(F.when(F.col(y) == F.col(edge), F.col("value") * sign).otherwise(0))
+    out = runs.groupBy("page_id").agg(F.sum(F.col("value") * F.col("_h") * sign).cast("double").alias("area"),
+                                      (F.sum("_h") + F.sum("_step") + ends("y0", "top") + ends("y1", "bottom")).cast("double").alias("perimeter"))
+    out = out.join(crossing, "page_id", "left_anti").filter("area > 0")
+    return walls.select("page_id").distinct().join(out, "page_id", "left").withColumn("status", F.when(F.col("area").isNull(), "exterior_not_closed").otherwise("review_required"))

@@ -241,3 +241,26 @@ def _c20(s, d):
 
 
 add("C20_inferred_edge_checks", _c20, "SELECT DISTINCT page_id, concat_ws(';', CASE WHEN page_id % 3 = 0 THEN 'edge_not_on_boundary' END, CASE WHEN page_id % 2 = 1 THEN 'edge_too_long' END) AS errors FROM v_segments", SEG)
+
+
+def _g5(s, d):
+    from thermograph.plans import exterior as X
+    b = _boxes(s, d).filter("seg_id % 10 < 5")
+    n = c("seg_id") % 10
+    b = b.withColumns({"fixed": c("fixed") * 4, "axis_start": c("axis_start") * 4, "axis_end": c("axis_end") * 4}).withColumn("inside_direction", F.when(n == 1, "down").when(n == 2, "up").when(n == 3, "right").otherwise("left"))
+    return X.calculation_envelope(b, 600, 500)
+
+
+add("G5_calculation_envelope", lambda s, d: _g5(s, d).select("page_id", "status", "area", "perimeter"), """
+SELECT region_id AS page_id, CASE WHEN 4 * w + 1 >= 24 AND 4 * h + 1 >= 20 THEN 'review_required' ELSE 'exterior_not_closed' END AS status, CASE WHEN 4 * w + 1 >= 24 AND 4 * h + 1 >= 20 THEN (16 * w * h)::DOUBLE END AS area, CASE WHEN 4 * w + 1 >= 24 AND 4 * h + 1 >= 20 THEN (8 * (w + h))::DOUBLE END AS perimeter FROM v_regions""", REG)
+
+
+def _w13(s, d):
+    from thermograph.plans import exterior as X
+    r = A.view(s, d, "v_segments").groupBy("page_id", c("axis_start").alias("y")).agg(F.min("fixed").alias("v"))
+    r = r.select("page_id", F.lit("l").alias("side"), "y", F.when(c("v") % 3 > 0, F.floor(c("v") / 21)).alias("value"))
+    f = X.fill_profile(r, ["page_id", "side"])
+    return X.smooth_profile(f.withColumn("min_run", F.lit(4)), ["page_id", "side"], "min_run")
+
+
+add("W13_profile_fill_smooth", lambda s, d: _w13(s, d).select("page_id", "y0", "y1", "value"))
