@@ -167,7 +167,7 @@ def _oracle() -> str:
     named["wide_upper"] = "length(u) - length(regexp_replace(u, '\\p{Lu}', '', 'g'))"
     named["wide"] = "length(regexp_replace(u, '\\p{Lu}', '', 'g'))"
     chars = ", ".join(f"CAST({named[n]} AS BIGINT) AS c{i}" for i, n in enumerate(CLASSES))
-    commons = ", ".join(f"len(list_filter(w, x -> lower(x) = '{w}')) AS w{i}" for i, w in enumerate(WORDS))
+    commons = ", ".join(f"len(list_filter(w, lambda x: lower(x) = '{w}')) AS w{i}" for i, w in enumerate(WORDS))
     sums = ", ".join([f"sum(c{i}) AS r{i}" for i in range(len(CLASSES))] + [f"sum(w{i}) AS s{i}" for i in range(len(WORDS))])
 
     def terms(pairs: list[tuple[str, str]], n: str, m: str) -> str:
@@ -186,8 +186,8 @@ def _oracle() -> str:
     limit = lambda x: f"{x[0]} + {x[1]} / sqrt(n_words::DOUBLE)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
-  regexp_replace(coalesce(text, ''), '[\\x00-\\x7F]', '', 'g') AS u, list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
-g AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 3),
+  regexp_replace(coalesce(text, ''), '[\\x00-\\x7F]', '', 'g') AS u, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 3),
 m AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g) WHERE n >= 2),
 r AS (SELECT k, count(DISTINCT p) AS n_repeat FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM m) GROUP BY k),
 f AS (SELECT d.k, doc_id, lang, len(w) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
