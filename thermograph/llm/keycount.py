@@ -12,6 +12,8 @@ import secrets
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 6_000_000
 BUCKET_KEYS = 1_000_000
 
-BLOCKS = "array<struct<bucket:int,keys:binary,counts:binary>>"
+BLOCKS = "array<struct<bucket:int,keys:binary,counts:binary,checks:binary>>"
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -44,22 +46,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[dict]:
-    """Sorted distinct uint64 keys and their counts, as one block per hash range."""
+def blocks(keys: np.ndarray, counts: np.ndarray, buckets: int, checks: np.ndarray | None = None) -> list[dict]:
+    """Sorted distinct uint64 keys and their counts, as one block per hash range.
+
+    ``checks`` are 64 more bits of each key, where keys must be told apart by 128.
+    """
     at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.flatnonzero(np.diff(at)) + 1
     out = []
-    for k, c, b in zip(np.split(keys, cuts), np.split(counts, cuts), at[np.concatenate(([0], cuts))] if len(at) else []):
-        out.append({"bucket": int(b), "keys": squeeze(np.diff(k, prepend=np.uint64(0))), "counts": squeeze(c.astype(np.uint32))})
+    more = np.split(checks, cuts) if checks is not None else [None] * (len(cuts) + 1)
+    for k, c, m, b in zip(np.split(keys, cuts), np.split(counts, cuts), more, at[np.concatenate(([0], cuts))] if len(at) else []):
+        out.append({"bucket": int(b), "keys": squeeze(np.diff(k, prepend=np.uint64(0))), "counts": squeeze(c.astype(np.uint32)), "checks": m if m is None else squeeze(m)})
     return out
 
 
+def distinct(keys: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Sorted distinct keys (with their check bits) and the place of each input in them."""
+    if checks is None:
+        found, which = np.unique(keys, return_inverse=True)
+        return found, which, None
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    which = np.empty(len(k), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return k[new], which, c[new]
+
+
+def chunk_texts(batches, f, schema: pa.Schema):
+    """Chunks of (text, row struct) batches with the columns that ``f(texts)`` adds, one row each."""
+    texts: list[pa.Array] = []
+    rows: list[pa.Array] = []
+    held = 0
+
+    def close() -> pa.RecordBatch:
+        text, row = pa.concat_arrays(texts), pa.concat_arrays(rows)
+        ends = pa.array([0, len(text)], pa.int32())
+        more = {"chunk": [new_chunk()]} | {k: [v] for k, v in f(text).items()}
+        columns = {"texts": pa.ListArray.from_arrays(ends, text), "rows": pa.ListArray.from_arrays(ends, row)}
+        return pa.RecordBatch.from_arrays([columns[x.name].cast(x.type) if x.name in columns else pa.array(more[x.name], x.type) for x in schema], schema=schema)
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False) + 8
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = min(batch.num_rows, max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES - held, "left")) + 1))
+            texts.append(batch.column(0).slice(at, to - at))
+            rows.append(batch.column(1).slice(at, to - at))
+            held += int(ends[to - 1] - base)
+            at = to
+            if held >= CHUNK_BYTES:
+                yield close()
+                texts, rows, held = [], [], 0
+    if texts:
+        yield close()
+
+
 def new_chunk() -> int:
     return secrets.randbits(62)
 
 
 def key_totals(parts: DataFrame) -> DataFrame:
-    """Totals of every key of (chunk, bucket, keys, counts).
+    """Totals of every key of (chunk, bucket, keys, counts, checks).
 
     Result: chunk, bucket, totals (in key order), and on one row of each bucket
     ``n_keys`` (keys with a total over 0) and ``n_total`` (their sum), else 0.
@@ -67,7 +118,8 @@ def key_totals(parts: DataFrame) -> DataFrame:
     def add(df: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(expand(k, np.uint64), dtype=np.uint64) for k in df["keys"]]
         counts = np.concatenate([expand(c, np.uint32) for c in df["counts"]]).astype(np.float64)
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        checks = None if df["checks"].isna().any() else np.concatenate([expand(c, np.uint64) for c in df["checks"]])
+        _, which, _ = distinct(np.concatenate(keys), checks)
         total = np.bincount(which, counts).astype(np.int64)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         n = len(df)
@@ -78,7 +130,7 @@ def key_totals(parts: DataFrame) -> DataFrame:
 
 
 def exploded(chunks: DataFrame, column: str) -> DataFrame:
-    return chunks.select("chunk", F.explode(column).alias("x")).select("chunk", "x.bucket", "x.keys", "x.counts")
+    return chunks.select("chunk", F.explode(column).alias("x")).select("chunk", "x.bucket", "x.keys", "x.counts", "x.checks")
 
 
 def in_order(rows: pd.DataFrame) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "lm", "quality"]
+MODULES = ["packing", "substrings", "lm", "quality"]
 
 
 def registered() -> dict:
