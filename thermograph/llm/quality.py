@@ -20,7 +20,6 @@ COMMON_WORDS = {
     "es": ["el", "la", "de", "que", "y", "en", "un", "los", "se", "por", "con", "para"],
 }
 WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: ASCII classes in the order in which they are taken out of a text.
 ASCII_CLASSES = [
@@ -51,36 +50,38 @@ def features(docs: DataFrame) -> DataFrame:
     3-word windows are found by sorting each row's packed window hashes.
     """
     text = "coalesce(text, '')"
-    df = docs.selectExpr("doc_id", "lang", f"{text} AS text", f"regexp_extract_all({text}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0) AS w",
-                         f"filter(split({text}, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]') AS l")
-    rest, steps = "text", []
-    for name, chars in [("space", SPACES), *ASCII_CLASSES]:
+    df = docs.selectExpr("doc_id", "lang", f"{text} AS text", f"array_remove(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), '') AS w",
+                         f"filter(split({text}, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]') AS l", f"array_remove(split(lower({text}), '[\\\\x20\\\\x09-\\\\x0D]+'), '') AS v")
+    df = df.selectExpr(
+        "doc_id", "lang", "CAST(char_length(text) AS BIGINT) AS n_chars", "CAST(size(w) AS BIGINT) AS n_words", "array_join(w, '') AS word_text",
+        "CAST(size(l) - size(array_distinct(l)) AS BIGINT) AS n_dup_lines", f"filter(v, x -> x IN ({sql_strings(WORDS)})) AS low",
+        "CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) ELSE CAST(array() AS array<bigint>) END AS g")
+    # Taking lower-case letters out first leaves little for the other classes.
+    df = df.selectExpr("*", "regexp_replace(word_text, '[a-z]+', '') AS rest_lower", "size(array_distinct(g)) < size(g) AS again")
+    rest, steps = "rest_lower", []
+    for name, chars in ASCII_CLASSES[1:]:
         steps.append((name, rest, f"rest_{name}"))
         df = df.withColumn(f"rest_{name}", F.expr(f"translate({rest}, {_literal(chars)}, '')"))
         rest = f"rest_{name}"
-    counts = [f"char_length({a}) - char_length({b})" for _, a, b in steps]
-    upper = f"char_length({rest}) - char_length(regexp_replace({rest}, '\\\\p{{Lu}}', ''))"
-    counts += [f"({upper})", f"char_length({rest}) - ({upper})"]
+    named = {n: f"char_length({a}) - char_length({b})" for n, a, b in steps}
+    upper = f"(char_length({rest}) - char_length(regexp_replace({rest}, '\\\\p{{Lu}}+', '')))"
+    counts = ["n_chars - char_length(word_text)", "char_length(word_text) - char_length(rest_lower)", *named.values(), upper, f"char_length({rest}) - {upper}"]
+    # Only rows with an equal pair of windows sort them: high 40 bits of the hash, low 24 bits of the place.
     df = df.selectExpr(
-        "doc_id", "lang", "w", "CAST(size(w) AS BIGINT) AS n_words", "CAST(char_length(rest_space) AS BIGINT) AS word_chars",
-        f"CAST({dict((n, f'char_length({a}) - char_length({b})') for n, a, b in steps)['symbol']} AS BIGINT) AS n_symbols",
-        "CAST(size(l) - size(array_distinct(l)) AS BIGINT) AS n_dup_lines",
-        f"array({', '.join(f'CAST({c} AS BIGINT)' for c in counts)}) AS chars",
-        f"filter(w, x -> lower(x) IN ({sql_strings(WORDS)})) AS hits",
-        "CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) ELSE CAST(array() AS array<bigint>) END AS g")
-    # High 40 bits of the hash, low 24 bits of the place: sorting brings equal windows together.
-    df = df.selectExpr("*", "transform(hits, x -> lower(x)) AS low", "sort_array(transform(g, (h, i) -> (h & -16777216L) | CAST(i AS BIGINT))) AS pk")
-    df = df.selectExpr("*", "filter(pk, (x, j) -> (j > 0 AND (x ^ get(pk, j - 1)) BETWEEN 0 AND 16777215) OR (j < size(pk) - 1 AND (x ^ get(pk, j + 1)) BETWEEN 0 AND 16777215)) AS near")
+        "doc_id", "lang", "n_words", "CAST(char_length(word_text) AS BIGINT) AS word_chars", f"CAST({named['symbol']} AS BIGINT) AS n_symbols", "n_dup_lines", "low", "again",
+        f"array({', '.join(f'CAST({c} AS BIGINT)' for c in counts)}) AS chars", "CASE WHEN again THEN g END AS g",
+        "CASE WHEN again THEN sort_array(transform(g, (h, i) -> (h & -16777216L) | CAST(i AS BIGINT))) END AS pk")
+    df = df.selectExpr("*", "CASE WHEN again THEN filter(pk, (x, j) -> (j > 0 AND (x ^ get(pk, j - 1)) BETWEEN 0 AND 16777215) OR (j < size(pk) - 1 AND (x ^ get(pk, j + 1)) BETWEEN 0 AND 16777215)) END AS near")
     # Where two different windows share those 40 bits, or places need more than 24 bits, the slower exact form decides.
-    df = df.selectExpr("*", "size(g) > 16777216 OR exists(sequence(1, greatest(size(near) - 1, 1)), j -> j < size(near) AND (near[j] ^ near[j - 1]) BETWEEN 0 AND 16777215 "
-                       "AND g[CAST(near[j] & 16777215L AS INT)] != g[CAST(near[j - 1] & 16777215L AS INT)]) AS mixed")
+    df = df.selectExpr("*", "again AND (size(g) > 16777216 OR exists(sequence(1, greatest(size(near) - 1, 1)), j -> j < size(near) AND (near[j] ^ near[j - 1]) BETWEEN 0 AND 16777215 "
+                       "AND g[CAST(near[j] & 16777215L AS INT)] != g[CAST(near[j - 1] & 16777215L AS INT)])) AS mixed")
     df = df.selectExpr("*", "CASE WHEN mixed THEN sort_array(g) END AS sg")
     df = df.selectExpr("*", "CASE WHEN mixed THEN array_distinct(filter(sg, (x, j) -> j > 0 AND x = sg[j - 1])) END AS twice")
     df = df.selectExpr("*", "CASE WHEN mixed THEN filter(transform(g, (h, i) -> CASE WHEN array_contains(twice, h) THEN i END), i -> i IS NOT NULL) "
-                       "ELSE transform(near, x -> CAST(x & 16777215L AS INT)) END AS places")
-    commons = ", ".join(f"CAST(size(filter(low, x -> x = '{w}')) AS BIGINT)" for w in WORDS)
+                       "WHEN again THEN transform(near, x -> CAST(x & 16777215L AS INT)) END AS places")
+    commons = ", ".join(f"CAST(size(low) - size(array_remove(low, '{w}')) AS BIGINT)" for w in WORDS)
     return df.selectExpr("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                         "CAST(size(array_distinct(flatten(transform(places, p -> array(p, p + 1, p + 2))))) AS BIGINT) AS n_repeat_words",
+                         "CASE WHEN again THEN CAST(size(array_distinct(flatten(transform(places, p -> array(p, p + 1, p + 2))))) AS BIGINT) ELSE 0L END AS n_repeat_words",
                          "chars", f"array({commons}) AS commons")
 
 
@@ -95,19 +96,15 @@ def references(feats: DataFrame) -> dict[str, tuple[list[int], list[int], int]]:
     return {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(len(WORDS))], r["n"]) for r in sorted(rows, key=lambda r: r["lang"]) if r["n"]}
 
 
-def _distance(doc: list[str], ref: list[int]) -> str:
-    """Jensen-Shannon distance (base 2) of count expressions and counts, as SQL.
+def _distance(shares: str, ref: list[int]) -> str:
+    """Jensen-Shannon distance (base 2) of an array of shares and reference counts, as SQL.
 
-    A doubled term 2x·ln(2x/(x+y)) is zero where x is; sums are in fixed order.
+    A term 2x·ln(2x/(x+y)) is zero where x is.
     """
-    total, whole = f"CAST({' + '.join(doc)} AS DOUBLE)", float(sum(ref))
-    terms = []
-    for d, r in zip(doc, ref):
-        p, q = f"({d} / {total})", repr(r / whole)
-        left = f"CASE WHEN {d} > 0 THEN {p} * ln(2 * {p} / ({p} + {q}D)) ELSE 0D END"
-        right = f"{q}D * ln({2 * r / whole!r}D / ({p} + {q}D))" if r else "0D"
-        terms.append(f"({left} + {right})")
-    return f"sqrt(greatest(0D, ({' + '.join(terms)}) / {2 * 0.6931471805599453!r}D))"
+    term = "CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0D END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0D END"
+    whole = float(sum(ref))
+    return (f"sqrt(greatest(0D, aggregate(zip_with({shares}, array({', '.join(f'{r / whole!r}D' for r in ref)}), (p, q) -> {term}), 0D, (a, x) -> a + x) "
+            f"/ {2 * 0.6931471805599453!r}D))")
 
 
 def _limit(limit: tuple[float, float]) -> str:
@@ -135,16 +132,17 @@ def quality_rules(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT,
         return feats.selectExpr("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                 "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed", "CAST(NULL AS DOUBLE) AS char_distance",
                                 "CAST(NULL AS DOUBLE) AS word_distance", "CAST(NULL AS STRING) AS language", "NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS kept")
-    places = {w: i for i, w in enumerate(WORDS)}
+    at = {w: f"commons[{i}]" for i, w in enumerate(WORDS)}
+    rest = lambda words: f"(n_words - ({' + '.join(at[w] for w in words)}))"
+    shares = feats.selectExpr("*", "aggregate(chars, 0L, (a, x) -> a + x) AS n_chars", "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed",
+                              *[f"array({', '.join(at[w] for w in COMMON_WORDS[k])}, {rest(COMMON_WORDS[k])}) AS own_{k}" for k in refs])
+    shares = shares.selectExpr("*", "transform(chars, x -> CAST(x AS DOUBLE) / n_chars) AS char_shares", *[f"transform(own_{k}, x -> CAST(x AS DOUBLE) / n_words) AS shares_{k}" for k in refs])
     cols = []
     for lang, (chars, words, n) in refs.items():
-        doc_words = [f"commons[{places[w]}]" for w in COMMON_WORDS[lang]]
-        doc_words.append(f"(n_words - ({' + '.join(doc_words)}))")
-        ref_words = [words[places[w]] for w in COMMON_WORDS[lang]]
-        cols.append(f"named_struct('word', CASE WHEN n_words > 0 THEN {_distance(doc_words, [*ref_words, n - sum(ref_words)])} END, 'language', '{lang}', "
-                    f"'char', CASE WHEN word_chars > 0 THEN {_distance([f'chars[{i}]' for i in range(len(CLASSES))], chars)} END)")
-    best = feats.selectExpr("*", f"array_min(array({', '.join(cols)})) AS best", "aggregate(chars, 0L, (a, x) -> a + x) AS n_chars",
-                            "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed")
+        ref = [words[WORDS.index(w)] for w in COMMON_WORDS[lang]]
+        cols.append(f"named_struct('word', CASE WHEN n_words > 0 THEN {_distance(f'shares_{lang}', [*ref, n - sum(ref)])} END, 'language', '{lang}', "
+                    f"'char', CASE WHEN word_chars > 0 THEN {_distance('char_shares', chars)} END)")
+    best = shares.selectExpr("*", f"array_min(array({', '.join(cols)})) AS best")
     return best.selectExpr("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                            "best.char AS char_distance", "best.word AS word_distance", "best.language AS language",
                            f"NOT base_failed AND (n_chars < {min_chars} OR best.char IS NULL OR best.char <= {_limit(char_limit)}) "
