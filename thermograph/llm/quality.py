@@ -136,7 +136,7 @@ def quality_rules(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT,
     rest = lambda words: f"(n_words - ({' + '.join(at[w] for w in words)}))"
     shares = feats.selectExpr("*", "aggregate(chars, 0L, (a, x) -> a + x) AS n_chars", "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed",
                               *[f"array({', '.join(at[w] for w in COMMON_WORDS[k])}, {rest(COMMON_WORDS[k])}) AS own_{k}" for k in refs])
-    shares = shares.selectExpr("*", "transform(chars, x -> CAST(x AS DOUBLE) / n_chars) AS char_shares", *[f"transform(own_{k}, x -> CAST(x AS DOUBLE) / n_words) AS shares_{k}" for k in refs])
+    shares = shares.selectExpr("*", "transform(chars, x -> CAST(x AS DOUBLE) / nullif(n_chars, 0)) AS char_shares", *[f"transform(own_{k}, x -> CAST(x AS DOUBLE) / nullif(n_words, 0)) AS shares_{k}" for k in refs])
     cols = []
     for lang, (chars, words, n) in refs.items():
         ref = [words[WORDS.index(w)] for w in COMMON_WORDS[lang]]
