@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "substrings", "lm", "quality"]
+MODULES = ["jaccard", "toxicity", "packing", "substrings", "lm", "quality"]
 
 
 def registered() -> dict:
