@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["jaccard", "license", "toxicity", "packing", "substrings", "lm", "quality"]
+MODULES = ["jaccard", "license", "toxicity", "lines", "packing", "substrings", "lm", "quality"]
 
 
 def registered() -> dict:
