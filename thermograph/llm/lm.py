@@ -20,12 +20,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from thermograph.llm.common import held_out, spill, table
-from thermograph.llm.keycount import BLOCKS, CHUNK_BYTES, blocks, bucket_count, expand, exploded, in_order, key_totals, mix, new_chunk, small_batches, squeeze, text_bytes
+from thermograph.llm.keycount import CHUNK_BYTES, blocks, bucket_count, expand, in_order, key_totals, mix, new_chunk, small_batches, squeeze, text_bytes
 
 #: Outside of all words, which hold no white space.
 END, START = b" end", b" start"
 #: Steps per factor of two, to which ratios of estimates are rounded for EM only.
-GRID = 8
+GRID = 4
 ROUNDS = 60
 LEAST = 1e-6
 
@@ -39,10 +39,10 @@ def _pairs(words: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> tuple[
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + words[stream]), context
 
 
-def token_chunks(docs: DataFrame, learn: str, buckets: int) -> DataFrame:
-    """Chunks of whole documents as sorted word hashes, token streams and key blocks."""
+def token_chunks(docs: DataFrame, learn: str) -> DataFrame:
+    """Chunks of whole documents as sorted word hashes and token streams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk bigint, doc_ids array<{kind}>, learn binary, lengths binary, words binary, stream binary, word_blocks {BLOCKS}, pair_blocks {BLOCKS}"
+    schema = f"chunk bigint, doc_ids array<{kind}>, learn binary, lengths binary, words binary, stream binary"
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -58,13 +58,8 @@ def token_chunks(docs: DataFrame, learn: str, buckets: int) -> DataFrame:
             lengths = np.array([len(d) for d in tokens], np.int64)
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in places], np.uint64)
             words, rank = np.unique(hashes, return_inverse=True)
-            stream = rank[stream]
-            train = np.repeat(np.array(learns), lengths)
-            pair, _ = _pairs(words, stream, lengths)
-            pairs, which = np.unique(pair, return_inverse=True)
             row = {"chunk": new_chunk(), "doc_ids": ids, "learn": squeeze(np.array(learns, np.uint8)), "lengths": squeeze(lengths), "words": squeeze(np.diff(words, prepend=np.uint64(0))),
-                   "stream": squeeze(stream.astype(np.uint32)), "word_blocks": blocks(words, np.bincount(stream, train, len(words)), buckets),
-                   "pair_blocks": blocks(pairs, np.bincount(which, train, len(pairs)), buckets)}
+                   "stream": squeeze(rank[stream].astype(np.uint32))}
             return pa.RecordBatch.from_pylist([row], schema=out)
 
         for batch in batches:
@@ -83,6 +78,23 @@ def token_chunks(docs: DataFrame, learn: str, buckets: int) -> DataFrame:
     return small_batches(docs).select("doc_id", "text", F.expr(learn).alias("learn")).mapInArrow(run, schema)
 
 
+def _blocks(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Key blocks of words (buckets from 0) and of pairs (from ``buckets`` on) of every chunk."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for row in df.itertuples():
+                words = np.cumsum(expand(row.words, np.uint64), dtype=np.uint64)
+                stream, lengths = expand(row.stream, np.uint32).astype(np.int64), expand(row.lengths)
+                train = np.repeat(expand(row.learn, np.uint8), lengths)
+                pairs, which = np.unique(_pairs(words, stream, lengths)[0], return_inverse=True)
+                out = pd.DataFrame(blocks(words, np.bincount(stream, train, len(words)), buckets))
+                more = pd.DataFrame(blocks(pairs, np.bincount(which, train, len(pairs)), buckets))
+                more["bucket"] += buckets
+                yield pd.concat([out, more]).assign(chunk=row.chunk)[["chunk", "bucket", "keys", "counts", "checks"]]
+
+    return chunks.select("chunk", "words", "stream", "lengths", "learn").mapInPandas(run, "chunk bigint, bucket int, keys binary, counts binary, checks binary")
+
+
 def _estimates(row: pd.Series, words: np.ndarray, totals: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Of every token of a chunk: its count, its pair's, its context's; and the chunk's arrays."""
     stream, lengths = expand(row["stream"], np.uint32).astype(np.int64), expand(row["lengths"])
@@ -94,11 +106,11 @@ def _estimates(row: pd.Series, words: np.ndarray, totals: dict[str, np.ndarray])
     return c, totals["pair"][which], cv, lengths
 
 
-def _per_chunk(chunks: DataFrame, totals: DataFrame, f, schema: str) -> DataFrame:
+def _per_chunk(chunks: DataFrame, totals: DataFrame, buckets: int, f, schema: str) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         words = np.cumsum(expand(row["words"], np.uint64), dtype=np.uint64)
-        own = {k: in_order(right[right["kind"] == k]) for k in ("word", "pair")}
+        own = {"word": in_order(right[right["bucket"] < buckets]), "pair": in_order(right[right["bucket"] >= buckets])}
         return f(row, *_estimates(row, words, own))
 
     return chunks.select("chunk", "doc_ids", "learn", "lengths", "words", "stream").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(run, schema)
@@ -144,15 +156,11 @@ def score_documents(docs: DataFrame, learn: str = "true") -> DataFrame:
     hashes. Other columns are ignored.
     """
     buckets = bucket_count(text_bytes(docs) // 8)
-    chunks = spill(token_chunks(docs, f"coalesce({learn}, false)", buckets))
-    totals = None
-    for kind in ("word", "pair"):
-        part = key_totals(exploded(chunks, f"{kind}_blocks")).withColumn("kind", F.lit(kind))
-        totals = part if totals is None else totals.unionByName(part)
-    totals = spill(totals)
-    n_types, n_train = totals.filter("kind = 'word'").agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_total"), F.lit(0))).first()
+    chunks = spill(token_chunks(docs, f"coalesce({learn}, false)"))
+    totals = spill(key_totals(_blocks(chunks, buckets)))
+    n_types, n_train = totals.filter(F.col("bucket") < buckets).agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_total"), F.lit(0))).first()
     uniform = 1.0 / (n_types + 1)
-    values = totals.select("chunk", "kind", "bucket", "totals")
+    values = totals.select("chunk", "bucket", "totals")
 
     def held(row, c, cvw, cv, lengths):
         own = np.repeat(expand(row["learn"], np.uint8), lengths) > 0
@@ -163,7 +171,7 @@ def score_documents(docs: DataFrame, learn: str = "true") -> DataFrame:
         code, n = np.unique(np.stack([context_bucket(cv), q2, q1]), axis=1, return_counts=True) if len(c) else (np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
         return pd.DataFrame({"b": code[0], "q2": code[1], "q1": code[2], "n": n})
 
-    grid = _per_chunk(chunks, values, held, "b bigint, q2 bigint, q1 bigint, n bigint").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toPandas().sort_values(["b", "q2", "q1"])
+    grid = spill(_per_chunk(chunks, values, buckets, held, "b bigint, q2 bigint, q1 bigint, n bigint").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n"))).toPandas().sort_values(["b", "q2", "q1"])
     ratio = lambda q: np.where(q == -9999, 0.0, np.exp2(q / GRID))
     weights = learn_weights(*(grid[c].to_numpy() if c in "bn" else ratio(grid[c].to_numpy()) for c in ("b", "q2", "q1", "n")))
     weights[:, 2] = np.where(n_train, weights[:, 2], 1.0)
@@ -177,7 +185,7 @@ def score_documents(docs: DataFrame, learn: str = "true") -> DataFrame:
                              "train_tokens": n_train, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _per_chunk(chunks, values, score, f"doc_id {kind}, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return _per_chunk(chunks, values, buckets, score, f"doc_id {kind}, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
