@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermograph.llm.common import spill
 
 
+def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Least reachable number of each of ``n`` vertices, over links between the rows ``left`` and ``right``."""
+    root = np.arange(n)
+    rows, cols = left[linked.any(1)], right[linked.any(0)]
+    inner = linked[np.ix_(linked.any(1), linked.any(0))]
+    while len(rows):
+        before = root.copy()
+        np.minimum.at(root, rows, np.where(inner, root[cols][None, :], n).min(1))
+        np.minimum.at(root, cols, np.where(inner, root[rows][:, None], n).min(0))
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of (a, b) that is not its component's least, root being the least.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermograph.llm.common import spill, table
-from thermograph.llm.graph import components
+from thermograph.llm.graph import components, forest
 from thermograph.llm.keycount import expand, mix, small_batches, squeeze
 
 SHINGLE = 5
@@ -118,19 +118,7 @@ def _verify(similarity: float):
             links[left] += linked @ copies[right]
             if i != j:
                 links[right] += linked.T @ copies[left]
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for a, row in zip(left, linked):
-                for b in right[row]:
-                    x, y = find(a), find(b)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-            root = np.array([find(k) for k in range(len(df))])
+            root = forest(linked, left, right, len(df))
         return pd.DataFrame({"v": v, "root": v[root], "links": links})
 
     return run

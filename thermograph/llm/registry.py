@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["jaccard", "license", "toxicity", "lines", "packing", "substrings", "lm", "quality"]
+MODULES = ["thermograph.llm." + m for m in ("jaccard", "license", "toxicity", "lines", "packing", "substrings", "embeddings", "lm", "quality")] + ["corpus_pipeline"]
 
 
 def registered() -> dict:
     out: dict = {}
     for name in MODULES:
-        out.update(importlib.import_module(f"thermograph.llm.{name}").QUERIES)
+        out.update(importlib.import_module(name).QUERIES)
     return out

@@ -137,7 +137,7 @@ class Chunk:
         return texts, removed
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False) -> DataFrame:
     """Remove each word covered by a window of words that also starts anywhere else.
 
     Result: the columns of ``docs`` with ``text`` as the kept words joined by one
@@ -145,7 +145,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Windows are judged on the input; every occurrence of a repeated window is
     removed, the first included, be it in the same text or another. Words are
     runs without ASCII white space, unchanged. A null text counts as empty and
-    becomes empty; texts shorter than the window keep all words. Repeated rows
+    becomes empty; texts shorter than the window keep all words. With ``layout``
+    a text that loses nothing stays as it is, white space and all. Repeated rows
     are repeats of each other, whatever their doc_id. An empty table gives an
     empty result.
     """
@@ -181,6 +182,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for i in range(left.num_rows):
             chunk = Chunk(left["texts"][i].values, window)
             kept, removed = chunk.kept(*(in_order(totals[totals["kind"] == k]) for k in ("anchor", "window")))
+            if layout:
+                kept = [k if r else t.as_py() for k, r, t in zip(kept, removed, left["texts"][i].values)]
             out.append(pa.Table.from_arrays([pa.array(kept, pa.string()), left["rows"][i].values.cast(shape.field("row").type), pa.array(chunk.lengths), pa.array(removed.astype(np.int64))], schema=shape))
         return pa.concat_tables(out) if out else shape.empty_table()
 
