@@ -8,6 +8,7 @@ rank within its length.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 from collections.abc import Iterator
 
@@ -23,15 +24,38 @@ from thermograph.llm.common import spill, table
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Stands between words that are encoded together; words holding it are encoded alone.
 MARK = "¦"
 #: Rows of one rank group; the number of groups follows the number of rows.
 GROUP_ROWS = 100_000
 
+#: Words of plain Latin letters with marks behind, which lower-casing byte-level tokenizers split there.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-į]+)([!-&(-/:-@[-`{-~]*)")
+PROBES = ["Word", "word,", "Éa.", "STRASSE!?", "niño", "Übergröße--", "x_"]
+
 _TOKENIZERS: dict[str, tuple] = {}
 
 
+def _byte_level() -> dict[int, str]:
+    """Byte-level spelling of the bytes of a word: printable ones as they are, others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+SPELLING = _byte_level()
+
+
+def _plain_ids(tok, word: str) -> bytes | None:
+    """Ids of a plain word straight from the tokenizer's model; None for any other word."""
+    m = PLAIN.fullmatch(word)
+    if m is None:
+        return None
+    parts = [x if x.isascii() else x.encode().decode("latin1").translate(SPELLING) for x in (m[1].lower(), m[2]) if x]
+    return np.array([t.id for x in parts for t in tok.model.tokenize(x)], "<u4").tobytes()
+
+
 def _tokenizer(path: str) -> tuple:
     """The tokenizer of a file and its word cache, once per Python worker."""
     if path not in _TOKENIZERS:
@@ -39,13 +63,21 @@ def _tokenizer(path: str) -> tuple:
 
         tok = Tokenizer.from_file(path)
         mark = tok.encode(MARK, add_special_tokens=False).ids
-        _TOKENIZERS[path] = (tok, mark[0] if len(mark) == 1 else None, {"": b""})
+        try:  # the short way is taken only where it gives what the whole tokenizer does
+            short = all(_plain_ids(tok, w) == np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in PROBES)
+        except Exception:
+            short = False
+        _TOKENIZERS[path] = (tok, mark[0] if len(mark) == 1 else None, {"": b""}, short)
     return _TOKENIZERS[path]
 
 
 def _learn(words: list[str], path: str) -> None:
-    """Encode unseen words in one string, parted by MARK, and cache their ids as uint32 bytes."""
-    tok, mark, cache = _tokenizer(path)
+    """Cache the ids of unseen words as uint32 bytes; words that aren't plain are encoded in one string, parted by MARK."""
+    tok, mark, cache, short = _tokenizer(path)
+    if short:
+        found = {w: _plain_ids(tok, w) for w in words}
+        words = [w for w, ids in found.items() if ids is None]
+        cache.update((w, ids) for w, ids in found.items() if ids is not None)
     plain = [w for w in words if MARK not in w] if mark is not None else []
     alone = [w for w in words if MARK in w] if mark is not None else words
     for at in range(0, len(plain), 2000):
