@@ -47,13 +47,23 @@ def _byte_level() -> dict[int, str]:
 SPELLING = _byte_level()
 
 
-def _plain_ids(tok, word: str) -> bytes | None:
-    """Ids of a plain word straight from the tokenizer's model; None for any other word."""
+def _plain_ids(tok, word: str, known: dict[str, bytes]) -> bytes | None:
+    """Ids of a plain word straight from the tokenizer's model; None for any other word.
+
+    ``known`` takes up the ids of the letters and of the marks.
+    """
     m = PLAIN.fullmatch(word)
     if m is None:
         return None
-    parts = [x if x.isascii() else x.encode().decode("latin1").translate(SPELLING) for x in (m[1].lower(), m[2]) if x]
-    return np.array([t.id for x in parts for t in tok.model.tokenize(x)], "<u4").tobytes()
+    out = b""
+    for x in (m[1].lower(), m[2]):
+        ids = known.get(x)
+        if ids is None:
+            spelled = x if x.isascii() else x.encode().decode("latin1").translate(SPELLING)
+            found = [t.id for t in tok.model.tokenize(spelled)]
+            ids = known[x] = struct.pack(f"<{len(found)}I", *found)
+        out += ids
+    return out
 
 
 def _tokenizer(path: str) -> tuple:
@@ -64,7 +74,7 @@ def _tokenizer(path: str) -> tuple:
         tok = Tokenizer.from_file(path)
         mark = tok.encode(MARK, add_special_tokens=False).ids
         try:  # the short way is taken only where it gives what the whole tokenizer does
-            short = all(_plain_ids(tok, w) == np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in PROBES)
+            short = all(_plain_ids(tok, w, {"": b""}) == np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in PROBES)
         except Exception:
             short = False
         _TOKENIZERS[path] = (tok, mark[0] if len(mark) == 1 else None, {"": b""}, short)
@@ -75,7 +85,7 @@ def _learn(words: list[str], path: str) -> None:
     """Cache the ids of unseen words as uint32 bytes; words that aren't plain are encoded in one string, parted by MARK."""
     tok, mark, cache, short = _tokenizer(path)
     if short:
-        found = {w: _plain_ids(tok, w) for w in words}
+        found = {w: _plain_ids(tok, w, cache) for w in words}
         words = [w for w, ids in found.items() if ids is None]
         cache.update((w, ids) for w, ids in found.items() if ids is not None)
     plain = [w for w in words if MARK not in w] if mark is not None else []
