@@ -21,7 +21,7 @@ def loop(rows):
         keys = [((action, addr), 6), ((action, addr, user), 3)] if action == "login" else [((action, addr), 4)]
         full = [state[k][1] for k, n in keys if k in state and state[k][1] > t and state[k][0] >= n]
         if full:
-            res[i] = (False, max(max(1, int(e - t + 1)) for e in full))
+            res[i] = (False, max(1, int(full[0] - t + 1)))
             continue
         for k, _ in keys:
             state[k] = (state[k][0] + 1, state[k][1]) if k in state and state[k][1] > t else (1, t + 300.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 import re
 from functools import reduce
 
@@ -323,14 +325,23 @@ def source_type_for_ext(ext: Column) -> Column:
             .otherwise("official_product_notice_html"))
 
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-
-
 def html_unescape(c: Column) -> Column:
-    """The common named and numeric entities; ampersand last."""
-    for k, v in _ENTITIES:
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
+    """Numeric entities and the named ones of HTML 4, each decoded once; a no-break space becomes a blank.
+
+    Unknown names and numbers outside of Unicode stay as they are.
+    """
+    named = F.create_map(*[F.lit(x) for name, point in sorted(name2codepoint.items()) for x in ("&" + name + ";", " " if name == "nbsp" else chr(point))], F.lit("&apos;"), F.lit("'"))
+
+    def decoded(t: Column) -> Column:
+        digits = F.regexp_extract(t, "^&#([0-9]{1,7});$", 1)
+        hexes = F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]{1,6});$", 1)
+        point = F.when(digits != "", digits.cast("int")).when(hexes != "", F.conv(hexes, 16, 10).cast("int"))
+        fine = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        number = F.when(point == 160, " ").when(fine, F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32"))
+        return F.when(t.startswith("&") & t.endswith(";"), F.coalesce(number, F.try_element_at(named, t), t)).otherwise(t)
+
+    parts = F.regexp_extract_all(c, F.lit("(?s)&#?[A-Za-z0-9]+;|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
 
 
 def unwrap_redirect_url(c: Column) -> Column:

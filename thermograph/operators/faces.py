@@ -12,7 +12,7 @@ from thermograph.operators.intervals import range_join
 from thermograph.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Component (smallest vertex) of each vertex, by star contraction.
 
     ``edges``: keys + u, v. Every round links vertices to the smallest
@@ -34,14 +34,12 @@ def connected_components(edges: DataFrame, keys: list[str], max_rounds: int = 60
             out = j.select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(low.select(*keys, "u", F.col("_m").alias("v")))
         return out.filter("u <> v").distinct()
 
-    for _ in range(max_rounds):
+    while True:
         nxt = cut_lineage(star(star(e, True), False))
         same = nxt.join(e, [*keys, "u", "v"], "left_anti").isEmpty() and e.join(nxt, [*keys, "u", "v"], "left_anti").isEmpty()
         e = nxt
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle in the allowed rounds")
     roots = e.groupBy(*keys, "u").agg(F.min("v").alias("component"))
     return vertices.join(roots, [*keys, "u"], "left").withColumn("component", F.coalesce("component", F.col("u")))
 
@@ -56,7 +54,7 @@ def directed_edges(edges: DataFrame) -> DataFrame:
     return d.withColumn("heading", heading).withColumn("eid", F.struct("x0", "y0", "heading"))
 
 
-def bounded_faces(segments: DataFrame, bucket: float = 64, max_rounds: int = 40) -> DataFrame:
+def bounded_faces(segments: DataFrame, bucket: float = 64) -> DataFrame:
     """Faces with positive area of each page's line arrangement.
 
     At a vertex the walk turns to the first free heading among incoming + 1,
@@ -64,24 +62,22 @@ def bounded_faces(segments: DataFrame, bucket: float = 64, max_rounds: int = 40)
     edge the smallest edge of its cycle in log2(length) rounds. Returns one
     row per face; ``face_edges`` keeps the boundary in long form.
     """
-    return face_summary(face_edges(segments, bucket, max_rounds))
+    return face_summary(face_edges(segments, bucket))
 
 
-def face_edges(segments: DataFrame, bucket: float = 64, max_rounds: int = 40) -> DataFrame:
+def face_edges(segments: DataFrame, bucket: float = 64) -> DataFrame:
     d = directed_edges(atomic_edges(segments, bucket))
     out = d.select("page_id", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("heading").alias("h2"), F.col("eid").alias("next"))
     turn = F.element_at(F.array(*[F.lit(v) for v in (1, 0, 3, 2)]), ((F.col("h2") - F.col("heading") + 4) % 4 + 1).cast("int"))
     nxt = d.join(out, ["page_id", "x1", "y1"]).groupBy("page_id", "eid").agg(F.min_by("next", turn).alias("ptr"))
     state = cut_lineage(nxt.withColumn("low", F.least("eid", "ptr")))
-    for _ in range(max_rounds):
+    while True:
         hop = state.select("page_id", F.col("eid").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
         new = cut_lineage(state.join(hop, ["page_id", "ptr"]).select("page_id", "eid", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
         done = new.filter("moved").isEmpty()
         state = new.drop("moved")
         if done:
             break
-    else:
-        raise RuntimeError("face cycles did not settle in the allowed rounds")
     return d.join(state.select("page_id", "eid", F.col("low").alias("face")), ["page_id", "eid"])
 
 
@@ -146,7 +142,7 @@ def nested_polygons(polygons: DataFrame, bucket: float = 64) -> DataFrame:
     return bad.select("page_id", "outer", "inner")
 
 
-def greedy_bands(walls: DataFrame, keys: list[str], tol: float = 16, max_rounds: int = 200) -> DataFrame:
+def greedy_bands(walls: DataFrame, keys: list[str], tol: float = 16) -> DataFrame:
     """Band founders and members as if walls joined in id order.
 
     A wall founds a band unless an earlier founder lies within ``tol``. Only
@@ -160,7 +156,7 @@ def greedy_bands(walls: DataFrame, keys: list[str], tol: float = 16, max_rounds:
     other = lambda f: f.select(*keys, F.col("fixed").alias("o_fixed"), F.col("wall_id").alias("o_id"))
     links = cut_lineage(pair(first, other(first)).filter("o_id < wall_id").select(*keys, "wall_id", "o_id"))
     open_, founders = cut_lineage(first), None
-    for _ in range(max_rounds):
+    while True:
         live = links.join(open_.select(*keys, "wall_id"), [*keys, "wall_id"], "left_semi").join(open_.select(*keys, F.col("wall_id").alias("o_id")), [*keys, "o_id"], "left_semi")
         new = open_.join(live.select(*keys, "wall_id").distinct(), [*keys, "wall_id"], "left_anti")
         founders = new if founders is None else founders.unionByName(new)
@@ -169,14 +165,12 @@ def greedy_bands(walls: DataFrame, keys: list[str], tol: float = 16, max_rounds:
         open_ = cut_lineage(open_.join(struck, [*keys, "wall_id"], "left_anti"))
         if open_.isEmpty():
             break
-    else:
-        raise RuntimeError("bands did not settle in the allowed rounds")
     near = pair(walls, other(founders)).filter("o_id <= wall_id")
     best = near.groupBy(*keys, "wall_id").agg(F.min(F.struct(F.abs(F.col("fixed") - F.col("o_fixed")).alias("d"), "o_id", "o_fixed")).alias("m"))
     return best.select(*keys, "wall_id", F.col("m.o_id").alias("band_founder"), F.col("m.o_fixed").alias("band_fixed"))
 
 
-def snap_endpoints(lines: DataFrame, snap: float, max_rounds: int = 100) -> DataFrame:
+def snap_endpoints(lines: DataFrame, snap: float) -> DataFrame:
     """Line ends snapped to the unique nearest perpendicular line.
 
     Lines move in id order and later lines see moved ones. A line's axis never
@@ -192,7 +186,7 @@ def snap_endpoints(lines: DataFrame, snap: float, max_rounds: int = 100) -> Data
     pairs = range_join(ends, target, ["page_id", "orientation"], (F.col("p") - snap, F.col("p") + snap), (F.col("t_at"), F.col("t_at")), max(4 * snap, 1))
     pairs = cut_lineage(pairs.withColumn("d", F.abs(F.col("t_at") - F.col("p"))).filter(F.col("d").between(1e-12, snap)).drop("orientation"))
     state = base.select("page_id", "line_id", F.col("axis_start").alias("s"), F.col("axis_end").alias("e"))
-    for _ in range(max_rounds):
+    while True:
         now = state.select("page_id", F.col("line_id").alias("t_id"), F.col("s").alias("t_s"), F.col("e").alias("t_e"))
         j = pairs.join(now, ["page_id", "t_id"])
         moved = F.col("t_id") < F.col("line_id")
@@ -206,8 +200,6 @@ def snap_endpoints(lines: DataFrame, snap: float, max_rounds: int = 100) -> Data
         state = new
         if same:
             break
-    else:
-        raise RuntimeError("snapping did not settle in the allowed rounds")
     return base.join(state, ["page_id", "line_id"]).select("page_id", "line_id", "orientation", "fixed", F.col("s").alias("axis_start"), F.col("e").alias("axis_end"),
                                                            ((F.col("s") != F.col("axis_start")) | (F.col("e") != F.col("axis_end"))).alias("snapped"))
 

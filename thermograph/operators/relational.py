@@ -250,7 +250,7 @@ def disambiguate_names(df: DataFrame, base: str, report: str) -> DataFrame:
         "display_name", F.when(F.col("_n") > 1, F.concat(F.col(base), F.lit("（"), rid, F.lit("）"))).otherwise(F.col(base))).drop("_b", "_n")
 
 
-def allocate_unique_names(df: DataFrame, used: DataFrame, keys: list[str], base: str, order: str, tile_rows: int = 100_000, max_rounds: int = 20) -> DataFrame:
+def allocate_unique_names(df: DataFrame, used: DataFrame, keys: list[str], base: str, order: str, tile_rows: int = 100_000) -> DataFrame:
     """Give each row ``base``, ``base1``, ``base2`` … avoiding taken names.
 
     The n-th row of a base takes its n-th free name, found by numbering both
@@ -275,7 +275,7 @@ def allocate_unique_names(df: DataFrame, used: DataFrame, keys: list[str], base:
         return cand.join(stems, g, "left_semi").select(*g, "_i").distinct()
 
     blocked = blocked_of(used.select(*keys, X.clean(F.col("name")).alias("_name")).filter("_name <> ''"))
-    for _ in range(max_rounds):
+    while True:
         sizes = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
         holes = blocked.groupBy(*g).agg(F.count(F.lit(1)).alias("_m"))
         slots = (sizes.join(holes, g, "left").select(*g, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") + F.coalesce("_m", F.lit(0)) - 1)).alias("_i"))
@@ -287,8 +287,6 @@ def allocate_unique_names(df: DataFrame, used: DataFrame, keys: list[str], base:
         if losers.isEmpty():
             break
         blocked = cut_lineage(blocked.unionByName(losers).distinct())
-    else:
-        raise RuntimeError("names still collide after the allowed rounds")
     return named.select(*df.columns, "allocated_name")
 
 

@@ -7,6 +7,10 @@ that both start from the same rows and differ only in the operator.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 
 from thermograph.functions import climate as dims
@@ -88,11 +92,18 @@ SELECT p_size % 10 AS page_id, p_partkey AS region_id, p_partkey % 2 AS snapshot
  10 + p_size AS w, 8 + p_size AS h FROM part"""
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the raw tables as temporary views."""
+_NAMED = re.compile(r"\b(" + "|".join(TABLES) + r")\b")
+_LOADED = WeakKeyDictionary()
+
+
+def load_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] = TABLES) -> None:
+    """Register raw tables as temporary views, each once per session and folder."""
     tune_session(spark)
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    loaded = _LOADED.setdefault(spark, {})
+    for t in names:
+        if loaded.get(t) != sf_dir or not spark.catalog.tableExists(t):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            loaded[t] = sf_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +112,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    load_tables(spark, sf_dir)
+    load_tables(spark, sf_dir, sorted(set(_NAMED.findall(VIEWS[name]))))
     return spark.sql(VIEWS[name])
 
 

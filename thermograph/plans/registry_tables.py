@@ -158,8 +158,8 @@ SELECT p.report_id, arg_min(v, pos) FILTER (WHERE t = 'thermal_resistance_r') AS
 FROM p JOIN ej USING (report_id) JOIN rj USING (report_id) GROUP BY p.report_id""", ("v_params",))
 add("A6_first_u_parameter", lambda s, d: O.first_u_parameter(_params(s, d)).select("report_id", "pos", "value"), _PARAMS_SQL + """
 SELECT report_id, min(pos) AS pos, arg_min(raw, pos) AS value FROM p WHERE t = 'thermal_transmittance_u' GROUP BY report_id""", ("v_params",))
-add("A7_text_concat_per_report", lambda s, d: O.text_concat_per_report(A.view(s, d, "v_meta").select("report_id", "pos", F.substring(c("value"), 1, 60).alias("text")), limit_rows=3, max_chars=100), r"""
-, t AS (SELECT report_id, pos, trim(regexp_replace(substr(value, 1, 60), '[\s\p{Z}]+', ' ', 'g')) AS t FROM v_meta), r AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS n FROM t WHERE t <> '')
+add("A7_text_concat_per_report", lambda s, d: O.text_concat_per_report(A.view(s, d, "v_meta").select("report_id", "pos", c("value").alias("text")), limit_rows=3, max_chars=100), r"""
+, t AS (SELECT report_id, pos, trim(regexp_replace(value, '[\s\p{Z}]+', ' ', 'g')) AS t FROM v_meta), r AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS n FROM t WHERE t <> '')
 SELECT report_id, substr(string_agg(t, ' ' ORDER BY pos), 1, 100) AS text FROM r WHERE n <= 3 GROUP BY report_id""", ("v_meta",))
 add("A8_dedupe_keep_first", lambda s, d: O.keep_first(A.view(s, d, "v_lines").select("line_id", "subject", "param", "number_text"), ["subject", "param"], ["line_id"]),
     "SELECT min(line_id) AS line_id, subject, param, arg_min(number_text, line_id) AS number_text FROM v_lines GROUP BY subject, param", ("v_lines",))
@@ -208,8 +208,8 @@ add("O1_source_rank_order", lambda s, d: L.ranked_options(A.view(s, d, "v_option
     "SELECT id, category, CASE source WHEN 'Brand#1' THEN 0 WHEN 'Brand#2' THEN 1 ELSE 2 END::BIGINT AS source_rank FROM v_options", ("v_options",))
 add("O2_category_order", lambda s, d: _fine_view(s, d).select("line_id", P.category_order(c("fine_category")).cast("bigint").alias("ord"), "confidence").orderBy("ord", "confidence", "line_id"),
     _FINE + f", fin AS ({_FINE_SEL}) SELECT line_id, (list_position([{', '.join(q(x) for x in R.FINE_CATEGORIES)}], fine_category) - 1)::BIGINT AS ord, confidence FROM fin", ("v_lines",))
-add("O3_score_desc_order", lambda s, d: P.offset_limit(A.view(s, d, "v_reports").select("id", "created_at", "total_energy"), [c("created_at").desc(), c("id").desc()], 0, 100),
-    "SELECT id, created_at, total_energy FROM v_reports ORDER BY created_at DESC, id DESC LIMIT 100", ("v_reports",))
+add("O3_score_desc_order", lambda s, d: A.view(s, d, "v_reports").select("id", "created_at", "total_energy").orderBy(c("created_at").desc(), c("id").desc()),
+    "SELECT id, created_at, total_energy FROM v_reports ORDER BY created_at DESC, id DESC", ("v_reports",))
 add("O4_offset_limit", lambda s, d: P.offset_limit(A.view(s, d, "v_reports").select("id", "username"), ["id"], 50, 25), "SELECT id, username FROM v_reports ORDER BY id LIMIT 25 OFFSET 50", ("v_reports",))
 add("U1_union_sources", lambda s, d: O.union_sources(A.table(s, d, "supplier").select(c("s_name").alias("name"), c("s_acctbal").alias("bal")), A.table(s, d, "customer").select(c("c_name").alias("name"), c("c_mktsegment").alias("seg"))).groupBy("seg").agg(F.count("*").alias("n"), F.count("bal").alias("n_bal")),
     "SELECT seg, count(*) AS n, count(bal) AS n_bal FROM (SELECT s_name AS name, s_acctbal AS bal, NULL::VARCHAR AS seg FROM supplier UNION ALL SELECT c_name, NULL, c_mktsegment FROM customer) GROUP BY seg")

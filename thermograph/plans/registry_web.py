@@ -37,7 +37,7 @@ WITH u AS (SELECT doc_id, trim(regexp_replace(unnest(regexp_split_to_array(text,
 
 def _seed_pages(s, d):
     """Every page with one more link whose text and suffix name a source."""
-    j = A.view(s, d, "v_lines").filter("line_id < 100000").select(c("line_id").alias("page_id"), "subject", "param")
+    j = A.view(s, d, "v_lines").select(c("line_id").alias("page_id"), "subject", "param")
     p = pages(s, d).join(j, "page_id")
     return p.select("page_id", "url", F.concat("html", F.lit('<a href="../doc/file'), c("page_id").cast("string"), F.lit('.pdf">'), "subject", F.lit(" <b>"), "param", F.lit("</b></a>")).alias("html"))
 

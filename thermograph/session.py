@@ -19,7 +19,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to shared storage before running iterative operators")
         named = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(named)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str], mode: str = "overwrite") -> None:
-    """Listed columns in order, others ignored; absent ones become blank."""
-    cols = [F.col(f) if f in df.columns else F.lit("").alias(f) for f in fields]
+    """Listed columns in order, others ignored; absent ones become blank.
+
+    Each file starts with a byte-order mark, in front of the header.
+    """
+    cols = [(F.col(f) if f in df.columns else F.lit("")).alias("\ufeff" * (i == 0) + f) for i, f in enumerate(fields)]
     df.select(*cols).write.mode(mode).option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,21 +24,27 @@ def string_schema(fields: list[str]) -> T.StructType:
     return T.StructType([T.StructField(f, T.StringType()) for f in fields])
 
 
-def read_string_csv(spark: SparkSession, paths: str | list[str], fields: list[str]) -> DataFrame:
+def read_string_csv(spark: SparkSession, paths: str | list[str], fields: list[str], multi_line: bool = True) -> DataFrame:
     """Header CSV with every column a string; no file means no rows.
 
-    The reader drops a leading byte-order mark; columns are matched by header
-    name, so files may order them differently.
+    A leading byte-order mark is dropped. Columns are matched by header name:
+    files are grouped by their first line, and each group is read with its own
+    header. The driver holds one path per file, as it does for any listing.
     """
     try:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(paths)
+        heads = spark.read.text(paths).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value").filter("b = 0")
+        heads = heads.groupBy("p").agg(F.min_by("value", "i").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("p")).alias("files")).orderBy("head").collect()
     except Exception as e:  # an absent path is an empty source
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], string_schema(fields))
         raise
-    names = {c.replace("\ufeff", ""): c for c in raw.columns}
-    return raw.select(*[(F.col(f"`{names[f]}`") if f in names else F.lit(None)).cast("string").alias(f) for f in fields],
-                      F.col("_metadata.file_path").alias("file_path"))
+    out = None
+    for row in heads:
+        raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", "UTF-8").csv([unquote(f) for f in row["files"]])
+        names = {c.replace("\ufeff", ""): c for c in raw.columns}
+        part = raw.select(*[(F.col(f"`{names[f]}`") if f in names else F.lit(None)).cast("string").alias(f) for f in fields], F.col("_metadata.file_path").alias("file_path"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], string_schema([*fields, "file_path"])) if out is None else out
 
 
 def scan_report_folders(spark: SparkSession, root: str, kind: str, fields: list[str]) -> DataFrame:
@@ -72,7 +79,7 @@ _ESCAPE = {"\\'": "'", "\\\\": "\\", "\\n": "\n", "\\r": "\r", "\\t": "\t"}
 
 def _tuples(text: str):
     """(fields) of each tuple of one INSERT body; NULL becomes blank."""
-    fields, current, depth = [], None, 0
+    fields, current, depth, closed = [], None, 0, -1
     for m in _TOKEN.finditer(text):
         if m.group(3) == "(":
             depth += 1
@@ -88,7 +95,9 @@ def _tuples(text: str):
                 current = ""
         elif depth:
             if m.group(1) is not None:
-                current = re.sub(r"\\['\\nrt]", lambda e: _ESCAPE[e.group(0)], m.group(1))
+                # A quote right behind a closed string is a doubled one inside it.
+                current += "'" * (m.start() == closed) + re.sub(r"\\['\\nrt]", lambda e: _ESCAPE[e.group(0)], m.group(1))
+                closed = m.end()
             elif m.group(2).strip():
                 word = m.group(2).strip()
                 current = "" if word.upper() == "NULL" else word

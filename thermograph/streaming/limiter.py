@@ -22,14 +22,14 @@ class Limits:
 
 
 def _step(counters: dict, keys: list[tuple], now: float, window: float) -> tuple[bool, int]:
-    """Charge all keys or none; ``counters`` maps key -> (count, expiry)."""
-    retry = 0
+    """Charge all keys or none; ``counters`` maps key -> (count, expiry).
+
+    The wait is that of the first full limit in the order of ``keys``.
+    """
     for key, limit in keys:
         count, expires = counters.get(key, (0, 0.0))
         if expires > now and count >= limit:
-            retry = max(retry, max(1, int(expires - now + 1)))
-    if retry:
-        return False, retry
+            return False, max(1, int(expires - now + 1))
     for key, _ in keys:
         count, expires = counters.get(key, (0, 0.0))
         counters[key] = (count + 1, expires) if expires > now else (1, now + window)
