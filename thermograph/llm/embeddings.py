@@ -29,15 +29,15 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Vectors that can link, as bytes of doubles scaled by a power of two (no overflow in squares)."""
-    for df in batches:
-        out = []
-        for v in df["embedding"]:
-            x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
-            ok = x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
-            out.append(np.ldexp(x, -math.frexp(float(np.abs(x).max()))[1]).tobytes() if ok else None)
-        yield pd.DataFrame({"vec_id": df["vec_id"], "v": out})
+@F.pandas_udf("binary")
+def packed(vectors: pd.Series) -> pd.Series:
+    """Vectors that can link, as bytes of doubles scaled by a power of two (no overflow in squares); else null."""
+    out = []
+    for v in vectors:
+        x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
+        ok = x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
+        out.append(np.ldexp(x, -math.frexp(float(np.abs(x).max()))[1]).tobytes() if ok else None)
+    return pd.Series(out, dtype=object)
 
 
 def _tile(cosine: float):
@@ -72,9 +72,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     least vec_id that links reach; repeated rows are copies. Labels and other
     columns are ignored.
     """
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    packed = spill(vectors.select("vec_id", "embedding").mapInPandas(_pack, f"vec_id {kind}, v binary"))
-    distinct = spill(packed.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id")))
+    rows = spill(vectors.select("vec_id", packed("embedding").alias("v")))
+    distinct = spill(rows.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id")))
     radius = math.sqrt(2 - 2 * cosine) * (1 + 1e-9) + 1e-9
     sizes = {r["d"]: r["n"] for r in distinct.groupBy(F.octet_length("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     found = None
@@ -82,14 +81,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         own = _cells_join(distinct.filter(F.octet_length("v") == width), n, cosine, radius)
         found = own if found is None else found.unionByName(own)
     if found is None:
-        return packed.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = spill(found)
     roots = components(found.filter("v != root").select(F.col("v").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     classed = spill(distinct.join(links, "v", "left").join(roots, "v", "left").select("v", "copies", "vec_id", "links", F.coalesce("root", "v").alias("root")))
     least = spill(classed.groupBy("root").agg(F.min("vec_id").alias("component_id")))
     known = spill(classed.join(least, "root").select("v", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    out = packed.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = rows.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -64,13 +64,12 @@ def band_hashes(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        texts = df["text"].tolist()
-        has = np.array([bool((t or "").encode().split()) for t in texts], bool)
-        bands = band_hashes(texts).view(np.int64)
-        n = shingles(texts)[1][has]
-        yield pd.DataFrame({"doc_id": df["doc_id"][has], "v": df["v"][has], "n": n, "bands": list(bands)})
+@F.pandas_udf("array<bigint>")
+def signature(texts: pd.Series) -> pd.Series:
+    """The number of shingles and the band hashes of each text; null without words."""
+    found = texts.tolist()
+    bands = iter(band_hashes(found).view(np.int64))
+    return pd.Series([[int(n), *next(bands)] if n else None for n in shingles(found)[1]], dtype=object)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,12 +135,11 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     all texts of their cluster besides. Exact copies are one vertex.
     """
     keyed = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("v")).filter("text IS NOT NULL")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = small_batches(keyed).mapInPandas(_signatures, f"doc_id {kind}, v binary, n bigint, bands array<bigint>")
-    texts = spill(signed.groupBy("v", "doc_id").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-                  .groupBy("v").agg(F.sum("same").alias("copies"), F.min_by(F.struct("doc_id", "same"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("own"),
-                                    F.first("n").alias("n"), F.first("bands").alias("bands")))
-    banded = texts.select("v", F.posexplode("bands").alias("band", "h"))
+    signed = small_batches(keyed).select("doc_id", "v", signature("text").alias("bands")).filter("bands IS NOT NULL")
+    texts = spill(signed.groupBy("v", "doc_id").agg(F.count("*").alias("same"), F.first("bands").alias("bands"))
+                  .groupBy("v").agg(F.sum("same").alias("copies"), F.min_by(F.struct("doc_id", "same"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("own"), F.first("bands").alias("bands"))
+                  .withColumn("n", F.col("bands")[0]))
+    banded = texts.select("v", F.posexplode(F.expr("slice(bands, 2, size(bands) - 1)")).alias("band", "h"))
     shared = spill(banded.groupBy("band", "h").agg(F.min("v").alias("least"), F.count("*").alias("size")).filter("size > 1").select("band", "h", "least"))
     star = banded.join(shared, ["band", "h"]).select(F.col("v").alias("a"), F.col("least").alias("b"))
     cluster = components(star)

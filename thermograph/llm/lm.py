@@ -41,8 +41,7 @@ def _pairs(words: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> tuple[
 
 def token_chunks(docs: DataFrame, learn: str) -> DataFrame:
     """Chunks of whole documents as sorted word hashes and token streams."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk bigint, doc_ids array<{kind}>, learn binary, lengths binary, words binary, stream binary"
+    schema = "chunk bigint, doc_ids array<string>, learn binary, lengths binary, words binary, stream binary"
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -75,7 +74,7 @@ def token_chunks(docs: DataFrame, learn: str) -> DataFrame:
         if ids:
             yield close()
 
-    return small_batches(docs).select("doc_id", "text", F.expr(learn).alias("learn")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("string"), "text", F.expr(learn).alias("learn")).mapInArrow(run, schema)
 
 
 def _blocks(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -185,7 +184,7 @@ def score_documents(docs: DataFrame, learn: str = "true") -> DataFrame:
                              "train_tokens": n_train, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _per_chunk(chunks, values, buckets, score, f"doc_id {kind}, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return _per_chunk(chunks, values, buckets, score, "doc_id string, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,10 +199,10 @@ def encode_documents(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = F.char_length(F.coalesce("text", F.lit("")))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            m = model_of(model)
-            yield pd.DataFrame({"doc_id": df["doc_id"], "ids": [m.encode(marked(t)) for t in df["text"]]})
+    @F.pandas_udf("binary")
+    def whole(texts: pd.Series) -> pd.Series:
+        m = model_of(model)
+        return pd.Series([m.encode(marked(t)) for t in texts], dtype=object)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -214,9 +214,9 @@ def encode_documents(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS
                     yield pd.DataFrame({"uid": [uid], "doc_id": pd.Series([key], dtype=object), "k": [k], "n": [-(-len(t) // step)], "body": [t[at:at + step]], "ahead": [t[at + step:at + step + m.longest - 1]]})
 
     docs = small_batches(docs.select("doc_id", "text"))
-    short = docs.filter(size <= chunk_chars).mapInPandas(whole, f"doc_id {kind}, ids binary")
-    giant = docs.filter(size > chunk_chars).withColumn("uid", F.expr("uuid()"))
-    chunks = spill(giant.mapInPandas(split, f"uid string, doc_id {kind}, k int, n int, body string, ahead string"))
+    short = docs.filter(size <= chunk_chars).select("doc_id", whole("text").alias("ids"))
+    giant = docs.filter(size > chunk_chars).select(F.expr("uuid()").alias("uid"), F.col("doc_id").cast("string"), "text")
+    chunks = spill(giant.mapInPandas(split, "uid string, doc_id string, k int, n int, body string, ahead string"))
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -274,9 +274,9 @@ def encode_documents(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS
 
     begun = chunks.join(entries, ["uid", "k"])
     leaves = spill(begun.select("uid", "k", "body", "ahead", "entry").mapInPandas(ways, "uid string, k int, ways array<int>").groupBy("uid").applyInPandas(back, "uid string, k int, leave int"))
-    traced = begun.join(leaves, ["uid", "k"]).select("uid", "doc_id", "k", "body", "ahead", "entry", "leave").mapInPandas(paths, f"uid string, doc_id {kind}, k int, ids binary")
+    traced = begun.join(leaves, ["uid", "k"]).select("uid", "doc_id", "k", "body", "ahead", "entry", "leave").mapInPandas(paths, "uid string, doc_id string, k int, ids binary")
     joined = traced.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    return short.unionByName(joined.select("doc_id", F.expr("aggregate(parts, CAST('' AS BINARY), (a, x) -> concat(a, x.ids))").alias("ids")))
+    return short.unionByName(joined.select(F.col("doc_id").cast(kind), F.expr("aggregate(parts, CAST('' AS BINARY), (a, x) -> concat(a, x.ids))").alias("ids")))
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
