@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thermograph.llm.common import spill, table
 from thermograph.llm.graph import components, forest
@@ -29,7 +30,7 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed(vectors: pd.Series) -> pd.Series:
     """Vectors that can link, as bytes of doubles scaled by a power of two (no overflow in squares); else null."""
     out = []

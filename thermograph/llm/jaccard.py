@@ -15,6 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thermograph.llm.common import spill, table
 from thermograph.llm.graph import components, forest
@@ -64,7 +65,7 @@ def band_hashes(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def signature(texts: pd.Series) -> pd.Series:
     """The number of shingles and the band hashes of each text; null without words."""
     found = texts.tolist()
