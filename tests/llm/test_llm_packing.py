@@ -99,7 +99,7 @@ def test_vectors_equal_plain_version(spark, monkeypatch):
     least = defaultdict(list)
     for (vec, _), r in zip(rows, root):
         least[r].append(vec)
-    want = [(vec, sum(x), min((v for v in least[r] if v is not None), default=None)) for (vec, _), x, r in zip(rows, linked, root)]
+    want = [(vec, int(sum(x)), min((v for v in least[r] if v is not None), default=None)) for (vec, _), x, r in zip(rows, linked, root)]
     got = embeddings.near_vectors(table).collect()
     assert sorted(map(repr, want)) == sorted(repr((r.vec_id, r.n_links, r.component_id)) for r in got)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
