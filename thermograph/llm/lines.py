@@ -36,10 +36,10 @@ def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     """(key, i) of the windows that are no first occurrence, in order of doc_id (null last) and place."""
     every = spill(windows(docs, run))
     again = spill(every.select("f", "key", "p").distinct().groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"))
-    near = spill(every.join(again, "f").select("key", "doc_id", "i", "w1", "w2"))
+    near = spill(every.join(again.hint("merge"), "f").select("key", "doc_id", "i", "w1", "w2"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "i")
     first = spill(near.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "first"))
-    return near.join(first, ["w1", "w2"]).filter(~place.eqNullSafe(F.col("first"))).select("key", "i")
+    return near.join(first.hint("merge"), ["w1", "w2"]).filter(~place.eqNullSafe(F.col("first"))).select("key", "i")
 
 
 def drop_repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -55,7 +55,7 @@ def drop_repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     gone = spill(repeated_windows(docs, run).groupBy("key").agg(F.collect_set("i").alias("starts")))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    packed = docs.select(row_key("doc_id", "text").alias("key"), "text", F.struct(*rest, F.lit(0).alias("__pad")).alias("row")).join(gone, "key", "left")
+    packed = docs.select(row_key("doc_id", "text").alias("key"), "text", F.struct(*rest, F.lit(0).alias("__pad")).alias("row")).join(gone.hint("merge"), "key", "left")
     cut = packed.selectExpr("row", "text", "starts", "split(text, '\\n') AS l").selectExpr("*", f"filter(transform(l, (x, j) -> CASE WHEN x {HAS_WORD} THEN j END), j -> j IS NOT NULL) AS at")
     cut = cut.selectExpr("*", f"CASE WHEN starts IS NOT NULL THEN array_distinct(flatten(transform(starts, s -> slice(at, s + 1, {run})))) END AS out")
     kept = "CASE WHEN out IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(l) - 1), out), j -> l[j]), '\\n') END"
