@@ -35,19 +35,19 @@ def islands(df: DataFrame, keys: list[str], start: str = "axis_start", end: str
     of the axis, and one small row per tile carries the state across tiles, so
     no task ever holds a whole key.
     """
-    base = df.groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e"), F.count(F.lit(1)).alias("n_rows"))
-    base = base.withColumn("_t", F.floor(F.col("_s") / tile))
+    c = F.col
+    base = df.groupBy(*keys, c(start).alias("_s")).agg(F.max(end).alias("_e"), F.count(F.lit(1)).alias("n_rows"))
     inside = W.partitionBy(*keys, "_t").orderBy("_s")
     across = W.partitionBy(*keys).orderBy("_t").rowsBetween(W.unboundedPreceding, -1)
-    rows = base.withColumn("_before", F.max("_e").over(inside.rowsBetween(W.unboundedPreceding, -1)))
-    tiles = base.groupBy(*keys, "_t").agg(F.max("_e").alias("_m"))
-    rows = rows.join(tiles.select(*keys, "_t", F.max("_m").over(across).alias("_carry")), [*keys, "_t"])
-    prev = F.greatest("_before", "_carry")
-    rows = rows.withColumn("_new", F.when(prev.isNull() | (F.col("_s") > prev + tol), F.col("_s")))
-    heads = rows.groupBy(*keys, "_t").agg(F.max("_new").alias("_m"))
-    rows = rows.withColumn("_head", F.max("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.join(heads.select(*keys, "_t", F.max("_m").over(across).alias("_open")), [*keys, "_t"])
-    return rows.select(*keys, F.col("_s").alias(start), F.col("_e").alias(end), "n_rows", F.coalesce("_head", "_open").alias("island_start"))
+    rows = base.withColumn("_t", F.floor(c("_s") / tile)).withColumn("_before", F.max("_e").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("_local", F.when(c("_before").isNull() | (c("_s") > c("_before") + tol), c("_s")))
+    # The sum keeps both uses of ``rows`` the same below their shuffle, which is then made once.
+    tiles = rows.groupBy(*keys, "_t").agg(F.max("_e").alias("_m"), F.max("_local").alias("_h"), F.sum("n_rows").alias("_n")).filter("_n > 0").withColumn("_carry", F.max("_m").over(across))
+    begins = c("_carry").isNull() | (c("_h") > c("_carry") + tol)
+    tiles = tiles.withColumn("_open", F.max(F.when(begins, c("_h"))).over(across)).select(*keys, "_t", "_carry", "_open")
+    rows = rows.join(tiles, [*keys, "_t"])
+    rows = rows.withColumn("_head", F.max(F.when(c("_carry").isNull() | (c("_local") > c("_carry") + tol), c("_local"))).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.select(*keys, c("_s").alias(start), c("_e").alias(end), "n_rows", F.coalesce("_head", "_open").alias("island_start"))
 
 
 def merge_collinear(df: DataFrame, keys: list[str], start: str = "axis_start", end: str = "axis_end", tol: float = 0, tile: float = 64) -> DataFrame:

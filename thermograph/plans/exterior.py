@@ -51,19 +51,24 @@ def inferred_edge_checks(edges: DataFrame, pages: DataFrame) -> DataFrame:
     inference_type, orientation, axis_start, axis_end, length_px, on_boundary,
     anchor_ids, source_ids, inside_mean, outside_mean. ``pages``: page_id,
     short_side_px, perimeter_px, calculation_only. Calculation-only closures
-    skip the footprint and length tests.
+    skip the footprint and length tests, and their groups may have one or two
+    members whatever the type. A group has as many members as it declares, all
+    of one type; two members run both ways.
     """
     c = F.col
     e = edges.join(pages, "page_id")
     strict = ~c("calculation_only")
     own = F.filter(F.array(
         F.when(~c("on_boundary"), "edge_not_on_boundary"), F.when(F.abs(c("axis_end") - c("axis_start") - c("length_px")) > 1e-9, "length_mismatch"),
-        F.when(strict & (c("length_px") > c("short_side_px") * 0.10), "edge_too_long"), F.when(F.size(F.array_except("anchor_ids", "source_ids")) > 0, "anchor_not_a_source"),
+        F.when(strict & (c("length_px") > c("short_side_px") * 0.10), "edge_too_long"), F.when((F.size("anchor_ids") <= 0) | (F.size(F.array_except("anchor_ids", "source_ids")) > 0), "anchor_not_a_source"),
         F.when(~c("inference_type").isin("collinear_extension", "orthogonal_corner"), "unknown_type"),
-        F.when((c("inference_type") == "collinear_extension") & (c("edge_group_size") != 1) | (c("inference_type") == "orthogonal_corner") & (c("edge_group_size") != 2), "group_size"),
+        F.when(~c("edge_group_size").isin(1, 2) | strict & (c("edge_group_size") != F.when(c("inference_type") == "collinear_extension", 1).otherwise(2)), "group_size"),
         F.when(strict & ((c("inside_mean") < 0.50) | (c("inside_mean") - c("outside_mean") < 0.25)), "weak_footprint_evidence")), lambda x: x.isNotNull())
     per_edge = e.select("page_id", F.explode(own).alias("error"))
-    groups = D.group_complete(edges, edges).filter("NOT complete").select("page_id", F.lit("incomplete_group").alias("error"))
+    same = lambda k: F.min(k) == F.max(k)
+    groups = edges.groupBy("page_id", "edge_group_id").agg(
+        (same("edge_group_size") & same("inference_type") & (F.max("edge_group_size") == F.count(F.lit(1))) & ((F.max("edge_group_size") != 2) | (F.min("orientation") != F.max("orientation")))).alias("complete"))
+    groups = groups.filter("NOT complete").select("page_id", F.lit("incomplete_group").alias("error"))
     share = e.groupBy("page_id", "perimeter_px", "calculation_only").agg(F.sum("length_px").alias("l")).filter("NOT calculation_only AND l > perimeter_px * 0.12").select("page_id", F.lit("inferred_share_exceeded").alias("error"))
     errs = per_edge.unionByName(groups).unionByName(share).groupBy("page_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
     return pages.select("page_id").join(errs, "page_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
