@@ -322,6 +322,24 @@ def perpendicular_crossing_anti(gaps: DataFrame, walls: DataFrame, tol: float =
     return gaps.join(hit.select("page_id", "gap_key").distinct(), ["page_id", "gap_key"], "left_anti")
 
 
+def next_start(asks: DataFrame, starts: DataFrame, line: list[str], tile: float = 64) -> DataFrame:
+    """Each ask with the first start after its ``at`` on its line, as ``next`` (at, n, m); asks without one go.
+
+    Rows look ahead inside tiles of the line, and one row per tile carries the
+    first start of later tiles, so no task holds a whole line.
+    """
+    c = F.col
+    q = asks.withColumn("_ask", F.struct(*[x for x in asks.columns if x not in line and x != "at"])).select(*line, "at", "_ask", F.lit(None).cast(starts.select(F.struct("at", "n", "m").alias("s")).schema["s"].dataType).alias("_s"))
+    rows = q.unionByName(starts.select(*line, "at", F.lit(None).cast(q.schema["_ask"].dataType).alias("_ask"), F.struct("at", "n", "m").alias("_s"))).withColumn("_t", F.floor(c("at") / tile))
+    later = W.partitionBy(*line).orderBy("_t").rowsBetween(1, W.unboundedFollowing)
+    tiles = starts.groupBy(*line, F.floor(c("at") / tile).alias("_t")).agg(F.min(F.struct("at", "n", "m")).alias("_m"))
+    have = rows.select(*line, "_t").distinct().join(tiles, [*line, "_t"], "left")
+    carry = have.select(*line, "_t", F.min("_m").over(later).alias("_carry"))
+    ahead = W.partitionBy(*line, "_t").orderBy("at", c("_s").isNull()).rowsBetween(1, W.unboundedFollowing)
+    out = rows.withColumn("_next", F.min("_s").over(ahead)).filter("_ask IS NOT NULL").join(carry, [*line, "_t"])
+    return out.select(*line, "at", "_ask.*", F.coalesce("_next", "_carry").alias("next")).filter("next IS NOT NULL")
+
+
 def exterior_gaps(walls: DataFrame, roi: DataFrame, tol: float = 2, bucket: float = 64) -> DataFrame:
     """Gap from each merged wall to the nearest following one on its line.
 
@@ -330,14 +348,17 @@ def exterior_gaps(walls: DataFrame, roi: DataFrame, tol: float = 2, bucket: floa
     the gap; so do unequal axes or directions, a crossing wall, or an end
     outside the page region.
     """
-    r = walls.select("page_id", "orientation", F.col("wall_id").alias("r_id"), F.col("fixed").alias("r_fixed"), F.col("axis_start").alias("r_start"), F.col("inside_direction").alias("r_dir"))
-    # the nearest following start per near axis value, then the best of them:
-    # a tolerance of whole units has few axis values, so nothing fans out
-    near = walls.select("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction")
-    j = range_join(near, r, ["page_id", "orientation"], (F.col("fixed") - tol, F.col("fixed") + tol), (F.col("r_fixed"), F.col("r_fixed")), max(4 * tol, 1)).filter("r_start > axis_end AND r_id <> wall_id")
-    first = j.groupBy("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction", "r_start").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("r_id", "r_fixed", "r_dir")).alias("m"))
-    best = first.groupBy("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction").agg(F.min(F.struct("r_start", "n", "m")).alias("b"))
+    # Walls look along each axis value near their own; a value holds one row per start.
+    line = ["page_id", "orientation", "r_fixed"]
+    values = walls.select("page_id", "orientation", "fixed").distinct()
+    near = range_join(values, values.withColumnRenamed("fixed", "r_fixed"), ["page_id", "orientation"], (F.col("fixed") - tol, F.col("fixed") + tol), (F.col("r_fixed"), F.col("r_fixed")), max(4 * tol, 1))
+    starts = walls.groupBy("page_id", "orientation", F.col("fixed").alias("r_fixed"), F.col("axis_start").alias("at")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("wall_id").alias("r_id"), F.col("inside_direction").alias("r_dir"))).alias("m"))
+    asks = walls.select("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction").join(near, ["page_id", "orientation", "fixed"])
+    first = next_start(asks.withColumn("at", F.col("axis_end")), starts, line, bucket)
+    found = first.select("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction", F.col("next.at").alias("r_start"), F.col("next.n").alias("n"), F.struct("next.m.r_id", "r_fixed", "next.m.r_dir").alias("m"))
+    tied = found.groupBy("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction", "r_start").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
+    best = tied.groupBy("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction").agg(F.min(F.struct("r_start", "n", "m")).alias("b"))
     g = best.select("page_id", "orientation", "wall_id", "fixed", "inside_direction", F.col("axis_end").alias("gap_start"), F.col("b.r_start").alias("gap_end"), F.col("b.n").alias("n"),
                     F.col("b.m.r_id").alias("r_id"), F.col("b.m.r_fixed").alias("r_fixed"), F.col("b.m.r_dir").alias("r_dir"), F.col("wall_id").alias("gap_key"))
     free = perpendicular_crossing_anti(g, walls, tol, bucket).select("page_id", "gap_key", F.lit(True).alias("_free"))
