@@ -73,7 +73,7 @@ SELECT k.page_id, k.orientation, min(axis) AS axis_min, max(axis) AS axis_max, c
 
 
 def _walls(s, d):
-    m = I.merge_collinear(seg(s, d).filter("seg_id % 10 < 3"), _KEYS)
+    m = I.merge_collinear(seg(s, d), _KEYS)
     return m.withColumns({"wall_id": F.concat_ws(":", "orientation", "fixed", "axis_start"), "inside_direction": F.when(c("orientation") == "horizontal", F.when(c("fixed") % 2 == 0, "up").otherwise("down")).otherwise(F.when(c("fixed") % 2 == 0, "left").otherwise("right"))})
 
 
@@ -81,7 +81,7 @@ def _roi(s, d):
     return seg(s, d).select("page_id").distinct().select("page_id", F.lit(10).alias("left"), F.lit(10).alias("top"), F.lit(600).alias("right"), F.lit(440).alias("bottom"))
 
 
-_WALLS = _isl("page_id, orientation, fixed", 0, "(SELECT * FROM v_segments WHERE seg_id % 10 < 3)") + """
+_WALLS = _isl("page_id, orientation, fixed", 0, "v_segments") + """
 , w AS (SELECT page_id, orientation, fixed, min(axis_start) AS axis_start, max(axis_end) AS axis_end, orientation || ':' || fixed || ':' || min(axis_start) AS wall_id,
  CASE WHEN orientation = 'horizontal' THEN CASE WHEN fixed % 2 = 0 THEN 'up' ELSE 'down' END ELSE CASE WHEN fixed % 2 = 0 THEN 'left' ELSE 'right' END END AS dir FROM b GROUP BY page_id, orientation, fixed, isl),
 p AS (SELECT l.*, r.wall_id AS r_id, r.fixed AS r_fixed, r.axis_start AS r_start, r.dir AS r_dir FROM w l JOIN w r ON l.page_id = r.page_id AND l.orientation = r.orientation AND r.wall_id <> l.wall_id AND abs(r.fixed - l.fixed) <= {tol} AND r.axis_start > l.axis_end),
@@ -114,8 +114,8 @@ add("J7_bridge_split_dimension", lambda s, d: D.bridge_split_dimension(spans(s,
 SELECT f.page_id, span_id, f_id, g.seg_id AS g_id, least(fa, g.axis_start) AS axis_start, CASE WHEN g.axis_start < fa THEN fz ELSE g.axis_end END AS axis_end FROM f JOIN v_segments g ON g.page_id = f.page_id AND g.orientation = f.direction AND abs(g.fixed - across) <= greatest(24, font_size * 3)
  AND g.axis_start BETWEEN t1 - 3 AND t1 + 12 AND g.axis_end > t1 AND g.seg_id <> f_id AND abs(g.fixed - ff) <= 1
 WHERE (CASE WHEN g.axis_start < fa THEN fa - g.axis_end ELSE g.axis_start - fz END) BETWEEN 0 AND t1 - t0 + 12 AND (CASE WHEN g.axis_start < fa THEN g.axis_end ELSE fz END) <= t0 + 3 AND (CASE WHEN g.axis_start < fa THEN fa ELSE g.axis_start END) >= t1 - 3""", _SP)
-add("J8_native_dimension_match", lambda s, d: D.native_dimension_match(spans(s, d).filter("span_id % 2 = 0"), seg(s, d)), """
-, c0 AS (SELECT p.page_id, span_id, s.seg_id, s.orientation, s.fixed, axis_start, axis_end, abs(s.fixed - across) AS dist FROM v_spans p JOIN v_segments s ON s.page_id = p.page_id AND s.orientation = p.direction AND span_id % 2 = 0 AND abs(s.fixed - across) <= 30 AND abs((axis_start + axis_end) / 2 - along) <= (axis_end - axis_start) * 0.65::DOUBLE),
+add("J8_native_dimension_match", lambda s, d: D.native_dimension_match(spans(s, d), seg(s, d)), """
+, c0 AS (SELECT p.page_id, span_id, s.seg_id, s.orientation, s.fixed, axis_start, axis_end, abs(s.fixed - across) AS dist FROM v_spans p JOIN v_segments s ON s.page_id = p.page_id AND s.orientation = p.direction AND abs(s.fixed - across) <= 30 AND abs((axis_start + axis_end) / 2 - along) <= (axis_end - axis_start) * 0.65::DOUBLE),
 k AS (SELECT DISTINCT page_id, seg_id, orientation, fixed, axis_start, axis_end FROM c0),
 e AS (SELECT k.page_id, k.seg_id, m.fixed AS mark_at, m.seg_id AS mid FROM k JOIN v_segments m ON m.page_id = k.page_id AND m.orientation <> k.orientation AND m.axis_end - m.axis_start <= 40 AND (abs(m.fixed - k.axis_start) <= 2 OR abs(m.fixed - k.axis_end) <= 2) AND k.fixed BETWEEN m.axis_start - 1 AND m.axis_end + 1),
 o AS (SELECT page_id, seg_id, arg_min(mid, mark_at * 1000000000000 + mid) AS first_marker, arg_max(mid, mark_at * 1000000000000 - mid) AS last_marker FROM e GROUP BY ALL HAVING max(mark_at) - min(mark_at) > 1),
@@ -124,8 +124,8 @@ SELECT page_id, span_id, seg_id, first_marker, last_marker FROM r WHERE rn = 1""
 add("J9_intersections", lambda s, d: D.intersections(seg(s, d)).groupBy("page_id", "h_id").agg(F.count("*").alias("crossings"), F.min("x").alias("x0"), F.max("x").alias("x1")),
     """SELECT h.page_id, h.seg_id AS h_id, count(*) AS crossings, min(v.fixed) AS x0, max(v.fixed) AS x1 FROM v_segments h JOIN v_segments v ON h.page_id = v.page_id AND h.orientation = 'horizontal' AND v.orientation = 'vertical'
  AND v.fixed BETWEEN h.axis_start AND h.axis_end AND h.fixed BETWEEN v.axis_start AND v.axis_end GROUP BY 1, 2""", SEG)
-add("J9_atomic_edges", lambda s, d: D.atomic_edges(seg(s, d).filter("seg_id % 3 = 0")).groupBy("page_id", "seg_id", "orientation", "fixed").agg(F.count("*").alias("pieces"), F.sum(c("b") - c("a")).alias("length")), """
-, t AS (SELECT * FROM v_segments WHERE seg_id % 3 = 0), x AS (SELECT h.page_id, h.seg_id AS hi, v.seg_id AS vi, v.fixed AS x, h.fixed AS y FROM t h JOIN t v ON h.page_id = v.page_id AND h.orientation = 'horizontal' AND v.orientation = 'vertical' AND v.fixed BETWEEN h.axis_start AND h.axis_end AND h.fixed BETWEEN v.axis_start AND v.axis_end),
+add("J9_atomic_edges", lambda s, d: D.atomic_edges(seg(s, d)).groupBy("page_id", "seg_id", "orientation", "fixed").agg(F.count("*").alias("pieces"), F.sum(c("b") - c("a")).alias("length")), """
+, t AS (SELECT * FROM v_segments), x AS (SELECT h.page_id, h.seg_id AS hi, v.seg_id AS vi, v.fixed AS x, h.fixed AS y FROM t h JOIN t v ON h.page_id = v.page_id AND h.orientation = 'horizontal' AND v.orientation = 'vertical' AND v.fixed BETWEEN h.axis_start AND h.axis_end AND h.fixed BETWEEN v.axis_start AND v.axis_end),
 k AS (SELECT page_id, seg_id, orientation, fixed, axis_start AS pt FROM t UNION SELECT page_id, seg_id, orientation, fixed, axis_end FROM t UNION SELECT page_id, hi, 'horizontal', y, x FROM x UNION SELECT page_id, vi, 'vertical', x, y FROM x)
 SELECT page_id, seg_id, orientation, fixed, count(*) - 1 AS pieces, (max(pt) - min(pt))::BIGINT AS length FROM k GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""", SEG)
 
