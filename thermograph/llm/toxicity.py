@@ -9,6 +9,7 @@ itself even where the labels suggest it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ SAMPLE_ROWS = 20_000
 MAX_FEATURES = 2048
 #: A feature counts from this many rows of the sample on.
 MIN_ROWS = 3
+SAMPLE_TASKS = 24
 RIDGE = 1e-4
 SWAP_PENALTY = 10.0
 STEPS = 300
@@ -112,7 +114,7 @@ def train(labelled: DataFrame, swap_penalty: float = SWAP_PENALTY, sample_rows:
     (at most ``max_features`` a row) are fitted on the driver. With labels of
     one kind only, or none, the model is their smoothed share alone.
     """
-    sample = spill(labelled.select("text", F.col("label").cast("int").alias("label")).filter("label IS NOT NULL"))
+    sample = spill(labelled.select("text", F.col("label").cast("int").alias("label")).filter("label IS NOT NULL").repartition(SAMPLE_TASKS))
     total, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if total > sample_rows:
         raise ValueError(f"{total} labelled rows; sample_rows is {sample_rows}")
@@ -122,10 +124,17 @@ def train(labelled: DataFrame, swap_penalty: float = SWAP_PENALTY, sample_rows:
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            found = [(f, y) for t, y in zip(df["text"], df["label"]) for f in features(words_of(t))]
-            yield pd.DataFrame(found, columns=["feature", "label"]).groupby("feature", as_index=False).agg(n=("label", "size"), toxic=("label", "sum"))
+            n: Counter[str] = Counter()
+            toxic: Counter[str] = Counter()
+            for t, y in zip(df["text"], df["label"]):
+                found = features(words_of(t))
+                n.update(found)
+                if y:
+                    toxic.update(found)
+            yield pd.DataFrame({"feature": list(n), "n": list(n.values()), "toxic": [toxic[f] for f in n]})
 
     counts = small_batches(sample).mapInPandas(spread, "feature string, n bigint, toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = spill(counts)
     gap = F.abs(F.col("toxic") - F.col("n") * F.lit(positive / total)) / F.sqrt(F.col("n"))
     identity = sorted(f for t in GROUP for f in word_features(t))
     best = counts.filter(F.col("n") >= MIN_ROWS).orderBy(gap.desc(), "feature").limit(max_features)
