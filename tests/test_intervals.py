@@ -53,3 +53,14 @@ def test_intersections_symmetric(spark):
     got = {(r.h_id, r.v_id) for r in D.intersections(spark.createDataFrame(rows, "page_id int, seg_id int, orientation string, fixed int, axis_start int, axis_end int"), 8).collect()}
     want = {(h[1], v[1]) for h in rows for v in rows if h[2] == "horizontal" and v[2] == "vertical" and h[4] <= v[3] <= h[5] and v[4] <= h[3] <= v[5]}
     assert got == want
+
+
+def test_islands_take_few_shuffles(spark):
+    """Merging takes at most five shuffles."""
+    rows = spark.range(2000).selectExpr("id % 3 AS k", "id * 7 % 900 AS axis_start", "id * 7 % 900 + id % 40 AS axis_end")
+    out = I.merge_collinear(rows, ["k"])
+    assert out.count() > 0
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = [x for x in final.splitlines() if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+    assert len(made) <= 5

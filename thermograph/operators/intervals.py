@@ -41,7 +41,7 @@ def islands(df: DataFrame, keys: list[str], start: str = "axis_start", end: str
     across = W.partitionBy(*keys).orderBy("_t").rowsBetween(W.unboundedPreceding, -1)
     rows = base.withColumn("_t", F.floor(c("_s") / tile)).withColumn("_before", F.max("_e").over(inside.rowsBetween(W.unboundedPreceding, -1)))
     rows = rows.withColumn("_local", F.when(c("_before").isNull() | (c("_s") > c("_before") + tol), c("_s")))
-    # The sum keeps both uses of ``rows`` the same below their shuffle, which is then made once.
+    # The sum keeps both uses of ``rows`` the same below their shuffle, so that it can be shared.
     tiles = rows.groupBy(*keys, "_t").agg(F.max("_e").alias("_m"), F.max("_local").alias("_h"), F.sum("n_rows").alias("_n")).filter("_n > 0").withColumn("_carry", F.max("_m").over(across))
     begins = c("_carry").isNull() | (c("_h") > c("_carry") + tol)
     tiles = tiles.withColumn("_open", F.max(F.when(begins, c("_h"))).over(across)).select(*keys, "_t", "_carry", "_open")
