@@ -15,46 +15,52 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from thermograph.llm.common import spill, table
 from thermograph.llm.graph import components, forest
 
 COSINE = 0.95
 #: Vectors of a cell on average, cells at most, and vectors of a block on average.
-CELL_VECTORS, MAX_CELLS, BLOCK_VECTORS = 4000, 1024, 2000
+CELL_VECTORS, MAX_CELLS, BLOCK_VECTORS = 4000, 1024, 4000
+#: Rows of a block that are compared at once.
+SLICE = 1000
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    x = np.stack([np.frombuffer(v, np.float64) for v in column])
+def _unit(column: pd.Series, dtype: str) -> np.ndarray:
+    x = np.stack([np.frombuffer(v, dtype) for v in column]).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@F.pandas_udf(T.BinaryType())
-def packed(vectors: pd.Series) -> pd.Series:
-    """Vectors that can link, as bytes of doubles scaled by a power of two (no overflow in squares); else null."""
-    out = []
-    for v in vectors:
-        x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
-        ok = x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
-        out.append(np.ldexp(x, -math.frexp(float(np.abs(x).max()))[1]).tobytes() if ok else None)
-    return pd.Series(out, dtype=object)
+def _pack(dtype: str):
+    """Vectors that can link, as bytes scaled by a power of two (no overflow in squares); else null."""
+    @F.pandas_udf("binary")
+    def packed(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
+            ok = x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
+            out.append(np.ldexp(x, -math.frexp(float(np.abs(x).max()))[1]).astype(dtype).tobytes() if ok else None)
+        return pd.Series(out, dtype=object)
 
+    return packed
 
-def _tile(cosine: float):
+
+def _tile(cosine: float, dtype: str):
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("v").drop_duplicates("v")
-        x, v = _unit(df["v"]), df["v"].to_numpy()
+        x, v = _unit(df["v"], dtype), df["v"].to_numpy()
         block, home, copies = df["block"].to_numpy(), df["home"].to_numpy(), df["copies"].to_numpy()
-        i, j = int(df["i"].iloc[0]), int(df["j"].iloc[0])
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        i, j, inner = int(df["i"].iloc[0]), int(df["j"].iloc[0]), bool(df["inner"].iloc[0])
+        left = np.flatnonzero(home & (block == i))
+        right = np.flatnonzero((home if inner else ~home) & (block == j))
         links, root = np.zeros(len(df), np.int64), np.arange(len(df))
         if len(left) and len(right):
-            linked = x[left] @ x[right].T >= cosine
-            linked &= (left[:, None] != right[None, :]) & (home[left][:, None] | home[right][None, :])
-            links[left] += linked @ copies[right]
-            if i != j:
-                links[right] += linked.T @ copies[left]
+            linked = np.concatenate([x[left[k:k + SLICE]] @ x[right].T >= cosine for k in range(0, len(left), SLICE)])
+            linked &= left[:, None] != right[None, :]
+            a, b = np.nonzero(linked)
+            links[left] += np.bincount(a, copies[right[b]], len(left)).astype(np.int64)
+            if not (inner and i == j):
+                links[right] += np.bincount(b, copies[left[a]], len(right)).astype(np.int64)
             root = forest(linked, left, right, len(df))
         own = links > 0
         return pd.DataFrame({"v": v[own], "root": v[root][own], "links": links[own]})
@@ -73,13 +79,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     least vec_id that links reach; repeated rows are copies. Labels and other
     columns are ignored.
     """
-    rows = spill(vectors.select("vec_id", packed("embedding").alias("v")))
+    dtype = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    rows = spill(vectors.select("vec_id", _pack(dtype)("embedding").alias("v")))
     distinct = spill(rows.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id")))
     radius = math.sqrt(2 - 2 * cosine) * (1 + 1e-9) + 1e-9
     sizes = {r["d"]: r["n"] for r in distinct.groupBy(F.octet_length("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     found = None
     for width, n in sorted(sizes.items()):
-        own = _cells_join(distinct.filter(F.octet_length("v") == width), n, cosine, radius)
+        own = _cells_join(distinct.filter(F.octet_length("v") == width), n, cosine, radius, dtype)
         found = own if found is None else found.unionByName(own)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -93,16 +100,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _cells_join(distinct: DataFrame, n: int, cosine: float, radius: float) -> DataFrame:
+def _cells_join(distinct: DataFrame, n: int, cosine: float, radius: float, dtype: str) -> DataFrame:
     """Links within and across cells of distinct vectors of one length: v, root, links."""
     cells = max(1, min(MAX_CELLS, n // CELL_VECTORS))
     # At most MAX_CELLS vectors reach the driver.
-    pivots = _unit(distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(cells).toPandas()["v"])
+    pivots = _unit(distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(cells).toPandas()["v"], dtype)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             if len(df):
-                gap = np.sqrt(np.maximum(2 - 2 * _unit(df["v"]) @ pivots.T, 0))
+                gap = np.sqrt(np.maximum(2 - 2 * _unit(df["v"], dtype) @ pivots.T, 0))
                 yield df.assign(cell=gap.argmin(1).astype(np.int32), far=gap.min(1))
 
     homes = spill(distinct.select("v", "copies").mapInPandas(nearest, "v binary, copies bigint, cell int, far double"))
@@ -115,7 +122,7 @@ def _cells_join(distinct: DataFrame, n: int, cosine: float, radius: float) -> Da
         for df in batches:
             if not len(df):
                 continue
-            gap = np.sqrt(np.maximum(2 - 2 * _unit(df["v"]) @ pivots.T, 0))
+            gap = np.sqrt(np.maximum(2 - 2 * _unit(df["v"], dtype) @ pivots.T, 0))
             cell = df["cell"].to_numpy()
             away = between[cell]
             # A vector of cell c is no nearer to this one's pivot than to its own: the way to the plane between them is a lower bound.
@@ -126,11 +133,14 @@ def _cells_join(distinct: DataFrame, n: int, cosine: float, radius: float) -> Da
                              pd.DataFrame({"v": df["v"].to_numpy()[row], "copies": df["copies"].to_numpy()[row], "cell": to.astype(np.int32), "home": False})])
 
     placed = spill(homes.mapInPandas(copied, "v binary, copies bigint, cell int, home boolean"))
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("blocks"))
-    rows = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
-    tiles = rows.select("v", "copies", "cell", "home", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "v", "copies", "cell", "home", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return tiles.groupBy("cell", "i", "j").applyInPandas(_tile(cosine), "v binary, root binary, links bigint")
+    # Blocks of homes meet each other and those of copies; copies have been compared at home.
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK_VECTORS).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / BLOCK_VECTORS).cast("int").alias("others"))
+    rows = placed.join(F.broadcast(blocks), "cell").filter("homes > 0").withColumn("block", F.expr("CAST(pmod(xxhash64(v), IF(home, homes, others)) AS INT)"))
+    meets = """IF(home, concat(transform(sequence(0, homes - 1), o -> named_struct('inner', true, 'i', least(block, o), 'j', greatest(block, o))),
+        IF(others > 0, transform(sequence(0, others - 1), o -> named_struct('inner', false, 'i', block, 'j', o)), array())),
+        transform(sequence(0, homes - 1), o -> named_struct('inner', false, 'i', o, 'j', block)))"""
+    tiles = rows.select("v", "copies", "cell", "home", "block", F.explode(F.expr(meets)).alias("t")).select("v", "copies", "cell", "home", "block", "t.*")
+    return tiles.groupBy("cell", "inner", "i", "j").applyInPandas(_tile(cosine, dtype), "v binary, root binary, links bigint")
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
