@@ -8,7 +8,9 @@ MODULES = ["thermograph.llm." + m for m in ("jaccard", "license", "toxicity", "l
 
 
 def registered() -> dict:
+    from thermograph.llm.oracles import SQL
+
     out: dict = {}
     for name in MODULES:
-        out.update(importlib.import_module(name).QUERIES)
+        out.update({k: (fn, sql or SQL.get(k)) for k, (fn, sql) in importlib.import_module(name).QUERIES.items()})
     return out
