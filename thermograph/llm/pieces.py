@@ -27,7 +27,7 @@ CHUNK_CHARS = 16_384
 #: Chunks whose matrices are multiplied in one task.
 BLOCK_CHUNKS = 64
 UNKNOWN_PENALTY = 10.0
-CACHE_UNITS = 300_000
+CACHE_UNITS = 900_000
 NONE = -np.inf
 
 _MODELS: dict[str, Pieces] = {}
@@ -272,9 +272,9 @@ def encode_documents(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS
             m = model_of(model)
             yield df[["uid", "doc_id", "k"]].assign(ids=[m.path(b, a, np.frombuffer(e).tolist(), x) for b, a, e, x in zip(df["body"], df["ahead"], df["entry"], df["leave"])])
 
-    begun = chunks.join(entries, ["uid", "k"])
+    begun = chunks.join(entries.hint("merge"), ["uid", "k"])
     leaves = spill(begun.select("uid", "k", "body", "ahead", "entry").mapInPandas(ways, "uid string, k int, ways array<int>").groupBy("uid").applyInPandas(back, "uid string, k int, leave int"))
-    traced = begun.join(leaves, ["uid", "k"]).select("uid", "doc_id", "k", "body", "ahead", "entry", "leave").mapInPandas(paths, "uid string, doc_id string, k int, ids binary")
+    traced = begun.join(leaves.hint("merge"), ["uid", "k"]).select("uid", "doc_id", "k", "body", "ahead", "entry", "leave").mapInPandas(paths, "uid string, doc_id string, k int, ids binary")
     joined = traced.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return short.unionByName(joined.select(F.col("doc_id").cast(kind), F.expr("aggregate(parts, CAST('' AS BINARY), (a, x) -> concat(a, x.ids))").alias("ids")))
 
