@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thermograph.functions import text as X
-from thermograph.operators.intervals import merge_collinear, range_join
+from thermograph.operators.intervals import box_join, merge_collinear, range_join
 from thermograph.operators.relational import keep_first, spread_row_number
 
 
@@ -392,7 +392,7 @@ def gap_curve_join(gaps: DataFrame, curves: DataFrame, tol: float = 12, bucket:
     g = gaps.select("page_id", "gap_key", F.when(h, F.col("gap_start")).otherwise(F.col("fixed")).alias("gx0"), F.when(h, F.col("gap_end")).otherwise(F.col("fixed")).alias("gx1"),
                     F.when(h, F.col("fixed")).otherwise(F.col("gap_start")).alias("gy0"), F.when(h, F.col("fixed")).otherwise(F.col("gap_end")).alias("gy1"))
     k = curves.select("page_id", "curve_id", "x0", "y0", "x1", "y1", "sx", "sy", "ex", "ey")
-    j = range_join(g, k, ["page_id"], (F.col("gx0"), F.col("gx1")), (F.col("x0") - tol, F.col("x1") + tol), bucket)
+    j = box_join(g, k, ["page_id"], (F.col("gx0"), F.col("gx1")), (F.col("x0") - tol, F.col("x1") + tol), (F.col("gy0"), F.col("gy1")), (F.col("y0") - tol, F.col("y1") + tol), bucket)
     cover = (F.col("gx0") >= F.col("x0") - tol) & (F.col("gx1") <= F.col("x1") + tol) & (F.col("gy0") >= F.col("y0") - tol) & (F.col("gy1") <= F.col("y1") + tol)
     d = lambda px, py, gx, gy: F.hypot(F.col(px) - F.col(gx), F.col(py) - F.col(gy))
     touch = F.least(d("sx", "sy", "gx0", "gy0"), d("sx", "sy", "gx1", "gy1"), d("ex", "ey", "gx0", "gy0"), d("ex", "ey", "gx1", "gy1")) <= tol
@@ -402,8 +402,8 @@ def gap_curve_join(gaps: DataFrame, curves: DataFrame, tol: float = 12, bucket:
 def gap_short_segment_join(gaps: DataFrame, shorts: DataFrame, tol: float = 12, bucket: float = 64) -> DataFrame:
     """Number of short lines on a gap's axis that overlap it within ``tol``."""
     g = gaps.select("page_id", "orientation", "gap_key", F.col("fixed").alias("g_at"), "gap_start", "gap_end")
-    j = range_join(g, shorts.select("page_id", "orientation", "seg_id", "fixed", "axis_start", "axis_end"), ["page_id", "orientation"],
-                   (F.col("gap_start") - tol, F.col("gap_end") + tol), (F.col("axis_start"), F.col("axis_end")), bucket)
+    j = box_join(g, shorts.select("page_id", "orientation", "seg_id", "fixed", "axis_start", "axis_end"), ["page_id", "orientation"],
+                 (F.col("gap_start") - tol, F.col("gap_end") + tol), (F.col("axis_start"), F.col("axis_end")), (F.col("g_at") - tol, F.col("g_at") + tol), (F.col("fixed"), F.col("fixed")), bucket)
     return j.filter(F.abs(F.col("fixed") - F.col("g_at")) <= tol).groupBy("page_id", "gap_key").agg(F.count(F.lit(1)).alias("short_lines"))
 
 
@@ -420,7 +420,7 @@ def anchor_both_ends_semi(cands: DataFrame, anchors: DataFrame, tol: float = 36,
     ends = c.select("page_id", "seg_id", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.when(h, F.col("axis_start")).otherwise(F.col("fixed")).alias("px"), F.when(h, F.col("fixed")).otherwise(F.col("axis_start")).alias("py")),
         F.struct(F.lit(1).alias("side"), F.when(h, F.col("axis_end")).otherwise(F.col("fixed")).alias("px"), F.when(h, F.col("fixed")).otherwise(F.col("axis_end")).alias("py")))).alias("e")).select("page_id", "seg_id", "e.*")
-    t = range_join(ends, a, ["page_id"], (F.col("px"), F.col("px")), (F.col("ax0") - tol, F.col("ax1") + tol), bucket).filter(
+    t = box_join(ends, a, ["page_id"], (F.col("px"), F.col("px")), (F.col("ax0") - tol, F.col("ax1") + tol), (F.col("py"), F.col("py")), (F.col("ay0") - tol, F.col("ay1") + tol), bucket).filter(
         F.col("py").between(F.col("ay0") - tol, F.col("ay1") + tol))
     ok = t.groupBy("page_id", "seg_id").agg(F.countDistinct("side").alias("sides"), F.countDistinct("a_id").alias("touching")).filter("sides = 2 AND touching >= 2")
     parallel = anchors.select("page_id", "orientation", F.col("fixed").alias("p_at")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thermograph.operators.drawing import atomic_edges
-from thermograph.operators.intervals import range_join
+from thermograph.operators.intervals import box_join, range_join
 from thermograph.session import cut_lineage
 
 
@@ -211,7 +211,7 @@ def dangling_ends(bands: DataFrame, tol: float = 4, bucket: float = 128) -> Data
     ends = bands.select("page_id", "band_id", "orientation", "fixed", "inside_direction", F.explode(F.array(pt("start", "axis_start"), pt("end", "axis_end"))).alias("e")).select("page_id", "band_id", "orientation", "fixed", "inside_direction", "e.*")
     o = bands.select("page_id", F.col("band_id").alias("o_id"), F.when(h, F.col("axis_start")).otherwise(F.col("fixed")).alias("ox0"), F.when(h, F.col("axis_end")).otherwise(F.col("fixed")).alias("ox1"),
                      F.when(h, F.col("fixed")).otherwise(F.col("axis_start")).alias("oy0"), F.when(h, F.col("fixed")).otherwise(F.col("axis_end")).alias("oy1"))
-    hit = range_join(ends, o, ["page_id"], (F.col("px"), F.col("px")), (F.col("ox0") - tol, F.col("ox1") + tol), bucket).filter(
+    hit = box_join(ends, o, ["page_id"], (F.col("px"), F.col("px")), (F.col("ox0") - tol, F.col("ox1") + tol), (F.col("py"), F.col("py")), (F.col("oy0") - tol, F.col("oy1") + tol), bucket).filter(
         (F.col("o_id") != F.col("band_id")) & F.col("py").between(F.col("oy0") - tol, F.col("oy1") + tol))
     return ends.join(hit.select("page_id", "band_id", "side").distinct(), ["page_id", "band_id", "side"], "left_anti")
 
@@ -233,7 +233,8 @@ def corner_candidates(bands: DataFrame, reach: float, tol: float = 4, per_end: i
     """
     d = dangling_ends(bands, tol, bucket)
     p = lambda n, o: d.filter(F.col("orientation") == o).select("page_id", F.col("band_id").alias(f"{n}_id"), F.col("side").alias(f"{n}_side"), F.col("fixed").alias(f"{n}_fixed"), F.col("inside_direction").alias(f"{n}_dir"), F.col("px").alias(f"{n}_px"), F.col("py").alias(f"{n}_py"))
-    j = range_join(p("h", "horizontal"), p("v", "vertical"), ["page_id"], (F.col("h_px") - reach, F.col("h_px") + reach), (F.col("v_fixed"), F.col("v_fixed")), max(bucket, reach))
+    j = box_join(p("h", "horizontal"), p("v", "vertical"), ["page_id"], (F.col("h_px") - reach, F.col("h_px") + reach), (F.col("v_fixed"), F.col("v_fixed")),
+                 (F.col("h_fixed") - reach, F.col("h_fixed") + reach), (F.col("v_py"), F.col("v_py")), max(bucket, reach))
     j = j.withColumns({"h_len": F.abs(F.col("v_fixed") - F.col("h_px")), "v_len": F.abs(F.col("h_fixed") - F.col("v_py"))})
     j = j.filter((F.greatest("h_len", "v_len") > tol) & (F.col("v_len") <= reach)).withColumn("compatible", corner_compatible())
     w = W.partitionBy("page_id", "h_id", "h_side").orderBy(F.col("compatible").desc(), F.greatest("h_len", "v_len"), F.col("h_len") + F.col("v_len"), "v_id", "v_side")
@@ -259,10 +260,12 @@ def edge_crosses_band_anti(edges: DataFrame, bands: DataFrame, tol: float = 4, b
     anchor_ids; ``bands`` with source_ids.
     """
     h = F.col("orientation") == "horizontal"
-    e = edges.withColumns({"ex0": F.when(h, F.col("axis_start")).otherwise(F.col("fixed")), "ex1": F.when(h, F.col("axis_end")).otherwise(F.col("fixed"))})
+    x = lambda a: F.when(h, F.col(a)).otherwise(F.col("fixed"))
+    y = lambda a: F.when(h, F.col("fixed")).otherwise(F.col(a))
+    e = edges.withColumns({"ex0": x("axis_start"), "ex1": x("axis_end"), "ey0": y("axis_start"), "ey1": y("axis_end")})
     b = bands.select("page_id", F.col("orientation").alias("b_o"), F.col("fixed").alias("b_at"), F.col("axis_start").alias("b_s"), F.col("axis_end").alias("b_e"), "source_ids",
-                     F.when(h, F.col("axis_start")).otherwise(F.col("fixed")).alias("bx0"), F.when(h, F.col("axis_end")).otherwise(F.col("fixed")).alias("bx1"))
-    j = range_join(e, b, ["page_id"], (F.col("ex0") - tol, F.col("ex1") + tol), (F.col("bx0"), F.col("bx1")), bucket).filter(~F.arrays_overlap("anchor_ids", "source_ids"))
+                     x("axis_start").alias("bx0"), x("axis_end").alias("bx1"), y("axis_start").alias("by0"), y("axis_end").alias("by1"))
+    j = box_join(e, b, ["page_id"], (F.col("ex0") - tol, F.col("ex1") + tol), (F.col("bx0"), F.col("bx1")), (F.col("ey0") - tol, F.col("ey1") + tol), (F.col("by0"), F.col("by1")), bucket).filter(~F.arrays_overlap("anchor_ids", "source_ids"))
     c = F.col
     along = (c("b_o") == c("orientation")) & (F.abs(c("b_at") - c("fixed")) <= tol) & (F.least("axis_end", "b_e") - F.greatest("axis_start", "b_s") > tol)
     across = (c("b_o") != c("orientation")) & (c("b_at") > c("axis_start") + tol) & (c("b_at") < c("axis_end") - tol) & c("fixed").between(c("b_s") - tol, c("b_e") + tol)

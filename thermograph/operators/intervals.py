@@ -27,6 +27,17 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: t
     return j.drop("_b", "_l0", "_l1", "_r0", "_r1")
 
 
+def box_join(left: DataFrame, right: DataFrame, keys: list[str], left_x: tuple[Column, Column], right_x: tuple[Column, Column],
+             left_y: tuple[Column, Column], right_y: tuple[Column, Column], bucket: float) -> DataFrame:
+    """Pairs whose boxes meet on x and share a tile on y, each once: a range join inside the rows of tiles of y.
+
+    Callers still test y themselves; a long strip of one page is never one bucket.
+    """
+    t = lambda v: F.floor(v / bucket)
+    cut = lambda df, y, n: df.withColumn(n, t(y[0])).withColumn("_ty", F.explode(F.sequence(t(y[0]), t(y[1]))))
+    return range_join(cut(left, left_y, "_ly"), cut(right, right_y, "_ry"), [*keys, "_ty"], left_x, right_x, bucket).filter("_ty = greatest(_ly, _ry)").drop("_ty", "_ly", "_ry")
+
+
 def islands(df: DataFrame, keys: list[str], start: str = "axis_start", end: str = "axis_end", tol: float = 0, tile: float = 64) -> DataFrame:
     """Distinct starts with their island: (keys, start, end, n_rows, island_start).
 

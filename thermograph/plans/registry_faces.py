@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from thermograph.operators import faces as Fc
 from thermograph.operators import intervals as I
 from thermograph.plans import adapters as A
-from thermograph.plans.registry_drawing import _ISL, cells, seg
+from thermograph.plans.registry_drawing import _ISL, cells, seg, whole
 
 QUERIES: dict = {}
 c = F.col
@@ -19,6 +19,10 @@ def add(name, fn, sql=None, views=()):
     QUERIES[name] = (fn, A.with_views(sql.strip(), *views) if sql and views else sql)
 
 
+def add_whole(name, fn, *filters):
+    QUERIES[name + "_whole"] = (fn, whole(QUERIES[name][1], *filters))
+
+
 def _a20(s, d):
     A.load_tables(s, d)
     e = s.sql("SELECT 0 AS g, c_custkey AS u, 10000000 + c_nationkey AS v FROM customer UNION ALL SELECT 0, o_custkey, 20000000 + o_orderkey FROM orders")
@@ -41,7 +45,7 @@ def _boxes(s, d):
 
 add("G1_bounded_faces", lambda s, d: Fc.bounded_faces(_boxes(s, d)).select("page_id", "area", "perimeter", "n_edges"), """
 SELECT region_id AS page_id, (w // 3 * h)::DOUBLE AS area, (2 * (w // 3 + h))::DOUBLE AS perimeter, 4::BIGINT AS n_edges FROM v_regions UNION ALL SELECT region_id, ((w - w // 3) * h)::DOUBLE, (2 * (w - w // 3 + h))::DOUBLE, 4 FROM v_regions""", REG)
-add("G1_drawing_faces", lambda s, d: Fc.bounded_faces(seg(s, d).filter("axis_end - axis_start > 25")).groupBy("page_id").agg(F.count("*").alias("faces"), F.sum("area").alias("area")))
+add("G1_drawing_faces", lambda s, d: Fc.bounded_faces(seg(s, d)).groupBy("page_id").agg(F.count("*").alias("faces"), F.sum("area").alias("area")))
 
 
 def _face_boxes(s, d):
@@ -72,8 +76,8 @@ add("W5_greedy_bands", lambda s, d: Fc.greedy_bands(seg(s, d).select("page_id",
 add("W11_snap_endpoints", lambda s, d: Fc.snap_endpoints(seg(s, d).select("page_id", c("seg_id").alias("line_id"), "orientation", c("fixed").cast("double"), c("axis_start").cast("double"), c("axis_end").cast("double")), 3.0).groupBy("page_id").agg(F.count_if(c("snapped")).alias("snapped"), F.sum("axis_start").alias("a"), F.sum("axis_end").alias("b")))
 
 
-def _bands(s, d):
-    m = I.merge_with_sources(seg(s, d).filter("seg_id % 13 = 0"), ["page_id", "orientation", "fixed"], "seg_id")
+def _bands(s, d, only="seg_id % 13 = 0"):
+    m = I.merge_with_sources(seg(s, d).filter(only), ["page_id", "orientation", "fixed"], "seg_id")
     return m.withColumnRenamed("source_ids", "source_ids").withColumns({"band_id": F.concat_ws(":", "orientation", "fixed", "axis_start"), "inside_direction": F.when(c("orientation") == "horizontal", F.when(c("fixed") % 3 == 0, "up").otherwise("down")).otherwise(F.when(c("fixed") % 3 == 0, "left").otherwise("right"))})
 
 
@@ -93,9 +97,15 @@ add("J17_collinear_extensions", lambda s, d: Fc.collinear_extensions(_bands(s, d
 SELECT n.page_id, n.band_id, nx AS next_id FROM n JOIN dn a ON a.page_id = n.page_id AND a.band_id = n.band_id AND a.side = 'end' JOIN dn b2 ON b2.page_id = n.page_id AND b2.band_id = nx AND b2.side = 'start' WHERE ns - e > 4""", SEG)
 
 
-def _j18(s, d):
-    e = seg(s, d).filter("seg_id % 17 = 0").select("page_id", c("seg_id").alias("edge_id"), "orientation", "fixed", "axis_start", "axis_end", F.array(c("seg_id")).alias("anchor_ids"))
-    return Fc.edge_crosses_band_anti(e, _bands(s, d)).select("page_id", "edge_id")
+_ALL_BANDS = (" WHERE seg_id % 13 = 0", "")
+add_whole("J17_dangling_ends", lambda s, d: Fc.dangling_ends(_bands(s, d, "true")).select("page_id", "band_id", "side"), _ALL_BANDS)
+add_whole("J17_corner_candidates", lambda s, d: Fc.corner_candidates(_bands(s, d, "true"), 60).select("page_id", "h_id", "h_side", "v_id", "v_side", "compatible", "rank"), _ALL_BANDS)
+add_whole("J17_collinear_extensions", lambda s, d: Fc.collinear_extensions(_bands(s, d, "true")).select("page_id", "band_id", "next_id"), _ALL_BANDS)
+
+
+def _j18(s, d, edges="seg_id % 17 = 0", bands="seg_id % 13 = 0"):
+    e = seg(s, d).filter(edges).select("page_id", c("seg_id").alias("edge_id"), "orientation", "fixed", "axis_start", "axis_end", F.array(c("seg_id")).alias("anchor_ids"))
+    return Fc.edge_crosses_band_anti(e, _bands(s, d, bands)).select("page_id", "edge_id")
 
 
 add("J18_edge_crosses_band_anti", _j18, _BANDS + """
@@ -103,6 +113,9 @@ SELECT page_id, seg_id AS edge_id FROM v_segments t WHERE seg_id % 17 = 0 AND NO
  ((w.orientation = t.orientation AND abs(w.fixed - t.fixed) <= 4 AND least(t.axis_end, w.e) - greatest(t.axis_start, w.s) > 4) OR (w.orientation <> t.orientation AND w.fixed > t.axis_start + 4 AND w.fixed < t.axis_end - 4 AND t.fixed BETWEEN w.s - 4 AND w.e + 4)))""", SEG)
 
 
+add_whole("J18_edge_crosses_band_anti", lambda s, d: _j18(s, d, "true", "true"), _ALL_BANDS, ("seg_id % 17 = 0 AND ", ""))
+
+
 def _j19(s, d):
     r = A.view(s, d, "v_regions")
     k, w = c("region_id"), c("w")
@@ -186,7 +199,7 @@ def _w15(s, d):
     from thermograph.plans import exterior as X
     edges = seg(s, d).select("page_id", "orientation", "fixed").distinct().select("page_id", F.concat_ws(":", "orientation", "fixed").alias("edge_id"), "orientation", "fixed", F.lit(50).cast("bigint").alias("e0"), F.lit(350).cast("bigint").alias("e1"))
     walls = seg(s, d).filter("seg_id % 2 = 0").select("page_id", "orientation", "fixed", "axis_start", "axis_end", c("seg_id").alias("wall_id"))
-    bridges = seg(s, d).filter("seg_id % 5 = 1").select("page_id", "orientation", "fixed", "axis_start", "axis_end")
+    bridges = seg(s, d).filter("seg_id % 2 = 1").select("page_id", "orientation", "fixed", "axis_start", "axis_end")
     r = X.real_wall_segments(edges, walls, bridges)
     return r.groupBy("page_id").agg(F.count("*").alias("pieces"), F.sum(c("axis_end") - c("axis_start")).alias("length"))
 
@@ -196,8 +209,8 @@ add("W15_real_wall_segments", _w15)
 
 def _g6(s, d):
     from thermograph.plans import exterior as X
-    w = seg(s, d).filter("seg_id % 9 = 0").select("page_id", "seg_id", "orientation", "fixed", "axis_start", "axis_end", F.when(c("orientation") == "horizontal", "down").otherwise("right").alias("inside_direction"))
-    u = seg(s, d).filter("seg_id % 9 = 1").select("page_id", "seg_id", "orientation", "fixed", "axis_start", "axis_end")
+    w = seg(s, d).filter("seg_id % 2 = 0").select("page_id", "seg_id", "orientation", "fixed", "axis_start", "axis_end", F.when(c("orientation") == "horizontal", "down").otherwise("right").alias("inside_direction"))
+    u = seg(s, d).filter("seg_id % 2 = 1").select("page_id", "seg_id", "orientation", "fixed", "axis_start", "axis_end")
     k = A.view(s, d, "v_regions").select("page_id", c("region_id").alias("curve_id"), *[(c(a) * 5 + z).cast("bigint").alias(n) for n, a, z in (("x0", "x", F.lit(0)), ("y0", "y", F.lit(0)), ("x1", "x", c("w")), ("y1", "y", c("h")), ("sx", "x", F.lit(0)), ("sy", "y", F.lit(0)), ("ex", "x", c("w")), ("ey", "y", c("h")))])
     return X.door_arc_recovery(w, u, k)
 
