@@ -1,7 +1,7 @@
 """License scans as an exact set-similarity join of text blocks with templates.
 
-A block (a line) matches a template when it holds at least ``threshold`` of the
-template's distinct words. Words are ordered by how many blocks of all
+A block (a line, or words on both sides of a line break) matches a template when
+it holds at least ``threshold`` of the template's distinct words. Words are ordered by how many blocks of all
 documents hold them, rarest first; only blocks holding a word of a template's
 prefix in that order can match, and length and positional filters discard most
 of them before the overlap is counted.
@@ -62,6 +62,26 @@ def _base(docs: DataFrame) -> DataFrame:
                          f"CAST(array_max({places}) AS BIGINT) AS last_word", f"array_compact(array({labels})) AS base")
 
 
+def _blocks(docs: DataFrame, words: list[list[str]], vocabulary: list[str], threshold: float, span: int) -> DataFrame:
+    """key, doc_id, block: every line, and for notices wrapped over lines the words around each line break.
+
+    A wrapped block is the last ``span`` words of a line and the next ``span``
+    words of its paragraph, so it holds any notice of up to ``span`` words that
+    starts in that line and ends in a later one. A block's words are among its
+    text's, so only texts that hold enough words of a template are cut so.
+    """
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("key"), F.lower("text").alias("t"))
+    lines = rows.select("doc_id", "key", F.explode(F.split("t", "\n")).alias("block"))
+    enough = " OR ".join(f"size(array_intersect(held, array({sql_strings(ws)}))) >= {math.ceil(threshold * len(ws) - 1e-9)}" for ws in words)
+    texts = rows.filter("contains(t, '\\n')").selectExpr("*", f"array_intersect({_words('t')}, array({sql_strings(vocabulary)})) AS held").filter(enough)
+    cut = texts.selectExpr("doc_id", "key", f"transform(split(t, '\\n'), x -> {_words('x')}) AS l").selectExpr("doc_id", "key", "l", f"transform(l, x -> slice(x, 1, {span})) AS heads")
+    cut = cut.selectExpr("doc_id", "key", f"""explode(filter(transform(l, (x, i) -> named_struct('tail', slice(x, greatest(size(x) - {span - 1}, 1), {span}), 'ahead', slice(heads, i + 2, {span}))),
+        x -> size(x.tail) > 0 AND size(x.ahead) > 0 AND size(x.ahead[0]) > 0)) AS b""")
+    cut = cut.selectExpr("doc_id", "key", "b.tail AS tail", "b.ahead AS ahead", "CAST(array_position(transform(b.ahead, x -> size(x)), 0) AS INT) AS blank")
+    wrapped = cut.selectExpr("doc_id", "key", f"array_join(concat(tail, slice(flatten(CASE WHEN blank > 0 THEN slice(ahead, 1, blank - 1) ELSE ahead END), 1, {span})), ' ') AS block")
+    return lines.unionByName(wrapped)
+
+
 def matching_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """All (block, template) with enough containment: key, doc_id, block, label, containment.
 
@@ -72,8 +92,8 @@ def matching_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     spark = docs.sparkSession
     words = [template_words(t) for _, t in templates]
     vocabulary = sorted({w for ws in words for w in ws})
-    lines = docs.select("doc_id", row_key("doc_id", "text").alias("key"), F.explode(F.split(F.lower("text"), "\n")).alias("block"))
-    held = lines.selectExpr("key", "doc_id", "block", f"array_intersect({_words('block')}, array({sql_strings(vocabulary)})) AS held").filter("size(held) > 0")
+    span = max((len(re.findall(WORD, t)) for _, t in templates), default=1)
+    held = _blocks(docs, words, vocabulary, threshold, span).selectExpr("key", "doc_id", "block", f"array_intersect({_words('block')}, array({sql_strings(vocabulary)})) AS held").filter("size(held) > 0")
     counts = {r["w"]: r["n"] for r in held.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     index = []
