@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thermograph.llm.common import held_out, spill, table
 from thermograph.llm.jaccard import keep_one_of_each
-from thermograph.llm.lines import drop_repeated_runs
+from thermograph.llm.lines import SHORT_WORDS, drop_repeated_runs
 from thermograph.llm.packing import packed_documents
 from thermograph.llm.substrings import remove_repeats
 from thermograph.llm.toxicity import labelled_sample, score, train
@@ -30,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines are cut out of the texts; every document stays."""
-    return _recounted(drop_repeated_runs(docs), docs.columns)
+    return _recounted(drop_repeated_runs(docs, short_words=SHORT_WORDS), docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

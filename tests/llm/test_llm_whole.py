@@ -2,8 +2,9 @@
 
 import textwrap
 
-from samples import awkward
+from samples import awkward, words
 from thermograph.llm import license as lic
+from thermograph.llm import lines
 
 
 def test_license_notices_wrapped_over_lines(spark):
@@ -18,3 +19,19 @@ def test_license_notices_wrapped_over_lines(spark):
     assert all(label in by[i].labels.split(",") for i, label in enumerate(labels))
     assert all(by[i].score >= 0.8 for i in range(n))
     assert by[n].labels == "" and by[n + 1].labels == "bsd" and by[n + 1].score == 1
+
+
+def test_lines_of_short_texts_and_long_lines(spark):
+    long, part = " ".join(words(137, 1)), [" ".join(words(20, i)) for i in (2, 3)]
+    texts = ["two words", "two words", "a\n\nb", "a\n\nb", f"head\n{long}", f"{long}\ntail", "\n".join(["x", *part, "y"]), "\n".join(["z", *part]), "two words\nand more", part[0] + "\nrest"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r.doc_id: (r.text, r.n_removed) for r in lines.drop_repeated_runs(docs, short_words=35).collect()}
+    want = {i: (t, 0) for i, t in enumerate(texts)} | {1: ("", 1), 3: ("", 2), 5: ("tail", 1), 7: ("z", 2)}
+    assert by == {**want, 3: ("", 2)}
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    """Different texts of one doc_id, or of none, with a run at the same place: one keeps it."""
+    for key in (5, None):
+        docs = spark.createDataFrame([(key, "a\nb\nc\nend"), (key, "a\nb\nc\nother end"), (key, "a\nb\nc\nthird")], "doc_id long, text string")
+        assert sorted(r.n_removed for r in lines.drop_repeated_runs(docs).collect()) == [0, 3, 3]
