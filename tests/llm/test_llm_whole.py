@@ -2,9 +2,13 @@
 
 import textwrap
 
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
 from samples import awkward, words
 from thermograph.llm import license as lic
-from thermograph.llm import lines
+from thermograph.llm import lines, pieces
 
 
 def test_license_notices_wrapped_over_lines(spark):
@@ -35,3 +39,13 @@ def test_lines_of_texts_that_share_an_id(spark):
     for key in (5, None):
         docs = spark.createDataFrame([(key, "a\nb\nc\nend"), (key, "a\nb\nc\nother end"), (key, "a\nb\nc\nthird")], "doc_id long, text string")
         assert sorted(r.n_removed for r in lines.drop_repeated_runs(docs).collect()) == [0, 3, 3]
+
+
+@pytest.mark.parametrize("chunk", [16, 300, pieces.CHUNK_CHARS])
+def test_pieces_are_those_of_the_library(spark, chunk):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = [" lead and trail ", "a\n\n b \n", "\u2581mark\u2581", "x" * 500, "日本語🙂 é́ " * 30, "tab\tand  two   three ", "\n" * 40, "word\nword " * 50, " " * 90]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(own)], "doc_id long, text string"))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.encode_documents(docs, path, chunk).collect()}
+    assert got == {r.doc_id: sp.encode(r.text or "") for r in docs.collect()}

@@ -1,4 +1,8 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding, by merges or by a max-plus parallel scan.
+
+Models of the BPE kind merge pairs by rank, and no sum of scores gives their
+ids: the library itself encodes texts, and giant ones in chunks that end where
+no piece can reach across. The rest holds for unigram models.
 
 A text's segmentation is the path of pieces with the largest sum of scores. A
 giant text is split into chunks. For a chunk, a matrix holds the best score
@@ -33,13 +37,42 @@ NONE = -np.inf
 _MODELS: dict[str, Pieces] = {}
 
 
+def is_bpe(proto: bytes) -> bool:
+    """Whether a serialized model says so: trainer_spec (field 2), model_type (field 3) = 2."""
+    def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                x = b[at]
+                at += 1
+                out |= (x & 127) << shift
+                shift += 7
+                if x < 128:
+                    return out
+
+        while at < len(b):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+            else:
+                n = {1: 8, 5: 4}.get(tag & 7) or number()
+                yield tag >> 3, b[at:at + n]
+                at += n
+
+    return any(k == 3 and x == 2 for f, spec in fields(proto) if f == 2 for k, x in fields(spec))
+
+
 class Pieces:
     """Pieces and scores of a model file, and the best segmentation by them."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.merges = is_bpe(sp.serialized_model_proto())
         every = range(sp.vocab_size())
         plain = [i for i in every if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
@@ -59,7 +92,40 @@ class Pieces:
         self.units = None if joined else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if feeds else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.cache: dict[str, tuple[float, bytes]] = {}
 
+    def merged(self, text: str, kind: type = int) -> list:
+        """Ids (or pieces) by the library, of text that starts with a mark or with a line feed that is a unit."""
+        plain = text.replace(SPACE, " ")
+        if not plain.startswith(" "):
+            return self.sp.encode(plain, out_type=kind)[1:] if plain else []
+        # The library puts the first mark in front itself, but not in front of nothing.
+        return self.sp.encode(plain[1:], out_type=kind) if len(plain) > 1 else [self.ids.get(SPACE, self.unknown_id) if kind is int else SPACE]
+
+    def chunks(self, text: str, size: int) -> Iterator[str]:
+        """Parts of at least ``size`` characters that no piece crosses and ``merged`` can encode alone."""
+        at = 0
+        for m in self.units.finditer(text) if self.units else ():
+            if m.start() - at >= size and m[0][0] in f"{SPACE}\n":
+                yield text[at:m.start()]
+                at = m.start()
+        yield text[at:]
+
     def best(self, text: str, entry: list[float], stop: int) -> tuple[list[float], list[int]]:
+        """The model's own segmentation of a whole marked text where it merges, else as ``scan``."""
+        if not (self.merges and entry == [0.0] and stop == len(text) and text.startswith(SPACE)):
+            return self.scan(text, entry, stop)
+        score, back, end, pending = [NONE] * (len(text) + 1), [-1] * (len(text) + 1), 0, b""
+        score[0] = 0.0
+        for piece in self.merged(text, str):
+            if piece not in self.ids and self.byte_ids:
+                pending += bytes([int(piece[3:5], 16)])
+                if len(pending) < len(text[end].encode()):
+                    continue
+                piece, pending = text[end], b""
+            start, end = end, end + len(piece)
+            score[end], back[end] = score[start] + self.scores.get(piece, self.unknown), start
+        return score, back
+
+    def scan(self, text: str, entry: list[float], stop: int) -> tuple[list[float], list[int]]:
         """Best score at each place of ``text`` and where the last piece starts (-1: at entry).
 
         ``entry`` are scores of the first places; pieces start before ``stop``.
@@ -111,6 +177,8 @@ class Pieces:
         return found
 
     def encode(self, text: str) -> bytes:
+        if self.merges:
+            return np.array(self.merged(text), "<u4").tobytes()
         if self.units is None:
             return self.unit(text)[1]
         cache = self.cache
@@ -134,14 +202,14 @@ class Pieces:
         whole = body + ahead
         if cut is None:
             for i in range(min(k, n + 1)):
-                score, _ = self.best(whole, [NONE] * i + [0.0], n)
+                score, _ = self.scan(whole, [NONE] * i + [0.0], n)
                 out[i, :len(score) - n] = score[n:n + k]
             return out
         first, last = cut
-        score, _ = self.best(whole[last:], [0.0], n - last)
+        score, _ = self.scan(whole[last:], [0.0], n - last)
         leave = np.full(k, NONE)
         leave[:len(score) - (n - last)] = score[n - last:n - last + k]
-        enter = np.array([self.best(body[:first], [NONE] * i + [0.0], first)[0][first] for i in range(k)])
+        enter = np.array([self.scan(body[:first], [NONE] * i + [0.0], first)[0][first] for i in range(k)])
         return enter[:, None] + self.middle(body, first, last)[0] + leave[None, :]
 
     def entries(self, body: str, ahead: str, entry: list[float]) -> list[int]:
@@ -149,9 +217,9 @@ class Pieces:
         cut = self.cuts(body)
         if cut is None:
             whole = body + ahead
-            score, back = self.best(whole, entry, len(body))
+            score, back = self.scan(whole, entry, len(body))
             return [self.trace(whole, back, len(body) + j)[0] if len(body) + j <= len(whole) and score[len(body) + j] > NONE else -1 for j in range(self.longest)]
-        _, back = self.best(body[:cut[0]], entry, cut[0])
+        _, back = self.scan(body[:cut[0]], entry, cut[0])
         return [self.trace(body[:cut[0]], back, cut[0])[0]] * self.longest
 
     def path(self, body: str, ahead: str, entry: list[float], leave: int) -> bytes:
@@ -159,10 +227,10 @@ class Pieces:
         cut = self.cuts(body)
         whole = body + ahead
         if cut is None:
-            return self.trace(whole, self.best(whole, entry, len(body))[1], len(body) + leave)[1]
+            return self.trace(whole, self.scan(whole, entry, len(body))[1], len(body) + leave)[1]
         first, last = cut
-        head = self.trace(body[:first], self.best(body[:first], entry, first)[1], first)[1]
-        tail = self.trace(whole[last:], self.best(whole[last:], [0.0], len(body) - last)[1], len(body) - last + leave)[1]
+        head = self.trace(body[:first], self.scan(body[:first], entry, first)[1], first)[1]
+        tail = self.trace(whole[last:], self.scan(whole[last:], [0.0], len(body) - last)[1], len(body) - last + leave)[1]
         return head + self.middle(body, first, last)[1] + tail
 
     def decode(self, ids: bytes) -> str:
@@ -190,8 +258,8 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def encode_documents(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id and ``ids`` (little-endian uint32 bytes) of every row.
 
-    Pieces and scores are those of the SentencePiece file ``model``; the path
-    with the largest sum is taken, unknown characters become byte pieces where
+    Pieces and scores are those of the SentencePiece file ``model``; a BPE model
+    merges as its library does, else the path with the largest sum is taken. Unknown characters become byte pieces where
     the model has them. Null and empty texts have no ids. Repeated rows and null
     doc_ids are encoded each; other columns are ignored. A text is bounded by
     what one row may hold, not by the memory of a segmentation.
@@ -216,6 +284,19 @@ def encode_documents(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS
     docs = small_batches(docs.select("doc_id", "text"))
     short = docs.filter(size <= chunk_chars).select("doc_id", whole("text").alias("ids"))
     giant = docs.filter(size > chunk_chars).select(F.expr("uuid()").alias("uid"), F.col("doc_id").cast("string"), "text")
+    if model_of(model).merges:
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                for uid, key, text in zip(df["uid"], df["doc_id"], df["text"]):
+                    for k, body in enumerate(model_of(model).chunks(marked(text), chunk_chars)):
+                        yield pd.DataFrame({"uid": [uid], "doc_id": pd.Series([key], dtype=object), "k": [k], "body": [body]})
+
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                yield df[["uid", "doc_id", "k"]].assign(ids=[model_of(model).encode(b) for b in df["body"]])
+
+        parts = spill(giant.mapInPandas(cut, "uid string, doc_id string, k int, body string")).repartition("uid", "k")
+        return short.unionByName(_in_order(parts.mapInPandas(merge, "uid string, doc_id string, k int, ids binary"), kind))
     chunks = spill(giant.mapInPandas(split, "uid string, doc_id string, k int, n int, body string, ahead string"))
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,8 +356,13 @@ def encode_documents(docs: DataFrame, model: str, chunk_chars: int = CHUNK_CHARS
     begun = chunks.join(entries.hint("merge"), ["uid", "k"])
     leaves = spill(begun.select("uid", "k", "body", "ahead", "entry").mapInPandas(ways, "uid string, k int, ways array<int>").groupBy("uid").applyInPandas(back, "uid string, k int, leave int"))
     traced = begun.join(leaves.hint("merge"), ["uid", "k"]).select("uid", "doc_id", "k", "body", "ahead", "entry", "leave").mapInPandas(paths, "uid string, doc_id string, k int, ids binary")
-    joined = traced.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    return short.unionByName(joined.select(F.col("doc_id").cast(kind), F.expr("aggregate(parts, CAST('' AS BINARY), (a, x) -> concat(a, x.ids))").alias("ids")))
+    return short.unionByName(_in_order(traced, kind))
+
+
+def _in_order(parts: DataFrame, kind: str) -> DataFrame:
+    """doc_id and ids of texts from those of their chunks."""
+    joined = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    return joined.select(F.col("doc_id").cast(kind), F.expr("aggregate(parts, CAST('' AS BINARY), (a, x) -> concat(a, x.ids))").alias("ids"))
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
