@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from samples import awkward, words
 from thermograph.llm import license as lic
-from thermograph.llm import lines, pieces
+from thermograph.llm import lines, pieces, quality
 
 
 def test_license_notices_wrapped_over_lines(spark):
@@ -49,3 +49,13 @@ def test_pieces_are_those_of_the_library(spark, chunk):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(own)], "doc_id long, text string"))
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.encode_documents(docs, path, chunk).collect()}
     assert got == {r.doc_id: sp.encode(r.text or "") for r in docs.collect()}
+
+
+def test_quality_of_languages_without_a_reference(spark):
+    """Clean Russian text stays; the same text that claims to be English, or claims nothing, is far from every reference."""
+    en = " ".join(w for k in range(60) for w in ("the", f"house{k}", "of", f"stone{k}", "and", "to", f"river{k}", "in", "is", f"field{k}"))
+    ru = " ".join(w for k in range(60) for w in ("и", f"дом{k}", "в", f"река{k}", "не", "на", f"поле{k}", "что"))
+    rows = [(i, en, "en") for i in range(5)] + [(10, ru, "ru"), (11, ru, "en"), (12, ru, None), (13, "много слов " * 60, "ru"), (14, "мало слов", "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    by = {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
+    assert by == {**{i: True for i in range(5)}, 10: True, 11: False, 12: False, 13: False, 14: False}

@@ -121,9 +121,9 @@ def quality_rules(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT,
     References sum the histograms of all rows whose lang is in COMMON_WORDS. A
     row's language is the reference with the least word distance (first by name
     on ties), whatever its own lang says. A distance is judged from min_chars
-    characters or min_words words on; below, or without any reference, that
-    rule keeps the row and the distance is still reported (null for empty
-    texts). Null and empty texts fail the base rule of 50 words. Repeated rows
+    characters or min_words words on; below, without any reference, or where
+    the row's own lang is given and has no reference, both rules keep the row
+    and the distances are still reported (null for empty texts). Null and empty texts fail the base rule of 50 words. Repeated rows
     are judged alike, each for itself; other columns are ignored.
     """
     feats = spill(features(docs))
@@ -145,8 +145,8 @@ def quality_rules(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT,
     best = shares.selectExpr("*", f"array_min(array({', '.join(cols)})) AS best")
     return best.selectExpr("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                            "best.char AS char_distance", "best.word AS word_distance", "best.language AS language",
-                           f"NOT base_failed AND (n_chars < {min_chars} OR best.char IS NULL OR best.char <= {_limit(char_limit)}) "
-                           f"AND (n_words < {min_words} OR best.word IS NULL OR best.word <= {_limit(word_limit)}) AS kept")
+                           f"NOT base_failed AND (coalesce(lang NOT IN ({sql_strings(refs)}), false) OR (n_chars < {min_chars} OR best.char IS NULL OR best.char <= {_limit(char_limit)}) "
+                           f"AND (n_words < {min_words} OR best.word IS NULL OR best.word <= {_limit(word_limit)})) AS kept")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
