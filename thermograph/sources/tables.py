@@ -298,19 +298,20 @@ def trace_rows(blocks: DataFrame) -> DataFrame:
     return e.select("report_id", (F.col("sequence") - 1).alias("sequence"), F.col("kind").alias("block_type"), "table_index", "row_index", "col_index", "text", "row_text")
 
 
-def word_report_card(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Report card from the first five tables (25 rows each) and conclusions.
+def word_report_card(rows: DataFrame, paragraphs: DataFrame, max_tables: int | None = None, max_rows: int | None = None, max_paragraphs: int | None = None) -> DataFrame:
+    """Report card from tables and conclusions, whole unless limits are given.
 
-    Tables give field pairs; of the first 80 paragraphs those that state a
-    conclusion join the conclusion list after the tables.
+    Tables give field pairs; paragraphs that state a conclusion join the
+    conclusion list after the tables.
     """
     from thermograph.operators.relational import meta_fold
-    r = rows.filter("table_index < 5 AND row_index < 25").withColumn("cells", F.filter(F.transform("cells", lambda x: X.clean(x)), lambda x: x != ""))
+    below = lambda column, limit: F.lit(True) if limit is None else F.col(column) < limit
+    r = rows.filter(below("table_index", max_tables) & below("row_index", max_rows)).withColumn("cells", F.filter(F.transform("cells", lambda x: X.clean(x)), lambda x: x != ""))
     r = r.filter("size(cells) = 2 OR size(cells) >= 4")
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("cells") / 2).cast("int") - 1), lambda i: F.struct(F.get("cells", i * 2).alias("field"), F.get("cells", i * 2 + 1).alias("value")))
-    m = r.select("report_id", (F.col("table_index") * 1000 + F.col("row_index")).alias("_r"), F.posexplode(pairs).alias("_i", "p")).select("report_id", (F.col("_r") * 1000 + F.col("_i")).cast("bigint").alias("pos"), "p.field", "p.value")
-    c = paragraphs.filter("para_index < 80").filter(X.contains_any(F.col("text"), ("检验结论", "检测结论"))).select(
-        "report_id", (F.lit(10_000_000) + F.col("para_index")).cast("bigint").alias("pos"), F.lit("检验结论").alias("field"), F.col("text").alias("value"))
+    m = r.select("report_id", (F.col("table_index").cast("bigint") * 10_000_000 + F.col("row_index")).alias("_r"), F.posexplode(pairs).alias("_i", "p")).select("report_id", (F.col("_r") * 10_000 + F.col("_i")).alias("pos"), "p.field", "p.value")
+    c = paragraphs.filter(below("para_index", max_paragraphs)).filter(X.contains_any(F.col("text"), ("检验结论", "检测结论"))).select(
+        "report_id", (F.lit(1 << 62) + F.col("para_index")).alias("pos"), F.lit("检验结论").alias("field"), F.col("text").alias("value"))
     return meta_fold(m.unionByName(c))
 
 
