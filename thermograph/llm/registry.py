@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["thermograph.llm." + m for m in ("jaccard", "license", "toxicity", "lines", "packing", "pieces", "substrings", "embeddings", "lm", "quality", "whitening")] + ["corpus_pipeline"]
+MODULES = ["thermograph.llm." + m for m in ("jaccard", "license", "toxicity", "lines", "packing", "pieces", "substrings", "embeddings", "lm", "quality", "language", "phrases", "whitening")] + ["corpus_pipeline"]
 
 
 def registered() -> dict:
