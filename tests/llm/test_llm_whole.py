@@ -59,3 +59,19 @@ def test_quality_of_languages_without_a_reference(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     by = {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
     assert by == {**{i: True for i in range(5)}, 10: True, 11: False, 12: False, 13: False, 14: False}
+
+
+def test_license_scan_equals_its_sql(spark, tmp_path):
+    """Wrapped, marked and interrupted notices, Unicode look-alikes of K and I, and odd line ends."""
+    import duckdb
+
+    notices = [t for _, t in lic.TEMPLATES]
+    texts = [f"{mark}" + f"{end}{mark}".join(textwrap.wrap("Some words. " + t + " and more", width)) for t in notices for width, mark, end in ((12, "", "\n"), (30, "// ", "\n"), (50, "", "\n\n"), (45, "", "\r\n"), (25, "\t", "\n \n"))]
+    texts += ["MIT Keep LİCENSE", "mit license", "general\npublic\n\nlicense", *notices, "\n\n\n", "all\nrights\nreserved\n" * 20]
+    docs = awkward(spark, texts)
+    docs.select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/docs/*.parquet'")
+    want = con.execute(lic.QUERIES["op2_license_scans"][1]).fetchall()
+    got = [tuple(r) for r in lic.license_scan(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r[6] != r[5] for r in got) > 20
