@@ -452,16 +452,46 @@ def region_matches(before: DataFrame, after: DataFrame, bucket: float = 64, chec
 
 # -- evidence and decisions --------------------------------------------------------
 
-def zonal_stats(cells: DataFrame, bands: DataFrame, bucket: float = 32) -> DataFrame:
-    """Mean, 90th percentile and maximum of cell values in axis rectangles.
+def zonal_stats(cells: DataFrame, bands: DataFrame, tile: int = 256) -> DataFrame:
+    """Mean, 90th percentile and maximum of cell values in axis rectangles, one row per band that holds a cell.
 
     ``cells``: page_id, x, y, value; ``bands``: page_id, band_id, bx0, by0,
-    bx1, by1 (inclusive). Cells meet bands through tiles of both axes.
+    bx1, by1 (inclusive). Bands of equal short side share a strip: the cells of
+    its lines, kept as arrays by position along it. A band then takes a slice of
+    its strip, so cells are never joined to bands one by one.
     """
-    t = lambda c: F.floor(F.col(c) / bucket)
-    b = bands.withColumn("_tx", F.explode(F.sequence(t("bx0"), t("bx1")))).withColumn("_ty", F.explode(F.sequence(t("by0"), t("by1"))))
-    j = cells.withColumns({"_tx": t("x"), "_ty": t("y")}).join(b, ["page_id", "_tx", "_ty"]).filter("x BETWEEN bx0 AND bx1 AND y BETWEEN by0 AND by1")
-    return j.groupBy("page_id", "band_id").agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.9)").alias("p90"), F.max("value").alias("max"), F.count(F.lit(1)).alias("n_cells"))
+    c = F.col
+    wide = c("bx1") - c("bx0") >= c("by1") - c("by0")
+    side = lambda x, y: F.when(wide, c(x)).otherwise(c(y))
+    whole = lambda v, f: f(v).cast("bigint")
+    b = bands.select("page_id", "band_id", F.when(wide, "h").otherwise("v").alias("_axis"), whole(side("by0", "bx0"), F.ceil).alias("_lo"), whole(side("by1", "bx1"), F.floor).alias("_hi"),
+                     whole(side("bx0", "by0"), F.ceil).alias("_a"), whole(side("bx1", "by1"), F.floor).alias("_z")).filter("_lo <= _hi AND _a <= _z")
+    strip = ["page_id", "_axis", "_lo", "_hi"]
+    lines = b.select(*strip).distinct().withColumn("_across", F.explode(F.sequence("_lo", "_hi")))
+    at = lambda axis, across, along: cells.select("page_id", F.lit(axis).alias("_axis"), c(across).cast("bigint").alias("_across"), c(along).cast("bigint").alias("_p"), "value")
+    held = lines.join(at("h", "y", "x").unionByName(at("v", "x", "y")).filter("value IS NOT NULL"), ["page_id", "_axis", "_across"]).groupBy(*strip, "_p").agg(F.collect_list("value").alias("_v"))
+    runs = held.groupBy(*strip, F.floor(c("_p") / tile).alias("_t")).agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_m"))
+    first, last = c("_m")[0]["_p"], F.element_at("_m", -1)["_p"]
+    # Positions without a cell are rare; only strips that have one are filled up.
+    filled = F.transform(F.sequence(first, last), lambda p: F.coalesce(F.try_element_at(F.map_from_entries("_m"), p), F.array().cast("array<double>")))
+    runs = runs.select(*strip, "_t", first.alias("_first"), last.alias("_last"), F.when(last - first + 1 == F.size("_m"), F.transform("_m", lambda x: x["_v"])).otherwise(filled).alias("_runs"))
+
+    def values(df: DataFrame) -> DataFrame:
+        j = df.withColumn("_t", F.explode(F.sequence(F.floor(c("_a") / tile), F.floor(c("_z") / tile)))).join(runs, [*strip, "_t"])
+        lo, hi = F.greatest("_a", "_first"), F.least("_z", "_last")
+        return j.filter(lo <= hi).withColumn("_v", F.flatten(F.slice("_runs", (lo - c("_first") + 1).cast("int"), (hi - lo + 1).cast("int"))))
+
+    near = F.floor(c("_a") / tile) == F.floor(c("_z") / tile)
+    one = values(b.filter(near)).select("page_id", "band_id", "_v")
+    # Longer bands meet several arrays; equal rows are told apart by their number.
+    far = b.filter(~near).groupBy(*b.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    many = values(far).groupBy(*b.columns, "_copies").agg(F.flatten(F.collect_list("_v")).alias("_v")).select("page_id", "band_id", "_v", F.explode(F.sequence(F.lit(1), c("_copies").cast("int"))).alias("_n")).drop("_n")
+    out = one.unionByName(many).select("page_id", "band_id", F.sort_array("_v").alias("_v")).filter("size(_v) > 0")
+    place = (F.size("_v") - 1) * 0.9
+    low = F.floor(place).cast("int")
+    value = lambda i: F.get("_v", i)
+    p90 = value(low) + (place - low) * (F.coalesce(value(low + 1), value(low)) - value(low))
+    return out.select("page_id", "band_id", (F.aggregate("_v", F.lit(0.0), lambda x, v: x + v) / F.size("_v")).alias("mean"), p90.alias("p90"), F.element_at("_v", -1).alias("max"), F.size("_v").cast("bigint").alias("n_cells"))
 
 
 def line_bands(segments: DataFrame, radius: int) -> DataFrame:

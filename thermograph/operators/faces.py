@@ -257,7 +257,9 @@ def edge_crosses_band_anti(edges: DataFrame, bands: DataFrame, tol: float = 4, b
     """Edges that no band crosses or overlaps, anchor bands excepted.
 
     ``edges``: page_id, edge_id, orientation, fixed, axis_start, axis_end,
-    anchor_ids; ``bands`` with source_ids.
+    anchor_ids; ``bands`` with source_ids. Edges are judged row by row: an id
+    may stand for several lines of a page, and one that is crossed leaves the
+    others in.
     """
     h = F.col("orientation") == "horizontal"
     x = lambda a: F.when(h, F.col(a)).otherwise(F.col("fixed"))
@@ -269,7 +271,8 @@ def edge_crosses_band_anti(edges: DataFrame, bands: DataFrame, tol: float = 4, b
     c = F.col
     along = (c("b_o") == c("orientation")) & (F.abs(c("b_at") - c("fixed")) <= tol) & (F.least("axis_end", "b_e") - F.greatest("axis_start", "b_s") > tol)
     across = (c("b_o") != c("orientation")) & (c("b_at") > c("axis_start") + tol) & (c("b_at") < c("axis_end") - tol) & c("fixed").between(c("b_s") - tol, c("b_e") + tol)
-    return edges.join(j.filter(along | across).select("page_id", "edge_id").distinct(), ["page_id", "edge_id"], "left_anti")
+    row = ["page_id", "edge_id", "orientation", "fixed", "axis_start", "axis_end", "anchor_ids"]
+    return edges.join(j.filter(along | across).select(*row).distinct(), row, "left_anti")
 
 
 def inferred_edge_decision(edges: DataFrame) -> DataFrame:

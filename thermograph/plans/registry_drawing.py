@@ -16,20 +16,6 @@ def add(name, fn, sql=None, views=()):
     QUERIES[name] = (fn, A.with_views(sql.strip(), *views) if sql and views else sql)
 
 
-def whole(sql, *filters):
-    """Reference SQL with each filter that thins a table replaced by the text that goes with it."""
-    for old, new in filters:
-        if old not in sql:
-            raise ValueError(f"{old} is no part of the SQL")
-        sql = sql.replace(old, new)
-    return sql
-
-
-def add_whole(name, fn, *filters):
-    """The query over every row, as ``<name>_whole``."""
-    QUERIES[name + "_whole"] = (fn, whole(QUERIES[name][1], *filters))
-
-
 SEG = ("v_segments",)
 A.VIEWS["v_spans"] = """
 SELECT o_orderkey AS span_id, o_orderkey % 50 AS page_id, CASE WHEN o_custkey % 2 = 0 THEN 'horizontal' ELSE 'vertical' END AS direction,
@@ -78,13 +64,12 @@ add("W3_chain_components", _chain, _isl("page_id, orientation, fixed", 12) + """
 , g AS (SELECT page_id, orientation, fixed, min(axis_start) AS axis_start, max(axis_end) AS axis_end, count(DISTINCT seg_id) FILTER (WHERE seg_id % 3 = 0) AS n_anchors, count(DISTINCT seg_id) FILTER (WHERE seg_id % 3 = 2) AS n_arcs,
  count(DISTINCT seg_id) FILTER (WHERE seg_id % 3 = 1) AS n_walls FROM b GROUP BY page_id, orientation, fixed, isl)
 SELECT *, CASE WHEN n_anchors >= 2 THEN 'confirmed' WHEN n_anchors = 1 THEN 'pending' ELSE 'ignored' END AS status FROM g WHERE n_arcs > 0""", SEG)
-add("W4_axis_clusters", lambda s, d: I.axis_clusters(seg(s, d).filter("seg_id % 37 = 0"), ["page_id", "orientation"], 8, 450), """
-, w AS (SELECT page_id, orientation, fixed AS axis, axis_start AS a, axis_end AS z, seg_id FROM v_segments WHERE seg_id % 37 = 0 AND axis_start < axis_end),
+add("W4_axis_clusters", lambda s, d: I.axis_clusters(seg(s, d), ["page_id", "orientation"], 8, 450), """
+, w AS (SELECT page_id, orientation, fixed AS axis, axis_start AS a, axis_end AS z, seg_id FROM v_segments WHERE axis_start < axis_end),
 g AS (SELECT *, CASE WHEN axis - lag(axis, 1, -100000) OVER (PARTITION BY page_id, orientation ORDER BY axis, seg_id) > 8 THEN 1 ELSE 0 END AS nw FROM w),
 k AS (SELECT *, sum(nw) OVER (PARTITION BY page_id, orientation ORDER BY axis, seg_id ROWS UNBOUNDED PRECEDING) AS cl FROM g),
 u AS (SELECT DISTINCT page_id, orientation, cl, unnest(range(a, z + 1)) AS p FROM k), v AS (SELECT page_id, orientation, cl, count(*) AS coverage FROM u GROUP BY ALL)
 SELECT k.page_id, k.orientation, min(axis) AS axis_min, max(axis) AS axis_max, count(*) AS n_walls, any_value(coverage) AS coverage FROM k JOIN v USING (page_id, orientation, cl) GROUP BY k.page_id, k.orientation, k.cl HAVING any_value(coverage) >= 18""", SEG)
-add_whole("W4_axis_clusters", lambda s, d: I.axis_clusters(seg(s, d), ["page_id", "orientation"], 8, 450), ("seg_id % 37 = 0 AND ", ""))
 
 
 def _walls(s, d):
@@ -154,8 +139,8 @@ def _j10(s, d):
 add("J10_gap_opening_match", _j10, _WALLS.format(tol=2) + " SELECT page_id, wall_id AS gap_key, CASE fixed % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'multiple' END AS match, CASE WHEN fixed % 3 = 1 THEN wall_id || '#1' END AS opening_id FROM g", SEG)
 
 
-def _gaps(s, d, only="seg_id % 7 = 0"):
-    return seg(s, d).filter(only).select("page_id", "orientation", "fixed", c("axis_start").alias("gap_start"), c("axis_end").alias("gap_end"), c("seg_id").alias("gap_key"))
+def _gaps(s, d):
+    return seg(s, d).select("page_id", "orientation", "fixed", c("axis_start").alias("gap_start"), c("axis_end").alias("gap_end"), c("seg_id").alias("gap_key"))
 
 
 def _curves(s, d):
@@ -164,22 +149,19 @@ def _curves(s, d):
 
 
 add("J11_gap_curve_join", lambda s, d: D.gap_curve_join(_gaps(s, d), _curves(s, d)).select("page_id", "gap_key", F.array_join(c("curve_ids").cast("array<string>"), ",").alias("curves")), """
-, g AS (SELECT page_id, seg_id AS gap_key, CASE WHEN orientation = 'horizontal' THEN axis_start ELSE fixed END AS gx0, CASE WHEN orientation = 'horizontal' THEN axis_end ELSE fixed END AS gx1, CASE WHEN orientation = 'horizontal' THEN fixed ELSE axis_start END AS gy0, CASE WHEN orientation = 'horizontal' THEN fixed ELSE axis_end END AS gy1 FROM v_segments WHERE seg_id % 7 = 0),
+, g AS (SELECT page_id, seg_id AS gap_key, CASE WHEN orientation = 'horizontal' THEN axis_start ELSE fixed END AS gx0, CASE WHEN orientation = 'horizontal' THEN axis_end ELSE fixed END AS gx1, CASE WHEN orientation = 'horizontal' THEN fixed ELSE axis_start END AS gy0, CASE WHEN orientation = 'horizontal' THEN fixed ELSE axis_end END AS gy1 FROM v_segments),
 k AS (SELECT page_id, region_id AS id, x * 5 AS x0, y * 5 AS y0, x * 5 + w AS x1, y * 5 + h AS y1 FROM v_regions)
 SELECT g.page_id, gap_key, string_agg(id::VARCHAR, ',' ORDER BY id) AS curves FROM g JOIN k ON k.page_id = g.page_id AND gx0 >= x0 - 12 AND gx1 <= x1 + 12 AND gy0 >= y0 - 12 AND gy1 <= y1 + 12
  AND least((gx0 - x0) ** 2 + (gy0 - y0) ** 2, (gx1 - x0) ** 2 + (gy1 - y0) ** 2, (gx0 - x1) ** 2 + (gy0 - y1) ** 2, (gx1 - x1) ** 2 + (gy1 - y1) ** 2) <= 144 GROUP BY 1, 2""", ("v_segments", "v_regions"))
 add("J11_gap_short_segments", lambda s, d: D.gap_short_segment_join(_gaps(s, d), seg(s, d)), """
-SELECT g.page_id, g.seg_id AS gap_key, count(*) AS short_lines FROM v_segments g JOIN v_segments s ON g.seg_id % 7 = 0 AND s.page_id = g.page_id AND s.orientation = g.orientation AND abs(s.fixed - g.fixed) <= 12 AND s.axis_start <= g.axis_end + 12 AND s.axis_end >= g.axis_start - 12 GROUP BY 1, 2""", SEG)
-add("J12_anchor_both_ends_semi", lambda s, d: D.anchor_both_ends_semi(seg(s, d).filter("seg_id % 5 = 1"), seg(s, d).filter("seg_id % 9 = 0")).select("page_id", "seg_id", "touching"), """
+SELECT g.page_id, g.seg_id AS gap_key, count(*) AS short_lines FROM v_segments g JOIN v_segments s ON s.page_id = g.page_id AND s.orientation = g.orientation AND abs(s.fixed - g.fixed) <= 12 AND s.axis_start <= g.axis_end + 12 AND s.axis_end >= g.axis_start - 12 GROUP BY 1, 2""", SEG)
+# Two inputs: every line is either an anchor or a candidate.
+add("J12_anchor_both_ends_semi", lambda s, d: D.anchor_both_ends_semi(seg(s, d).filter("seg_id % 9 > 0"), seg(s, d).filter("seg_id % 9 = 0")).select("page_id", "seg_id", "touching"), """
 , c0 AS (SELECT *, CASE WHEN orientation = 'horizontal' THEN axis_start ELSE fixed END AS x0, CASE WHEN orientation = 'horizontal' THEN axis_end ELSE fixed END AS x1, CASE WHEN orientation = 'horizontal' THEN fixed ELSE axis_start END AS y0, CASE WHEN orientation = 'horizontal' THEN fixed ELSE axis_end END AS y1 FROM v_segments),
-a AS (SELECT * FROM c0 WHERE seg_id % 9 = 0), k AS (SELECT * FROM c0 WHERE seg_id % 5 = 1 AND axis_end - axis_start >= 40),
+a AS (SELECT * FROM c0 WHERE seg_id % 9 = 0), k AS (SELECT * FROM c0 WHERE seg_id % 9 > 0 AND axis_end - axis_start >= 40),
 e AS (SELECT page_id, seg_id, 0 AS side, x0 AS px, y0 AS py FROM k UNION ALL SELECT page_id, seg_id, 1, x1, y1 FROM k),
 t AS (SELECT e.page_id, e.seg_id, count(DISTINCT side) AS sides, count(DISTINCT a.seg_id) AS touching FROM e JOIN a ON a.page_id = e.page_id AND px BETWEEN a.x0 - 36 AND a.x1 + 36 AND py BETWEEN a.y0 - 36 AND a.y1 + 36 GROUP BY 1, 2)
 SELECT k.page_id, k.seg_id, touching FROM k JOIN t USING (page_id, seg_id) WHERE sides = 2 AND touching >= 2 AND (NOT EXISTS (SELECT 1 FROM a WHERE a.page_id = k.page_id AND a.orientation = k.orientation) OR EXISTS (SELECT 1 FROM a WHERE a.page_id = k.page_id AND a.orientation = k.orientation AND abs(a.fixed - k.fixed) <= 8))""", SEG)
-add_whole("J11_gap_curve_join", lambda s, d: D.gap_curve_join(_gaps(s, d, "true"), _curves(s, d)).select("page_id", "gap_key", F.array_join(c("curve_ids").cast("array<string>"), ",").alias("curves")), (" WHERE seg_id % 7 = 0", ""))
-add_whole("J11_gap_short_segments", lambda s, d: D.gap_short_segment_join(_gaps(s, d, "true"), seg(s, d)), ("g.seg_id % 7 = 0 AND ", ""))
-# Two inputs: every line is either an anchor or a candidate.
-add_whole("J12_anchor_both_ends_semi", lambda s, d: D.anchor_both_ends_semi(seg(s, d).filter("seg_id % 9 > 0"), seg(s, d).filter("seg_id % 9 = 0")).select("page_id", "seg_id", "touching"), ("seg_id % 5 = 1", "seg_id % 9 > 0"))
 add("J13_nearest_band_join", lambda s, d: D.nearest_band_join(seg(s, d), seg(s, d).filter("seg_id % 31 = 0").select("page_id", "orientation", c("seg_id").alias("band_id"), "fixed")).select("page_id", "seg_id", "band_id", "distance"), """
 SELECT s.page_id, s.seg_id, arg_min(b.seg_id, abs(b.fixed - s.fixed) * 100000000000000 + b.seg_id) AS band_id, min(abs(b.fixed - s.fixed)) AS distance FROM v_segments s JOIN v_segments b ON b.seg_id % 31 = 0 AND b.page_id = s.page_id AND b.orientation = s.orientation AND abs(b.fixed - s.fixed) <= 16 GROUP BY 1, 2""", SEG)
 
@@ -311,17 +293,16 @@ k AS (SELECT cl.page_id, cls, x, y, x - cx AS dx, y - cy AS dy FROM cl JOIN b US
 SELECT page_id, cls, side, count(DISTINCT CASE WHEN side IN ('top', 'bottom') THEN x ELSE y END) AS length_px FROM n GROUP BY 1, 2, 3""", ("v_cells",))
 
 
-def _zonal(s, d, only="seg_id % 9 = 0"):
-    b = A.view(s, d, "v_segments").filter(only).select((c("page_id") % 20).alias("page_id"), "seg_id", "orientation", (c("fixed") % 24).alias("fixed"), (c("axis_start") % 30).alias("axis_start"), (c("axis_start") % 30 + c("axis_end") - c("axis_start")).alias("axis_end"))
+def _zonal(s, d):
+    b = A.view(s, d, "v_segments").select((c("page_id") % 20).alias("page_id"), "seg_id", "orientation", (c("fixed") % 24).alias("fixed"), (c("axis_start") % 30).alias("axis_start"), (c("axis_start") % 30 + c("axis_end") - c("axis_start")).alias("axis_end"))
     return D.zonal_stats(cells(s, d), D.line_bands(b, 2)).select("band_id", F.round("mean", 7).alias("mean"), F.round("p90", 7).alias("p90"), F.round("max", 7).alias("max"), "n_cells")
 
 
 add("A13_zonal_stats", _zonal, _CELLS + """
-, g AS (SELECT page_id % 20 AS page_id, seg_id, orientation, fixed % 24 AS f, axis_start % 30 AS a, axis_start % 30 + axis_end - axis_start AS z FROM v_segments WHERE seg_id % 9 = 0),
-p AS (SELECT *, k.part, k.sh, k.r FROM g, (VALUES ('center', 0, 2), ('first', -5, 1), ('second', 5, 1)) AS k(part, sh, r)),
-q AS (SELECT page_id, seg_id || ':' || part AS band_id, CASE WHEN orientation = 'horizontal' THEN a ELSE f + sh - r END AS x0, CASE WHEN orientation = 'horizontal' THEN z ELSE f + sh + r END AS x1, CASE WHEN orientation = 'horizontal' THEN f + sh - r ELSE a END AS y0, CASE WHEN orientation = 'horizontal' THEN f + sh + r ELSE z END AS y1 FROM p)
-SELECT band_id, round(avg(value), 7) AS mean, round(quantile_cont(value, 0.9), 7) AS p90, round(max(value), 7) AS max, count(*) AS n_cells FROM q JOIN cl ON cl.page_id = q.page_id AND cl.x BETWEEN x0 AND x1 AND cl.y BETWEEN y0 AND y1 GROUP BY band_id""", ("v_cells", "v_segments"))
-add_whole("A13_zonal_stats", lambda s, d: _zonal(s, d, "true"), (" WHERE seg_id % 9 = 0", ""))
+, g AS (SELECT page_id % 20 AS page_id, seg_id, orientation, fixed % 24 AS f, axis_start % 30 AS a, axis_start % 30 + axis_end - axis_start AS z FROM v_segments),
+p AS (SELECT *, row_number() OVER () AS n, k.part, k.sh, k.r FROM g, (VALUES ('center', 0, 2), ('first', -5, 1), ('second', 5, 1)) AS k(part, sh, r)),
+q AS (SELECT n, page_id, seg_id || ':' || part AS band_id, CASE WHEN orientation = 'horizontal' THEN a ELSE f + sh - r END AS x0, CASE WHEN orientation = 'horizontal' THEN z ELSE f + sh + r END AS x1, CASE WHEN orientation = 'horizontal' THEN f + sh - r ELSE a END AS y0, CASE WHEN orientation = 'horizontal' THEN f + sh + r ELSE z END AS y1 FROM p)
+SELECT band_id, round(avg(value), 7) AS mean, round(quantile_cont(value, 0.9), 7) AS p90, round(max(value), 7) AS max, count(*) AS n_cells FROM q JOIN cl ON cl.page_id = q.page_id AND cl.x BETWEEN x0 AND x1 AND cl.y BETWEEN y0 AND y1 GROUP BY n, band_id""", ("v_cells", "v_segments"))
 add("A14_building_roi", lambda s, d: D.building_roi(bordered(s, d), seg(s, d).filter("seg_id % 6 = 0"), seg(s, d).select("page_id").distinct().withColumns({"page_w": (c("page_id") * 30 + 400).cast("double"), "page_h": F.lit(700.0)})).select("page_id", "reason", F.round("left", 6).alias("l"), F.round("bottom", 6).alias("b"), F.round("confidence", 6).alias("confidence")), """
 , k AS (SELECT page_id, count(*) AS n, min(CASE WHEN orientation = 'horizontal' THEN axis_start ELSE fixed END) AS x0, max(CASE WHEN orientation = 'horizontal' THEN axis_end ELSE fixed END) AS x1, min(CASE WHEN orientation = 'horizontal' THEN fixed ELSE axis_start END) AS y0, max(CASE WHEN orientation = 'horizontal' THEN fixed ELSE axis_end END) AS y1
  FROM v_segments WHERE fixed % 5 <> 0 AND brightness <= 0.25::DOUBLE AND seg_id % 6 <> 0 GROUP BY 1),
@@ -332,13 +313,13 @@ SELECT page_id, count(*) FILTER (WHERE brightness <= 0.18::DOUBLE) AS black, cou
  count(*) FILTER (WHERE brightness <= 0.18::DOUBLE) >= 8 AND count(*) FILTER (WHERE brightness BETWEEN 0.35::DOUBLE AND 0.75::DOUBLE) >= 3 AS nonstructural_enabled, count(*) FILTER (WHERE brightness <= 0.25::DOUBLE) >= 8 AS structural_enabled FROM v_segments GROUP BY 1""", SEG)
 
 
-def _calib(s, d, only="span_id % 20 < 8"):
-    v = A.view(s, d, "v_spans").filter(f"metres IS NOT NULL AND {only}")
+def _calib(s, d):
+    v = A.view(s, d, "v_spans").filter("metres IS NOT NULL")
     return v.select((c("span_id") % 311).alias("page_id"), c("span_id").alias("cand_id"), c("direction").alias("orientation"), "metres", (c("metres") * 100 * (1 + (c("span_id") % 7) * 0.011)).alias("span_px"), (c("span_id") % 311 % 2 == 0).alias("is_ocr"))
 
 
 add("A16_scale_calibration", lambda s, d: D.scale_calibration(_calib(s, d)).select("page_id", "status", F.round("scale_m_per_px", 9).alias("scale")), """
-, k AS (SELECT span_id % 311 AS page_id, span_id AS id, direction AS o, metres, metres * 100 * (1 + (span_id % 7) * 0.011::DOUBLE) AS px, span_id % 311 % 2 = 0 AS ocr FROM v_spans WHERE metres IS NOT NULL AND span_id % 20 < 8),
+, k AS (SELECT span_id % 311 AS page_id, span_id AS id, direction AS o, metres, metres * 100 * (1 + (span_id % 7) * 0.011::DOUBLE) AS px, span_id % 311 % 2 = 0 AS ocr FROM v_spans WHERE metres IS NOT NULL),
 c0 AS (SELECT *, metres / px AS s, count(*) OVER (PARTITION BY page_id) AS n FROM k),
 j AS (SELECT a.page_id, a.id AS seed, b.id, b.px, b.o FROM c0 a JOIN c0 b ON a.page_id = b.page_id AND abs(b.s - a.s) / ((b.s + a.s) / 2) <= 0.02::DOUBLE),
 q AS (SELECT page_id, seed, count(*) AS n, sum(px) AS sp, count(DISTINCT o) AS ax FROM j GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, sp DESC, seed) AS rn FROM q),
@@ -347,7 +328,6 @@ z AS (SELECT c0.* FROM c0 LEFT JOIN u USING (page_id) WHERE u.seed IS NULL OR EX
 r AS (SELECT page_id, arg_max(s, metres * 1000000 - id) FILTER (WHERE o = 'horizontal') AS x, arg_max(s, metres * 1000000 - id) FILTER (WHERE o = 'vertical') AS y FROM z GROUP BY 1),
 f AS (SELECT *, abs(x - y) / ((x + y) / 2) AS df FROM r), g AS (SELECT *, CASE WHEN df IS NULL THEN 'confirmation_required' WHEN df <= 0.02::DOUBLE + 1e-9 THEN 'confirmed' WHEN df <= 0.05::DOUBLE + 1e-9 THEN 'confirmation_required' ELSE 'conflict' END AS status FROM f)
 SELECT page_id, status, CASE WHEN status <> 'conflict' THEN round(CASE WHEN df IS NULL THEN coalesce(x, y) ELSE (x + y) / 2 END, 9) END AS scale FROM g""", ("v_spans",))
-add_whole("A16_scale_calibration", lambda s, d: D.scale_calibration(_calib(s, d, "true")).select("page_id", "status", F.round("scale_m_per_px", 9).alias("scale")), (" AND span_id % 20 < 8", ""))
 add("A17_decision_counts", lambda s, d: D.decision_counts(D.line_candidate_decision(_cand(s, d), seg(s, d).filter("seg_id % 6 = 0")), "page_id", "decision", ["uncertain", "rejected_nonstructural"]), """
 , r AS (SELECT page_id, seg_id % 6 = 0 OR fixed % 5 = 0 OR (seg_id % 11 > 0 AND 1 - (seg_id % 21) / 20 >= 0.8::DOUBLE) AS bad FROM v_segments) SELECT page_id, count(*) AS total, count(*) FILTER (WHERE NOT bad) AS uncertain, count(*) FILTER (WHERE bad) AS rejected_nonstructural FROM r GROUP BY 1""", SEG)
 

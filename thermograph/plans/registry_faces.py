@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from thermograph.operators import faces as Fc
 from thermograph.operators import intervals as I
 from thermograph.plans import adapters as A
-from thermograph.plans.registry_drawing import _ISL, cells, seg, whole
+from thermograph.plans.registry_drawing import _ISL, cells, seg
 
 QUERIES: dict = {}
 c = F.col
@@ -19,10 +19,6 @@ def add(name, fn, sql=None, views=()):
     QUERIES[name] = (fn, A.with_views(sql.strip(), *views) if sql and views else sql)
 
 
-def add_whole(name, fn, *filters):
-    QUERIES[name + "_whole"] = (fn, whole(QUERIES[name][1], *filters))
-
-
 def _a20(s, d):
     A.load_tables(s, d)
     e = s.sql("SELECT 0 AS g, c_custkey AS u, 10000000 + c_nationkey AS v FROM customer UNION ALL SELECT 0, o_custkey, 20000000 + o_orderkey FROM orders")
@@ -76,16 +72,18 @@ add("W5_greedy_bands", lambda s, d: Fc.greedy_bands(seg(s, d).select("page_id",
 add("W11_snap_endpoints", lambda s, d: Fc.snap_endpoints(seg(s, d).select("page_id", c("seg_id").alias("line_id"), "orientation", c("fixed").cast("double"), c("axis_start").cast("double"), c("axis_end").cast("double")), 3.0).groupBy("page_id").agg(F.count_if(c("snapped")).alias("snapped"), F.sum("axis_start").alias("a"), F.sum("axis_end").alias("b")))
 
 
-def _bands(s, d, only="seg_id % 13 = 0"):
-    m = I.merge_with_sources(seg(s, d).filter(only), ["page_id", "orientation", "fixed"], "seg_id")
+def _bands(s, d):
+    m = I.merge_with_sources(seg(s, d), ["page_id", "orientation", "fixed"], "seg_id")
     return m.withColumnRenamed("source_ids", "source_ids").withColumns({"band_id": F.concat_ws(":", "orientation", "fixed", "axis_start"), "inside_direction": F.when(c("orientation") == "horizontal", F.when(c("fixed") % 3 == 0, "up").otherwise("down")).otherwise(F.when(c("fixed") % 3 == 0, "left").otherwise("right"))})
 
 
-_BANDS = _ISL.format(k="page_id, orientation, fixed", t=0, f="(SELECT * FROM v_segments WHERE seg_id % 13 = 0)", u="seg_id") + """
+_BANDS = _ISL.format(k="page_id, orientation, fixed", t=0, f="v_segments", u="seg_id") + """
 , w AS (SELECT page_id, orientation, fixed, min(axis_start) AS s, max(axis_end) AS e, list(DISTINCT seg_id) AS ids, orientation || ':' || fixed || ':' || min(axis_start) AS band_id, CASE WHEN orientation = 'horizontal' THEN CASE WHEN fixed % 3 = 0 THEN 'up' ELSE 'down' END ELSE CASE WHEN fixed % 3 = 0 THEN 'left' ELSE 'right' END END AS dir FROM b GROUP BY page_id, orientation, fixed, isl),
 g AS (SELECT *, CASE WHEN orientation = 'horizontal' THEN s ELSE fixed END AS x0, CASE WHEN orientation = 'horizontal' THEN e ELSE fixed END AS x1, CASE WHEN orientation = 'horizontal' THEN fixed ELSE s END AS y0, CASE WHEN orientation = 'horizontal' THEN fixed ELSE e END AS y1 FROM w),
 en AS (SELECT page_id, band_id, orientation, fixed, dir, 'start' AS side, x0 AS px, y0 AS py FROM g UNION ALL SELECT page_id, band_id, orientation, fixed, dir, 'end', x1, y1 FROM g),
-dn AS (SELECT * FROM en WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.page_id = en.page_id AND o.band_id <> en.band_id AND px BETWEEN o.x0 - 4 AND o.x1 + 4 AND py BETWEEN o.y0 - 4 AND o.y1 + 4))"""
+ty AS (SELECT *, unnest(range((y0 - 4) // 128, (y1 + 4) // 128 + 1)) AS ty FROM g), ti AS (SELECT *, unnest(range((x0 - 4) // 128, (x1 + 4) // 128 + 1)) AS tx FROM ty),
+hi AS (SELECT DISTINCT en.page_id, en.band_id, en.side FROM en JOIN ti o ON o.page_id = en.page_id AND o.tx = en.px // 128 AND o.ty = en.py // 128 AND o.band_id <> en.band_id AND px BETWEEN o.x0 - 4 AND o.x1 + 4 AND py BETWEEN o.y0 - 4 AND o.y1 + 4),
+dn AS (SELECT en.* FROM en ANTI JOIN hi ON hi.page_id = en.page_id AND hi.band_id = en.band_id AND hi.side = en.side)"""
 add("J17_dangling_ends", lambda s, d: Fc.dangling_ends(_bands(s, d)).select("page_id", "band_id", "side"), _BANDS + " SELECT page_id, band_id, side FROM dn", SEG)
 add("J17_corner_candidates", lambda s, d: Fc.corner_candidates(_bands(s, d), 60).select("page_id", "h_id", "h_side", "v_id", "v_side", "compatible", "rank"), _BANDS + """
 , p AS (SELECT h.page_id, h.band_id AS h_id, h.side AS h_side, v.band_id AS v_id, v.side AS v_side, abs(v.fixed - h.px) AS hl, abs(h.fixed - v.py) AS vl,
@@ -97,25 +95,16 @@ add("J17_collinear_extensions", lambda s, d: Fc.collinear_extensions(_bands(s, d
 SELECT n.page_id, n.band_id, nx AS next_id FROM n JOIN dn a ON a.page_id = n.page_id AND a.band_id = n.band_id AND a.side = 'end' JOIN dn b2 ON b2.page_id = n.page_id AND b2.band_id = nx AND b2.side = 'start' WHERE ns - e > 4""", SEG)
 
 
-_ALL_BANDS = (" WHERE seg_id % 13 = 0", "")
-add_whole("J17_dangling_ends", lambda s, d: Fc.dangling_ends(_bands(s, d, "true")).select("page_id", "band_id", "side"), _ALL_BANDS)
-add_whole("J17_corner_candidates", lambda s, d: Fc.corner_candidates(_bands(s, d, "true"), 60).select("page_id", "h_id", "h_side", "v_id", "v_side", "compatible", "rank"), _ALL_BANDS)
-add_whole("J17_collinear_extensions", lambda s, d: Fc.collinear_extensions(_bands(s, d, "true")).select("page_id", "band_id", "next_id"), _ALL_BANDS)
-
-
-def _j18(s, d, edges="seg_id % 17 = 0", bands="seg_id % 13 = 0"):
-    e = seg(s, d).filter(edges).select("page_id", c("seg_id").alias("edge_id"), "orientation", "fixed", "axis_start", "axis_end", F.array(c("seg_id")).alias("anchor_ids"))
-    return Fc.edge_crosses_band_anti(e, _bands(s, d, bands)).select("page_id", "edge_id")
+def _j18(s, d):
+    e = seg(s, d).select("page_id", c("seg_id").alias("edge_id"), "orientation", "fixed", "axis_start", "axis_end", F.array(c("seg_id")).alias("anchor_ids"))
+    return Fc.edge_crosses_band_anti(e, _bands(s, d)).select("page_id", "edge_id")
 
 
 add("J18_edge_crosses_band_anti", _j18, _BANDS + """
-SELECT page_id, seg_id AS edge_id FROM v_segments t WHERE seg_id % 17 = 0 AND NOT EXISTS (SELECT 1 FROM w WHERE w.page_id = t.page_id AND NOT list_contains(w.ids, t.seg_id) AND
+SELECT page_id, seg_id AS edge_id FROM v_segments t WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.page_id = t.page_id AND NOT list_contains(w.ids, t.seg_id) AND
  ((w.orientation = t.orientation AND abs(w.fixed - t.fixed) <= 4 AND least(t.axis_end, w.e) - greatest(t.axis_start, w.s) > 4) OR (w.orientation <> t.orientation AND w.fixed > t.axis_start + 4 AND w.fixed < t.axis_end - 4 AND t.fixed BETWEEN w.s - 4 AND w.e + 4)))""", SEG)
 
 
-add_whole("J18_edge_crosses_band_anti", lambda s, d: _j18(s, d, "true", "true"), _ALL_BANDS, ("seg_id % 17 = 0 AND ", ""))
-
-
 def _j19(s, d):
     r = A.view(s, d, "v_regions")
     k, w = c("region_id"), c("w")
