@@ -37,6 +37,32 @@ def spill(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spill_kinds(df: DataFrame, kinds: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """``spill`` for rows of several kinds (column ``kind``) in one pass: each kind is read with its own columns."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    out = {}
+    for kind, columns in kinds.items():
+        schema = df.select(*columns).schema
+        found = _path(spark, f"{path}/kind={kind}")
+        out[kind] = spark.read.schema(schema).parquet(f"{path}/kind={kind}") if found[0].exists(found[1]) else spark.createDataFrame([], schema)
+    return out
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a spilled table. Only for tables of which all that follows has been written."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/llm-" in folder:
+            fs, at = _path(df.sparkSession, folder)
+            fs.delete(at, True)
+
+
 def row_key(*columns: str) -> Column:
     """128 bits that tell rows apart by content; equal rows share a key.
 

@@ -15,13 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from thermograph.llm.common import spill, table
+from thermograph.llm.common import discard, spill, spill_kinds, table
 from thermograph.llm.keycount import CHUNK_BYTES, blocks, expand, mix, new_chunk, small_batches, squeeze, text_bytes
 
 LEAST_COUNT, LONGEST, TOP = 30, 4, 2000
@@ -31,6 +33,8 @@ SCORE_SCALE = 2_000_000
 UNKNOWN = "und"
 #: Keys of a hash partition on average, and keys that a merge adds at once; both bound a task's memory.
 PARTITION_KEYS, MERGE_KEYS = 1_500_000, 2_000_000
+#: Bytes of text to a hash partition of the second pass.
+EXACT_BYTES = 12_000_000
 #: Candidates that share one word are dealt to so many tasks.
 SALTS = 16
 
@@ -144,8 +148,8 @@ def _cut(text: str, size: int) -> Iterator[str]:
 
 
 def phrase_chunks(docs: DataFrame, partitions: int, bits: int, longest: int = LONGEST) -> DataFrame:
-    """Chunks of (lang, text) with the hashed counts of their phrases, in blocks by hash partition."""
-    schema = "chunk bigint, langs array<string>, texts array<string>, blocks array<struct<bucket:int,keys:binary,counts:binary,checks:binary,mass:bigint>>"
+    """Chunks of (lang, text), as rows of kind ``text``, and the hashed counts of their phrases by hash partition, of kind ``block``."""
+    schema = "kind string, chunk bigint, langs array<string>, texts array<string>, bucket int, keys binary, counts binary, mass bigint"
     out = to_arrow_schema(StructType.fromDDL(schema))
     mask = np.uint64(((1 << bits) - 1) << (64 - bits))
 
@@ -158,9 +162,10 @@ def phrase_chunks(docs: DataFrame, partitions: int, bits: int, longest: int = LO
             own = Phrases(langs, texts, longest)
             keys = own.keys()
             rows = blocks(*counted(np.concatenate(list(keys.values())) & mask, np.concatenate([own.counts[n] for n in keys])), partitions)
+            chunk = new_chunk()
             for row in rows:
-                row["mass"] = int(expand(row["counts"], np.uint32).sum(dtype=np.int64))
-            return pa.RecordBatch.from_pylist([{"chunk": new_chunk(), "langs": langs, "texts": texts, "blocks": rows}], schema=out)
+                row |= {"kind": "block", "chunk": chunk, "mass": int(expand(row["counts"], np.uint32).sum(dtype=np.int64))}
+            return pa.RecordBatch.from_pylist([{"kind": "text", "chunk": chunk, "langs": langs, "texts": texts}, *rows], schema=out)
 
         for batch in batches:
             for lang, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -203,7 +208,7 @@ class Summary:
         return self.keys[self.counts + self.error >= count]
 
 
-def survivors(chunks: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
+def survivors(rows: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """chunk, keys: of every chunk, the hashes of its phrases that survive the summary of their partition."""
     def run(df: pd.DataFrame) -> pd.DataFrame:
         summary = Summary(int(df["mass"].sum()) // least + 1)
@@ -229,7 +234,6 @@ def survivors(chunks: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
             back.append(squeeze(np.diff(hit, prepend=np.uint64(0))) if len(hit) else None)
         return pd.DataFrame({"chunk": df["chunk"], "keys": pd.Series(back, dtype=object)}).dropna()
 
-    rows = chunks.select("chunk", F.explode("blocks").alias("b")).select("chunk", "b.bucket", "b.keys", "b.counts", "b.mass")
     return rows.groupBy("bucket").applyInPandas(run, "chunk bigint, keys binary")
 
 
@@ -241,24 +245,46 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     """
     size = text_bytes(docs)
     bits = min(64, max(32, math.ceil(math.log2(size + 2)) + 4))
-    chunks = spill(phrase_chunks(docs, max(8, size * longest // 6 // PARTITION_KEYS), bits, longest))
-    kept = spill(survivors(chunks, least))
+    chunks = spill_kinds(phrase_chunks(docs, max(8, size * longest // 6 // PARTITION_KEYS), bits, longest), {"text": ["chunk", "langs", "texts"], "block": ["chunk", "bucket", "keys", "counts", "mass"]})
+    kept = spill(survivors(chunks["block"], least))
+    discard(chunks["block"])
+    buckets = max(8, size // EXACT_BYTES)
     mask = np.uint64(((1 << bits) - 1) << (64 - bits))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         own = Phrases(list(row["langs"]), list(row["texts"]), longest)
         found = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(expand(k, np.uint64), dtype=np.uint64) for k in right["keys"])]))
-        parts = [pd.DataFrame({"lang": own.langs, "phrase": None, "words": 0, "n": own.sizes})]
+        parts = [pa.table({"lang": own.langs, "phrase": pa.nulls(len(own.langs), pa.string()), "words": np.zeros(len(own.langs), np.int32), "n": own.sizes, "bucket": np.arange(len(own.langs)) % buckets})]
         for words, keys in own.keys().items():
-            keys &= mask
-            hit = np.flatnonzero(found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys) if len(found) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(np.isin(keys & mask, found, assume_unique=False))
             langs, texts = own.texts(words, hit)
-            parts.append(pd.DataFrame({"lang": langs, "phrase": texts, "words": words, "n": own.counts[words][hit]}))
-        return pd.concat([p for p in parts if len(p)])
-
-    counts = chunks.select("chunk", "langs", "texts").groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInPandas(run, "lang string, phrase string, words int, n bigint")
-    return counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0))
+            parts.append(pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(texts, pa.string()), "words": np.full(len(hit), words, np.int32), "n": own.counts[words][hit], "bucket": (keys[hit] % np.uint64(buckets)).astype(np.int64)}))
+        # Sorted, neighbours share their beginnings, which compresses well.
+        rows = pa.concat_tables(parts).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        at = rows["bucket"].to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1, [len(at)])) if len(at) else np.zeros(1, np.int64)
+        return pd.DataFrame({"bucket": at[cuts[:-1]].astype(np.int32), "rows": pd.Series([_pack(rows.slice(a, b - a).drop_columns(["bucket"])) for a, b in zip(cuts[:-1], cuts[1:])], dtype=object)})
+
+    def total(df: pd.DataFrame) -> pd.DataFrame:
+        rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in df["rows"]])
+        sums = rows.group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        return sums.filter((pa.compute.field("n") >= least) | (pa.compute.field("words") == 0)).select(["lang", "phrase", "words", "n"]).to_pandas()
+
+    packed = chunks["text"].groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInPandas(run, "bucket int, rows binary")
+    out = spill(packed.groupBy("bucket").applyInPandas(total, "lang string, phrase string, words int, n bigint"))
+    discard(kept)
+    discard(chunks["text"])
+    # Words are counted by chunk in several partitions; phrases have one each.
+    sizes = out.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("words"), "n")
+    return out.filter("words > 0").unionByName(sizes)
+
+
+def _pack(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, top: int | None = TOP) -> DataFrame:
@@ -271,7 +297,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGE
     columns are ignored.
     """
     plain = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text")).filter("text != ''")
-    counts = spill(frequent_phrases(plain, least, longest))
+    counts = frequent_phrases(plain, least, longest)
     sizes = counts.filter("words = 0").select("lang", F.col("n").alias("size"))
     phrases = counts.filter("words > 0")
     cuts = phrases.filter("words > 1").select("lang", "phrase", F.col("n").alias("a"), "words", F.explode(F.expr("sequence(1, words - 1)")).alias("k"))
@@ -291,8 +317,12 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGE
     best = rows.groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.min("cut").alias("cut"), F.max("cover").alias("cover"))
     best = best.filter(f"cover IS NULL OR {DENOMINATOR} * CAST(cover AS {exact}) < {NUMERATOR} * CAST(a AS {exact})")
     best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:
+        # The first of a language are among the first of each of its parts.
+        part = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
+        best = best.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top).drop("part")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("size").alias("n"), "score")
