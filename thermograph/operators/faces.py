@@ -44,12 +44,15 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     return vertices.join(roots, [*keys, "u"], "left").withColumn("component", F.coalesce("component", F.col("u")))
 
 
-def directed_edges(edges: DataFrame) -> DataFrame:
-    """Both directions of atomic edges with their heading (0 E, 1 S, 2 W, 3 N)."""
+def directed_edges(edges: DataFrame, *carry: str) -> DataFrame:
+    """Both directions of atomic edges with their heading (0 E, 1 S, 2 W, 3 N).
+
+    Columns to ``carry`` must be the same for equal edges.
+    """
     h = F.col("orientation") == "horizontal"
     e = edges.select("page_id", F.when(h, F.col("a")).otherwise(F.col("fixed")).alias("x0"), F.when(h, F.col("fixed")).otherwise(F.col("a")).alias("y0"),
-                     F.when(h, F.col("b")).otherwise(F.col("fixed")).alias("x1"), F.when(h, F.col("fixed")).otherwise(F.col("b")).alias("y1")).distinct()
-    d = e.unionByName(e.select("page_id", F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1")))
+                     F.when(h, F.col("b")).otherwise(F.col("fixed")).alias("x1"), F.when(h, F.col("fixed")).otherwise(F.col("b")).alias("y1"), *carry).distinct()
+    d = e.unionByName(e.select("page_id", *carry, F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1")))
     heading = F.when(F.col("x1") > F.col("x0"), 0).when(F.col("y1") > F.col("y0"), 1).when(F.col("x1") < F.col("x0"), 2).otherwise(3)
     return d.withColumn("heading", heading).withColumn("eid", F.struct("x0", "y0", "heading"))
 
@@ -65,8 +68,9 @@ def bounded_faces(segments: DataFrame, bucket: float = 64) -> DataFrame:
     return face_summary(face_edges(segments, bucket))
 
 
-def face_edges(segments: DataFrame, bucket: float = 64) -> DataFrame:
-    d = directed_edges(atomic_edges(segments, bucket))
+def face_edges(segments: DataFrame, bucket: float = 64, carry: bool = False) -> DataFrame:
+    """Directed edges with their ``face``; with ``carry`` also the seg_id of lines that don't overlap."""
+    d = directed_edges(atomic_edges(segments, bucket), *(["seg_id"] if carry else []))
     out = d.select("page_id", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("heading").alias("h2"), F.col("eid").alias("next"))
     turn = F.element_at(F.array(*[F.lit(v) for v in (1, 0, 3, 2)]), ((F.col("h2") - F.col("heading") + 4) % 4 + 1).cast("int"))
     nxt = d.join(out, ["page_id", "x1", "y1"]).groupBy("page_id", "eid").agg(F.min_by("next", turn).alias("ptr"))
@@ -82,11 +86,16 @@ def face_edges(segments: DataFrame, bucket: float = 64) -> DataFrame:
 
 
 def face_summary(edges: DataFrame) -> DataFrame:
+    m = face_measures(edges)
+    return m.select("page_id", F.concat_ws(":", "face.x0", "face.y0", "face.heading").alias("face_id"), *m.columns[2:])
+
+
+def face_measures(edges: DataFrame) -> DataFrame:
     cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
     step = F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))
     f = edges.groupBy("page_id", "face").agg((F.sum(cross) / 2.0).alias("area"), F.sum(step).cast("double").alias("perimeter"), F.count(F.lit(1)).alias("n_edges"),
                                               F.min("x0").alias("x_min"), F.max("x0").alias("x_max"), F.min("y0").alias("y_min"), F.max("y0").alias("y_max"))
-    return f.filter("n_edges >= 4 AND area > 0").select("page_id", F.concat_ws(":", "face.x0", "face.y0", "face.heading").alias("face_id"), "area", "perimeter", "n_edges", "x_min", "x_max", "y_min", "y_max")
+    return f.filter("n_edges >= 4 AND area > 0").select("page_id", "face", "area", "perimeter", "n_edges", "x_min", "x_max", "y_min", "y_max")
 
 
 def room_candidates(faces: DataFrame, roi: DataFrame) -> DataFrame:
@@ -102,44 +111,74 @@ def room_candidates(faces: DataFrame, roi: DataFrame) -> DataFrame:
     return j.withColumn("decision", F.when((F.col("room_mean") >= 0.35) & (F.col("footprint_mean") >= 0.50), "accepted_room_candidate").otherwise("suspicious_closed_region"))
 
 
-def face_footprint_mean(edges: DataFrame, cells: DataFrame, bucket: float = 32) -> DataFrame:
-    """Mean cell value inside each axis polygon, by even-odd scan lines.
+def slab_runs(edges: DataFrame, keys: list[str], bucket: float = 64) -> DataFrame:
+    """Inside runs of axis polygons by scan lines: keys, y0, y1, x0, x1.
+
+    ``edges``: keys, x0, y0, x1, y1. Between two neighbouring y values of a
+    polygon its vertical edges are crossed in one order; the parts between odd
+    and even crossings lie inside.
+    """
+    v = edges.filter("x0 = x1").select(*keys, F.col("x0").alias("vx"), F.least("y0", "y1").alias("ya"), F.greatest("y0", "y1").alias("yz"))
+    level = v.select(*keys, F.explode(F.array("ya", "yz")).alias("s0")).distinct()
+    level = level.withColumn("s1", F.lead("s0").over(W.partitionBy(*keys).orderBy("s0"))).filter("s1 IS NOT NULL")
+    cross = range_join(v, level, keys, (F.col("ya"), F.col("yz")), (F.col("s0"), F.col("s1")), bucket).filter("ya <= s0 AND s1 <= yz")
+    w = W.partitionBy(*keys, "s0", "s1").orderBy("vx")
+    cross = cross.withColumns({"_n": F.row_number().over(w), "_x1": F.lead("vx").over(w)}).filter("_n % 2 = 1 AND _x1 > vx")
+    return cross.select(*keys, F.col("s0").alias("y0"), F.col("s1").alias("y1"), F.col("vx").alias("x0"), F.col("_x1").alias("x1"))
+
+
+def face_footprint_mean(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """Mean cell value inside each axis polygon.
 
     ``edges``: page_id, face_id, x0, y0, x1, y1 (boundary in order);
-    ``cells``: page_id, x, y, value, centred at half units. A cell is inside
-    when an odd number of vertical edges lies left of it in its row.
+    ``cells``: page_id, x, y, value, centred at half units. A face's inside
+    runs look up running sums of their row at both ends, so no cell meets a
+    face. Faces without a cell have no row.
     """
-    v = edges.filter("x0 = x1").select("page_id", "face_id", F.col("x0").alias("vx"), F.least("y0", "y1").alias("ya"), F.greatest("y0", "y1").alias("yz"))
-    box = v.groupBy("page_id", "face_id").agg(F.min("vx").alias("bx0"), F.max("vx").alias("bx1"), F.min("ya").alias("by0"), F.max("yz").alias("by1"))
-    t = lambda c: F.floor(F.col(c) / bucket)
-    b = box.withColumn("_tx", F.explode(F.sequence(t("bx0"), t("bx1")))).withColumn("_ty", F.explode(F.sequence(t("by0"), t("by1"))))
-    near = cells.withColumns({"_tx": t("x"), "_ty": t("y")}).join(b, ["page_id", "_tx", "_ty"]).filter("x >= bx0 AND x < bx1 AND y >= by0 AND y < by1").select("page_id", "face_id", "x", "y", "value")
-    j = near.join(v, ["page_id", "face_id"]).filter("y >= ya AND y < yz AND vx <= x")
-    inside = j.groupBy("page_id", "face_id", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value")).filter("n % 2 = 1")
-    return inside.groupBy("page_id", "face_id").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n_cells"))
+    runs = slab_runs(edges, ["page_id", "face_id"])
+    # A row is crossed where its centre lies: y0 <= y + 1/2 < y1.
+    rows = runs.withColumn("y", F.explode(F.expr("CASE WHEN ceil(y0 - 0.5) <= ceil(y1 - 0.5) - 1 THEN sequence(CAST(ceil(y0 - 0.5) AS BIGINT), CAST(ceil(y1 - 0.5) - 1 AS BIGINT)) ELSE array() END")))
+    ask = rows.select("page_id", "y", F.explode(F.array(F.struct(F.col("x0").cast("double").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("x1").cast("double").alias("at"), F.lit(1).alias("sign")))).alias("a"), "face_id")
+    ask = ask.select("page_id", "y", "a.at", "a.sign", "face_id", F.lit(None).cast("double").alias("value"))
+    have = cells.filter("value IS NOT NULL").select("page_id", F.col("y").cast("bigint").alias("y"), (F.col("x") + 0.5).cast("double").alias("at"), F.lit(0).alias("sign"), F.lit(None).cast(edges.schema["face_id"].dataType).alias("face_id"), F.col("value").cast("double").alias("value"))
+    # At the same place an end comes before a cell.
+    w = W.partitionBy("page_id", "y").orderBy("at", F.col("value").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    sums = have.unionByName(ask).withColumns({"_s": F.sum("value").over(w), "_n": F.count("value").over(w)}).filter("sign <> 0")
+    out = sums.groupBy("page_id", "face_id").agg(F.sum(F.coalesce("_s", F.lit(0.0)) * F.col("sign")).alias("_s"), F.sum(F.col("_n") * F.col("sign")).alias("n_cells")).filter("n_cells > 0")
+    return out.select("page_id", "face_id", (F.col("_s") / F.col("n_cells")).alias("mean"), "n_cells")
 
 
 def nested_polygons(polygons: DataFrame, bucket: float = 64) -> DataFrame:
     """(outer, inner) pairs where every inner vertex lies strictly inside.
 
-    ``polygons``: page_id, poly_id, x, y, pos (axis polygons). Boxes pair
-    first; then each inner vertex counts the outer edges left of it.
+    ``polygons``: page_id, poly_id, x, y, pos (axis polygons).
     """
-    box = polygons.groupBy("page_id", "poly_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    o = box.select("page_id", F.col("poly_id").alias("outer"), F.col("x0").alias("ox0"), F.col("x1").alias("ox1"), F.col("y0").alias("oy0"), F.col("y1").alias("oy1"))
-    i = box.select("page_id", F.col("poly_id").alias("inner"), "x0", "x1", "y0", "y1")
-    pairs = range_join(o, i, ["page_id"], (F.col("ox0"), F.col("ox1")), (F.col("x0"), F.col("x1")), bucket).filter("outer <> inner AND ox0 < x0 AND x1 < ox1 AND oy0 < y0 AND y1 < oy1").select("page_id", "outer", "inner")
     w = W.partitionBy("page_id", "poly_id").orderBy("pos")
-    first = polygons.groupBy("page_id", "poly_id").agg(F.min_by(F.struct("x", "y"), "pos").alias("_f"))
-    e = polygons.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).join(first, ["page_id", "poly_id"])
-    e = e.select("page_id", F.col("poly_id").alias("outer"), "x", "y", F.coalesce("nx", "_f.x").alias("nx"), F.coalesce("ny", "_f.y").alias("ny"))
-    verts = pairs.join(polygons.select("page_id", F.col("poly_id").alias("inner"), F.col("x").alias("px"), F.col("y").alias("py"), "pos"), ["page_id", "inner"])
-    j = verts.join(e, ["page_id", "outer"])
-    left = (F.col("x") == F.col("nx")) & (F.col("x") < F.col("px")) & (F.least("y", "ny") <= F.col("py")) & (F.col("py") < F.greatest("y", "ny"))
-    on = F.col("px").between(F.least("x", "nx"), F.greatest("x", "nx")) & F.col("py").between(F.least("y", "ny"), F.greatest("y", "ny"))
-    c = j.groupBy("page_id", "outer", "inner", "pos").agg(F.count_if(left).alias("n"), F.max(on).alias("on"))
-    bad = c.groupBy("page_id", "outer", "inner").agg(F.max((F.col("n") % 2 == 0) | F.col("on")).alias("out")).filter("NOT out")
-    return bad.select("page_id", "outer", "inner")
+    first = F.first(F.struct("x", "y")).over(w)
+    e = polygons.withColumns({"_f": first, "x1": F.lead("x").over(w), "y1": F.lead("y").over(w)})
+    e = e.select("page_id", "poly_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.coalesce("x1", "_f.x").alias("x1"), F.coalesce("y1", "_f.y").alias("y1"))
+    return nested_outlines(e, bucket)
+
+
+def nested_outlines(edges: DataFrame, bucket: float = 64) -> DataFrame:
+    """As ``nested_polygons`` for boundaries given as edges: page_id, poly_id, x0, y0, x1, y1.
+
+    Boxes pair first. A vertex then is inside when the runs above and below it
+    both hold it: it meets the runs of its height only, never an edge.
+    """
+    box = edges.groupBy("page_id", "poly_id").agg(F.min("x0").alias("a0"), F.max("x0").alias("a1"), F.min("y0").alias("b0"), F.max("y0").alias("b1"))
+    o = box.select("page_id", F.col("poly_id").alias("outer"), F.col("a0").alias("ox0"), F.col("a1").alias("ox1"), F.col("b0").alias("oy0"), F.col("b1").alias("oy1"))
+    i = box.select("page_id", F.col("poly_id").alias("inner"), "a0", "a1", "b0", "b1")
+    pairs = box_join(o, i, ["page_id"], (F.col("ox0"), F.col("ox1")), (F.col("a0"), F.col("a1")), (F.col("oy0"), F.col("oy1")), (F.col("b0"), F.col("b1")), bucket)
+    pairs = pairs.filter("outer <> inner AND ox0 < a0 AND a1 < ox1 AND oy0 < b0 AND b1 < oy1").select("page_id", "outer", "inner")
+    points = edges.select("page_id", F.col("poly_id").alias("inner"), F.col("x0").alias("px"), F.col("y0").alias("py")).distinct()
+    verts = pairs.join(points, ["page_id", "inner"])
+    runs = slab_runs(edges, ["page_id", "poly_id"]).withColumnRenamed("poly_id", "outer")
+    held = range_join(verts, runs, ["page_id", "outer"], (F.col("py"), F.col("py")), (F.col("y0"), F.col("y1")), bucket).filter("x0 < px AND px < x1")
+    held = held.groupBy("page_id", "outer", "inner", "px", "py").agg(F.sum(F.when((F.col("y0") < F.col("py")) & (F.col("py") < F.col("y1")), 2).otherwise(1)).alias("n")).filter("n = 2")
+    want = verts.groupBy("page_id", "outer", "inner").agg(F.count(F.lit(1)).alias("want"))
+    got = held.groupBy("page_id", "outer", "inner").agg(F.count(F.lit(1)).alias("want"))
+    return want.join(got, ["page_id", "outer", "inner", "want"], "left_semi").select("page_id", "outer", "inner")
 
 
 def greedy_bands(walls: DataFrame, keys: list[str], tol: float = 16) -> DataFrame:

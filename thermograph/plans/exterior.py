@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,48 +118,6 @@ def door_arc_recovery(walls: DataFrame, uncertain: DataFrame, curves: DataFrame,
             "arcs": st.filter("node_type = 'door_arc' AND status <> 'ignored'").select("page_id", F.col("node_id").alias("curve_id"), "band_id", "status")}
 
 
-def exterior_topology(segments: DataFrame, cells: DataFrame, roi: DataFrame, bucket: float = 64) -> DataFrame:
-    """Outline per page from walls and bridges: status, face, measures.
-
-    ``segments``: page_id, orientation, fixed, axis_start, axis_end;
-    ``cells``: footprint values. Faces must lie inside the region and carry a
-    footprint mean of one half; several graph parts with faces, or a second
-    face of nearly the same size, leave the page ambiguous.
-    """
-    m = I.merge_collinear(segments, LINE)
-    m = cut_lineage(m.select(*LINE, "axis_start", "axis_end").withColumn("seg_id", F.xxhash64("page_id", "orientation", "fixed", "axis_start")))
-    e = cut_lineage(Fc.face_edges(m, bucket))
-    node = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    comp = Fc.connected_components(e.select("page_id", node("x0", "y0").alias("u"), node("x1", "y1").alias("v")), ["page_id"])
-    named = e.withColumn("face_id", F.concat_ws(":", "face.x0", "face.y0", "face.heading"))
-    faces = Fc.face_summary(e)
-    origin = named.groupBy("page_id", "face_id").agg(F.min(node("x0", "y0")).alias("u"))
-    faces = faces.join(origin, ["page_id", "face_id"]).join(comp, ["page_id", "u"]).join(roi, "page_id")
-    faces = faces.filter("x_min >= left AND x_max <= right AND y_min >= top AND y_max <= bottom")
-    parts = faces.groupBy("page_id").agg(F.countDistinct("component").alias("parts"))
-    mean = Fc.face_footprint_mean(named.join(faces.select("page_id", "face_id"), ["page_id", "face_id"], "left_semi"), cells)
-    ok = faces.join(mean.filter("mean >= 0.5").select("page_id", "face_id"), ["page_id", "face_id"], "left_semi")
-    pick = D.select_face(ok.select("page_id", "face_id", "area"))
-    out = segments.select("page_id").distinct().join(parts, "page_id", "left").join(pick, "page_id", "left").join(ok.select("page_id", "face_id", "perimeter"), ["page_id", "face_id"], "left")
-    return out.select("page_id", F.when(F.coalesce("parts", F.lit(0)) > 1, "ambiguous_exterior").when(F.col("face_id").isNull(), "exterior_not_closed")
-                      .when(F.col("status") == "ambiguous_exterior", "ambiguous_exterior").otherwise("review_required").alias("status"), "face_id", "area", "perimeter")
-
-
-def fallback_chain(pages: DataFrame, stages: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """First stage that closes each page; later stages see only open pages.
-
-    A stage maps pages to (page_id, status, ...); ``review_required`` closes a
-    page. Pages that stay open keep the status of the first stage.
-    """
-    first = cut_lineage(stages[0](pages).withColumn("stage", F.lit(0)))
-    done, start = first.filter("status = 'review_required'"), first
-    for i, stage in enumerate(stages[1:], 1):
-        rest = pages.join(done.select("page_id"), "page_id", "left_anti")
-        got = stage(rest).filter("status = 'review_required'").withColumn("stage", F.lit(i))
-        done = cut_lineage(done.unionByName(got.select(*done.columns), allowMissingColumns=True))
-    return done.unionByName(start.join(done.select("page_id"), "page_id", "left_anti"))
-
-
 # -- dominant calculation envelope ------------------------------------------------
 
 def side_intervals(walls: DataFrame, orientation: str, direction: str, tol: float, span: float) -> DataFrame:
@@ -230,13 +186,13 @@ def smooth_profile(rows: DataFrame, keys: list[str], min_run: str) -> DataFrame:
     return runs.groupBy(*keys).applyInPandas(absorb, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", y0 bigint, y1 bigint, value bigint")
 
 
-def calculation_envelope(walls: DataFrame, width: float, height: float) -> DataFrame:
-    """Area and perimeter of the dominant envelope per page.
+def envelope_runs(walls: DataFrame, width: float, height: float) -> DataFrame:
+    """Row profiles of the dominant envelope per page: page_id, side (l, r), value, lo, hi.
 
     Top and bottom are the outermost horizontal clusters; left and right
     profiles follow the outermost vertical cluster of each row, filled and
-    smoothed. Pages without all four sides, or with crossing profiles, stay
-    open.
+    smoothed. Pages without all four sides, or with crossing profiles, have no
+    runs.
     """
     tol = max(2, round(min(width, height) * 0.006))
     walls = cut_lineage(walls.select("page_id", "orientation", "inside_direction", "fixed", "axis_start", "axis_end"))
@@ -255,11 +211,4 @@ def calculation_envelope(walls: DataFrame, width: float, height: float) -> DataF
     # a right run holds from its first row on, a left run up to its last row
     lo = F.when(F.col("side") == "r", F.col("y0")).otherwise(F.greatest(F.col("y0") - 1, F.col("top")))
     hi = F.when(F.col("side") == "r", F.least(F.col("y1") + 1, F.col("bottom"))).otherwise(F.col("y1"))
-    w = W.partitionBy("page_id", "side").orderBy("y0")
-    runs = runs.withColumns({"_h": hi - lo, "_step": F.abs(F.col("value") - F.coalesce(F.lag("value").over(w), F.col("value")))})
-    sign = F.when(F.col("side") == "r", 1).otherwise(-1)
-    ends = lambda y, edge: F.sum(F.when(F.col(y) == F.col(edge), F.col("value") * sign).otherwise(0))
-    out = runs.groupBy("page_id").agg(F.sum(F.col("value") * F.col("_h") * sign).cast("double").alias("area"),
-                                      (F.sum("_h") + F.sum("_step") + ends("y0", "top") + ends("y1", "bottom")).cast("double").alias("perimeter"))
-    out = out.join(crossing, "page_id", "left_anti").filter("area > 0")
-    return walls.select("page_id").distinct().join(out, "page_id", "left").withColumn("status", F.when(F.col("area").isNull(), "exterior_not_closed").otherwise("review_required"))
+    return runs.join(crossing, "page_id", "left_anti").select("page_id", "side", "value", lo.alias("lo"), hi.alias("hi"))

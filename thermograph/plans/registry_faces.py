@@ -207,30 +207,90 @@ def _g6(s, d):
 add("G6_door_arc_recovery", lambda s, d: _g6(s, d)["components"].groupBy("status").agg(F.count("*").alias("components"), F.sum("n_arcs").alias("arcs")))
 
 
-def _g4(s, d):
-    from thermograph.plans import exterior as X
-    r = A.view(s, d, "v_regions")
-    boxes = _boxes(s, d).filter("seg_id % 10 < 5").select("page_id", "orientation", "fixed", "axis_start", "axis_end")
-    x, y = F.sequence(c("x"), c("x") + c("w") - 1), F.sequence(c("y"), c("y") + c("h") - 1)
-    cl = r.select(c("region_id").alias("page_id"), F.explode(x).alias("x"), y.alias("ys")).select("page_id", "x", F.explode("ys").alias("y")).withColumn("value", F.when(c("page_id") % 5 == 0, 0.2).otherwise(0.9))
-    roi = r.select(c("region_id").alias("page_id"), F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(130).alias("right"), F.lit(120).alias("bottom"))
-    return X.exterior_topology(boxes, cl, roi)
-
-
-add("G4_exterior_topology", lambda s, d: _g4(s, d).select("page_id", "status", "area", "perimeter"), """
-SELECT region_id AS page_id, CASE WHEN region_id % 5 = 0 OR x + w > 130 OR y + h > 120 THEN 'exterior_not_closed' ELSE 'review_required' END AS status, CASE WHEN NOT (region_id % 5 = 0 OR x + w > 130 OR y + h > 120) THEN (w * h)::DOUBLE END AS area,
- CASE WHEN NOT (region_id % 5 = 0 OR x + w > 130 OR y + h > 120) THEN (2 * (w + h))::DOUBLE END AS perimeter FROM v_regions""", REG)
-
-
-def _c18(s, d):
-    from thermograph.plans import exterior as X
-    pages = A.table(s, d, "part").select(c("p_partkey").alias("page_id"))
-    stage = lambda n: lambda p: p.select("page_id", F.when(c("page_id") % n == 0, "review_required").otherwise("exterior_not_closed").alias("status"))
-    return X.fallback_chain(pages, [stage(7), stage(3), stage(2)])
-
-
-add("C18_topology_fallback", lambda s, d: _c18(s, d).select("page_id", "status", "stage"), """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 OR p_partkey % 2 = 0 THEN 'review_required' ELSE 'exterior_not_closed' END AS status,
- CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END::INT AS stage FROM part""")
+# One drawing per region, by number mod 8: 0 closed, with a repair that closes nothing; 1 a small gap; 2 a door; 3 a gap with an accepted
+# inferred edge; 4 with a rejected one; 5 a gap that only the envelope closes; 6 a box in a box; 7 no footprint.
+def _drawings(s, d):
+    r = A.view(s, d, "v_regions").select(c("region_id").alias("page_id"), (c("region_id") % 8).alias("m"), *[(c(n) * 4).cast("bigint").alias(n) for n in ("x", "y", "w", "h")])
+    k, m, x, y, w, h = (c(n) for n in ("page_id", "m", "x", "y", "w", "h"))
+    gap = F.when(m == 1, 6).otherwise(12)
+    side = lambda n, o, f, a, b, into: F.struct((k * 10 + n).alias("wall_id"), F.lit(o).alias("orientation"), f.alias("fixed"), a.cast("bigint").alias("axis_start"), b.cast("bigint").alias("axis_end"), F.when(m == 5, into).alias("inside_direction"))
+    box = lambda n, i: [side(n + 1, "horizontal", y + h - i, x + i, x + w - i, "up"), side(n + 2, "vertical", x + i, y + i, y + h - i, "right"), side(n + 3, "vertical", x + w - i, y + i, y + h - i, "left")]
+    cut = m.between(1, 5)
+    top = [side(1, "horizontal", y, x, F.when(cut, x + 8).otherwise(x + w), "down"), F.when(cut, side(5, "horizontal", y, x + 8 + gap, x + w, "down"))]
+    inner = [F.when(m == 6, v) for v in [side(6, "horizontal", y + 8, x + 8, x + w - 8, "down"), *box(6, 8)]]
+    walls = r.select("page_id", F.explode(F.array_compact(F.array(*top, *box(1, 0), *inner))).alias("l")).select("page_id", "l.*")
+    hosts = F.array(k * 10 + 1, k * 10 + 5).alias("host_ids")
+    place = [F.lit("horizontal").alias("orientation"), y.alias("fixed"), (x + 8).alias("gap_start"), (x + 8 + gap).alias("gap_end")]
+    ok = F.lit("accepted_gap").alias("decision")
+    gaps = r.filter(cut).select("page_id", k.alias("gap_id"), *place, hosts, ok).unionByName(
+        r.filter("m = 0").select("page_id", (-k).alias("gap_id"), F.lit("vertical").alias("orientation"), (x + w + 20).alias("fixed"), y.alias("gap_start"), (y + 5).alias("gap_end"), hosts, ok))
+    openings = r.filter("m = 2").select("page_id", (k * 10 + 2).alias("opening_id"), *place, hosts)
+    edge = lambda n: (x + 8 if n == "axis_start" else x + 20).alias(n)
+    inferred = r.filter("m IN (3, 4)").select("page_id", k.alias("inference_id"), k.alias("edge_group_id"), F.lit(1).alias("edge_group_size"), F.lit("horizontal").alias("orientation"), y.alias("fixed"), edge("axis_start"), edge("axis_end"),
+                                              F.when(m == 3, "accepted_candidate").otherwise("rejected_candidate").alias("decision"), F.lit(0.5).alias("mean_difference"), F.array(F.lit("discontinuous_inside_footprint_support")).alias("reason_codes"))
+    grid = lambda a, n: F.sequence(a, a + n - 4, F.lit(4).cast("bigint"))
+    cl = r.select("page_id", "m", F.explode(grid(x, w)).alias("x"), grid(y, h).alias("ys")).select("page_id", "m", "x", F.explode("ys").alias("y")).select("page_id", "x", "y", F.when(m == 7, 0.2).otherwise(0.9).alias("value"))
+    n = lambda v, a: F.lit(v).alias(a)
+    pages = r.select("page_id", n(0, "left"), n(0, "top"), n(600, "right"), n(600, "bottom"), n(600, "image_w"), n(600, "image_h"), F.when(k % 2 == 0, 0.0625).alias("scale"))
+    return walls, gaps, openings, openings.limit(0), inferred, cl, pages
+
+
+_DONE: dict = {}
+
+
+def _staged(name, build):
+    """The outputs of a staged job, run once for all queries of a session that read one of them."""
+    def run(s, d):
+        key = (s.sparkContext.applicationId, name, d)
+        if key not in _DONE:
+            _DONE.clear()
+            _DONE[key] = build(s, d)
+        return _DONE[key]
+    return run
+
+
+def _topology(s, d):
+    from thermograph.plans import topology as T
+    walls, gaps, openings, pending, _, cl, pages = _drawings(s, d)
+    bridges, unresolved = T.bridges_of(gaps, openings, pending, pages)
+    return T.exterior_topology(walls, bridges, unresolved, cl, pages)
+
+
+_g4 = _staged("topology", _topology)
+
+
+_DRAWN = """, r AS (SELECT region_id AS page_id, region_id % 8 AS m, 4 * x AS x, 4 * y AS y, 4 * w AS w, 4 * h AS h FROM v_regions),
+e AS (SELECT page_id, m, 'wall' AS kind, (page_id * 10 + n)::VARCHAR AS id FROM r, (VALUES (1), (2), (3), (4), (5)) AS t(n) WHERE n < 5 OR m BETWEEN 1 AND 5
+ UNION ALL SELECT page_id, m, 'bridge', 'bridge:' || page_id FROM r WHERE m IN (1, 2) UNION ALL SELECT page_id, m, 'opening', (page_id * 10 + 2)::VARCHAR FROM r WHERE m = 2 UNION ALL SELECT page_id, m, 'inferred', page_id::VARCHAR FROM r WHERE m IN (3, 4))"""
+add("G4_exterior_topology", lambda s, d: _g4(s, d)["pages"].select("page_id", "status", "area", "perimeter", "area_m2", "n_unresolved"), _DRAWN + """
+SELECT page_id, CASE WHEN m = 6 THEN 'ambiguous_exterior' WHEN m < 3 THEN 'review_required' ELSE 'exterior_not_closed' END AS status, CASE WHEN m < 3 THEN (w * h)::DOUBLE END AS area, CASE WHEN m < 3 THEN (2 * (w + h))::DOUBLE END AS perimeter,
+ CASE WHEN m < 3 AND page_id % 2 = 0 THEN w * h * 0.00390625::DOUBLE END AS area_m2, CASE WHEN m IN (0, 3, 4, 5) THEN 1 ELSE 0 END::BIGINT AS n_unresolved FROM r""", REG)
+add("G4_exterior_evidence", lambda s, d: _g4(s, d)["evidence"], _DRAWN + " SELECT page_id, kind, id FROM e WHERE m < 3", REG)
+add("G4_unresolved_gaps", lambda s, d: _g4(s, d)["unresolved"], _DRAWN + """
+SELECT page_id, CASE WHEN m = 0 THEN -page_id ELSE page_id END AS gap_id, CASE WHEN m = 0 THEN 'gap_does_not_close_supported_exterior' ELSE 'gap_exceeds_repair_limit' END AS reason FROM r WHERE m IN (0, 3, 4, 5)""", REG)
+add("G4_real_walls", lambda s, d: _g4(s, d)["real_walls"].select("page_id", "orientation", "fixed", "axis_start", "axis_end", F.array_join("source_wall_ids", ",").alias("walls")), _DRAWN + """
+SELECT page_id, 'horizontal' AS orientation, y AS fixed, x AS axis_start, CASE WHEN m = 0 THEN x + w ELSE x + 8 END AS axis_end, (page_id * 10 + 1)::VARCHAR AS walls FROM r WHERE m < 3
+UNION ALL SELECT page_id, 'horizontal', y, x + CASE WHEN m = 1 THEN 14 ELSE 20 END, x + w, (page_id * 10 + 5)::VARCHAR FROM r WHERE m IN (1, 2) UNION ALL SELECT page_id, 'horizontal', y + h, x, x + w, (page_id * 10 + 2)::VARCHAR FROM r WHERE m < 3
+UNION ALL SELECT page_id, 'vertical', x, y, y + h, (page_id * 10 + 3)::VARCHAR FROM r WHERE m < 3 UNION ALL SELECT page_id, 'vertical', x + w, y, y + h, (page_id * 10 + 4)::VARCHAR FROM r WHERE m < 3""", REG)
+
+
+def _closures(s, d):
+    from thermograph.plans import topology as T
+    return T.close_pages(*_drawings(s, d), 600, 600)
+
+
+_c18 = _staged("closures", _closures)
+
+
+_STAGE = "CASE m WHEN 3 THEN 'inference' WHEN 4 THEN 'endpoint_links' WHEN 5 THEN 'envelope' ELSE 'walls' END"
+add("C18_topology_fallback", lambda s, d: _c18(s, d)["pages"].select("page_id", "status", "stage", "area", "perimeter", "inferred_length", "closure_method", "n_unresolved"), _DRAWN + f"""
+SELECT page_id, CASE WHEN m = 6 THEN 'ambiguous_exterior' WHEN m = 7 THEN 'exterior_not_closed' ELSE 'review_required' END AS status, {_STAGE} AS stage, CASE WHEN m < 6 THEN (w * h)::DOUBLE END AS area, CASE WHEN m < 6 THEN (2 * (w + h))::DOUBLE END AS perimeter,
+ CASE WHEN m < 3 THEN 0 WHEN m < 6 THEN 12 END::DOUBLE AS inferred_length, CASE m WHEN 3 THEN 'footprint_guided_inference' WHEN 4 THEN 'calculation_only_endpoint_link' WHEN 5 THEN 'calculation_only_endpoint_link' END AS closure_method, CASE WHEN m IN (0, 3, 4) THEN 1 ELSE 0 END::BIGINT AS n_unresolved FROM r""", REG)
+add("C18_tries", lambda s, d: _c18(s, d)["tries"].select("page_id", "stage", "status", F.array_join("reasons", ";").alias("reasons")), _DRAWN + """
+, t AS (SELECT *, 'walls' AS stage, CASE WHEN m < 3 THEN 'review_required' WHEN m = 6 THEN 'ambiguous_exterior' ELSE 'exterior_not_closed' END AS status FROM r UNION ALL SELECT *, 'inference', 'review_required' FROM r WHERE m = 3
+UNION ALL SELECT *, 'endpoint_links', CASE WHEN m = 4 THEN 'review_required' ELSE 'exterior_not_closed' END FROM r WHERE m IN (4, 5, 7) UNION ALL SELECT *, 'envelope', CASE WHEN m = 5 THEN 'review_required' ELSE 'exterior_not_closed' END FROM r WHERE m NOT IN (1, 2))
+SELECT page_id, stage, status, '' AS reasons FROM t""", REG)
+add("C18_evidence", lambda s, d: _c18(s, d)["evidence"], _DRAWN + f" SELECT page_id, {_STAGE} AS stage, kind, id FROM e WHERE m < 6", REG)
 
 
 def _c20(s, d):
@@ -245,16 +305,32 @@ def _c20(s, d):
 add("C20_inferred_edge_checks", _c20, "SELECT DISTINCT page_id, concat_ws(';', CASE WHEN page_id % 3 = 0 THEN 'edge_not_on_boundary' END, CASE WHEN page_id % 2 = 1 THEN 'edge_too_long' END) AS errors FROM v_segments", SEG)
 
 
-def _g5(s, d):
-    from thermograph.plans import exterior as X
-    b = _boxes(s, d).filter("seg_id % 10 < 5")
-    n = c("seg_id") % 10
-    b = b.withColumns({"fixed": c("fixed") * 4, "axis_start": c("axis_start") * 4, "axis_end": c("axis_end") * 4}).withColumn("inside_direction", F.when(n == 1, "down").when(n == 2, "up").when(n == 3, "right").otherwise("left"))
-    return X.calculation_envelope(b, 600, 500)
-
-
-add("G5_calculation_envelope", lambda s, d: _g5(s, d).select("page_id", "status", "area", "perimeter"), """
-SELECT region_id AS page_id, CASE WHEN 4 * w + 1 >= 24 AND 4 * h + 1 >= 20 THEN 'review_required' ELSE 'exterior_not_closed' END AS status, CASE WHEN 4 * w + 1 >= 24 AND 4 * h + 1 >= 20 THEN (16 * w * h)::DOUBLE END AS area, CASE WHEN 4 * w + 1 >= 24 AND 4 * h + 1 >= 20 THEN (8 * (w + h))::DOUBLE END AS perimeter FROM v_regions""", REG)
+def _envelopes(s, d):
+    """Boxes with a notch of a region's size in the upper right corner; the top stops short by 4, or by nothing every fifth time."""
+    from thermograph.plans import topology as T
+    r = A.view(s, d, "v_regions").select(c("region_id").alias("page_id"), *[(c(n) * 4).cast("bigint").alias(n) for n in ("x", "y", "w", "h")])
+    k, x, y, w, h = (c(n) for n in ("page_id", "x", "y", "w", "h"))
+    short = F.when(k % 5 == 0, 0).otherwise(4)
+    side = lambda n, o, f, a, b, into: F.struct((k * 10 + n).alias("wall_id"), F.lit(o).alias("orientation"), f.alias("fixed"), a.alias("axis_start"), b.cast("bigint").alias("axis_end"), F.lit(into).alias("inside_direction"))
+    walls = r.select("page_id", F.explode(F.array(side(1, "horizontal", y, x, x + w - short, "down"), side(2, "horizontal", y + 4 * h, x, x + 2 * w, "up"), side(3, "vertical", x, y, y + 4 * h, "right"),
+                                                  side(4, "vertical", x + w, y, y + 2 * h - 1, "left"), side(5, "vertical", x + 2 * w, y + 2 * h, y + 4 * h, "left"))).alias("l")).select("page_id", "l.*")
+    openings = r.select("page_id", (k * 10).alias("opening_id"), F.lit("horizontal").alias("orientation"), (y + 2 * h).alias("fixed"), (x + w).alias("gap_start"), (x + w + 8).alias("gap_end"), F.array(k * 10 + 3, k * 10 + F.when(k % 3 == 0, 9).otherwise(4)).alias("host_ids"))
+    return T.calculation_envelope(walls, openings, 1000, 1300)
+
+
+_g5 = _staged("envelopes", _envelopes)
+
+
+add("G5_calculation_envelope", lambda s, d: _g5(s, d)["pages"].select("page_id", "status", "area", "perimeter", "inferred_length", F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"], p["y"])), ",").alias("points")), """
+, r AS (SELECT region_id AS page_id, 4 * x AS x, 4 * y AS y, 4 * w AS w, 4 * h AS h FROM v_regions)
+SELECT page_id, 'review_required' AS status, (6 * w * h)::DOUBLE AS area, (4 * w + 8 * h)::DOUBLE AS perimeter, (w - CASE WHEN page_id % 3 = 0 THEN 0 ELSE 8 END + 1 + CASE WHEN page_id % 5 = 0 THEN 0 ELSE 4 END)::DOUBLE AS inferred_length,
+ concat_ws(',', x || ' ' || y, (x + w) || ' ' || y, (x + w) || ' ' || (y + 2 * h), (x + 2 * w) || ' ' || (y + 2 * h), (x + 2 * w) || ' ' || (y + 4 * h), x || ' ' || (y + 4 * h)) AS points FROM r""", REG)
+add("G5_inferred_edges", lambda s, d: _g5(s, d)["inferred"].select("page_id", "orientation", "fixed", "axis_start", "axis_end", "inside_direction"), """
+, r AS (SELECT region_id AS page_id, 4 * x AS x, 4 * y AS y, 4 * w AS w, 4 * h AS h FROM v_regions)
+SELECT page_id, 'horizontal' AS orientation, y + 2 * h AS fixed, x + w + CASE WHEN page_id % 3 = 0 THEN 0 ELSE 8 END AS axis_start, x + 2 * w AS axis_end, 'down' AS inside_direction FROM r
+UNION ALL SELECT page_id, 'vertical', x + w, y + 2 * h - 1, y + 2 * h, 'left' FROM r UNION ALL SELECT page_id, 'horizontal', y, x + w - 4, x + w, 'down' FROM r WHERE page_id % 5 > 0""", REG)
+add("G5_evidence", lambda s, d: _g5(s, d)["evidence"], """
+SELECT region_id AS page_id, 'wall' AS kind, (region_id * 10 + n)::VARCHAR AS id FROM v_regions, (VALUES (1), (2), (3), (4), (5)) AS t(n) UNION ALL SELECT region_id, 'opening', (region_id * 10)::VARCHAR FROM v_regions WHERE region_id % 3 > 0""", REG)
 
 
 def _w13(s, d):
