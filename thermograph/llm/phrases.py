@@ -108,6 +108,12 @@ class Phrases:
             out[4] = mix(mix(out[2][self.codes[4] // self.pairs] * factor) + out[2][self.codes[4] % self.pairs])
         return out
 
+    def openings(self, keys: dict[int, np.ndarray], n: int, which: np.ndarray) -> np.ndarray:
+        """Of some distinct phrases of n words, the hash of their first two words (of one, where n is 1)."""
+        if n < 3:
+            return keys[n][which]
+        return keys[2][self.codes[n][which] // (self.base if n == 3 else self.pairs)]
+
     def texts(self, n: int, which: np.ndarray) -> tuple[list[str], list[str]]:
         """Language and text of some distinct phrases of n words."""
         code = self.codes[n][which]
@@ -149,7 +155,7 @@ def _cut(text: str, size: int) -> Iterator[str]:
 
 def phrase_chunks(docs: DataFrame, partitions: int, bits: int, longest: int = LONGEST) -> DataFrame:
     """Chunks of (lang, text), as rows of kind ``text``, and the hashed counts of their phrases by hash partition, of kind ``block``."""
-    schema = "kind string, chunk bigint, langs array<string>, texts array<string>, bucket int, keys binary, counts binary, mass bigint"
+    schema = "kind string, chunk bigint, texts binary, bucket int, keys binary, counts binary, mass bigint"
     out = to_arrow_schema(StructType.fromDDL(schema))
     mask = np.uint64(((1 << bits) - 1) << (64 - bits))
 
@@ -165,7 +171,7 @@ def phrase_chunks(docs: DataFrame, partitions: int, bits: int, longest: int = LO
             chunk = new_chunk()
             for row in rows:
                 row |= {"kind": "block", "chunk": chunk, "mass": int(expand(row["counts"], np.uint32).sum(dtype=np.int64))}
-            return pa.RecordBatch.from_pylist([{"kind": "text", "chunk": chunk, "langs": langs, "texts": texts}, *rows], schema=out)
+            return pa.RecordBatch.from_pylist([{"kind": "text", "chunk": chunk, "texts": _pack(pa.table({"lang": pa.array(langs, pa.string()), "text": pa.array(texts, pa.string())}))}, *rows], schema=out)
 
         for batch in batches:
             for lang, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -245,22 +251,24 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     """
     size = text_bytes(docs)
     bits = min(64, max(32, math.ceil(math.log2(size + 2)) + 4))
-    chunks = spill_kinds(phrase_chunks(docs, max(8, size * longest // 6 // PARTITION_KEYS), bits, longest), {"text": ["chunk", "langs", "texts"], "block": ["chunk", "bucket", "keys", "counts", "mass"]})
+    chunks = spill_kinds(phrase_chunks(docs, max(8, size * longest // 6 // PARTITION_KEYS), bits, longest), {"text": ["chunk", "texts"], "block": ["chunk", "bucket", "keys", "counts", "mass"]})
     kept = spill(survivors(chunks["block"], least))
     discard(chunks["block"])
     buckets = max(8, size // EXACT_BYTES)
     mask = np.uint64(((1 << bits) - 1) << (64 - bits))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        own = Phrases(list(row["langs"]), list(row["texts"]), longest)
+        texts = pa.ipc.open_stream(left["texts"].iloc[0]).read_all()
+        own = Phrases(texts["lang"].to_pylist(), texts["text"].to_pylist(), longest)
         found = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(expand(k, np.uint64), dtype=np.uint64) for k in right["keys"])]))
         parts = [pa.table({"lang": own.langs, "phrase": pa.nulls(len(own.langs), pa.string()), "words": np.zeros(len(own.langs), np.int32), "n": own.sizes, "bucket": np.arange(len(own.langs)) % buckets})]
-        for words, keys in own.keys().items():
-            hit = np.flatnonzero(np.isin(keys & mask, found, assume_unique=False))
+        every = own.keys()
+        for words, keys in every.items():
+            short = keys & mask
+            hit = np.flatnonzero(found[np.minimum(np.searchsorted(found, short), len(found) - 1)] == short) if len(found) else np.zeros(0, np.int64)
             langs, texts = own.texts(words, hit)
-            parts.append(pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(texts, pa.string()), "words": np.full(len(hit), words, np.int32), "n": own.counts[words][hit], "bucket": (keys[hit] % np.uint64(buckets)).astype(np.int64)}))
-        # Sorted, neighbours share their beginnings, which compresses well.
+            parts.append(pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(texts, pa.string()), "words": np.full(len(hit), words, np.int32), "n": own.counts[words][hit], "bucket": (own.openings(every, words, hit) % np.uint64(buckets)).astype(np.int64)}))
+        # Phrases are dealt by their first two words and sorted: neighbours share their beginnings, which compresses well.
         rows = pa.concat_tables(parts).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
         at = rows["bucket"].to_numpy()
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1, [len(at)])) if len(at) else np.zeros(1, np.int64)
@@ -283,7 +291,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
 def _pack(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(rows)
+        writer.write_table(rows.combine_chunks())
     return sink.getvalue().to_pybytes()
 
 

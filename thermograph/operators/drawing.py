@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thermograph.functions import text as X
-from thermograph.operators.intervals import box_join, merge_collinear, range_join
+from thermograph.operators.intervals import box_join, merge_collinear, range_join, running_sums
 from thermograph.operators.relational import keep_first, spread_row_number
 
 
@@ -243,32 +243,45 @@ def native_dimension_match(spans: DataFrame, segments: DataFrame, bucket: float
     return best.select("page_id", "span_id", "m.seg_id", "m.first_marker", "m.last_marker")
 
 
-def scale_calibration(cands: DataFrame) -> DataFrame:
+def scale_calibration(cands: DataFrame, pages: DataFrame | None = None, tile: float = 0.25) -> DataFrame:
     """Scale per page from dimension candidates.
 
     ``cands``: page_id, cand_id, orientation, metres, span_px, is_ocr. With
     three or more candidates and any from text recognition, the largest
-    cluster within 2 % decides if it has two members and both axes.
+    cluster within 2 % decides if it has two members and both axes. Of equal
+    clusters that with the longer spans counts, then the smaller id.
+
+    A cluster is a window of scales around its seed: its numbers are the
+    differences of running sums at both ends, along tiles of the logarithm.
+    Pages of ``pages`` without a usable candidate are ``manual_required``.
     """
-    c = cands.withColumn("s", F.col("metres") / F.col("span_px"))
+    col = F.col
+    c = cands.filter("metres > 0 AND span_px > 0").withColumn("s", col("metres") / col("span_px"))
     page = c.groupBy("page_id").agg((F.count(F.lit(1)) >= 3).alias("many"), F.max("is_ocr").alias("ocr"))
-    # neighbours within 2 % share or adjoin a logarithmic bucket
-    seed = c.select("page_id", F.col("cand_id").alias("seed_id"), F.log("s").alias("ls"), F.col("s").alias("seed_s"))
-    j = range_join(seed, c.withColumn("lc", F.log("s")), ["page_id"], (F.col("ls") - 0.021, F.col("ls") + 0.021), (F.col("lc"), F.col("lc")), 0.05)
-    j = j.filter(F.abs(F.col("s") - F.col("seed_s")) / ((F.col("s") + F.col("seed_s")) / 2.0) <= 0.02)
-    cl = j.groupBy("page_id", "seed_id").agg(F.count(F.lit(1)).alias("n"), F.sum("span_px").alias("span"), F.countDistinct("orientation").alias("axes"))
-    best = cl.groupBy("page_id").agg(F.max(F.struct("n", "span", (-F.col("seed_id")).alias("neg"), "axes")).alias("b"))
-    use = page.join(best, "page_id").filter("many AND ocr AND b.n >= 2 AND b.axes = 2").select("page_id", (-F.col("b.neg")).alias("seed_id"))
-    members = j.join(use, ["page_id", "seed_id"]).select("page_id", "cand_id", F.lit(True).alias("_in"))
-    sel = c.join(use.select("page_id", F.lit(True).alias("_use")), "page_id", "left").join(members, ["page_id", "cand_id"], "left").filter("_use IS NULL OR _in")
-    longest = lambda o: F.max(F.when(F.col("orientation") == o, F.struct("metres", (-F.col("cand_id")).alias("neg"), "s")))["s"]
+    ratio = 1.01 / 0.99  # |a - b| is 2 % of the mean of a and b
+    axis = lambda o: (col("orientation") == o).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    items = c.select("page_id", col("s").alias("at"), F.lit(1).alias("turn"), F.lit(1).cast("bigint").alias("n"), col("span_px").cast("double").alias("span"), axis("horizontal").alias("h"), axis("vertical").alias("v"), F.lit(None).cast(c.schema["cand_id"].dataType).alias("seed_id"), F.lit(0).alias("sign"))
+    ask = lambda at, turn, sign: c.select("page_id", at.alias("at"), F.lit(turn).alias("turn"), none.alias("n"), F.lit(0.0).alias("span"), none.alias("h"), none.alias("v"), col("cand_id").alias("seed_id"), F.lit(sign).alias("sign"))
+    rows = items.unionByName(ask(col("s") / ratio, 0, -1)).unionByName(ask(col("s") * ratio, 2, 1))
+    sums = running_sums(rows, ["page_id"], ["at", "turn"], F.floor(F.log("at") / tile), ["n", "span", "h", "v"]).filter("sign <> 0")
+    of = lambda x: F.sum(col(f"{x}_run") * col("sign"))
+    cl = sums.groupBy("page_id", "seed_id").agg(of("n").alias("n"), of("span").alias("span"), (of("h") > 0).alias("_h"), (of("v") > 0).alias("_v"))
+    # Spans of equal sets may differ in their last places by the order of addition.
+    best = cl.groupBy("page_id").agg(F.max(F.struct("n", F.round("span", 6).alias("span"), (-col("seed_id")).alias("neg"), (col("_h") & col("_v")).alias("both"))).alias("b"))
+    use = page.join(best, "page_id").filter("many AND ocr AND b.n >= 2 AND b.both").select("page_id", (-col("b.neg")).alias("seed_id"))
+    seed = c.select("page_id", col("cand_id").alias("seed_id"), col("s").alias("seed_s")).join(use, ["page_id", "seed_id"])
+    sel = c.join(seed, "page_id", "left").filter("seed_s IS NULL").unionByName(c.join(seed, "page_id").filter(F.abs(col("s") - col("seed_s")) / ((col("s") + col("seed_s")) / 2.0) <= 0.02), allowMissingColumns=True)
+    longest = lambda o: F.max(F.when(col("orientation") == o, F.struct("metres", (-col("cand_id")).alias("neg"), "s")))["s"]
     out = sel.groupBy("page_id").agg(longest("horizontal").alias("scale_x"), longest("vertical").alias("scale_y"))
-    diff = F.abs(F.col("scale_x") - F.col("scale_y")) / ((F.col("scale_x") + F.col("scale_y")) / 2.0)
-    out = out.withColumn("axis_difference", diff)
-    status = (F.when(F.col("axis_difference").isNull(), "confirmation_required").when(F.col("axis_difference") <= 0.02 + 1e-9, "confirmed")
-              .when(F.col("axis_difference") <= 0.05 + 1e-9, "confirmation_required").otherwise("conflict"))
+    if pages is not None:
+        out = pages.select("page_id").join(out, "page_id", "left")
+    out = out.withColumn("axis_difference", F.abs(col("scale_x") - col("scale_y")) / ((col("scale_x") + col("scale_y")) / 2.0))
+    d, one = col("axis_difference"), F.coalesce("scale_x", "scale_y")
+    status = (F.when(one.isNull(), "manual_required").when(d.isNull(), "confirmation_required").when(d <= 0.02 + 1e-9, "confirmed").when(d <= 0.05 + 1e-9, "confirmation_required").otherwise("conflict"))
     out = out.withColumn("status", status)
-    return out.withColumn("scale_m_per_px", F.when(F.col("status") != "conflict", F.when(F.col("axis_difference").isNull(), F.coalesce("scale_x", "scale_y")).otherwise((F.col("scale_x") + F.col("scale_y")) / 2.0)))
+    confidence = F.when(col("status") == "confirmed", 0.95).when(col("status") == "confirmation_required", F.when(d.isNull(), 0.5).otherwise(0.65)).otherwise(0.0)
+    return out.withColumns({"confidence": confidence, "scale_m_per_px": F.when(col("status") != "conflict", F.when(d.isNull(), one).otherwise((col("scale_x") + col("scale_y")) / 2.0))})
 
 
 def building_roi(segments: DataFrame, dimension_members: DataFrame, pages: DataFrame) -> DataFrame:

@@ -114,17 +114,38 @@ def axis_clusters(walls: DataFrame, keys: list[str], tol: float, span: float) ->
     return axes.join(cover, [*keys, "_cluster"]).drop("_cluster").filter(F.col("coverage") >= max(8.0, round(span * 0.04)))
 
 
-def coverage_complement(edges: DataFrame, covers: DataFrame, keys: list[str]) -> DataFrame:
+def coverage_complement(edges: DataFrame, covers: DataFrame, keys: list[str], bucket: float = 64) -> DataFrame:
     """Uncovered parts of each edge interval.
 
     ``edges``: keys + e0, e1; ``covers``: keys + axis_start, axis_end. Covers
-    are clipped to their edge and merged; gaps lie between merged neighbours.
+    meet the edges they overlap, are clipped to them and merged; gaps lie
+    between merged neighbours.
     """
-    j = edges.join(covers, keys).select(*keys, "e0", "e1", F.greatest("axis_start", "e0").alias("axis_start"), F.least("axis_end", "e1").alias("axis_end")).filter("axis_start < axis_end")
+    j = range_join(edges.select(*keys, "e0", "e1"), covers.select(*keys, "axis_start", "axis_end"), keys, (F.col("e0"), F.col("e1")), (F.col("axis_start"), F.col("axis_end")), bucket)
+    j = j.select(*keys, "e0", "e1", F.greatest("axis_start", "e0").alias("axis_start"), F.least("axis_end", "e1").alias("axis_end")).filter("axis_start < axis_end")
     merged = merge_collinear(j, [*keys, "e0", "e1"]).select(*keys, "e0", "e1", "axis_start", "axis_end")
-    ends = edges.select(*keys, "e0", "e1", F.col("e0").alias("axis_start"), F.col("e0").alias("axis_end")).unionByName(
-        edges.select(*keys, "e0", "e1", F.col("e1").alias("axis_start"), F.col("e1").alias("axis_end")))
-    pts = merged.unionByName(ends)
+    end = lambda e: edges.select(*keys, "e0", "e1", F.col(e).alias("axis_start"), F.col(e).alias("axis_end"))
+    pts = merged.unionByName(end("e0")).unionByName(end("e1"))
     w = W.partitionBy(*keys, "e0", "e1").orderBy("axis_start", "axis_end")
     gaps = pts.withColumn("_prev", F.lag("axis_end").over(w)).filter("_prev < axis_start")
     return gaps.select(*keys, F.col("_prev").alias("gap_start"), F.col("axis_start").alias("gap_end"))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list, tile: Column, sums: list[str], following: str | None = None) -> DataFrame:
+    """Adds ``<name>_run``, the sums up to and including each row, and ``_next``, the next row's ``following``.
+
+    Rows run inside (keys, tile); one small row per tile carries sums and first
+    values across, so no task holds a whole key. ``tile`` must not fall along
+    ``order``, whose first column ``following`` has to be where it is asked for.
+    """
+    rows = df.withColumn("_t", tile)
+    inside = W.partitionBy(*keys, "_t").orderBy(*order)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    across = W.partitionBy(*keys).orderBy("_t")
+    first = [F.min(following).alias("_first")] if following else []
+    tiles = rows.groupBy(*keys, "_t").agg(*[F.sum(x).alias(f"_c_{x}") for x in sums], *first)
+    carry = tiles.select(*keys, "_t", *[F.coalesce(F.sum(f"_c_{x}").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_c_{x}") for x in sums],
+                         *([F.lead("_first").over(across).alias("_later")] if following else []))
+    out = rows.withColumns({f"{x}_run": F.coalesce(F.sum(x).over(upto), F.lit(0)) for x in sums} | ({"_next": F.lead(following).over(inside)} if following else {})).join(carry, [*keys, "_t"])
+    out = out.withColumns({f"{x}_run": F.col(f"{x}_run") + F.col(f"_c_{x}") for x in sums} | ({"_next": F.coalesce("_next", "_later")} if following else {}))
+    return out.drop("_t", "_later", *[f"_c_{x}" for x in sums])

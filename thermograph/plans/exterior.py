@@ -15,26 +15,25 @@ LINE = ["page_id", "orientation", "fixed"]
 
 
 def real_wall_segments(edges: DataFrame, walls: DataFrame, bridges: DataFrame, bucket: float = 64) -> DataFrame:
-    """Stretches of polygon edges that walls cover and no bridge does.
+    """Stretches of polygon edges that walls cover and no bridge does, as long as the set of walls stays the same.
 
     ``edges``: page_id, edge_id, orientation, fixed, e0, e1; ``walls`` with
-    wall_id; ``bridges`` as intervals. Neighbouring pieces with the same wall
-    set join.
+    wall_id; ``bridges`` as intervals. A sweep along each edge adds walls and
+    bridges where they start and takes them off where they end; stretches lie
+    between changes. Only then do they meet the walls over them.
     """
-    over = lambda other, extra: range_clip(edges, other, extra, bucket)
-    w, b = over(walls, ["wall_id"]), over(bridges, [])
     key = ["page_id", "edge_id"]
-    ends = lambda f, a, z: f.select(*key, F.explode(F.array(a, z)).alias("a"))
-    cuts = ends(edges, "e0", "e1").unionByName(ends(w, "s", "z")).unionByName(ends(b, "s", "z")).distinct()
-    atoms = cuts.withColumn("b", F.lead("a").over(W.partitionBy(*key).orderBy("a"))).filter("b IS NOT NULL")
-    inside = lambda f, *extra: atoms.join(f, key).filter("s <= a AND b <= z").select(*key, "a", "b", *extra)
-    real = inside(w, "wall_id").groupBy(*key, "a", "b").agg(F.sort_array(F.collect_set("wall_id")).alias("ids"))
-    real = real.join(inside(b).distinct(), [*key, "a", "b"], "left_anti")
-    o = W.partitionBy(*key).orderBy("a")
-    joined = (F.lag("b").over(o) == F.col("a")) & (F.lag("ids").over(o) == F.col("ids"))
-    real = real.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(o))
-    out = real.groupBy(*key, "_g").agg(F.min("a").alias("axis_start"), F.max("b").alias("axis_end"), F.first("ids").alias("source_wall_ids"))
-    return out.drop("_g").join(edges.select(*key, "orientation", "fixed"), key)
+    w = range_clip(edges, walls, ["wall_id"], bucket)
+    w = I.merge_collinear(w.select(*key, "wall_id", F.col("s").alias("axis_start"), F.col("z").alias("axis_end")), [*key, "wall_id"]).select(*key, "wall_id", F.col("axis_start").alias("s"), F.col("axis_end").alias("z"))
+    b = range_clip(edges, bridges, [], bucket)
+    step = lambda f, wall, bridge: f.select(*key, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("z").alias("at"), F.lit(-1).alias("d")))).alias("x")).select(
+        *key, "x.at", (F.col("x.d") * wall).alias("walls"), (F.col("x.d") * bridge).alias("bridges"), F.lit(wall).alias("moves"))
+    events = step(w, 1, 0).unionByName(step(b, 0, 1)).groupBy(*key, "at").agg(F.sum("walls").alias("walls"), F.sum("bridges").alias("bridges"), F.sum("moves").alias("moves")).filter("moves > 0 OR bridges <> 0")
+    swept = I.running_sums(events, key, ["at"], F.floor(F.col("at") / bucket), ["walls", "bridges"], "at")
+    pieces = swept.filter("walls_run > 0 AND bridges_run = 0 AND _next IS NOT NULL").select(*key, F.col("at").alias("axis_start"), F.col("_next").alias("axis_end"))
+    over = I.range_join(pieces, w, key, (F.col("axis_start"), F.col("axis_end")), (F.col("s"), F.col("z")), bucket).filter("s <= axis_start AND axis_end <= z")
+    out = over.groupBy(*key, "axis_start", "axis_end").agg(F.sort_array(F.collect_set("wall_id")).alias("source_wall_ids"))
+    return out.join(edges.select(*key, "orientation", "fixed"), key)
 
 
 def range_clip(edges: DataFrame, other: DataFrame, extra: list[str], bucket: float) -> DataFrame:

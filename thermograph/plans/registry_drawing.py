@@ -318,7 +318,11 @@ def _calib(s, d):
     return v.select((c("span_id") % 311).alias("page_id"), c("span_id").alias("cand_id"), c("direction").alias("orientation"), "metres", (c("metres") * 100 * (1 + (c("span_id") % 7) * 0.011)).alias("span_px"), (c("span_id") % 311 % 2 == 0).alias("is_ocr"))
 
 
-add("A16_scale_calibration", lambda s, d: D.scale_calibration(_calib(s, d)).select("page_id", "status", F.round("scale_m_per_px", 9).alias("scale")), """
+def _calib_pages(s, d):
+    return _calib(s, d).select("page_id").unionByName(_calib(s, d).select((c("page_id") + 300).alias("page_id"))).distinct()
+
+
+add("A16_scale_calibration", lambda s, d: D.scale_calibration(_calib(s, d), _calib_pages(s, d)).select("page_id", "status", F.round("scale_m_per_px", 9).alias("scale"), "confidence"), """
 , k AS (SELECT span_id % 311 AS page_id, span_id AS id, direction AS o, metres, metres * 100 * (1 + (span_id % 7) * 0.011::DOUBLE) AS px, span_id % 311 % 2 = 0 AS ocr FROM v_spans WHERE metres IS NOT NULL),
 c0 AS (SELECT *, metres / px AS s, count(*) OVER (PARTITION BY page_id) AS n FROM k),
 j AS (SELECT a.page_id, a.id AS seed, b.id, b.px, b.o FROM c0 a JOIN c0 b ON a.page_id = b.page_id AND abs(b.s - a.s) / ((b.s + a.s) / 2) <= 0.02::DOUBLE),
@@ -327,7 +331,8 @@ u AS (SELECT DISTINCT t.page_id, seed FROM t JOIN c0 USING (page_id) WHERE rn =
 z AS (SELECT c0.* FROM c0 LEFT JOIN u USING (page_id) WHERE u.seed IS NULL OR EXISTS (SELECT 1 FROM j WHERE j.page_id = c0.page_id AND j.seed = u.seed AND j.id = c0.id)),
 r AS (SELECT page_id, arg_max(s, metres * 1000000 - id) FILTER (WHERE o = 'horizontal') AS x, arg_max(s, metres * 1000000 - id) FILTER (WHERE o = 'vertical') AS y FROM z GROUP BY 1),
 f AS (SELECT *, abs(x - y) / ((x + y) / 2) AS df FROM r), g AS (SELECT *, CASE WHEN df IS NULL THEN 'confirmation_required' WHEN df <= 0.02::DOUBLE + 1e-9 THEN 'confirmed' WHEN df <= 0.05::DOUBLE + 1e-9 THEN 'confirmation_required' ELSE 'conflict' END AS status FROM f)
-SELECT page_id, status, CASE WHEN status <> 'conflict' THEN round(CASE WHEN df IS NULL THEN coalesce(x, y) ELSE (x + y) / 2 END, 9) END AS scale FROM g""", ("v_spans",))
+SELECT page_id, status, CASE WHEN status <> 'conflict' THEN round(CASE WHEN df IS NULL THEN coalesce(x, y) ELSE (x + y) / 2 END, 9) END AS scale, CASE status WHEN 'confirmed' THEN 0.95 WHEN 'conflict' THEN 0 ELSE CASE WHEN df IS NULL THEN 0.5 ELSE 0.65 END END::DOUBLE AS confidence FROM g
+UNION ALL SELECT DISTINCT page_id + 300, 'manual_required', NULL, 0::DOUBLE FROM c0 WHERE page_id + 300 NOT IN (SELECT page_id FROM c0)""", ("v_spans",))
 add("A17_decision_counts", lambda s, d: D.decision_counts(D.line_candidate_decision(_cand(s, d), seg(s, d).filter("seg_id % 6 = 0")), "page_id", "decision", ["uncertain", "rejected_nonstructural"]), """
 , r AS (SELECT page_id, seg_id % 6 = 0 OR fixed % 5 = 0 OR (seg_id % 11 > 0 AND 1 - (seg_id % 21) / 20 >= 0.8::DOUBLE) AS bad FROM v_segments) SELECT page_id, count(*) AS total, count(*) FILTER (WHERE NOT bad) AS uncertain, count(*) FILTER (WHERE bad) AS rejected_nonstructural FROM r GROUP BY 1""", SEG)
 

@@ -193,7 +193,11 @@ def _w15(s, d):
     return r.groupBy("page_id").agg(F.count("*").alias("pieces"), F.sum(c("axis_end") - c("axis_start")).alias("length"))
 
 
-add("W15_real_wall_segments", _w15)
+add("W15_real_wall_segments", _w15, """
+, u AS (SELECT page_id, orientation, fixed, unnest(range(greatest(axis_start, 50), least(axis_end, 350))) AS p, seg_id % 2 AS bridge, seg_id FROM v_segments),
+a AS (SELECT page_id, orientation, fixed, p, list_sort(list(DISTINCT seg_id)) AS ids FROM u GROUP BY ALL HAVING max(bridge) = 0),
+n AS (SELECT *, CASE WHEN lag(p) OVER k = p - 1 AND lag(ids) OVER k = ids THEN 0 ELSE 1 END AS nw FROM a WINDOW k AS (PARTITION BY page_id, orientation, fixed ORDER BY p))
+SELECT page_id, CAST(sum(nw) AS BIGINT) AS pieces, count(*) AS length FROM n GROUP BY page_id""", SEG)
 
 
 def _g6(s, d):
