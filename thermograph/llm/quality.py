@@ -7,19 +7,15 @@ expressions over one row; the only shuffle sums histograms per language.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thermograph.llm.common import spill, sql_strings, table
+from thermograph.llm.common import spill, table
 
-#: Common words of each language with a reference.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "as", "on", "by"],
-    "fr": ["le", "la", "de", "des", "un", "une", "et", "qui", "que", "en", "pour", "par"],
-    "de": ["der", "die", "das", "und", "ist", "zu", "den", "mit", "ein", "sich", "nicht", "auf"],
-    "es": ["el", "la", "de", "que", "y", "en", "un", "los", "se", "por", "con", "para"],
-}
-WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+#: Words of a language's reference: its most frequent ones.
+COMMON = 12
+#: A language has a reference from this many rows with words on.
+MIN_ROWS = 10
 SYMBOLS = "#*$%&|<>"
 #: ASCII classes in the order in which they are taken out of a text.
 ASCII_CLASSES = [
@@ -27,6 +23,9 @@ ASCII_CLASSES = [
     ("stop", ".,;:?'\"()-"), ("symbol", SYMBOLS), ("other", "!/=@[\\]^_`{}~+"),
 ]
 CLASSES = ["space", *[n for n, _ in ASCII_CLASSES], "wide_upper", "wide"]
+#: Classes whatever the script: all letters, and all beyond ASCII, are one.
+LETTERS = ["lower", "upper", "wide_upper", "wide"]
+PLAIN = [[CLASSES.index(n) for n in LETTERS], *[[i] for i, n in enumerate(CLASSES) if n not in LETTERS]]
 
 #: A distance rejects above base + allowance / sqrt(words): few words scatter more by chance.
 CHAR_LIMIT = (0.17, 0.9)
@@ -41,11 +40,32 @@ def _literal(chars: str) -> str:
     return "concat(" + ", ".join(f"char({ord(c)})" for c in chars) + ")"
 
 
-def features(docs: DataFrame) -> DataFrame:
+def _string(value: str) -> str:
+    """A Spark SQL string of any characters."""
+    return f"decode(unhex('{value.encode().hex()}'), 'utf-8')"
+
+
+def common_words(docs: DataFrame) -> dict[str, list[str]]:
+    """The COMMON most frequent words with a letter of each non-null lang that has MIN_ROWS rows with words, ties by the word.
+
+    Words are lower-cased and counted over all rows. COMMON words a language
+    reach the driver.
+    """
+    rows = docs.filter("lang IS NOT NULL").selectExpr("lang", "array_remove(split(lower(coalesce(text, '')), '[\\\\x20\\\\x09-\\\\x0D]+'), '') AS v").filter("size(v) > 0")
+    langs = rows.groupBy("lang").agg(F.count("*").alias("rows")).filter(F.col("rows") >= MIN_ROWS).select("lang")
+    counts = rows.select("lang", F.explode("v").alias("word")).filter("word rlike '\\\\p{L}'").groupBy("lang", "word").agg(F.count("*").alias("n")).join(langs, "lang")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    out: dict[str, list[str]] = {}
+    for r in counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= COMMON).orderBy("lang", "r").collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return out
+
+
+def features(docs: DataFrame, words: list[str] = ()) -> DataFrame:
     """Counts of each row: the base rules' and both histograms.
 
     Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and the
-    arrays ``chars`` (by CLASSES) and ``commons`` (by WORDS) to doc_id and lang.
+    arrays ``chars`` (by CLASSES) and ``commons`` (by ``words``) to doc_id and lang.
     Null and empty texts count zero everywhere. Nothing is shuffled: repeated
     3-word windows are found by sorting each row's packed window hashes.
     """
@@ -54,7 +74,7 @@ def features(docs: DataFrame) -> DataFrame:
                          f"filter(split({text}, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]') AS l", f"array_remove(split(lower({text}), '[\\\\x20\\\\x09-\\\\x0D]+'), '') AS v")
     df = df.selectExpr(
         "doc_id", "lang", "CAST(char_length(text) AS BIGINT) AS n_chars", "CAST(size(w) AS BIGINT) AS n_words", "array_join(w, '') AS word_text",
-        "CAST(size(l) - size(array_distinct(l)) AS BIGINT) AS n_dup_lines", f"filter(v, x -> x IN ({sql_strings(WORDS)})) AS low",
+        "CAST(size(l) - size(array_distinct(l)) AS BIGINT) AS n_dup_lines", f"filter(v, x -> x IN ({', '.join(map(_string, words))})) AS low" if words else "CAST(array() AS array<string>) AS low",
         "CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) ELSE CAST(array() AS array<bigint>) END AS g")
     # Taking lower-case letters out first leaves little for the other classes.
     df = df.selectExpr("*", "regexp_replace(word_text, '[a-z]+', '') AS rest_lower", "size(array_distinct(g)) < size(g) AS again")
@@ -79,21 +99,23 @@ def features(docs: DataFrame) -> DataFrame:
     df = df.selectExpr("*", "CASE WHEN mixed THEN array_distinct(filter(sg, (x, j) -> j > 0 AND x = sg[j - 1])) END AS twice")
     df = df.selectExpr("*", "CASE WHEN mixed THEN filter(transform(g, (h, i) -> CASE WHEN array_contains(twice, h) THEN i END), i -> i IS NOT NULL) "
                        "WHEN again THEN transform(near, x -> CAST(x & 16777215L AS INT)) END AS places")
-    commons = ", ".join(f"CAST(size(low) - size(array_remove(low, '{w}')) AS BIGINT)" for w in WORDS)
+    commons = ", ".join(f"CAST(size(low) - size(array_remove(low, {_string(w)})) AS BIGINT)" for w in words)
     return df.selectExpr("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "CASE WHEN again THEN CAST(size(array_distinct(flatten(transform(places, p -> array(p, p + 1, p + 2))))) AS BIGINT) ELSE 0L END AS n_repeat_words",
-                         "chars", f"array({commons}) AS commons")
+                         "chars", f"CAST(array({commons}) AS array<bigint>) AS commons")
 
 
-def references(feats: DataFrame) -> dict[str, tuple[list[int], list[int], int]]:
-    """Class counts, common-word counts and words of each language of COMMON_WORDS, summed over all rows.
+def references(feats: DataFrame, words: dict[str, list[str]], every: list[str]) -> tuple[dict[str, tuple[list[int], list[int], int]], list[int]]:
+    """Class counts, common-word counts and words of each language, and the class counts of all rows.
 
-    At most as many rows as COMMON_WORDS has languages reach the driver. A
-    language without a word in the table has no reference.
+    One row a language reaches the driver, and one for all.
     """
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(len(WORDS))]
-    rows = feats.filter(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(*sums, F.sum("n_words").alias("n")).collect()
-    return {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(len(WORDS))], r["n"]) for r in sorted(rows, key=lambda r: r["lang"]) if r["n"]}
+    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
+    commons = [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(len(every))]
+    rows = feats.filter(F.col("lang").isin(list(words))).groupBy("lang").agg(*sums, *commons, F.sum("n_words").alias("n")).collect() if words else []
+    own = {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{every.index(w)}"] for w in words[r["lang"]]], r["n"]) for r in sorted(rows, key=lambda r: r["lang"])}
+    whole = feats.agg(*sums).first()
+    return own, [x or 0 for x in whole]
 
 
 def _distance(shares: str, ref: list[int]) -> str:
@@ -118,35 +140,37 @@ def quality_rules(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT,
     Result: doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, char_distance, word_distance, language, kept.
 
-    References sum the histograms of all rows whose lang is in COMMON_WORDS. A
-    row's language is the reference with the least word distance (first by name
-    on ties), whatever its own lang says. A distance is judged from min_chars
-    characters or min_words words on; below, without any reference, or where
-    the row's own lang is given and has no reference, both rules keep the row
-    and the distances are still reported (null for empty texts). Null and empty texts fail the base rule of 50 words. Repeated rows
-    are judged alike, each for itself; other columns are ignored.
+    Every lang of the table with MIN_ROWS rows has a reference: the histograms
+    of all its rows over its own common words. A row's language is the reference
+    with the least word distance (first by name on ties), whatever its own lang
+    says. Rows of a lang without a reference, and all rows where there is none,
+    are judged by the character classes of the whole table alone, all letters
+    being one class, as nothing is known of their script. A distance is
+    judged from min_chars characters or min_words words on; below, the rule
+    keeps the row and the distance is still reported (null for empty texts).
+    Null and empty texts fail the base rule of 50 words. Repeated rows are
+    judged alike, each for itself; other columns are ignored.
     """
-    feats = spill(features(docs))
-    refs = references(feats)
-    if not refs:
-        return feats.selectExpr("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed", "CAST(NULL AS DOUBLE) AS char_distance",
-                                "CAST(NULL AS DOUBLE) AS word_distance", "CAST(NULL AS STRING) AS language", "NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS kept")
-    at = {w: f"commons[{i}]" for i, w in enumerate(WORDS)}
-    rest = lambda words: f"(n_words - ({' + '.join(at[w] for w in words)}))"
+    words = common_words(docs)
+    every = sorted({w for ws in words.values() for w in ws})
+    feats = spill(features(docs, every))
+    refs, pooled = references(feats, words, every)
+    at = {w: f"commons[{i}]" for i, w in enumerate(every)}
+    rest = lambda ws: f"(n_words - ({' + '.join(at[w] for w in ws)}))"
+    names = {k: f"own_{i}" for i, k in enumerate(refs)}
     shares = feats.selectExpr("*", "aggregate(chars, 0L, (a, x) -> a + x) AS n_chars", "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed",
-                              *[f"array({', '.join(at[w] for w in COMMON_WORDS[k])}, {rest(COMMON_WORDS[k])}) AS own_{k}" for k in refs])
-    shares = shares.selectExpr("*", "transform(chars, x -> CAST(x AS DOUBLE) / nullif(n_chars, 0)) AS char_shares", *[f"transform(own_{k}, x -> CAST(x AS DOUBLE) / nullif(n_words, 0)) AS shares_{k}" for k in refs])
-    cols = []
-    for lang, (chars, words, n) in refs.items():
-        ref = [words[WORDS.index(w)] for w in COMMON_WORDS[lang]]
-        cols.append(f"named_struct('word', CASE WHEN n_words > 0 THEN {_distance(f'shares_{lang}', [*ref, n - sum(ref)])} END, 'language', '{lang}', "
-                    f"'char', CASE WHEN word_chars > 0 THEN {_distance('char_shares', chars)} END)")
-    best = shares.selectExpr("*", f"array_min(array({', '.join(cols)})) AS best")
+                              *[f"array({', '.join(at[w] for w in words[k])}, {rest(words[k])}) AS {name}" for k, name in names.items()])
+    shares = shares.selectExpr("*", "transform(chars, x -> CAST(x AS DOUBLE) / nullif(n_chars, 0)) AS char_shares",
+                               f"transform(array({', '.join(' + '.join(f'chars[{i}]' for i in own) for own in PLAIN)}), x -> CAST(x AS DOUBLE) / nullif(n_chars, 0)) AS plain_shares", *[f"transform({n}, x -> CAST(x AS DOUBLE) / nullif(n_words, 0)) AS shares_{n}" for n in names.values()])
+    char = lambda ref, shares="char_shares": f"CASE WHEN word_chars > 0 THEN {_distance(shares, ref)} END" if sum(ref) else "CAST(NULL AS DOUBLE)"
+    alone = f"named_struct('word', CAST(NULL AS DOUBLE), 'language', CAST(NULL AS STRING), 'char', {char([sum(pooled[i] for i in own) for own in PLAIN], 'plain_shares')})"
+    cols = [f"named_struct('word', CASE WHEN n_words > 0 THEN {_distance(f'shares_{names[k]}', [*ref, n - sum(ref)])} END, 'language', {_string(k)}, 'char', {char(chars)})" for k, (chars, ref, n) in refs.items()]
+    known = f"lang IS NULL OR lang IN ({', '.join(map(_string, refs))})" if refs else "false"
+    best = shares.selectExpr("*", f"CASE WHEN {known} THEN array_min(array({', '.join(cols)})) ELSE {alone} END AS best" if refs else f"{alone} AS best")
     return best.selectExpr("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                            "best.char AS char_distance", "best.word AS word_distance", "best.language AS language",
-                           f"NOT base_failed AND (coalesce(lang NOT IN ({sql_strings(refs)}), false) OR (n_chars < {min_chars} OR best.char IS NULL OR best.char <= {_limit(char_limit)}) "
-                           f"AND (n_words < {min_words} OR best.word IS NULL OR best.word <= {_limit(word_limit)})) AS kept")
+                           f"NOT base_failed AND (n_chars < {min_chars} OR best.char IS NULL OR best.char <= {_limit(char_limit)}) "
+                           f"AND (n_words < {min_words} OR best.word IS NULL OR best.word <= {_limit(word_limit)}) AS kept")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,22 +189,15 @@ def _oracle() -> str:
     named["wide_upper"] = "length(u) - length(regexp_replace(u, '\\p{Lu}', '', 'g'))"
     named["wide"] = "length(regexp_replace(u, '\\p{Lu}', '', 'g'))"
     chars = ", ".join(f"CAST({named[n]} AS BIGINT) AS c{i}" for i, n in enumerate(CLASSES))
-    commons = ", ".join(f"len(list_filter(w, lambda x: lower(x) = '{w}')) AS w{i}" for i, w in enumerate(WORDS))
-    sums = ", ".join([f"sum(c{i}) AS r{i}" for i in range(len(CLASSES))] + [f"sum(w{i}) AS s{i}" for i in range(len(WORDS))])
-
-    def terms(pairs: list[tuple[str, str]], n: str, m: str) -> str:
-        parts = [f"(CASE WHEN {a} > 0 THEN ({a} / {n}) * ln(2 * ({a} / {n}) / ({a} / {n} + {b} / {m})) ELSE 0 END + "
-                 f"CASE WHEN {b} > 0 THEN ({b} / {m}) * ln(2 * ({b} / {m}) / ({a} / {n} + {b} / {m})) ELSE 0 END)" for a, b in pairs]
-        return f"sqrt(greatest(0, ({' + '.join(parts)}) / (2 * ln(2))))"
-
-    n_chars, m_chars = "(" + " + ".join(f"c{i}" for i in range(len(CLASSES))) + ")::DOUBLE", "(" + " + ".join(f"r{i}" for i in range(len(CLASSES))) + ")::DOUBLE"
-    char = terms([(f"c{i}", f"r{i}") for i in range(len(CLASSES))], n_chars, m_chars)
-    word = "CASE lang2 "
-    for lang, words in COMMON_WORDS.items():
-        at = [WORDS.index(w) for w in words]
-        pairs = [(f"w{i}", f"s{i}") for i in at] + [(f"(n_words - ({' + '.join(f'w{i}' for i in at)}))", f"(s_n - ({' + '.join(f's{i}' for i in at)}))")]
-        word += f"WHEN '{lang}' THEN {terms(pairs, 'n_words::DOUBLE', 's_n::DOUBLE')} "
-    word += "END"
+    sums = ", ".join(f"sum(c{i})::DOUBLE AS r{i}" for i in range(len(CLASSES)))
+
+    def term(p: str, q: str) -> str:
+        return f"CASE WHEN {p} > 0 THEN {p} * ln(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * ln(2 * {q} / ({p} + {q})) ELSE 0 END"
+
+    whole = lambda x: "(" + " + ".join(f"{x}{i}" for i in range(len(CLASSES))) + ")::DOUBLE"
+    char = "sqrt(greatest(0, (" + " + ".join(term(f"(c{i} / {whole('c')})", f"(r{i} / {whole('r')})") for i in range(len(CLASSES))) + ") / (2 * ln(2))))"
+    some = lambda x, own: "(" + " + ".join(f"{x}{i}" for i in own) + ")"
+    plain = "sqrt(greatest(0, (" + " + ".join(term(f"({some('c', own)} / {whole('c')})", f"({some('r', own)} / {whole('r')})") for own in PLAIN) + ") / (2 * ln(2))))"
     limit = lambda x: f"{x[0]} + {x[1]} / sqrt(n_words::DOUBLE)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
@@ -190,10 +207,17 @@ m AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM
 r AS (SELECT k, count(DISTINCT p) AS n_repeat FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM m) GROUP BY k),
 f AS (SELECT d.k, doc_id, lang, len(w) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
-  length(t) AS n_chars, {chars}, {commons} FROM d LEFT JOIN r USING (k)),
-refs AS (SELECT lang AS lang2, {sums}, sum(n_words) AS s_n FROM f WHERE lang IN ({sql_strings(COMMON_WORDS)}) GROUP BY lang HAVING sum(n_words) > 0),
-x AS (SELECT f.*, lang2, CASE WHEN word_chars > 0 THEN {char} END AS cd, CASE WHEN n_words > 0 THEN {word} END AS wd FROM f LEFT JOIN refs ON true),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY wd NULLS FIRST, lang2) = 1)
+  length(t) AS n_chars, {chars} FROM d LEFT JOIN r USING (k)),
+v AS (SELECT k, lang, lower(unnest(w)) AS word FROM d), n AS (SELECT k, lang, word, count(*) AS n FROM v GROUP BY ALL),
+tw AS (SELECT lang, word, sum(n) AS n FROM n WHERE lang IN (SELECT lang FROM f WHERE n_words > 0 GROUP BY lang HAVING count(*) >= {MIN_ROWS}) AND regexp_matches(word, '\\p{{L}}') GROUP BY lang, word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, word) <= {COMMON}),
+refs AS (SELECT lang AS lang2, {sums}, sum(n_words)::DOUBLE AS s_n FROM f WHERE lang IN (SELECT lang FROM tw) GROUP BY lang),
+pool AS (SELECT {sums} FROM f),
+pq AS (SELECT f.k, refs.lang2, coalesce(n.n, 0) / n_words AS p, tw.n / s_n AS q FROM f JOIN refs ON f.n_words > 0 JOIN tw ON tw.lang = refs.lang2 LEFT JOIN n ON n.k = f.k AND n.word = tw.word),
+z AS (SELECT k, lang2, p, q FROM pq UNION ALL SELECT k, lang2, 1 - sum(p), 1 - sum(q) FROM pq GROUP BY k, lang2),
+wd AS (SELECT k, lang2, sqrt(greatest(0, sum({term('greatest(p, 0)', 'greatest(q, 0)')}) / (2 * ln(2)))) AS wd FROM z GROUP BY k, lang2),
+near AS (SELECT f.k, refs.*, wd FROM f JOIN refs ON f.lang IS NULL OR f.lang IN (SELECT lang2 FROM refs) LEFT JOIN wd ON wd.k = f.k AND wd.lang2 = refs.lang2 QUALIFY row_number() OVER (PARTITION BY f.k ORDER BY wd NULLS FIRST, refs.lang2) = 1),
+b AS (SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, wd, CASE WHEN word_chars > 0 THEN {char} END AS cd FROM f LEFT JOIN near ON near.k = f.k WHERE near.k IS NOT NULL
+  UNION ALL SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words, NULL, CASE WHEN word_chars > 0 THEN {plain} END FROM f CROSS JOIN pool WHERE k NOT IN (SELECT k FROM near))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND (n_chars < {MIN_CHARS} OR cd IS NULL OR cd <= {limit(CHAR_LIMIT)}) AND (n_words < {MIN_WORDS} OR wd IS NULL OR wd <= {limit(WORD_LIMIT)}) AS kept
 FROM b"""
