@@ -18,7 +18,7 @@ WHOLE = ["W4_axis_clusters", "J11_gap_curve_join", "J11_gap_short_segments", "J1
          "J17_corner_candidates", "J17_collinear_extensions", "J18_edge_crosses_band_anti"]
 
 
-@pytest.mark.parametrize("name", [n + "_whole" for n in WHOLE])
+@pytest.mark.parametrize("name", WHOLE)
 def test_whole_tables_match_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
