@@ -41,7 +41,13 @@ def spill_kinds(df: DataFrame, kinds: dict[str, list[str]]) -> dict[str, DataFra
     """``spill`` for rows of several kinds (column ``kind``) in one pass: each kind is read with its own columns."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    conf = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, str(len(kinds)))  # open files for all kinds, so that rows need no sort
+    try:
+        df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    finally:
+        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
     out = {}
     for kind, columns in kinds.items():
         schema = df.select(*columns).schema

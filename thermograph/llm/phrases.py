@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 import pyarrow.ipc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -114,22 +114,22 @@ class Phrases:
             return keys[n][which]
         return keys[2][self.codes[n][which] // (self.base if n == 3 else self.pairs)]
 
-    def texts(self, n: int, which: np.ndarray) -> tuple[list[str], list[str]]:
-        """Language and text of some distinct phrases of n words."""
+    def parts(self, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some distinct phrases of n words, the number of their language and those of their words, -1 after the last."""
         code = self.codes[n][which]
-        parts: list[np.ndarray] = []
+        tail: list[np.ndarray] = []
         if n == 4:
-            tail = self.codes[2][code % self.pairs]
-            parts = [tail // self.base % self.base, tail % self.base]
+            rest = self.codes[2][code % self.pairs]
+            tail = [rest // self.base % self.base, rest % self.base]
             code = self.codes[2][code // self.pairs]
         elif n == 3:
-            parts = [code % self.base]
+            tail = [code % self.base]
             code = self.codes[2][code // self.base]
         if n >= 2:
-            parts = [code % self.base, *parts]
+            tail = [code % self.base, *tail]
             code = code // self.base
-        columns = [[self.words[i] for i in column.tolist()] for column in [code % self.base, *parts]]
-        return [self.langs[i] for i in (code // self.base).tolist()], [b" ".join(x).decode() for x in zip(*columns)]
+        none = [np.full(len(which), -1)] * (LONGEST - n)
+        return code // self.base, np.column_stack([code % self.base, *tail, *none])
 
 
 def _cut(text: str, size: int) -> Iterator[str]:
@@ -262,24 +262,37 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
         own = Phrases(texts["lang"].to_pylist(), texts["text"].to_pylist(), longest)
         found = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(expand(k, np.uint64), dtype=np.uint64) for k in right["keys"])]))
         parts = [pa.table({"lang": own.langs, "phrase": pa.nulls(len(own.langs), pa.string()), "words": np.zeros(len(own.langs), np.int32), "n": own.sizes, "bucket": np.arange(len(own.langs)) % buckets})]
+        rows = []
         every = own.keys()
         for words, keys in every.items():
             short = keys & mask
             hit = np.flatnonzero(found[np.minimum(np.searchsorted(found, short), len(found) - 1)] == short) if len(found) else np.zeros(0, np.int64)
-            langs, texts = own.texts(words, hit)
-            parts.append(pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(texts, pa.string()), "words": np.full(len(hit), words, np.int32), "n": own.counts[words][hit], "bucket": (own.openings(every, words, hit) % np.uint64(buckets)).astype(np.int64)}))
-        # Phrases are dealt by their first two words and sorted: neighbours share their beginnings, which compresses well.
-        rows = pa.concat_tables(parts).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
-        at = rows["bucket"].to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1, [len(at)])) if len(at) else np.zeros(1, np.int64)
-        return pd.DataFrame({"bucket": at[cuts[:-1]].astype(np.int32), "rows": pd.Series([_pack(rows.slice(a, b - a).drop_columns(["bucket"])) for a, b in zip(cuts[:-1], cuts[1:])], dtype=object)})
+            lang, which = own.parts(words, hit)
+            rows.append(np.column_stack(((own.openings(every, words, hit) % np.uint64(buckets)).astype(np.int64), lang, which, own.counts[words][hit])))
+        # A language's words count as a phrase of none.
+        rows.append(np.column_stack((np.arange(len(own.langs)) % buckets, np.arange(len(own.langs)), np.full((len(own.langs), LONGEST), -1), own.sizes)))
+        table = np.concatenate(rows)
+        table = table[np.lexsort(table[:, :-1].T[::-1])]
+        cuts = np.flatnonzero(np.diff(table[:, 0], prepend=-1))
+        return pd.DataFrame([_block(part, own) for part in np.split(table, cuts[1:])] if len(table) else [], columns=["bucket", "langs", "words", "rows"])
 
     def total(df: pd.DataFrame) -> pd.DataFrame:
-        rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in df["rows"]])
-        sums = rows.group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-        return sums.filter((pa.compute.field("n") >= least) | (pa.compute.field("words") == 0)).select(["lang", "phrase", "words", "n"]).to_pandas()
-
-    packed = chunks["text"].groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInPandas(run, "bucket int, rows binary")
+        blocks = [(x.langs, zstandard.decompress(x.words).decode().split("\n"), expand(x.rows).reshape(LONGEST + 2, -1)) for x in df.itertuples()]
+        langs, of_lang = np.unique(np.concatenate([np.array(b[0], object) for b in blocks]), return_inverse=True)
+        of_word, words = pd.factorize(np.concatenate([np.array(b[1], object) for b in blocks]))
+        at_lang = np.cumsum([0] + [len(b[0]) for b in blocks])
+        at_word = np.cumsum([0] + [len(b[1]) for b in blocks])
+        rows = np.concatenate([np.vstack((of_lang[at_lang[i] + b[2][0]], np.where(b[2][1:-1] < 0, -1, of_word[at_word[i] + np.maximum(b[2][1:-1], 0)]), b[2][-1:])) for i, b in enumerate(blocks)], axis=1)
+        order = np.lexsort(rows[:-1])
+        rows = rows[:, order]
+        first = np.flatnonzero(np.concatenate(([True], (rows[:-1, 1:] != rows[:-1, :-1]).any(0))))
+        sums, rows = np.add.reduceat(rows[-1], first), rows[:, first]
+        n_words = (rows[1:-1] >= 0).sum(0)
+        keep = np.flatnonzero((sums >= least) | (n_words == 0))
+        texts = [" ".join(words[k] for k in own if k >= 0) for own in rows[1:-1, keep].T.tolist()]
+        return pd.DataFrame({"lang": langs[rows[0, keep]], "phrase": texts, "words": n_words[keep].astype(np.int32), "n": sums[keep]})
+
+    packed = chunks["text"].groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInPandas(run, "bucket int, langs array<string>, words binary, rows binary")
     out = spill(packed.groupBy("bucket").applyInPandas(total, "lang string, phrase string, words int, n bigint"))
     discard(kept)
     discard(chunks["text"])
@@ -288,6 +301,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     return out.filter("words > 0").unionByName(sizes)
 
 
+def _block(rows: np.ndarray, own: Phrases) -> tuple[int, list[str], bytes, bytes]:
+    """Sorted rows of one bucket (bucket, language, words, count), with the words and languages they name."""
+    words, which = np.unique(rows[:, 2:-1], return_inverse=True)
+    none = int(len(words) > 0 and words[0] < 0)
+    langs, lang = np.unique(rows[:, 1], return_inverse=True)
+    table = np.vstack((lang, which.reshape(-1, LONGEST).T - none, rows[:, -1]))
+    return int(rows[0, 0]), [own.langs[i] for i in langs], zstandard.compress(b"\n".join(own.words[i] for i in words[none:]), 3), squeeze(table.ravel())
+
+
 def _pack(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:

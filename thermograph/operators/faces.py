@@ -111,6 +111,22 @@ def room_candidates(faces: DataFrame, roi: DataFrame) -> DataFrame:
     return j.withColumn("decision", F.when((F.col("room_mean") >= 0.35) & (F.col("footprint_mean") >= 0.50), "accepted_room_candidate").otherwise("suspicious_closed_region"))
 
 
+def closure_applied(face_walls: DataFrame, snap_walls: DataFrame) -> DataFrame:
+    """Faces whose boundary holds all walls of some snap record: page_id, face_id.
+
+    ``face_walls``: page_id, face_id, wall_id; ``snap_walls``: page_id, snap_id,
+    wall_id. A containment join by counts: a snap of n distinct walls is inside
+    a face when n of its walls are among the face's. Snaps of one page and
+    equal walls count once.
+    """
+    snaps = snap_walls.distinct()
+    size = snaps.groupBy("page_id", "snap_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("wall_id")).alias("_w"))
+    one = size.groupBy("page_id", "_w").agg(F.min("snap_id").alias("snap_id"), F.min("n").alias("n")).drop("_w")
+    walls = snaps.join(one, ["page_id", "snap_id"])
+    hit = face_walls.select("page_id", "face_id", "wall_id").distinct().join(walls, ["page_id", "wall_id"]).groupBy("page_id", "face_id", "snap_id").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n"))
+    return hit.filter("m = n").select("page_id", "face_id").distinct()
+
+
 def slab_runs(edges: DataFrame, keys: list[str], bucket: float = 64) -> DataFrame:
     """Inside runs of axis polygons by scan lines: keys, y0, y1, x0, x1.
 
@@ -363,18 +379,57 @@ def recovered_wall_rows(walls: DataFrame) -> DataFrame:
                               "reason_codes": F.array_distinct(F.array_append("reason_codes", F.lit("native_wall_connected_through_exterior_door_arc")))}).drop("band_fixed")
 
 
+def crossed_outlines(polygons: DataFrame, tiles: int = 16) -> DataFrame:
+    """page_id of polygons (page_id, points) whose outline meets itself outside of common corners.
+
+    Edges meet those of their own polygon only, tile by tile of its width, and
+    neighbours count when they fold back on each other.
+    """
+    c = F.col
+    size = F.size("points")
+    edge = F.transform("points", lambda p, i: F.struct(i.alias("i"), p["x"].cast("double").alias("x0"), p["y"].cast("double").alias("y0"), F.col("points")[(i + 1) % size]["x"].cast("double").alias("x1"), F.col("points")[(i + 1) % size]["y"].cast("double").alias("y1")))
+    e = polygons.filter(size >= 3).select("page_id", size.alias("n"), F.explode(edge).alias("e")).select("page_id", "n", "e.*")
+    box = e.groupBy("page_id").agg(F.min("x0").alias("lo"), F.greatest((F.max("x0") - F.min("x0")) / tiles, F.lit(1e-300)).alias("w"))
+    e = e.join(box, "page_id")
+    at = lambda x: (x - c("lo")) / c("w")
+    e = e.withColumns({"t0": at(F.least("x0", "x1")), "t1": at(F.greatest("x0", "x1"))}).drop("lo", "w")
+    side = lambda s: e.select("page_id", *[c(x).alias(f"{s}{x}") for x in ("i", "n", "x0", "y0", "x1", "y1", "t0", "t1")])
+    j = range_join(side("a"), side("b"), ["page_id"], (c("at0"), c("at1")), (c("bt0"), c("bt1")), 1).filter("ai < bi AND least(ay0, ay1) <= greatest(by0, by1) AND least(by0, by1) <= greatest(ay0, ay1)")
+    turn = lambda p, q, r: F.signum((c(f"{q}x") - c(f"{p}x")) * (c(f"{r}y") - c(f"{p}y")) - (c(f"{q}y") - c(f"{p}y")) * (c(f"{r}x") - c(f"{p}x")))
+    names = {"p": ("ax0", "ay0"), "q": ("ax1", "ay1"), "r": ("bx0", "by0"), "s": ("bx1", "by1")}
+    j = j.withColumns({f"{k}{d}": c(v) for k, xy in names.items() for d, v in zip("xy", xy)})
+    j = j.withColumns({"d1": turn("p", "q", "r"), "d2": turn("p", "q", "s"), "d3": turn("r", "s", "p"), "d4": turn("r", "s", "q")})
+    beside = (c("bi") == c("ai") + 1) | ((c("ai") == 0) & (c("bi") == c("an") - 1))
+    # Boxes overlap; lines then meet unless one end pair lies strictly on one side.
+    meet = (c("d1") * c("d2") <= 0) & (c("d3") * c("d4") <= 0)
+    flat = (c("d1") == 0) & (c("d2") == 0)
+    along = F.greatest(F.least(F.greatest("px", "qx"), F.greatest("rx", "sx")) - F.greatest(F.least("px", "qx"), F.least("rx", "sx")), F.least(F.greatest("py", "qy"), F.greatest("ry", "sy")) - F.greatest(F.least("py", "qy"), F.least("ry", "sy")))
+    return j.filter(F.when(beside, flat & (along > 0)).otherwise(meet)).select("page_id").distinct()
+
+
+def near_equal(a: Column, b: Column, places: int = 4) -> Column:
+    """Whether ``a`` lies within ``places`` units in the last place of ``b``."""
+    size = F.greatest(F.abs(b), F.lit(2.0**-1022))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(size)) - 52)
+    # log2 may round up to the next power of two just below it
+    unit = F.when(F.pow(F.lit(2.0), F.floor(F.log2(size))) > size, unit / 2).otherwise(unit)
+    return F.coalesce(F.abs(a - b) <= unit * places, F.lit(False))
+
+
 def confirm_checks(polygons: DataFrame) -> DataFrame:
     """Errors that keep an exterior outline from being confirmed.
 
-    ``polygons``: page_id, points, area_px2, perimeter_px, unresolved,
-    max_repair_m. Areas may differ by rounding in the last places only.
+    ``polygons``: page_id (one row each), points, area_px2, perimeter_px,
+    unresolved, max_repair_m. Outlines must not cross themselves; areas and
+    perimeters may differ by four units in the last place.
     """
     from thermograph.operators.drawing import polygon_measures
-    p = polygons.withColumn("_m", polygon_measures(F.col("points")))
-    close = lambda a, b: F.abs(a - b) <= F.abs(b) * 1e-15
+    crossed = crossed_outlines(polygons).withColumn("_x", F.lit(True))
+    p = polygons.join(crossed, "page_id", "left").withColumn("_m", polygon_measures(F.col("points")))
     return p.withColumn("errors", F.filter(F.array(
-        F.when(F.size("points") < 4, "too_few_points"), F.when(~close(F.col("area_px2"), F.col("_m.area")), "area_mismatch"), F.when(~close(F.col("perimeter_px"), F.col("_m.perimeter")), "perimeter_mismatch"),
-        F.when(F.col("unresolved") > 0, "unresolved_gaps"), F.when(F.col("max_repair_m") > 0.6, "repair_too_wide")), lambda e: e.isNotNull())).drop("_m")
+        F.when(F.size("points") < 4, "too_few_points"), F.when(F.col("_x"), "self_intersecting"), F.when(~near_equal(F.col("area_px2"), F.col("_m.area")), "area_mismatch"),
+        F.when(~near_equal(F.col("perimeter_px"), F.col("_m.perimeter")), "perimeter_mismatch"),
+        F.when(F.col("unresolved") > 0, "unresolved_gaps"), F.when(F.col("max_repair_m") > 0.6, "repair_too_wide")), lambda e: e.isNotNull())).drop("_m", "_x")
 
 
 def layer_geometry(entities: DataFrame, scale: float = 1.0) -> DataFrame:

@@ -132,13 +132,30 @@ SELECT s.seg_id AS edge_id, s.page_id, CASE WHEN reasons IS NULL THEN 'accepted_
 
 
 def _c19(s, d):
+    """Boxes; every fourth has two corners swapped, every sixth an area off by 3 units in the last place, every fifth by 1."""
     k = c("region_id")
-    pts = F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in ((c("x"), c("y")), (c("x") + c("w"), c("y")), (c("x") + c("w"), c("y") + c("h")), (c("x"), c("y") + c("h")))])
-    p = A.view(s, d, "v_regions").select(k.alias("page_id"), pts.alias("points"), (c("w") * c("h") + F.when(k % 5 == 0, 1).otherwise(0)).cast("double").alias("area_px2"), (2 * (c("w") + c("h"))).cast("double").alias("perimeter_px"), (k % 3 % 2).alias("unresolved"), ((k % 7) / 8.0).alias("max_repair_m"))
+    corner = [(c("x"), c("y")), (c("x") + c("w"), c("y")), (c("x") + c("w"), c("y") + c("h")), (c("x"), c("y") + c("h"))]
+    pt = lambda i: F.struct(corner[i][0].cast("double").alias("x"), corner[i][1].cast("double").alias("y"))
+    pts = F.when(k % 4 == 0, F.array(pt(0), pt(2), pt(1), pt(3))).otherwise(F.array(*map(pt, range(4))))
+    area = (c("w") * c("h")).cast("double")
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(area)) - 52)
+    p = A.view(s, d, "v_regions").select(k.alias("page_id"), pts.alias("points"), (area + F.when(k % 5 == 0, 1.0).when(k % 6 == 0, 3 * unit).otherwise(0.0)).alias("area_px2"), (2 * (c("w") + c("h"))).cast("double").alias("perimeter_px"), (k % 3 % 2).alias("unresolved"), ((k % 7) / 8.0).alias("max_repair_m"))
     return Fc.confirm_checks(p).select("page_id", F.array_join("errors", ";").alias("errors"))
 
 
-add("C19_confirm_checks", _c19, "SELECT region_id AS page_id, concat_ws(';', CASE WHEN region_id % 5 = 0 THEN 'area_mismatch' END, CASE WHEN region_id % 3 = 1 THEN 'unresolved_gaps' END, CASE WHEN region_id % 7 > 4 THEN 'repair_too_wide' END) AS errors FROM v_regions", REG)
+add("C19_confirm_checks", _c19, """SELECT region_id AS page_id, concat_ws(';', CASE WHEN region_id % 4 = 0 THEN 'self_intersecting;area_mismatch;perimeter_mismatch' WHEN region_id % 5 = 0 THEN 'area_mismatch' END,
+ CASE WHEN region_id % 3 = 1 THEN 'unresolved_gaps' END, CASE WHEN region_id % 7 > 4 THEN 'repair_too_wide' END) AS errors FROM v_regions""", REG)
+
+
+def _closures_of_rooms(s, d):
+    li = A.table(s, d, "lineitem")
+    walls = li.select((c("l_orderkey") % 50).alias("page_id"), (c("l_suppkey") % 40).alias("face_id"), (c("l_partkey") % 60).alias("wall_id"))
+    snaps = A.table(s, d, "orders").select((c("o_orderkey") % 50).alias("page_id"), c("o_orderkey").alias("snap_id"), F.explode(F.array(c("o_orderkey") % 60, c("o_custkey") % 60, c("o_custkey") * 7 % 60)).alias("wall_id"))
+    return Fc.closure_applied(walls, snaps)
+
+
+add("G2_closure_applied", _closures_of_rooms, """WITH f AS (SELECT DISTINCT l_orderkey % 50 AS page_id, l_suppkey % 40 AS face_id, l_partkey % 60 AS wall_id FROM lineitem), g AS (SELECT page_id, face_id, list(wall_id) AS ids FROM f GROUP BY ALL)
+SELECT DISTINCT page_id, face_id FROM g JOIN orders ON o_orderkey % 50 = page_id WHERE list_has_all(ids, [o_orderkey % 60, o_custkey % 60, o_custkey * 7 % 60])""")
 add("C21_provenance_match", lambda s, d: Fc.provenance_match(A.table(s, d, "customer").select(c("c_custkey").alias("page_id"), "c_nationkey"), A.table(s, d, "supplier").select(c("s_suppkey").alias("page_id"), c("s_nationkey").alias("c_nationkey")), ["c_nationkey"]),
     "SELECT c_custkey AS page_id, coalesce(c_nationkey = s_nationkey, false) AS same FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
 add("C24_recovered_wall_rows", lambda s, d: Fc.recovered_wall_rows(seg(s, d).withColumns({"band_fixed": c("fixed") + 3, "reason_codes": F.array(F.lit("weak"), F.lit("weak"))})).select("seg_id", "fixed", "original_fixed", F.array_join("reason_codes", ";").alias("r")),

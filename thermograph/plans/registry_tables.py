@@ -130,15 +130,10 @@ def _meta(s, d):
 
 
 _META_SQL = f"WITH m AS (SELECT o_custkey AS report_id, o_orderkey AS pos, o_orderkey % 7 AS k, trim({_VAL}) AS v FROM orders)"
-add("A4_meta_fold", lambda s, d: O.meta_fold(_meta(s, d).filter("value NOT LIKE '%;%'")).select("report_id", "sample_name", "manufacturer", "spec_model", "test_basis", "test_items", "test_conclusion"),
-    _META_SQL + """, u AS (SELECT report_id, k, v, min(pos) AS pos FROM m WHERE v <> '' AND NOT contains(v, ';') AND k < 6 GROUP BY ALL)
-SELECT report_id, coalesce(arg_min(v, pos) FILTER (WHERE k = 0), '') AS sample_name, coalesce(arg_min(v, pos) FILTER (WHERE k = 1), '') AS manufacturer, coalesce(arg_min(v, pos) FILTER (WHERE k = 2), '') AS spec_model,
- coalesce(string_agg(v, '; ' ORDER BY pos) FILTER (WHERE k = 3), '') AS test_basis, coalesce(string_agg(v, '; ' ORDER BY pos) FILTER (WHERE k = 4), '') AS test_items, coalesce(string_agg(v, '; ' ORDER BY pos) FILTER (WHERE k = 5), '') AS test_conclusion
-FROM u GROUP BY report_id""")
 # Values with ';' too: lists are folded one value after the other, as ``append_unique`` does.
 _PARTS = "list_filter(list_transform(string_split(a, ';'), lambda y: trim(y)), lambda y: y <> '')"
 _FOLD = f"list_reduce(list(v ORDER BY pos) FILTER (k = {{}}), lambda a, x: array_to_string(CASE WHEN list_contains({_PARTS}, x) THEN {_PARTS} ELSE list_append({_PARTS}, x) END, '; '))"
-add("A4_meta_fold_whole", lambda s, d: O.meta_fold(_meta(s, d)).select("report_id", "sample_name", "manufacturer", "spec_model", "test_basis", "test_items", "test_conclusion"),
+add("A4_meta_fold", lambda s, d: O.meta_fold(_meta(s, d)).select("report_id", "sample_name", "manufacturer", "spec_model", "test_basis", "test_items", "test_conclusion"),
     _META_SQL + f""", u AS (SELECT * FROM m WHERE v <> '' AND k < 6)
 SELECT report_id, coalesce(arg_min(v, pos) FILTER (WHERE k = 0), '') AS sample_name, coalesce(arg_min(v, pos) FILTER (WHERE k = 1), '') AS manufacturer, coalesce(arg_min(v, pos) FILTER (WHERE k = 2), '') AS spec_model,
  coalesce({_FOLD.format(3)}, '') AS test_basis, coalesce({_FOLD.format(4)}, '') AS test_items, coalesce({_FOLD.format(5)}, '') AS test_conclusion FROM u GROUP BY report_id""".replace("FILTER (k", "FILTER (WHERE k"))
