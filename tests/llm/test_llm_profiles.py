@@ -207,3 +207,46 @@ def test_bidiagonalisation_ends_early_when_nothing_is_missing():
     s = np.linalg.svd(b, compute_uv=False)
     assert len(steps) < 80 and np.allclose(s[:4], np.linalg.svd(x, compute_uv=False)[:4], rtol=1e-12)
     assert np.allclose(np.tril(b, -1), 0) and np.allclose(np.triu(b, 2), 0) and np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-12)
+
+
+def test_lm_weights_come_from_texts_held_out_with_their_copies(spark, monkeypatch):
+    """The estimates that EM sees are those of the held-out part under counts of the rest, by a plain recount."""
+    from thermograph.llm import lm
+
+    texts = [" ".join(words(30, i, 25)) for i in range(40)] + [" ".join(words(30, 3, 25))] * 3 + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    flags = {r.doc_id: r.apart for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(lm.PARTS)) == 0).alias("apart")).collect()}
+    learn = [i for i in range(len(texts)) if i % 5]
+    tokens = {i: [*(texts[i] or "").split(), "\x00end"] for i in learn}
+    rest, apart = [i for i in learn if not flags[i]], [i for i in learn if flags[i]]
+    one, two = Counter(w for i in rest for w in tokens[i]), Counter(p for i in rest for p in zip(["\x00start", *tokens[i]], tokens[i]))
+    one["\x00start"] = one["\x00end"]
+    uniform = 1 / (len({w for i in learn for w in tokens[i]}) + 1)
+    want = Counter()
+    for i in apart:
+        for v, w in zip(["\x00start", *tokens[i]], tokens[i]):
+            q2 = round(lm.GRID * np.log2(two[v, w] / one[v] / uniform)) if two[v, w] else -9999
+            q1 = round(lm.GRID * np.log2(one[w] / sum(one[x] for x in one if x != "\x00start") / uniform)) if one[w] else -9999
+            want[int(lm.context_bucket(np.array([one[v]]))[0]), q2, q1] += 1
+    seen = []
+    original = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: seen.append(a) or original(*a))
+    lm.score_documents(docs, "doc_id % 5 != 0").collect()
+    b, r2, r1, n = seen[0]
+    back = lambda r: np.where(r > 0, np.round(lm.GRID * np.log2(np.maximum(r, 1e-300))), -9999).astype(int)
+    got = Counter()
+    for key, k in zip(zip(b.tolist(), back(r2).tolist(), back(r1).tolist()), n.tolist()):
+        got[key] += k
+    assert got == want and want and apart
+
+
+def test_labels_of_repeated_ids_and_bounded_samples(spark):
+    from thermograph.llm import toxicity
+
+    docs = spark.createDataFrame([(i % 900, f"text {i}") for i in range(1000)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(800)] + [(0, 1), (2, None), (None, 1), (5000, 1)], "doc_id long, toxic int")
+    everything = toxicity.labelled_sample(docs, labels)
+    assert sorted((r.text, r.label) for r in everything.collect()) == sorted((f"text {i}", 1 if i % 900 == 0 else i % 900 % 2) for i in range(1000) if i % 900 < 800)
+    some = [sorted((r.text, r.label) for r in toxicity.labelled_sample(d, labels, rows=100).collect()) for d in (docs, docs.repartition(7))]
+    assert some[0] == some[1] and 80 <= len(some[0]) <= 100
+    assert toxicity.labelled_sample(docs, labels.limit(0)).count() == 0
