@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from thermograph.functions import text as X
 from thermograph.operators.intervals import box_join, merge_collinear, range_join, running_sums
 from thermograph.operators.relational import keep_first, spread_row_number
+from thermograph.session import cut_lineage
 
 
 # -- segment predicates and scalars --------------------------------------------
@@ -361,6 +362,8 @@ def exterior_gaps(walls: DataFrame, roi: DataFrame, tol: float = 2, bucket: floa
     the gap; so do unequal axes or directions, a crossing wall, or an end
     outside the page region.
     """
+    # Each of these is read several times below.
+    walls = cut_lineage(walls)
     # Walls look along each axis value near their own; a value holds one row per start.
     line = ["page_id", "orientation", "r_fixed"]
     values = walls.select("page_id", "orientation", "fixed").distinct()
@@ -368,10 +371,10 @@ def exterior_gaps(walls: DataFrame, roi: DataFrame, tol: float = 2, bucket: floa
     starts = walls.groupBy("page_id", "orientation", F.col("fixed").alias("r_fixed"), F.col("axis_start").alias("at")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("wall_id").alias("r_id"), F.col("inside_direction").alias("r_dir"))).alias("m"))
     asks = walls.select("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction").join(near, ["page_id", "orientation", "fixed"])
-    first = next_start(asks.withColumn("at", F.col("axis_end")), starts, line, bucket)
+    first = cut_lineage(next_start(asks.withColumn("at", F.col("axis_end")), starts, line, bucket))
     found = first.select("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction", F.col("next.at").alias("r_start"), F.col("next.n").alias("n"), F.struct("next.m.r_id", "r_fixed", "next.m.r_dir").alias("m"))
     tied = found.groupBy("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction", "r_start").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
-    best = tied.groupBy("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction").agg(F.min(F.struct("r_start", "n", "m")).alias("b"))
+    best = cut_lineage(tied.groupBy("page_id", "orientation", "wall_id", "fixed", "axis_end", "inside_direction").agg(F.min(F.struct("r_start", "n", "m")).alias("b")))
     g = best.select("page_id", "orientation", "wall_id", "fixed", "inside_direction", F.col("axis_end").alias("gap_start"), F.col("b.r_start").alias("gap_end"), F.col("b.n").alias("n"),
                     F.col("b.m.r_id").alias("r_id"), F.col("b.m.r_fixed").alias("r_fixed"), F.col("b.m.r_dir").alias("r_dir"), F.col("wall_id").alias("gap_key"))
     free = perpendicular_crossing_anti(g, walls, tol, bucket).select("page_id", "gap_key", F.lit(True).alias("_free"))
@@ -463,6 +466,19 @@ def region_matches(before: DataFrame, after: DataFrame, bucket: float = 64, chec
     return j.filter(same).select("page_id", "new_id", "old_id")
 
 
+def rooms_stable(before: DataFrame, after: DataFrame, tolerance: float = 0.03) -> DataFrame:
+    """Whether the rooms of each page kept their sizes: page_id, stable.
+
+    Rooms (page_id, area) compare by rank of area: as many as before, each
+    within 12 px² or ``tolerance`` of the old one. Pages that only one side has
+    are unstable.
+    """
+    ranked = lambda df, name: df.select("page_id", F.col("area").cast("double").alias(name), F.row_number().over(W.partitionBy("page_id").orderBy("area")).alias("rank"))
+    j = ranked(before, "old").join(ranked(after, "new"), ["page_id", "rank"], "full_outer")
+    near = F.coalesce(F.abs(F.col("old") - F.col("new")) <= F.greatest(F.lit(12.0), F.col("old") * tolerance), F.lit(False))
+    return j.groupBy("page_id").agg(F.min(near).alias("stable"))
+
+
 # -- evidence and decisions --------------------------------------------------------
 
 def zonal_stats(cells: DataFrame, bands: DataFrame, tile: int = 256) -> DataFrame:

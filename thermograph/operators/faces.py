@@ -441,6 +441,20 @@ def layer_geometry(entities: DataFrame, scale: float = 1.0) -> DataFrame:
     return e.groupBy("drawing_id", "layer").agg(F.sum("_len").alias("length"), F.min(lo("x")).alias("x_min"), F.max(hi("x")).alias("x_max"), F.min(lo("y")).alias("y_min"), F.max(hi("y")).alias("y_max"), F.count(F.lit(1)).alias("entities"))
 
 
+def drawing_summary(entities: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Bounds and totals per drawing, and what each layer adds: drawing_id, x_min, y_min, width, height, length, entities, layers.
+
+    ``layers`` is a sorted list of (layer, length, entities), one entry a layer
+    and not a row. Drawings without a point are 1 wide and high and have no
+    corner.
+    """
+    own = layer_geometry(entities, scale)
+    out = own.groupBy("drawing_id").agg(F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("_x"), F.max("y_max").alias("_y"), F.sum("length").alias("length"), F.sum("entities").alias("entities"),
+                                        F.sort_array(F.collect_list(F.struct("layer", "length", "entities"))).alias("layers"))
+    size = lambda hi, lo: F.coalesce(F.col(hi) - F.col(lo), F.lit(1.0))
+    return out.select("drawing_id", "x_min", "y_min", size("_x", "x_min").alias("width"), size("_y", "y_min").alias("height"), "length", "entities", "layers")
+
+
 def convex_hull_area(points: DataFrame, keys: list[str], tile: float = 64) -> DataFrame:
     """Area of the convex hull of each drawing's points.
 

@@ -31,6 +31,18 @@ def owner_scope(reports: DataFrame, viewers: DataFrame) -> DataFrame:
     return own, full
 
 
+def visible_counts(reports: DataFrame, viewers: DataFrame, measure: str) -> DataFrame:
+    """Reports and the sum of ``measure`` that each viewer may see: viewer, n, total.
+
+    Administrators who see all share one total, so no report meets a viewer.
+    Viewers without a visible report have no row.
+    """
+    own, full = owner_scope(reports, viewers)
+    count = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(measure).alias("total"))
+    every = count(reports, F.lit(1).alias("_k")).filter("n > 0")
+    return count(own, "viewer").unionByName(full.withColumn("_k", F.lit(1)).join(every, "_k").drop("_k"))
+
+
 def report_listing_fields(geometry: Column, results: Column) -> dict[str, Column]:
     """Listing columns from the JSON payloads; anything odd shows defaults."""
     num = lambda doc, path: F.coalesce(F.get_json_object(doc, path).try_cast("double"), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from thermograph.operators import drawing as D
 from thermograph.operators import intervals as I
 from thermograph.plans import adapters as A
+from thermograph.session import cut_lineage
 
 QUERIES: dict = {}
 c = F.col
@@ -132,6 +133,7 @@ SELECT page_id, seg_id, orientation, fixed, count(*) - 1 AS pieces, (max(pt) - m
 
 def _j10(s, d):
     g = D.exterior_gaps(_walls(s, d), _roi(s, d)).select("page_id", "orientation", "fixed", "gap_start", "gap_end", c("wall_id").alias("gap_key"), F.array("wall_id", "r_id").alias("host_ids"))
+    g = cut_lineage(g)
     o = g.withColumn("n", F.explode(F.sequence(F.lit(1), (c("fixed") % 3).cast("int")))).filter("fixed % 3 > 0").select("page_id", "orientation", "fixed", "gap_start", "gap_end", F.reverse("host_ids").alias("host_ids"), F.concat_ws("#", "gap_key", "n").alias("opening_id"))
     return D.gap_opening_match(g, o).select("page_id", "gap_key", "match", "opening_id")
 
@@ -177,6 +179,20 @@ add("J14_new_regions", lambda s, d: _regions(s, d, 1).join(D.region_matches(_reg
     _IOU + " SELECT region_id, page_id FROM v_regions WHERE snapshot = 1 AND region_id NOT IN (SELECT new_id FROM m)", ("v_regions",))
 
 
+def _j14(s, d):
+    """Areas before and after; after, every seventh room is a quarter larger and every eleventh page has one more."""
+    r = A.view(s, d, "v_regions").select((c("region_id") % 900).alias("page_id"), "region_id", (c("w") * c("h")).cast("double").alias("area"))
+    grown = r.select("page_id", (c("area") * F.when(c("region_id") % 7 == 0, 1.25).otherwise(1.0) + c("page_id") % 13).alias("area"))
+    more = r.filter("page_id % 11 = 0").select("page_id", F.lit(50.0).alias("area")).distinct()
+    return D.rooms_stable(r.select("page_id", "area"), grown.unionByName(more))
+
+
+add("J14_rooms_stable", _j14, """, r AS (SELECT region_id % 900 AS page_id, region_id, (w * h)::DOUBLE AS area FROM v_regions),
+a AS (SELECT page_id, area * CASE WHEN region_id % 7 = 0 THEN 1.25 ELSE 1 END + page_id % 13 AS area FROM r UNION ALL SELECT DISTINCT page_id, 50 FROM r WHERE page_id % 11 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area) AS k FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area) AS k FROM a)
+SELECT coalesce(o.page_id, n.page_id) AS page_id, bool_and(coalesce(abs(o.area - n.area) <= greatest(12, o.area * 0.03::DOUBLE), false)) AS stable FROM o FULL JOIN n ON n.page_id = o.page_id AND n.k = o.k GROUP BY 1""", ("v_regions",))
+
+
 def _n22(s, d):
     a = _regions(s, d, 0).select("page_id", *[c(k).alias("a" + k) for k in ("region_id", "x", "y", "w", "h")])
     b = _regions(s, d, 1).select("page_id", *[c(k).alias("b" + k) for k in ("region_id", "x", "y", "w", "h")])

@@ -196,6 +196,58 @@ add("N10_moist_air_enthalpy",
     _model("scenario_id, round(d_outdoor_enthalpy, 6) AS outdoor_enthalpy, round(d_indoor_enthalpy, 6) AS indoor_enthalpy"))
 
 
+# -- detailed mode: five oriented walls and windows a scenario -----------------
+
+_SIDES = {"south": 3, "east": 5, "west": 7, "north": 11, "skew": 13}
+_ITEM = {"wall_area": "({k} * {n}) % 60", "wall_u": "({k} + {n}) % 5 * 0.5", "area": "({k} * {n}) % 40", "u": "({k} + {n}) % 4 * 0.75", "shgc": "({k} + {n}) % 4 * 0.25",
+         "shade": "CASE WHEN ({k} + {n}) % 3 > 0 THEN 0.75 END", "tight": "CASE WHEN ({k} + {n}) % 2 > 0 THEN ({k} + {n}) % 9 END", "door": "({k} + {n}) % 3", "door_u": "({k} + {n}) % 2 * 3"}
+
+
+def detailed_scenarios(spark, sf):
+    term = lambda name, n: f"CAST({_ITEM[name].format(k='scenario_id', n=n)} AS DOUBLE)"
+    item = lambda o, **f: F.expr(f"named_struct('orientation', '{o}', " + ", ".join(f"'{k}', {v}" for k, v in f.items()) + ")")
+    walls = F.array(*[item(o, area_m2=term("wall_area", n), u_value=term("wall_u", n)) for o, n in _SIDES.items()])
+    windows = F.array(*[item(o, area_m2=term("area", n), u_value=term("u", n), shgc=term("shgc", n), shading_factor=term("shade", n), air_tightness_value=term("tight", n), door_area_m2=term("door", n), door_u_value=term("door_u", n)) for o, n in _SIDES.items()])
+    flag = lambda m: F.col("scenario_id") % m == 0
+    s = A.scenarios(spark, sf).withColumns({"calculation_mode": F.lit("detailed"), "walls_by_orientation": walls, "windows_by_orientation": windows,
+                                            "geometry": F.col("geometry").withField("include_roof", flag(2)).withField("include_floor", flag(3))})
+    return evaluate_scenarios(s)
+
+
+def _detailed_sql():
+    """The balance with item areas, transmission, solar gain and joint leakage in place of the simple envelope."""
+    sides = ", ".join(f"('{o}', {n})" for o, n in _SIDES.items())
+    items = ", ".join(f"({text.format(k='scenario_id', n='n')})::DOUBLE AS {name}" for name, text in _ITEM.items())
+    pair = lambda a, b: f"sum({a}) FILTER (WHERE {a} > 0 AND {b} > 0)"
+    sun = "CASE o WHEN 'south' THEN 1.0::DOUBLE WHEN 'east' THEN 0.78 WHEN 'west' THEN 0.86 WHEN 'north' THEN 0.38 ELSE 0.70 END"
+    extra = f"""x AS (SELECT scenario_id, {pair('wall_area', 'wall_u')} AS x_wall_area, {pair('area', 'u')} AS x_window_area, {pair('door', 'door_u')} AS x_door_area,
+  sum(wall_area * wall_u) + sum(area * u) + sum(door * door_u) AS x_ua, sum(area * shgc * coalesce(shade, 1) * {sun}) AS x_solar,
+  sum(0.33::DOUBLE * greatest(0, (8 - coalesce(CASE WHEN tight > 0 THEN tight END, 6)) * 0.04::DOUBLE) * area * 3) AS x_leak,
+  sum(wall_area * wall_u) FILTER (WHERE wall_area > 0 AND wall_u > 0) / {pair('wall_area', 'wall_u')} AS x_wall_u, sum(area * shgc) FILTER (WHERE area > 0 AND shgc > 0) / {pair('area', 'shgc')} AS x_shgc
+ FROM (SELECT scenario_id, o, {items} FROM ({A.VIEWS['v_scenarios']}), (VALUES {sides}) AS t(o, n)) GROUP BY scenario_id),
+v AS (SELECT s.*, x.* EXCLUDE (scenario_id) FROM ({A.VIEWS['v_scenarios']}) s JOIN x USING (scenario_id)),
+climate AS"""
+    sql = BALANCE_SQL
+    for old, new in [(f"v AS ({A.VIEWS['v_scenarios']}),\nclimate AS", extra), ("coalesce(wall_area_m2, floor_area_m2 * 0.8::DOUBLE) AS wall_area", "coalesce(x_wall_area, wall_area_m2, floor_area_m2 * 0.8::DOUBLE) AS wall_area"),
+                     ("0::DOUBLE AS door_area", "coalesce(x_door_area, 0) AS door_area"), ("+ 0::DOUBLE * 0.3::DOUBLE +", "+ CASE WHEN scenario_id % 3 = 0 THEN floor_area_m2 ELSE 0 END * 0.3::DOUBLE +"), ("coalesce(window_area_m2, wall_area * 0.3::DOUBLE) AS window_area", "coalesce(x_window_area, window_area_m2, wall_area * 0.3::DOUBLE) AS window_area"),
+                     ("0.6::DOUBLE * wall_area + 2.5::DOUBLE * window_area + 0.4::DOUBLE * roof_area + 0.3::DOUBLE * floor_area + 3.0::DOUBLE * door_area AS envelope_ua",
+                      "x_ua + CASE WHEN scenario_id % 2 = 0 THEN 0.4::DOUBLE * roof_area ELSE 0 END + CASE WHEN scenario_id % 3 = 0 THEN 0.3::DOUBLE * floor_area ELSE 0 END AS envelope_ua"),
+                     ("window_area * 0.4::DOUBLE * 150 * (cdd26", "x_solar * 150 * (cdd26"), ("THEN 0.335::DOUBLE * infiltration_flow ELSE 0 END AS infiltration_ua", "THEN 0.335::DOUBLE * infiltration_flow ELSE x_leak END AS infiltration_ua"),
+                     ("THEN 'explicit_ach' ELSE 'none' END", "THEN 'explicit_ach' WHEN x_leak > 0 THEN 'legacy_window_tightness' ELSE 'none' END")]:
+        if sql.count(old) != 1:
+            raise ValueError(f"{old[:60]} stands {sql.count(old)} times in the SQL")
+        sql = sql.replace(old, new)
+    return lambda select: f"WITH {sql} SELECT {select} FROM model"
+
+
+_detail = _detailed_sql()
+add("E4_detailed_items", lambda s, d: detailed_scenarios(s, d).select("scenario_id", fixed("wall_area"), fixed("window_area"), fixed("door_area"), fixed("wall_value_item"), fixed("shgc_value_item")),
+    _detail(f"scenario_id, {fixed_sql('wall_area')} AS wall_area, {fixed_sql('window_area')} AS window_area, {fixed_sql('door_area')} AS door_area, {fixed_sql('x_wall_u')} AS wall_value_item, {fixed_sql('x_shgc')} AS shgc_value_item"))
+add("E5_detailed_loads", lambda s, d: detailed_scenarios(s, d).select("scenario_id", fixed("envelope_ua"), fixed("solar_gain"), fixed("infiltration_ua"), "infiltration_source"),
+    _detail(f"scenario_id, {fixed_sql('envelope_ua')} AS envelope_ua, {fixed_sql('solar_gain')} AS solar_gain, {fixed_sql('infiltration_ua')} AS infiltration_ua, infiltration_source"))
+add("E19_detailed", lambda s, d: detailed_scenarios(s, d).select("scenario_id", "rating", *[fixed(c) for c in _rounded]), _detail("scenario_id, rating, " + ", ".join(f"{fixed_sql(c)} AS {c}" for c in _rounded)))
+
+
 def catalog_usage(spark, sf):
     """Every selectable option with how many scenarios use it."""
     v = A.view(spark, sf, "v_scenarios")

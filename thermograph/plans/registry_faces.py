@@ -169,6 +169,10 @@ def _entities(s, d):
 
 add("A21_layer_geometry", lambda s, d: Fc.layer_geometry(_entities(s, d), 0.5), """
 SELECT page_id AS drawing_id, orientation AS layer, sum((axis_end - axis_start + 2) * 0.5::DOUBLE) AS length, min(axis_start) * 0.5::DOUBLE AS x_min, max(axis_end) * 0.5::DOUBLE AS x_max, min(fixed) * 0.5::DOUBLE AS y_min, max(fixed + 2) * 0.5::DOUBLE AS y_max, count(*) AS entities FROM v_segments GROUP BY 1, 2""", SEG)
+add("A21_drawing_summary", lambda s, d: Fc.drawing_summary(_entities(s, d), 0.5).select("drawing_id", "x_min", "y_min", "width", "height", "length", "entities", F.array_join(F.transform("layers", lambda x: F.concat_ws(":", x["layer"], x["entities"])), ",").alias("layers")), """
+, l AS (SELECT page_id, orientation, count(*) AS n FROM v_segments GROUP BY ALL), k AS (SELECT page_id, string_agg(orientation || ':' || n, ',' ORDER BY orientation) AS layers FROM l GROUP BY 1)
+SELECT page_id AS drawing_id, min(axis_start) * 0.5::DOUBLE AS x_min, min(fixed) * 0.5::DOUBLE AS y_min, (max(axis_end) - min(axis_start)) * 0.5::DOUBLE AS width, (max(fixed) + 2 - min(fixed)) * 0.5::DOUBLE AS height, sum((axis_end - axis_start + 2) * 0.5::DOUBLE) AS length,
+ count(*) AS entities, any_value(layers) AS layers FROM v_segments JOIN k USING (page_id) GROUP BY page_id""", SEG)
 add("A22_convex_hull_area", lambda s, d: Fc.convex_hull_area(_polys(s, d).select(c("poly_id").alias("drawing_id"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")), ["drawing_id"]), "SELECT region_id AS drawing_id, (w * h)::DOUBLE AS hull_area FROM v_regions", REG)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from thermograph.functions import rules as R
@@ -10,6 +12,7 @@ from thermograph.operators import classify as C
 from thermograph.operators import relational as O
 from thermograph.plans import adapters as A
 from thermograph.plans import phrases  # noqa: F401
+from thermograph.session import checkpoint_dir
 from thermograph.sources import sinks as K
 from thermograph.sources import tables as T
 from thermograph.streaming import limiter as Lm
@@ -129,6 +132,60 @@ add("K3_pending_work", lambda s, d: K.pending(A.table(s, d, "customer").select(c
 add("K4_artifact_digest", lambda s, d: K.topology_with_opening_digest(A.view(s, d, "v_regions").select("page_id").distinct(), A.view(s, d, "v_regions").select("page_id", "region_id", "x", "y")).select("page_id", F.length("openings_sha256").cast("bigint").alias("n")), "SELECT DISTINCT page_id, 64::BIGINT AS n FROM v_regions", ("v_regions",))
 
 
+# -- files written from a table and read back ------------------------------------
+
+def _scratch(s):
+    return f"{checkpoint_dir(s).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def _quoted(s, d):
+    """Orders with the characters that CSV has to quote."""
+    return A.table(s, d, "orders").select(c("o_orderkey").cast("string").alias("id"), (c("o_custkey") % 40).cast("string").alias("report_id"), F.concat(F.lit('say "'), "o_orderpriority", F.lit('", then\n'), "o_orderstatus").alias("text"), F.lit("left out").alias("more"))
+
+
+_QUOTED = "SELECT o_orderkey::VARCHAR AS id, (o_custkey % 40)::VARCHAR AS report_id, 'say \"' || o_orderpriority || '\", then' || chr(10) || o_orderstatus AS text FROM orders"
+
+
+def _s1(s, d):
+    path = _scratch(s)
+    K.write_csv(_quoted(s, d), path, ["text", "id", "absent"])
+    K.write_csv(_quoted(s, d).filter("id % 2 = 0"), path, ["id", "report_id", "text"], "append")
+    return T.read_string_csv(s, path, ["id", "report_id", "text", "absent"]).select("id", "report_id", "text", "absent")
+
+
+add("S1_read_string_csv", _s1, f"SELECT id, NULL::VARCHAR AS report_id, text, NULL::VARCHAR AS absent FROM ({_QUOTED}) UNION ALL SELECT id, report_id, text, NULL FROM ({_QUOTED}) WHERE id::BIGINT % 2 = 0")
+
+
+def _s2(s, d):
+    path = _scratch(s)
+    _quoted(s, d).write.partitionBy("report_id").option("header", True).option("escape", '"').csv(path)
+    return T.scan_report_folders(s, path, "part-*", ["id", "report_id", "text"]).withColumn("report_id", F.replace("report_id", F.lit("report_id="), F.lit("")))
+
+
+add("S2_scan_report_folders", _s2, _QUOTED)
+
+
+def _k1(s, d):
+    """Lines of the files, and the bytes they start with."""
+    path = _scratch(s)
+    K.write_csv(_quoted(s, d).withColumn("text", c("report_id")), path, ["id", "text", "absent"])
+    marks = s.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.hex(F.substring("content", 1, 3)).alias("value"))
+    return s.read.text(path).select("value").unionByName(marks).groupBy("value").agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("n")).select("value", "n")
+
+
+add("K1_write_csv", _k1, "SELECT o_orderkey::VARCHAR || ',' || (o_custkey % 40) || ',\"\"' AS value, 1::BIGINT AS n FROM orders UNION ALL SELECT 'id,text,absent', 1 UNION ALL SELECT 'EFBBBF', 1")
+
+
+def _k2(s, d):
+    path = _scratch(s)
+    K.write_per_category(_quoted(s, d).drop("more"), path, "report_id")
+    own = s.read.parquet(f"{path}/by_category").withColumns({"report_id": c("report_id").cast("string"), "part": F.lit("by_category")})
+    return s.read.parquet(f"{path}/manifest").withColumn("part", F.lit("manifest")).unionByName(own)
+
+
+add("K2_write_per_category", _k2, f"SELECT id, report_id, text, part FROM ({_QUOTED}), (VALUES ('manifest'), ('by_category')) AS t(part)")
+
+
 def _summary(s, d):
     return A.table(s, d, "customer").filter("c_custkey % 4 > 0").select(c("c_custkey").alias("report_id"), c("c_mktsegment").alias("status"), c("c_name").alias("work_id"), F.lit("d").alias("source_doc"))
 

@@ -143,7 +143,9 @@ add("N30_meta_field_key", lambda s, d: _meta(s, d).select("pos", O.meta_field_ke
 add("N29_append_unique", lambda s, d: _meta(s, d).select("pos", X.append_unique(F.concat(F.lit("1-URGENT; "), c("field")), c("value")).alias("joined")),
     "WITH m AS (SELECT o_orderkey AS pos, [" + ", ".join(q(x) for x in _META_FIELDS) + f"][o_orderkey % 7 + 1] AS f, trim({_VAL}) AS v FROM orders) "
     "SELECT pos, CASE WHEN v IN ('', '1-URGENT') THEN '1-URGENT; ' || f ELSE '1-URGENT; ' || f || '; ' || v END AS joined FROM m")
-add("A4b_contained_dedup_fold", lambda s, d: O.contained_dedup_fold(_meta(s, d).select(F.col("report_id").alias("r"), "pos", F.trim("value").alias("v")), ["r"]).select("r", F.length("value").cast("bigint").alias("n")))
+add("A4b_contained_dedup_fold", lambda s, d: O.contained_dedup_fold(_meta(s, d).select(F.col("report_id").alias("r"), "pos", F.trim("value").alias("v")), ["r"]).select("r", "value"),
+    _META_SQL + """, u AS (SELECT report_id AS r, v, min(pos) AS pos FROM m WHERE v <> '' AND v <> '------' GROUP BY ALL)
+SELECT r, list_reduce(list(v ORDER BY pos, v), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || '; ' || x END) AS value FROM u GROUP BY r""")
 
 
 def _params(s, d):
@@ -285,14 +287,12 @@ SELECT id, category, name, 'primary' AS origin FROM p UNION ALL SELECT id, categ
 def _f13(s, d):
     v = A.view(s, d, "v_reports")
     viewers = A.table(s, d, "nation").select(c("n_nationkey").cast("string").alias("viewer"), (c("n_nationkey") % 4 == 0).alias("is_admin"), F.when(c("n_nationkey") % 3 == 0, (c("n_nationkey") % 7).cast("string")).alias("requested_owner"))
-    own, _ = P.owner_scope(v, viewers)
-    return own.groupBy("viewer").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return P.visible_counts(v, viewers, "id").withColumnRenamed("total", "ids")
 
 
 add("F13_owner_scope", _f13, """
 , w AS (SELECT n_nationkey::VARCHAR AS viewer, n_nationkey % 4 = 0 AS adm, CASE WHEN n_nationkey % 3 = 0 THEN (n_nationkey % 7)::VARCHAR END AS req FROM nation)
-SELECT viewer, count(*) AS n, sum(id)::BIGINT AS ids FROM w JOIN v_reports r ON r.username = coalesce(req, viewer)
-WHERE (adm AND req IS NOT NULL) OR (NOT adm AND (req IS NULL OR req = viewer)) GROUP BY viewer""", ("v_reports",))
+SELECT viewer, count(*) AS n, sum(id)::BIGINT AS ids FROM w JOIN v_reports r ON (adm AND req IS NULL) OR (r.username = coalesce(req, viewer) AND (adm OR req IS NULL OR req = viewer)) GROUP BY viewer""", ("v_reports",))
 
 
 def _n31(s, d):
