@@ -60,3 +60,29 @@ def test_hull_area(spark):
     rng = random.Random(2)
     pts = [(1, float(rng.randint(1, 99)), float(rng.randint(1, 99))) for _ in range(200)] + [(1, 0.0, 0.0), (1, 100.0, 0.0), (1, 100.0, 100.0), (1, 0.0, 100.0)]
     assert Fc.convex_hull_area(spark.createDataFrame(pts, "d int, x double, y double"), ["d"], 16).first().hull_area == 10000.0
+
+
+def test_outlines_that_cross_themselves(spark):
+    square, bow = [(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 0), (4, 4), (4, 0), (0, 4)]
+    shapes = {1: square, 2: bow, 3: [(0, 0), (8, 0), (8, 3), (4, 3), (4, 6), (0, 6)], 4: [(0, 0), (8, 0), (8, 4), (3, 4), (3, -2), (1, -2), (1, 4), (0, 4)], 5: [(0, 0), (6, 0), (3, 0), (3, 3), (0, 3)],
+              6: [(0, 0), (4, 0), (2, 3)], 7: [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)], 8: []}
+    rows = [(k, [(float(x), float(y)) for x, y in p]) for k, p in shapes.items()]
+    frame = spark.createDataFrame(rows, "page_id int, points array<struct<x:double,y:double>>")
+    assert sorted(r.page_id for r in Fc.crossed_outlines(frame).collect()) == [2, 4, 5, 7]
+
+
+def test_measures_may_differ_in_the_last_places(spark):
+    import math
+
+    pairs = [(b + k * math.ulp(b), b) for b in (1.0, 3.7, 1023.9999999999999, 1024.0, 1e-3, 9989.0) for k in (-6, -4, -3, 0, 3, 4, 6)]
+    frame = spark.createDataFrame([(a, b, abs(a - b) <= 4 * math.ulp(b)) for a, b in pairs], "a double, b double, ok boolean")
+    assert not [r for r in frame.withColumn("got", Fc.near_equal(F.col("a"), F.col("b"))).collect() if r.got != r.ok]
+
+
+def test_gap_plans_stay_small(spark):
+    """Each of the three takes twenty shuffles at most."""
+    import __spark_entry__ as E
+
+    for name in ("W6_exterior_gaps", "J10_gap_opening_match", "J16_perpendicular_crossing_anti"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= 20, name

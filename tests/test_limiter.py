@@ -60,3 +60,16 @@ def test_job_state_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert tuple(spark.table("jobs").first()) == (1, "done", 50)
+
+
+def test_one_hot_address(spark):
+    """One address without a pause: window starts by pointers, and logins that reach no limit unwalked."""
+    rng, t, rows = random.Random(8), 0.0, []
+    for i in range(900):
+        t += rng.choice([0.25, 1, 30, 120])
+        rows.append((i, t, rng.choice(["register", "register", "login"]), "hot", f"u{i % 400}"))
+    roomy = Limits(window=300.0, login_address=10**6, login_user=10**6, other=4)
+    got = {r.event_id: (r.allowed, r.retry_after) for r in limit_attempts(frame(spark, rows), roomy).collect()}
+    want = loop([r for r in rows if r[2] == "register"])
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert all(v == (True, 0) for k, v in got.items() if k not in want) and len(got) == len(rows)

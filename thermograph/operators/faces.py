@@ -524,3 +524,21 @@ def vector_prediction_adapter(df: DataFrame, column: str = "doc", key: str = "pa
     lines = line("walls", F.lit("wall")).unionByName(line("openings", F.col("l.kind")))
     rooms = d.select(key, F.explode("d.rooms").alias("r")).select(key, F.col("r.id").alias("id"), polygon_measures(xy(F.col("r.polygon"))).alias("m")).select(key, "id", F.col("m.area").alias("area_px2"), F.col("m.perimeter").alias("perimeter_px"))
     return lines, rooms
+
+
+def prediction_scale(df: DataFrame, column: str = "doc", measures: str = "measurements", key: str = "page_id") -> DataFrame:
+    """Scale and room totals of each prediction, one row per page.
+
+    ``measures`` holds JSON with a scale in metres per pixel; one that is
+    absent, no number, zero or negative leaves the scale to be set by hand.
+    """
+    from thermograph.operators.drawing import polygon_measures
+    d = df.select(key, F.from_json(F.col(column), PREDICTION).alias("d"), F.get_json_object(measures, "$.scale_m_per_px").try_cast("double").alias("s"))
+    ok = F.col("s").isNotNull() & ~F.isnan("s") & (F.col("s") > 0) & (F.col("s") < float("inf"))
+    rooms = F.coalesce("d.rooms", F.array().cast("array<struct<id:string,polygon:array<array<double>>>>"))
+    xy = lambda a: F.transform(a, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    area = F.aggregate(F.transform(rooms, lambda r: polygon_measures(xy(r["polygon"]))["area"]), F.lit(0.0), lambda a, v: a + v)
+    t = d.select(key, F.when(ok, F.col("s")).alias("scale_m_per_px"), F.size(rooms).cast("bigint").alias("room_count"), area.alias("total_area_px2"))
+    has = F.col("scale_m_per_px").isNotNull()
+    return t.select(key, F.when(has, "confirmed").otherwise("manual_required").alias("status"), F.when(has, "vector_dimensions").otherwise("raster_manual").alias("method"), "scale_m_per_px", F.when(has, 1.0).otherwise(0.0).alias("confidence"),
+                    "room_count", "total_area_px2", (F.col("total_area_px2") * F.col("scale_m_per_px") * F.col("scale_m_per_px")).alias("total_area_m2"), (has & (F.col("room_count") > 0)).alias("load_geometry_ready"))

@@ -41,33 +41,53 @@ def range_clip(edges: DataFrame, other: DataFrame, extra: list[str], bucket: flo
     return j.select("page_id", "edge_id", F.greatest("e0", "axis_start").alias("s"), F.least("e1", "axis_end").alias("z"), *extra).filter("s < z")
 
 
+EVIDENCE = ["inside_mean", "outside_mean", "boundary_mean", "inside_share", "outside_share"]
+
+
 def inferred_edge_checks(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Errors per page of inferred edges, groups and the share they take.
 
     ``edges``: page_id, inference_id, edge_group_id, edge_group_size,
-    inference_type, orientation, axis_start, axis_end, length_px, on_boundary,
-    anchor_ids, source_ids, inside_mean, outside_mean. ``pages``: page_id,
+    inference_type, orientation, fixed, axis_start, axis_end, length_px,
+    on_boundary, anchor_ids, source_ids, decision, inside_direction,
+    mean_difference and the means and shares of EVIDENCE. ``pages``: page_id,
     short_side_px, perimeter_px, calculation_only. Calculation-only closures
     skip the footprint and length tests, and their groups may have one or two
     members whatever the type. A group has as many members as it declares, all
-    of one type; two members run both ways.
+    of one type; two members run both ways and share one corner point. Missing
+    evidence counts as out of range.
     """
     c = F.col
     e = edges.join(pages, "page_id")
     strict = ~c("calculation_only")
+    unit = F.forall(F.array(*EVIDENCE), lambda x: x.isNotNull() & ~F.isnan(x) & x.between(0.0, 1.0))
+    ranged = F.coalesce(unit & c("mean_difference").between(-1.0, 1.0), F.lit(False))
+    fits = Fc.near_equal(c("mean_difference").cast("double"), c("inside_mean") - c("outside_mean"))
+    faces = F.when(c("orientation") == "horizontal", c("inside_direction").isin("up", "down")).otherwise(c("inside_direction").isin("left", "right"))
+    weak = (c("inside_mean") < 0.50) | (c("mean_difference") < 0.25) | (c("boundary_mean") < 0.35)
+    long_ = c("length_px") > c("short_side_px") * 0.10 + F.greatest(c("short_side_px"), F.lit(1.0)) * 2.0**-55
     own = F.filter(F.array(
-        F.when(~c("on_boundary"), "edge_not_on_boundary"), F.when(F.abs(c("axis_end") - c("axis_start") - c("length_px")) > 1e-9, "length_mismatch"),
-        F.when(strict & (c("length_px") > c("short_side_px") * 0.10), "edge_too_long"), F.when((F.size("anchor_ids") <= 0) | (F.size(F.array_except("anchor_ids", "source_ids")) > 0), "anchor_not_a_source"),
+        F.when(~c("on_boundary"), "edge_not_on_boundary"), F.when(~Fc.near_equal(c("length_px").cast("double"), (c("axis_end") - c("axis_start")).cast("double")), "length_mismatch"),
+        F.when(strict & long_, "edge_too_long"), F.when((F.size("anchor_ids") <= 0) | (F.size(F.array_except("anchor_ids", "source_ids")) > 0), "anchor_not_a_source"),
         F.when(~c("inference_type").isin("collinear_extension", "orthogonal_corner"), "unknown_type"),
         F.when(~c("edge_group_size").isin(1, 2) | strict & (c("edge_group_size") != F.when(c("inference_type") == "collinear_extension", 1).otherwise(2)), "group_size"),
-        F.when(strict & ((c("inside_mean") < 0.50) | (c("inside_mean") - c("outside_mean") < 0.25)), "weak_footprint_evidence")), lambda x: x.isNotNull())
+        F.when(~F.coalesce(c("decision") == "accepted_candidate", F.lit(False)), "edge_not_accepted"), F.when(~F.coalesce(faces, F.lit(False)), "invalid_inside_direction"),
+        F.when(strict & ~(ranged & fits), "invalid_footprint_evidence"), F.when(strict & ranged & weak, "weak_footprint_evidence"),
+        F.when(strict & ranged & (c("inside_share") < 0.80), "discontinuous_footprint_support"), F.when(strict & ranged & (c("outside_share") >= 0.50), "edge_crosses_interior")), lambda x: x.isNotNull())
     per_edge = e.select("page_id", F.explode(own).alias("error"))
     same = lambda k: F.min(k) == F.max(k)
-    groups = edges.groupBy("page_id", "edge_group_id").agg(
+    group = ["page_id", "edge_group_id"]
+    groups = edges.groupBy(*group).agg(
         (same("edge_group_size") & same("inference_type") & (F.max("edge_group_size") == F.count(F.lit(1))) & ((F.max("edge_group_size") != 2) | (F.min("orientation") != F.max("orientation")))).alias("complete"))
     groups = groups.filter("NOT complete").select("page_id", F.lit("incomplete_group").alias("error"))
+    h = c("orientation") == "horizontal"
+    point = lambda a: F.struct(F.when(h, c(a)).otherwise(c("fixed")).cast("double").alias("x"), F.when(h, c("fixed")).otherwise(c(a)).cast("double").alias("y"))
+    two = edges.filter("edge_group_size = 2").groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(*group)
+    ends = edges.join(two, group, "left_semi").select(*group, "inference_id", F.explode(F.array_distinct(F.array(point("axis_start"), point("axis_end")))).alias("p"))
+    met = ends.groupBy(*group, "p").agg(F.countDistinct("inference_id").alias("n")).groupBy(*group).agg(F.count_if(c("n") == 2).alias("n"))
+    corners = met.filter("n <> 1").select("page_id", F.lit("no_shared_corner").alias("error"))
     share = e.groupBy("page_id", "perimeter_px", "calculation_only").agg(F.sum("length_px").alias("l")).filter("NOT calculation_only AND l > perimeter_px * 0.12").select("page_id", F.lit("inferred_share_exceeded").alias("error"))
-    errs = per_edge.unionByName(groups).unionByName(share).groupBy("page_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
+    errs = per_edge.unionByName(groups).unionByName(corners).unionByName(share).groupBy("page_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
     return pages.select("page_id").join(errs, "page_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
 
 

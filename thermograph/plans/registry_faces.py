@@ -192,9 +192,18 @@ def _docs(s, d):
 
 
 add("G7_prediction_lines", lambda s, d: Fc.vector_prediction_adapter(_docs(s, d))[0], "SELECT p_partkey AS page_id, 'w1' AS id, 'wall' AS kind, p_size::DOUBLE AS length_px FROM part UNION ALL SELECT p_partkey, 'o1', 'door', 3 FROM part")
+add("G7_prediction_scale", lambda s, d: Fc.prediction_scale(_docs(s, d).join(_measures(s, d), "page_id")), """
+SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 0 THEN 'confirmed' ELSE 'manual_required' END AS status, CASE WHEN p_partkey % 3 = 0 THEN 'vector_dimensions' ELSE 'raster_manual' END AS method, CASE WHEN p_partkey % 3 = 0 THEN 0.25::DOUBLE END AS scale_m_per_px,
+ CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END::DOUBLE AS confidence, 1::BIGINT AS room_count, (p_size * 4)::DOUBLE AS total_area_px2, CASE WHEN p_partkey % 3 = 0 THEN p_size * 0.25::DOUBLE END AS total_area_m2, p_partkey % 3 = 0 AS load_geometry_ready FROM part""")
 add("G7_prediction_rooms", lambda s, d: Fc.vector_prediction_adapter(_docs(s, d))[1], "SELECT p_partkey AS page_id, 'r1' AS id, (p_size * 4)::DOUBLE AS area_px2, (2 * (p_size + 4))::DOUBLE AS perimeter_px FROM part")
 
 
+def _measures(s, d):
+    """A third of the pages with a scale, the others without, with zero or with a text instead."""
+    k = c("p_partkey")
+    return A.table(s, d, "part").select(k.alias("page_id"), F.when(k % 3 == 0, '{"scale_m_per_px": 0.25}').when(k % 9 == 1, '{"scale_m_per_px": "x"}').when(k % 9 == 2, '{"scale_m_per_px": 0}').when(k % 9 == 4, "[]").alias("measurements"))
+
+
 def _g8(s, d):
     A.load_tables(s, d)
     return Fc.recognition_flatten(s.sql("""SELECT p_partkey AS id, '{"schema_version": 2, "scale_calibration": {"status": "' || CASE WHEN p_partkey % 2 = 0 THEN 'confirmed' ELSE 'conflict' END || '", "scale_m_per_px": 0.05}, "geometry": {"walls": [{"pts": [[0, 0], [3, 4], [3, ' || CAST(4 + p_size AS VARCHAR(5)) || ']]}], "windows": [], "doors": [{"area": 3}]}, "room_topology": {"room_count": ' || CAST(p_size % 4 AS VARCHAR(5)) || ', "load_geometry_ready": true}}' AS doc FROM part"""))
@@ -319,15 +328,24 @@ add("C18_evidence", lambda s, d: _c18(s, d)["evidence"], _DRAWN + f" SELECT page
 
 
 def _c20(s, d):
+    """Per region an edge pair at the box's first corner; the page number sets what is wrong."""
     from thermograph.plans import exterior as X
-    k = c("seg_id")
-    e = seg(s, d).select("page_id", k.alias("inference_id"), k.alias("edge_group_id"), F.lit(1).alias("edge_group_size"), F.lit("collinear_extension").alias("inference_type"), "orientation", "axis_start", "axis_end", (c("axis_end") - c("axis_start")).cast("double").alias("length_px"),
-                         (c("page_id") % 3 > 0).alias("on_boundary"), F.array(F.lit("a")).alias("anchor_ids"), F.array(F.lit("a"), F.lit("b")).alias("source_ids"), F.lit(0.9).alias("inside_mean"), F.lit(0.1).alias("outside_mean"))
-    pages = seg(s, d).select("page_id").distinct().select("page_id", F.lit(200.0).alias("short_side_px"), F.lit(1e9).alias("perimeter_px"), (c("page_id") % 2 == 0).alias("calculation_only"))
-    return X.inferred_edge_checks(e.dropDuplicates(["page_id", "inference_id"]), pages).select("page_id", F.array_join("errors", ";").alias("errors"))
-
-
-add("C20_inferred_edge_checks", _c20, "SELECT DISTINCT page_id, concat_ws(';', CASE WHEN page_id % 3 = 0 THEN 'edge_not_on_boundary' END, CASE WHEN page_id % 2 = 1 THEN 'edge_too_long' END) AS errors FROM v_segments", SEG)
+    k = c("region_id")
+    pair = lambda n, o, f, a, z, into: F.struct((k * 2 + n).alias("inference_id"), F.lit(o).alias("orientation"), f.alias("fixed"), a.alias("axis_start"), z.alias("axis_end"), F.lit(into).alias("inside_direction"))
+    shift = F.when(k % 5 == 1, 1).otherwise(0)
+    both = F.array(pair(0, "horizontal", c("y"), c("x"), c("x") + c("w"), "down"), pair(1, "vertical", c("x"), c("y") + shift, c("y") + c("h") + shift, "right"))
+    m = lambda v: F.lit(v)
+    e = A.view(s, d, "v_regions").select(k.alias("page_id"), F.explode(both).alias("e")).select("page_id", "e.*").select(
+        "*", c("page_id").alias("edge_group_id"), m(2).alias("edge_group_size"), m("orthogonal_corner").alias("inference_type"), (c("axis_end") - c("axis_start")).cast("double").alias("length_px"), (c("page_id") % 3 > 0).alias("on_boundary"),
+        F.array(m("a")).alias("anchor_ids"), F.array(m("a"), m("b")).alias("source_ids"), F.when(c("page_id") % 6 == 0, "rejected_candidate").otherwise("accepted_candidate").alias("decision"), m(0.875).alias("inside_mean"), m(0.125).alias("outside_mean"),
+        F.when(c("page_id") % 4 == 0, 0.25).otherwise(0.5).alias("boundary_mean"), F.when(c("page_id") % 8 == 3, 0.5).otherwise(0.9).alias("inside_share"), F.when(c("page_id") % 8 == 5, 0.5).otherwise(0.1).alias("outside_share"), F.when(c("page_id") % 9 == 2, 0.5).otherwise(0.75).alias("mean_difference"))
+    pages = A.view(s, d, "v_regions").select(k.alias("page_id"), m(400.0).alias("short_side_px"), m(1e9).alias("perimeter_px"), (k % 7 == 0).alias("calculation_only"))
+    return X.inferred_edge_checks(e, pages).select("page_id", F.array_join("errors", ";").alias("errors"))
+
+
+add("C20_inferred_edge_checks", _c20, """, r AS (SELECT region_id AS k, region_id % 7 > 0 AS strict, w, h FROM v_regions)
+SELECT k AS page_id, concat_ws(';', CASE WHEN strict AND k % 8 = 3 THEN 'discontinuous_footprint_support' END, CASE WHEN strict AND k % 8 = 5 THEN 'edge_crosses_interior' END, CASE WHEN k % 6 = 0 THEN 'edge_not_accepted' END, CASE WHEN k % 3 = 0 THEN 'edge_not_on_boundary' END,
+ CASE WHEN strict AND greatest(w, h) > 40 THEN 'edge_too_long' END, CASE WHEN strict AND k % 9 = 2 THEN 'invalid_footprint_evidence' END, CASE WHEN k % 5 = 1 THEN 'no_shared_corner' END, CASE WHEN strict AND k % 4 = 0 THEN 'weak_footprint_evidence' END) AS errors FROM r""", REG)
 
 
 def _envelopes(s, d):
