@@ -34,7 +34,7 @@ UNKNOWN = "und"
 #: Keys of a hash partition on average, and keys that a merge adds at once; both bound a task's memory.
 PARTITION_KEYS, MERGE_KEYS = 1_500_000, 2_000_000
 #: Bytes of text to a hash partition of the second pass.
-EXACT_BYTES = 12_000_000
+EXACT_BYTES = 24_000_000
 #: Candidates that share one word are dealt to so many tasks.
 SALTS = 16
 
@@ -60,19 +60,24 @@ class Phrases:
 
     def __init__(self, langs: list[str], texts: list[str], longest: int = LONGEST) -> None:
         data = [t.encode() for t in texts]
-        buf = np.frombuffer(b"\n".join(data), np.uint8)
+        until = np.cumsum([len(d) + 1 for d in data])
+        data = b"\n".join(data)
+        buf = np.frombuffer(data, np.uint8)
         kind = KIND[buf]
-        inside = np.concatenate(([0], (kind == 0).view(np.int8), [0]))
-        steps = np.diff(inside)
+        steps = np.diff((kind == 0).view(np.int8), prepend=0, append=0)
         starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-        piece = np.cumsum(kind == 2)[starts]
-        text = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), starts, "right")
+        del steps
+        piece = np.searchsorted(np.flatnonzero(kind == 2), starts).astype(np.int32)
+        self.langs, of = np.unique(np.array(langs, object), return_inverse=True)
+        lang = of[np.searchsorted(until, starts, "right")] if len(starts) else np.zeros(0, np.int64)
+        letters = LOWER[buf[kind == 0]]
+        del kind, buf, data
         offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWER[buf[kind == 0]])]).dictionary_encode()
+        del starts, ends
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
         self.words: list[bytes] = found.dictionary.to_pylist()
         word = found.indices.to_numpy().astype(np.int64)
-        self.langs, of = np.unique(np.array(langs, object), return_inverse=True)
-        lang = of[text] if len(text) else np.zeros(0, np.int64)
+        del found, letters, offsets
         self.sizes = np.bincount(lang, minlength=len(self.langs))
         self.base = max(len(self.words), 1)
         #: Codes of distinct phrases by number of words; ``whole`` turns them into words.
@@ -167,7 +172,13 @@ def phrase_chunks(docs: DataFrame, partitions: int, bits: int, longest: int = LO
         def close() -> pa.RecordBatch:
             own = Phrases(langs, texts, longest)
             keys = own.keys()
-            rows = blocks(*counted(np.concatenate(list(keys.values())) & mask, np.concatenate([own.counts[n] for n in keys])), partitions)
+            rows = []
+            # A quarter of the hashes at a time, which bounds the copies that sorting makes.
+            for quarter in range(4):
+                at = {n: np.flatnonzero(k >> np.uint64(62) == quarter) for n, k in keys.items()}
+                some = counted(np.concatenate([keys[n][at[n]] for n in at]) & mask, np.concatenate([own.counts[n][at[n]].astype(np.uint32) for n in at]))
+                rows += blocks(*some, partitions) if len(some[0]) else []
+            pa.default_memory_pool().release_unused()
             chunk = new_chunk()
             for row in rows:
                 row |= {"kind": "block", "chunk": chunk, "mass": int(expand(row["counts"], np.uint32).sum(dtype=np.int64))}
@@ -250,7 +261,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     word occurrences. Input: (lang, text) without nulls.
     """
     size = text_bytes(docs)
-    bits = min(64, max(32, math.ceil(math.log2(size + 2)) + 4))
+    bits = min(64, max(24, math.ceil(math.log2(size + 2)) + 2))
     chunks = spill_kinds(phrase_chunks(docs, max(8, size * longest // 6 // PARTITION_KEYS), bits, longest), {"text": ["chunk", "texts"], "block": ["chunk", "bucket", "keys", "counts", "mass"]})
     kept = spill(survivors(chunks["block"], least))
     discard(chunks["block"])
