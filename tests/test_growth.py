@@ -78,3 +78,31 @@ def test_runs_agree_with_rows(spark):
     assert got == {(r.page_id, r.y): r.value for r in want if r.value is not None}
     runs = runs.orderBy("page_id", "y0").collect()
     assert all(a.value != b.value for a, b in zip(runs, runs[1:]) if a.page_id == b.page_id)
+
+
+def test_lines_of_a_grid_give_the_means_of_its_cells(spark):
+    rng = random.Random(11)
+    boxes, lines, cells = [], [], []
+    for page in range(3):
+        for y in range(1, 40, 3):
+            x0 = rng.randint(0, 5)
+            v = [None if rng.random() < 0.1 else rng.random() for _ in range(15)]
+            lines.append((page, y, x0, 2, v))
+            cells += [(page, x0 + 2 * i, y, u) for i, u in enumerate(v)]
+        for f in range(6):
+            x, y, w, h = rng.randint(0, 20), rng.randint(0, 25), rng.randint(1, 15), rng.randint(1, 15)
+            p = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+            boxes += [(page, f, *a, *b) for a, b in zip(p, p[1:] + p[:1])]
+    edges = spark.createDataFrame(boxes, "page_id int, face_id int, x0 long, y0 long, x1 long, y1 long")
+    rows = lambda c: {(r.page_id, r.face_id): (round(r["mean"], 9), r.n_cells) for r in Fc.face_footprint_mean(edges, c).collect()}
+    assert rows(spark.createDataFrame(lines, "page_id int, y int, x0 int, step int, values array<double>")) == rows(spark.createDataFrame(cells, "page_id int, x int, y int, value double"))
+
+
+def test_lone_lines_leave_the_face_search(spark):
+    box = [(1, 1, "horizontal", 0, 0, 9), (1, 2, "horizontal", 9, 0, 9), (1, 3, "vertical", 0, 0, 9), (1, 4, "vertical", 9, 0, 9)]
+    spur = [(1, 5, "horizontal", 4, 0, 3), (1, 6, "horizontal", 4, 3, 6)]  # the second hangs on the first
+    lone = [(1, 100 + i, "horizontal", 20 + i, 0, 9) for i in range(50)]
+    f = spark.createDataFrame(box + spur + lone, "page_id int, seg_id int, orientation string, fixed long, axis_start long, axis_end long")
+    assert sorted(r.seg_id for r in Fc.meeting_lines(f).collect()) == [1, 2, 3, 4, 5, 6]
+    r = Fc.bounded_faces(f).first()
+    assert (r.area, r.perimeter, r.n_edges) == (81.0, 48.0, 9)
