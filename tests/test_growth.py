@@ -106,3 +106,60 @@ def test_lone_lines_leave_the_face_search(spark):
     assert sorted(r.seg_id for r in Fc.meeting_lines(f).collect()) == [1, 2, 3, 4, 5, 6]
     r = Fc.bounded_faces(f).first()
     assert (r.area, r.perimeter, r.n_edges) == (81.0, 48.0, 9)
+
+
+def plain_pairs(old, new, least):
+    def iou(a, b):
+        i = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        return i / (a[2] * a[3] + b[2] * b[3] - i)
+    return {(n[0], o[0]) for o in old for n in new if iou(o[1:], n[1:]) >= least}
+
+
+def test_copies_of_a_region_are_compared_once(spark, monkeypatch):
+    from thermograph.operators import drawing as D
+    seen = []
+    real = D.box_join
+    monkeypatch.setattr(D, "box_join", lambda a, b, *x: seen.append((a, b)) or real(a, b, *x))
+    old = [(i, 10 * (i % 3), 0, 20, 20) for i in range(30)]
+    new = [(100 + i, 10 * (i % 3) + 1, 0, 20, 20) for i in range(30)]
+    frame = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "page_id int, region_id int, x int, y int, w int, h int")
+    got = {(r.new_id, r.old_id) for r in D.region_matches(frame(old), frame(new)).collect()}
+    assert got == plain_pairs(old, new, 0.8) and len(got) == 300
+    assert [f.count() for f in seen[0]] == [3, 3]
+
+
+def test_copies_of_a_polygon_are_compared_once(spark, monkeypatch):
+    seen = []
+    real = Fc.nested_outlines
+    monkeypatch.setattr(Fc, "nested_outlines", lambda e, *x: seen.append(e) or real(e, *x))
+    corners = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    rows = [(1, k, x, y, i) for k in range(20) for i, (x, y) in enumerate(corners(*((0, 0, 50) if k % 2 else (10, 10, 5))))]
+    got = {(r.outer, r.inner) for r in Fc.nested_polygons(spark.createDataFrame(rows, "page_id int, poly_id int, x int, y int, pos int")).collect()}
+    assert got == {(a, b) for a in range(1, 20, 2) for b in range(0, 20, 2)}
+    assert seen[0].select("poly_id").distinct().count() == 2
+
+
+def test_texts_meet_the_lines_beside_them_only(spark, monkeypatch):
+    from thermograph.operators import drawing as D
+    seen = []
+    real = D.range_join
+    monkeypatch.setattr(D, "range_join", lambda a, b, *x: seen.append(real(a, b, *x)) or seen[-1])
+    monkeypatch.setattr("thermograph.operators.intervals.range_join", lambda a, b, *x: seen.append(real(a, b, *x)) or seen[-1])
+    span = spark.createDataFrame([(1, 7, "horizontal", 100.0, 50.0, 60.0, 4.0)], "page_id int, span_id int, direction string, across double, t0 double, t1 double, font_size double")
+    lines = [(1, 1, "horizontal", 101, 20, 49), (1, 2, "horizontal", 101, 61, 90)] + [(1, 10 + i, "horizontal", 1000 + 64 * i, 20, 49) for i in range(100)]
+    got = D.bridge_split_dimension(span, spark.createDataFrame(lines, "page_id int, seg_id int, orientation string, fixed long, axis_start long, axis_end long")).collect()
+    assert [(r.f_id, r.g_id, r.axis_start, r.axis_end) for r in got] == [(1, 2, 20, 90)]
+    assert seen[0].count() == 1
+
+
+def test_walls_ask_with_numbers(spark, monkeypatch):
+    from thermograph.operators import drawing as D
+    seen = []
+    real = D.next_start
+    monkeypatch.setattr(D, "next_start", lambda asks, starts, *x: seen.append((asks, starts)) or real(asks, starts, *x))
+    w = [(1, "a", "horizontal", "up", 0, 0, 5), (1, "b", "horizontal", "up", 0, 9, 12), (1, "c", "horizontal", "down", 1, 9, 14), (1, "d", "horizontal", "up", 1, 20, 22)]
+    walls = spark.createDataFrame(w, "page_id int, wall_id string, orientation string, inside_direction string, fixed long, axis_start long, axis_end long")
+    roi = spark.createDataFrame([(1, -50, -50, 50, 50)], "page_id int, left int, top int, right int, bottom int")
+    got = sorted((r.wall_id, r.r_id, r.gap_end, ";".join(r.reason_codes)) for r in D.exterior_gaps(walls, roi).collect())
+    assert got == [("a", "b", 9, "multiple_competing_endpoints"), ("b", "d", 20, "not_strictly_collinear"), ("c", "d", 20, "different_inside_directions")]
+    assert not {"wall_id", "inside_direction"} & {*seen[0][0].columns, *seen[0][1].columns}
