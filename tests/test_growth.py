@@ -163,3 +163,18 @@ def test_walls_ask_with_numbers(spark, monkeypatch):
     got = sorted((r.wall_id, r.r_id, r.gap_end, ";".join(r.reason_codes)) for r in D.exterior_gaps(walls, roi).collect())
     assert got == [("a", "b", 9, "multiple_competing_endpoints"), ("b", "d", 20, "not_strictly_collinear"), ("c", "d", 20, "different_inside_directions")]
     assert not {"wall_id", "inside_direction"} & {*seen[0][0].columns, *seen[0][1].columns}
+
+
+def test_envelope_sides_share_one_pass(spark, monkeypatch):
+    """The driver plans the envelope's steps; the shuffles it has to plan are counted."""
+    from thermograph.plans import topology as T
+    shuffles = []
+    real = X.cut_lineage
+    for module in (X, T):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: shuffles.append(plan_of(df).count("Exchange hashpartitioning")) or real(df))
+    walls = [(1, "horizontal", 0, 0, 96, "down", 1), (1, "horizontal", 80, 0, 100, "up", 2), (1, "vertical", 0, 0, 80, "right", 3), (1, "vertical", 100, 0, 80, "left", 4), (1, "vertical", 50, 0, 80, None, 5)]
+    w = spark.createDataFrame(walls, "page_id int, orientation string, fixed long, axis_start long, axis_end long, inside_direction string, wall_id long")
+    openings = spark.createDataFrame([], "page_id int, opening_id long, orientation string, fixed long, gap_start long, gap_end long, host_ids array<long>")
+    page = T.calculation_envelope(w, openings, 200, 150)["pages"].first()
+    assert (page.area, page.perimeter, page.inferred_length) == (8000.0, 360.0, 4.0)
+    assert sum(shuffles) < 250
