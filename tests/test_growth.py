@@ -178,3 +178,15 @@ def test_envelope_sides_share_one_pass(spark, monkeypatch):
     page = T.calculation_envelope(w, openings, 200, 150)["pages"].first()
     assert (page.area, page.perimeter, page.inferred_length) == (8000.0, 360.0, 4.0)
     assert sum(shuffles) < 250
+
+
+def test_rows_of_islands_move_once(spark):
+    from thermograph.operators import intervals as I
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 3), i, *(lambda a: (a, a + rng.randint(0, 9)))(rng.randint(0, 300))) for i in range(200)]
+    f = spark.createDataFrame(rows, "k int, id int, s int, e int").withColumn("node_type", F.when(F.col("id") % 2 == 0, "anchor").otherwise("door_arc"))
+    got = {(r.id, r.island_start) for r in I.with_island(f, ["k"], "s", "e", 2, 16).collect()}
+    heads = {(r.k, r.s): r.island_start for r in I.islands(f, ["k"], "s", "e", 2, 16).collect()}
+    assert got == {(i, heads[k, s]) for k, i, s, e in rows}
+    plan = plan_of(I.chain_components(f.select("k", "node_type", F.col("id").alias("node_id"), F.col("s").alias("axis_start"), F.col("e").alias("axis_end")), ["k"]))
+    assert "Expand" not in plan
