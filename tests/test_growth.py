@@ -190,3 +190,13 @@ def test_rows_of_islands_move_once(spark):
     assert got == {(i, heads[k, s]) for k, i, s, e in rows}
     plan = plan_of(I.chain_components(f.select("k", "node_type", F.col("id").alias("node_id"), F.col("s").alias("axis_start"), F.col("e").alias("axis_end")), ["k"]))
     assert "Expand" not in plan
+
+
+def test_targets_out_of_reach_leave_the_snapping(spark, monkeypatch):
+    kept = []
+    real = Fc.cut_lineage
+    monkeypatch.setattr(Fc, "cut_lineage", lambda df: kept.append(df) or real(df))
+    lines = [(1, 1, "horizontal", 500.0, 0.0, 98.0)] + [(1, 10 + i, "vertical", 100.0, 7.0 * i, 7.0 * i + 5) for i in range(40)] + [(1, 99, "vertical", 100.0, 498.0, 505.0)]
+    f = spark.createDataFrame(lines, "page_id int, line_id int, orientation string, fixed double, axis_start double, axis_end double")
+    assert {r.line_id: r.axis_end for r in Fc.snap_endpoints(f, 3.0).filter("snapped").collect()} == {1: 100.0, 99: 505.0}
+    assert kept[1].count() == 2
