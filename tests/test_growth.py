@@ -200,3 +200,11 @@ def test_targets_out_of_reach_leave_the_snapping(spark, monkeypatch):
     f = spark.createDataFrame(lines, "page_id int, line_id int, orientation string, fixed double, axis_start double, axis_end double")
     assert {r.line_id: r.axis_end for r in Fc.snap_endpoints(f, 3.0).filter("snapped").collect()} == {1: 100.0, 99: 505.0}
     assert kept[1].count() == 2
+
+
+def test_walls_met_once_are_not_merged(spark):
+    e = spark.createDataFrame([(1, "e", "horizontal", 0, 0, 100)], "page_id int, edge_id string, orientation string, fixed int, e0 int, e1 int")
+    w = spark.createDataFrame([(1, "horizontal", 0, 0, 30, 1), (1, "horizontal", 0, 20, 60, 1), (1, "horizontal", 0, 60, 100, 2)], "page_id int, orientation string, fixed int, axis_start int, axis_end int, wall_id int")
+    got = X.real_wall_segments(e, w)
+    assert sorted((r.axis_start, r.axis_end, r.source_wall_ids) for r in got.collect()) == [(0, 60, [1]), (60, 100, [2])]
+    assert "count(1) windowspecdefinition(page_id" in plan_of(got)
