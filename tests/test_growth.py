@@ -208,3 +208,17 @@ def test_walls_met_once_are_not_merged(spark):
     got = X.real_wall_segments(e, w)
     assert sorted((r.axis_start, r.axis_end, r.source_wall_ids) for r in got.collect()) == [(0, 60, [1]), (60, 100, [2])]
     assert "count(1) windowspecdefinition(page_id" in plan_of(got)
+
+
+def test_lists_of_a_card_are_not_folded_value_by_value(spark):
+    from thermograph.functions import text as Tx
+    from thermograph.operators import relational as O
+    rng = random.Random(4)
+    words = ["a", "b", "c", "a;b", "c; d", ";", "d;a;", "e"]
+    rows = [(f"r{k}", pos, "检验结论", rng.choice(words)) for k in range(40) for pos in range(rng.randint(1, 7))]
+    f = spark.createDataFrame(rows, "report_id string, pos long, field string, value string")
+    got = {r.report_id: r.test_conclusion for r in O.meta_fold(f).collect()}
+    step = f.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("l"))
+    want = step.select("report_id", F.aggregate("l", F.lit(""), lambda a, s: Tx.append_unique(a, s["value"])).alias("t")).collect()
+    assert got == {r.report_id: r.t for r in want}
+    assert "aggregate(" not in plan_of(O.meta_fold(f))
