@@ -222,3 +222,11 @@ def test_lists_of_a_card_are_not_folded_value_by_value(spark):
     want = step.select("report_id", F.aggregate("l", F.lit(""), lambda a, s: Tx.append_unique(a, s["value"])).alias("t")).collect()
     assert got == {r.report_id: r.t for r in want}
     assert "aggregate(" not in plan_of(O.meta_fold(f))
+
+
+def test_tuples_of_a_statement_leave_in_slices(spark):
+    from thermograph.sources import tables as T
+    text = "INSERT INTO `t` VALUES " + ", ".join(f"({i}, 'x')" for i in range(25))
+    frames = list(T.dump_slices([text, None, text], 10))
+    assert [len(f) for f in frames] == [10] * 5
+    assert [(r.row_no, list(r.fields)) for f in frames for r in f.itertuples()] == [(i, [str(i), "x"]) for i in range(25)] * 2
