@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from thermograph.operators import faces as Fc
+from thermograph.operators import relational as O
 from thermograph.operators import web as Wb
 from thermograph.plans import exterior as X
 from thermograph.session import tune_session
@@ -241,3 +243,10 @@ def test_texts_are_read_once(spark):
     assert plan.count("regexp_replace(") < 40 and "LeftAnti" not in plan
     got = sorted((r.doc_id, r.component_category, r.value, r.unit) for r in df.collect())
     assert got == sorted([(1, "window_u", v, "W/(m2·K)") for v in (1.1, 2.1, 2.2, 2.3, 2.4, 2.5, 1.8)] + [(1, "window_shgc", 0.3, ""), (2, "window_u", 1.5, "W/(m2·K)"), (3, "door_u", 2.5, "W/(m·K)")])
+
+
+def test_decisions_wait_for_no_names(spark, monkeypatch):
+    """Names are given out in rounds; a query that returns none runs none of them."""
+    monkeypatch.setattr(O, "cut_lineage", lambda df: 1 / 0)
+    rows = E.queries()["X14_import_classified"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.status for r in rows} == {"imported", "skipped"}
