@@ -1,10 +1,12 @@
 """Steps whose work must follow the input: what leaves a step is counted, and results are compared with plain forms."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from thermograph.operators import drawing as D
 from thermograph.operators import faces as Fc
 from thermograph.operators import relational as O
 from thermograph.operators import web as Wb
@@ -250,3 +252,14 @@ def test_decisions_wait_for_no_names(spark, monkeypatch):
     monkeypatch.setattr(O, "cut_lineage", lambda df: 1 / 0)
     rows = E.queries()["X14_import_classified"](spark, "/root/testdata/sf0.001").collect()
     assert {r.status for r in rows} == {"imported", "skipped"}
+
+
+def test_equal_bands_are_measured_once(spark):
+    """Copies of a rectangle add rows to the result but none to the slices of cells."""
+    cells = spark.range(400).selectExpr("1 AS page_id", "id % 20 AS x", "id DIV 20 AS y", "CAST(id AS DOUBLE) AS value")
+    bands = spark.range(90).selectExpr("1 AS page_id", "id AS band_id", "id % 3 AS bx0", "2 AS by0", "id % 3 + 9 AS bx1", "4 AS by1")
+    df = D.zonal_stats(cells, bands)
+    got = {r.band_id: (r.mean, r.max, r.n_cells) for r in df.collect()}
+    assert got == {i: (60 + i % 3 + 4.5, 80.0 + i % 3 + 9, 30) for i in range(90)}
+    keys = re.findall(r"Aggregate \[([^\]]*)\]", df._jdf.queryExecution().optimizedPlan().toString())
+    assert any("_a#" in k and "_z#" in k and "band_id" not in k for k in keys)
