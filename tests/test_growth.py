@@ -12,6 +12,7 @@ from thermograph.operators import relational as O
 from thermograph.operators import web as Wb
 from thermograph.plans import exterior as X
 from thermograph.session import tune_session
+from thermograph.streaming import limiter as Lm
 
 
 def plan_of(df):
@@ -263,3 +264,20 @@ def test_equal_bands_are_measured_once(spark):
     assert got == {i: (60 + i % 3 + 4.5, 80.0 + i % 3 + 9, 30) for i in range(90)}
     keys = re.findall(r"Aggregate \[([^\]]*)\]", df._jdf.queryExecution().optimizedPlan().toString())
     assert any("_a#" in k and "_z#" in k and "band_id" not in k for k in keys)
+
+
+def test_looking_ahead_reads_each_row_once(spark):
+    """A frame that ends at the last row is evaluated anew for every row of its tile."""
+    rng = random.Random(11)
+    times = sorted({rng.randrange(0, 4000) / 2 for _ in range(300)})
+    at = spark.createDataFrame([("register", "a", t) for t in times], "action string, address string, ts double")
+    got = Lm._first_from(at, 25.0)
+    assert "unboundedfollowing" not in plan_of(got).lower()
+    want = {t: min(u for u in times if u >= t + 25) for t in times if times[-1] >= t + 25}
+    assert {r.ts: r.next for r in got.collect()} == want
+    asks = [(1, rng.randrange(300), i) for i in range(80)]
+    starts = [(1, s, 1, None) for s in sorted({rng.randrange(300) for _ in range(60)})]
+    got = D.next_start(spark.createDataFrame(asks, "line int, at int, k int"), spark.createDataFrame(starts, "line int, at int, n int, m boolean"), ["line"], 16)
+    assert "unboundedfollowing" not in plan_of(got).lower()
+    after = lambda a: [s[1] for s in starts if s[1] > a]
+    assert {r.k: r.next["at"] for r in got.collect()} == {k: min(after(a)) for _, a, k in asks if after(a)}
