@@ -91,6 +91,23 @@ def test_unique_names_match_sequential_allocation(spark):
     assert {r.pos: r.allocated_name for r in got.collect()} == want
 
 
+def test_unique_names_of_bases_that_shift_each_other(spark):
+    """A name is refused only for a row that really came first, though the rows before it move along."""
+    rng = random.Random(4)
+    rows = [("c", "A", 10), ("c", "A1", 15), ("c", "A", 20), ("c", "A2", 25), ("c", "A", 30), ("c", "A2", 35), ("d", "A1", 40), ("d", "A", 41)]
+    rows += [("e", rng.choice(["N", "N", "N", "N1", "N1", "N2", "N11", "N10", "M"]), 100 + i) for i in range(400)] + [("e", "N3", 600), ("e", "N31", 601)]
+    used = [("c", "A21"), ("e", "N2"), ("e", "N12"), ("e", "N112"), ("e", "N31")]
+    taken, want = set(used), {}
+    for key, base, i in rows:
+        n = next(n for n in (f"{base}{k or ''}" for k in range(10**6)) if (key, n) not in taken)
+        taken.add((key, n))
+        want[i] = n
+    assert [want[i] for i in (20, 25, 30)] == ["A2", "A22", "A3"]
+    args = spark.createDataFrame(rows, "category string, base string, pos long"), spark.createDataFrame(used, "category string, name string"), ["category"], "base", "pos"
+    for size in ({}, {"block_rows": 4, "tile_rows": 50}):
+        assert {r.pos: r.allocated_name for r in O.allocate_unique_names(*args, **size).collect()} == want
+
+
 def test_meta_fold_matches_sequential_fold(spark):
     rows = [("r", i, f, v) for i, (f, v) in enumerate([("检验项目", "a"), ("检验项目", "b;c"), ("检验项目", "a"), ("检验项目", "b;c"), ("检测项目", "c"), ("样品名称", " "), ("样品名称", "S1"), ("样品名称", "S2")])]
     r = O.meta_fold(spark.createDataFrame(rows, "report_id string, pos long, field string, value string")).first()
