@@ -1,7 +1,11 @@
 """What staged jobs leave on disk, and how their rows are dealt."""
 
+import os
+import time
+
 from pyspark.sql import functions as F
 
+from thermograph import session as S
 from thermograph.operators import faces as Fc
 from thermograph.plans import registry_faces as R
 from thermograph.plans import topology as T
@@ -9,6 +13,52 @@ from thermograph.plans import topology as T
 SF = "/root/testdata/sf0.001"
 
 
+def waited(check, seconds=20):
+    end = time.time() + seconds
+    while not check() and time.time() < end:
+        time.sleep(0.2)
+    return check()
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f for f in files if os.path.basename(f).startswith("shuffle_") and os.path.exists(f)}
+
+
+def checkpoints(spark):
+    root = S.checkpoint_dir(spark).removeprefix("file:")
+    return {x for x in os.listdir(root) if x.startswith("rdd-")}
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    out = S.cut_lineage(spark.range(50000).groupBy((F.col("id") % 1000).alias("k")).count().join(spark.range(1000).withColumnRenamed("id", "k"), "k"))
+    assert waited(lambda: not shuffle_files(spark) - before)
+    assert out.count() == 1000
+
+
+def test_checkpoints_go_with_their_last_table(spark, monkeypatch):
+    monkeypatch.setattr(S, "SWEEP_SECONDS", 0.0)
+    before = checkpoints(spark)
+    a = S.cut_lineage(spark.range(100))
+    first = checkpoints(spark) - before
+    lazy = a.filter("id % 2 = 0")
+    del a
+    time.sleep(2)
+    S.sweep(spark)
+    time.sleep(1)
+    assert len(first) == 1 and first <= checkpoints(spark) and lazy.count() == 50  # still read
+    b = S.cut_lineage(lazy)
+    del lazy
+
+    def gone():
+        time.sleep(1)
+        S.sweep(spark)
+        return not first & checkpoints(spark)
+    assert waited(gone, 40)
+    assert b.count() == 50
+
+
 def test_pages_of_a_small_file_are_dealt_over_all_tasks(spark):
     walls, *_, cells, _ = R._drawings(spark, SF)
     assert walls.rdd.getNumPartitions() == cells.rdd.getNumPartitions() == 8
