@@ -6,7 +6,10 @@ import time
 from pyspark.sql import functions as F
 
 from thermograph import session as S
+from thermograph.operators import drawing as D
 from thermograph.operators import faces as Fc
+from thermograph.operators import intervals as I
+from thermograph.plans import registry_drawing as Rd
 from thermograph.plans import registry_faces as R
 from thermograph.plans import topology as T
 
@@ -82,3 +85,23 @@ def test_cells_without_a_value_count_for_nothing(spark):
     edges = spark.createDataFrame([(1, "a", 0, 0, 4, 0), (1, "a", 4, 0, 4, 2), (1, "a", 4, 2, 0, 2), (1, "a", 0, 2, 0, 0)], "page_id int, face_id string, x0 long, y0 long, x1 long, y1 long")
     lines = spark.createDataFrame([(1, 0, 0, 1, [1.0, None, 3.0, 4.0]), (1, 1, 0, 1, [2.0, 2.0, 2.0, 2.0, 9.0]), (1, 2, 0, 1, [50.0])], "page_id int, y int, x0 int, step int, values array<double>")
     assert [(r._s, r.n_cells) for r in Fc.raster_line_sums(edges, lines).collect()] == [(16.0, 7)]
+
+
+def test_tiled_rows_are_read_and_dealt_once(spark):
+    line = ["page_id", "orientation", "fixed"]
+    segments = Rd.seg(spark, SF)
+    steps = segments.groupBy(*line, F.col("axis_start").alias("at")).agg(F.count("*").alias("n"))
+    for df in (I.islands(segments, line), I.with_island(segments, line), I.running_sums(steps, line, ["at"], F.floor(F.col("at") / 64), ["n"], "at")):
+        df.collect()
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") == 1
+
+
+def test_gaps_hold_the_shuffles_of_one_step_at_a_time(spark, monkeypatch):
+    """Lines that ask for the next start give their shuffles back before ids are joined to what they found."""
+    steps, real = [], D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda df: (steps.append(df.columns), real(df))[1])
+    walls = spark.createDataFrame([(1, f"w{i}", "horizontal", "up", 7 * (i % 2), 10 * i, 10 * i + 4) for i in range(6)], "page_id int, wall_id string, orientation string, inside_direction string, fixed long, axis_start long, axis_end long")
+    roi = spark.createDataFrame([(1, 0, 0, 100, 100)], "page_id int, left int, top int, right int, bottom int")
+    got = {(r.wall_id, r.r_id, r.gap_start, r.gap_end) for r in D.exterior_gaps(walls, roi, tol=8).collect()}
+    assert got == {(f"w{i}", f"w{i + 1}", 10 * i + 4, 10 * i + 10) for i in range(5)}
+    assert len(steps) == 3 and "wall_id" not in steps[1]
