@@ -9,6 +9,7 @@ from thermograph import session as S
 from thermograph.operators import drawing as D
 from thermograph.operators import faces as Fc
 from thermograph.operators import intervals as I
+from thermograph.plans import exterior as X
 from thermograph.plans import registry_drawing as Rd
 from thermograph.plans import registry_faces as R
 from thermograph.plans import topology as T
@@ -105,3 +106,16 @@ def test_gaps_hold_the_shuffles_of_one_step_at_a_time(spark, monkeypatch):
     got = {(r.wall_id, r.r_id, r.gap_start, r.gap_end) for r in D.exterior_gaps(walls, roi, tol=8).collect()}
     assert got == {(f"w{i}", f"w{i + 1}", 10 * i + 4, 10 * i + 10) for i in range(5)}
     assert len(steps) == 3 and "wall_id" not in steps[1]
+
+
+def test_staged_walls_and_arcs_leave_small_last_steps(spark):
+    """The last plan reads what steps left, not the segments again."""
+    files = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan"))[1]
+    assert files(R._w15(spark, SF)) <= 1  # the edges, for their places
+    steps, real = [], X.cut_lineage
+    X.cut_lineage = lambda df: (steps.append(df.columns), real(df))[1]
+    try:
+        R._g6(spark, SF)
+    finally:
+        X.cut_lineage = real
+    assert len(steps) == 4
